@@ -1,0 +1,200 @@
+"""Line dedup, personal data, byte-level BPE and decontamination against brute force."""
+
+import base64
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from netframe.llm import byte_bpe, decontaminate, line_dedup, pii
+
+LONG = "x y1 " * 60_000
+ODD = [None, "", " ", "\n", "a\x00b", "É é x", "👩‍👩‍👧 a@b.co", LONG]
+
+
+def frame(spark, rows, columns="doc_id long, text string"):
+    return spark.createDataFrame(rows, columns)
+
+
+# -- line dedup -----------------------------------------------------------------------------------------------------
+
+
+def plain_dedup(rows):
+    table = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    key = lambda x: x.encode().strip(b" \t\n\x0b\x0c\r").translate(table).decode()
+    held = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if i is not None and len(key(x)) >= 20:
+                held.setdefault(key(x), set()).add(i)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (len(held.get(key(x), ())) >= 3 and max(held[key(x)]) != i)]
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+A, B, C = "The same long line of text", "a line with an É that is long", "y" * 19
+LINE_ROWS = [(1, f"{A}\nown line that nobody else has\n{B}"), (2, f"  {A.upper()}\t\n{A}\n{C}"), (3, f"{A}\n{B}\n{C}"), (4, f"{B}\n\n{C}"), (4, f"{B}\n\n{C}"), (5, B.replace("É", "é")), (None, A), *enumerate(ODD, 10)]
+
+
+def test_line_dedup(spark):
+    out = line_dedup.dedup_lines(frame(spark, LINE_ROWS)).drop("kept_text").collect()
+    assert sorted(map(tuple, out), key=str) == plain_dedup(LINE_ROWS)
+    exact = line_dedup.dedup_lines(frame(spark, LINE_ROWS), max_filter_bytes=-1, with_text=False).collect()
+    assert sorted(map(tuple, exact), key=str) == plain_dedup(LINE_ROWS)
+    assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+    clash = frame(spark, [(7, "text", 1, 2, 3)], "doc_id long, text string, hi int, lo int, keys int")
+    assert line_dedup.dedup_lines(clash).count() == 1
+
+
+def test_line_index_is_reversible(spark):
+    rows = [(i, t) for i, t in LINE_ROWS if i is not None]
+    first, more = frame(spark, rows), frame(spark, [(100 + k, f"{A}\nyet another long line of words\n{k}") for k in range(4)])
+    index = line_dedup.LineIndex(spark).insert(first)
+    state = lambda: sorted(map(tuple, index.counts().collect()))
+    held = state()
+    cells = lambda: {r.shard: r.n_keys for r in index.filters().collect()}
+    before = cells()
+    index.insert(more)
+    assert state() != held
+    out = line_dedup.dedup_lines(first, index=index, with_text=False)
+    assert {r.doc_id: r.n_dropped for r in out.collect()}[3] == 2  # A is kept by 103 now, B by 4
+    index.delete(more.select("doc_id"))
+    assert state() == held and cells() == before
+
+
+def test_cuckoo_filter():
+    rng = np.random.default_rng(1)
+    pairs = rng.integers(-(2**62), 2**62, (3000, 2))
+    made = line_dedup.CuckooFilter.of(pairs)
+    assert all((int(h), int(x)) in made for h, x in pairs)
+    others = rng.integers(-(2**62), 2**62, (3000, 2))
+    assert sum((int(h), int(x)) in made for h, x in others) < 30
+    bank = line_dedup.FilterBank([(0, made.cells.tobytes())], 1)
+    assert bank.probe(pairs[:, 0], pairs[:, 1]).all() and bank.probe(others[:, 0], others[:, 1]).sum() < 30
+    assert all(made.delete(int(h), int(x)) for h, x in pairs) and not made.cells.any()
+
+
+# -- personal data --------------------------------------------------------------------------------------------------
+
+PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_pii(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(out))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1025.@+- ()%_É:/İ\n", max_size=60))
+def test_pii_equals_the_patterns(text):
+    assert pii.listed([x for x in pii.Finder().spans(text) if x[2] in pii.BASE_KINDS]) == plain_pii(text)
+
+
+def test_pii(spark):
+    texts = [*ODD, "write a.b+c@x-y.example.org, or 10.0.0.256 10.0.0.255.7; card 4111 1111 1111 1111", "+1 (555) 010-9999 and +49", "see https://a.example/x?y=1. IBAN: DE89 3704 0044 0532 0130 00", "İ 1.2.3.4 +123456789"]
+    out = {r.doc_id: r for r in pii.find_pii(frame(spark, list(enumerate(texts)))).collect()}
+    for k, t in enumerate(texts):
+        want = plain_pii(t or "")
+        assert out[k].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert out[k].n_email == want.count("email") and out[k].n_ip == want.count("ip") and out[k].n_card == want.count("card") and out[k].n_phone == want.count("phone")
+    assert "url:4:" in out[len(ODD) + 2].spans and "account:" in out[len(ODD) + 2].spans
+    assert pii.redact(texts[-1], out[len(texts) - 1].spans) == "İ [ip] [phone]"
+    assert pii.find_pii(frame(spark, [])).count() == 0
+
+
+# -- byte-level BPE -------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def coder():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(byte_bpe.VOCABULARY), "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    return byte_bpe.load()
+
+
+def test_perfect_hash_is_minimal(bpe):
+    assert sorted(bpe.hash.index) == list(range(len(bpe.tokens)))
+    assert all(bpe.rank(t) == i for i, t in enumerate(bpe.tokens)) and bpe.rank(b"not a token at all") is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=80))
+def test_bpe_equals_tiktoken(coder, bpe, text):
+    ids = [i for p in regex.findall(bpe.pattern, text) for i in bpe.piece_ids(p)]
+    assert ids == coder.encode_ordinary(text)
+
+
+def test_pattern_over_all_characters(bpe):
+    rust = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    assert rust
+    assert all(len(regex.findall(bpe.pattern, f"a{chr(c)}1")) in (1, 2, 3) for c in range(0x2100))
+
+
+def test_bpe_query(spark, coder):
+    rows = list(enumerate([*ODD, "Ciónue straße don't  \n\n  x", "réeuxment " * 50])) * 2
+    out = byte_bpe.encode_decode(frame(spark, rows)).collect()
+    assert len(out) == len(rows)
+    texts = dict(rows)
+    for r in out:
+        ids = coder.encode_ordinary(texts[r.doc_id] or "")
+        assert r.ids == ids and r.n_tokens == len(ids) and r.decoded == (texts[r.doc_id] or "")
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+    assert byte_bpe.encode_decode(frame(spark, [])).count() == 0
+
+
+# -- decontamination ------------------------------------------------------------------------------------------------
+
+
+def plain_contamination(text, items, window=10):
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    own, hit, found = words(text), set(), set()
+    for item_id, t in items:
+        w = words(t)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            part = w[i : i + window]
+            for at in range(len(own) - len(part) + 1):
+                if own[at : at + len(part)] == part:
+                    hit.update(range(at, at + len(part)))
+                    found.add(item_id)
+    return len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)
+
+
+ITEMS = [(1, "One two, three four FIVE six seven eight nine ten eleven twelve"), (2, "Straße É x"), (3, None), (4, "?!"), (10, "two three four five six seven eight nine ten eleven"), (1, "y1 x y1")]
+TEXTS = [*ODD, "zero one two three four five six seven eight nine ten eleven; then", "the straße É x! straße É x", "one two three", "TWO three four five six seven eight nine ten eleven twelve"]
+
+
+@pytest.mark.parametrize("block", [1, 1 << 20])
+def test_decontamination(spark, block):
+    texts = [t if t is not LONG else "x y1 " * 300 for t in TEXTS]
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    out = {r.doc_id: r for r in decontaminate.find_contamination(frame(spark, list(enumerate(texts))), items, max_block_bytes=block).collect()}
+    for k, t in enumerate(texts):
+        assert tuple(out[k])[1:6] == plain_contamination(t, ITEMS), t
+    a, b = map(int, out[len(ODD)].spans.split(":"))
+    assert texts[len(ODD)][a:b] == "one two three four five six seven eight nine ten eleven"
+    assert decontaminate.find_contamination(frame(spark, [(1, "x")]), spark.createDataFrame([], "item_id long, text string")).first().n_hit == 0
+
+
+def test_ids_are_text_for_folds():
+    assert zlib.crc32(b"12") % 4 in range(4)
