@@ -1,8 +1,60 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline over the documents table: toxic documents go, repeated lines go, one document of each group of near copies
+stays, documents with benchmark passages go, and what is left is encoded.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir); docs is what the stage before has kept, written as Parquet and read again. The model of
+the first stage is learned from the labels table and docs; every other decision covers all of docs.
+
+Null and empty texts pass every filter. Rows without doc_id pass too. An empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from netframe.llm import byte_bpe, decontaminate, jaccard, line_dedup, toxicity
+from netframe.llm.common import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity scores reject go."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three or more documents hold stay only in the last of them."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays."""
+    return jaccard.one_of_each_group(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, with hashes of them and of the text decoded from them."""
+    return byte_bpe.encode_decode(docs).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard", keep_one_of_near_copies),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", encode),
+]
+
+#: SQL can't express the first and the last stage; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

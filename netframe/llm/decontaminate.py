@@ -71,34 +71,62 @@ def _blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, by
         yield block
 
 
+class Scanner:
+    """Scans one text after another with the automata of all blocks."""
+
+    def __init__(self, automata: list[ahocorasick.Automaton]):
+        self.automata = automata
+
+    def scan(self, raw: bytes) -> tuple[int, set[int], set[str]]:
+        """Number of words, the numbers of the hit ones, and the items found."""
+        words = words_of(raw)
+        hits, items, hit = [], set(), set()
+        if words and self.automata:
+            normal = f" {b' '.join(words).decode('utf-8', 'replace')} "
+            for made in self.automata:
+                for end, (n, ids) in made.iter(normal):
+                    hits.append((end, n))
+                    items.update(ids)
+        if hits:
+            hits.sort()
+            last = at = 0
+            for end, n in hits:
+                at += normal.count(" ", last, end)
+                last = end
+                hit.update(range(at - n, at))
+        items.discard(None)
+        return len(words), hit, items
+
+
+def _automata(docs: DataFrame, benchmark: DataFrame, window: int, max_block_bytes: int) -> list:
+    """A broadcast automaton for each block of the benchmark."""
+    sc = docs.sparkSession.sparkContext
+    return [sc.broadcast(made) for block in _blocks(benchmark, max_block_bytes) if (made := automaton(block, window)) is not None]
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all columns, in which no window occurs."""
+    shared = _automata(docs, benchmark, window, max_block_bytes)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner([x.value for x in shared])
+        for batch in batches:
+            yield batch.filter(pa.array([not scanner.scan(raw)[1] for raw in raw_texts(batch)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES, with_spans: bool = True) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and with_spans: spans) for each row of docs. spans: start:end of each run of hit words, in code points of the original text."""
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(made) for block in _blocks(benchmark, max_block_bytes) if (made := automaton(block, window)) is not None]
+    shared = _automata(docs, benchmark, window, max_block_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [x.value for x in shared]
+        scanner = Scanner([x.value for x in shared])
         for batch in batches:
             n_words, n_hit, n_items, sums, spans = [], [], [], [], []
             for raw in raw_texts(batch):
-                words = words_of(raw)
-                hits, items = [], set()
-                if words and automata:
-                    normal = f" {b' '.join(words).decode('utf-8', 'replace')} "
-                    for made in automata:
-                        for end, (n, ids) in made.iter(normal):
-                            hits.append((end, n))
-                            items.update(ids)
-                hit: set[int] = set()
-                if hits:
-                    hits.sort()
-                    last, at = 0, 0
-                    for end, n in hits:
-                        at += normal.count(" ", last, end)
-                        last = end
-                        hit.update(range(at - n, at))
-                items.discard(None)
-                n_words.append(len(words))
+                n, hit, items = scanner.scan(raw)
+                n_words.append(n)
                 n_hit.append(len(hit))
                 n_items.append(len(items))
                 sums.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())

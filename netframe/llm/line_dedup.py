@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -232,10 +233,8 @@ def _probed(refs_source: DataFrame, bank: FilterBank, min_chars: int) -> DataFra
     return text_frame(refs_source).mapInArrow(probe, "doc_id long, hi long, lo long")
 
 
-def dedup_lines(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_shards: int = N_SHARDS, max_filter_bytes: int = MAX_FILTER_BYTES, with_text: bool = True, index: LineIndex | None = None
-) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_sha256, and kept_text if with_text) for each row of docs. With an index, its keys decide instead of those of docs."""
+def _drops(docs: DataFrame, min_chars: int, min_docs: int, n_shards: int, max_filter_bytes: int, index: LineIndex | None) -> DataFrame:
+    """(drop_id, hi, lo): the keys whose lines a document loses, in two arrays."""
     if index is None:
         heavy = materialize(reference_counts(line_references(docs, min_chars)).where(F.col("n_docs") >= min_docs), "line-counts")
         filters = materialize(cuckoo_filters(heavy, n_shards), "line-filters")
@@ -245,7 +244,23 @@ def dedup_lines(
     maybe = _probed(docs, bank, min_chars) if bank is not None else line_references(docs, min_chars).select("doc_id", "hi", "lo")
     held = maybe.join(heavy.select("hi", "lo", "keeper"), ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     # a document's own lines at most
-    drops = held.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct("hi", "lo")).alias("keys")).select("drop_id", F.col("keys.hi").alias("hi"), F.col("keys.lo").alias("lo"))
+    return held.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct("hi", "lo")).alias("keys")).select("drop_id", F.col("keys.hi").alias("hi"), F.col("keys.lo").alias("lo"))
+
+
+def _kept_lines(raw: bytes, hi: list[int] | None, lo: list[int] | None, min_chars: int) -> tuple[list[bytes], list[bytes]]:
+    """All lines of a text, and those that stay."""
+    lines = raw.split(b"\n")
+    if not hi:
+        return lines, lines
+    drop = {bytes(x) for x in np.column_stack([np.array(hi, "<i8"), np.array(lo, "<i8")])}
+    return lines, [x for x in lines if len(x) < min_chars or line_key(x, min_chars) not in drop]
+
+
+def dedup_lines(
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_shards: int = N_SHARDS, max_filter_bytes: int = MAX_FILTER_BYTES, with_text: bool = True, index: LineIndex | None = None
+) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_sha256, and kept_text if with_text) for each row of docs. With an index, its keys decide instead of those of docs."""
+    drops = _drops(docs, min_chars, min_docs, n_shards, max_filter_bytes, index)
     own = text_frame(docs)
     joined = own.join(drops, own.doc_id.eqNullSafe(drops.drop_id), "left").select("doc_id", "text", "hi", "lo")
 
@@ -253,12 +268,8 @@ def dedup_lines(
         for batch in batches:
             n_lines, n_dropped, sums, kept_texts = [], [], [], []
             for raw, hi, lo in zip(raw_texts(batch), batch.column("hi").to_pylist(), batch.column("lo").to_pylist(), strict=True):
-                lines = raw.split(b"\n")
-                kept = lines
-                if hi:
-                    drop = {bytes(x) for x in np.column_stack([np.array(hi, "<i8"), np.array(lo, "<i8")])}
-                    kept = [x for x in lines if len(x) < min_chars or line_key(x, min_chars) not in drop]
-                text = raw if kept is lines else b"\n".join(kept)
+                lines, kept = _kept_lines(raw, hi, lo, min_chars)
+                text = b"\n".join(kept)
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
                 sums.append(hashlib.sha256(text).hexdigest())
@@ -273,6 +284,26 @@ def dedup_lines(
     return joined.mapInArrow(rewrite, "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_shards: int = N_SHARDS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """docs with all its columns; text holds only the lines that stay, and n_chars, where there is one, their length."""
+    drops = _drops(docs, min_chars, min_docs, n_shards, max_filter_bytes, None)
+    keys = drops.select(F.struct(*drops.columns).alias("dropped_keys"))
+    joined = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("dropped_keys.drop_id")), "left")
+    columns, schema = docs.columns, docs.schema
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for raw, keys in zip(raw_texts(batch), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                texts.append(b"\n".join(_kept_lines(raw, keys["hi"], keys["lo"], min_chars)[1]) if keys else raw)
+            made = pa.array(texts, pa.binary()).cast(pa.string())
+            made = pa.compute.if_else(pa.compute.and_(pa.compute.is_null(batch.column("text")), pa.compute.equal(made, "")), None, made)
+            own = {"text": made, "n_chars": pa.compute.utf8_length(made)}
+            yield pa.RecordBatch.from_arrays([own[c].cast(batch.column(k).type) if c in own else batch.column(k) for k, c in enumerate(columns)], columns)
+
+    return joined.mapInArrow(rewrite, schema)
+
+
 class LineIndex:
     """The state on disk: references, exact counts and filters. Each change writes a new generation beside the old one, and the generation number moves on only after it is whole, so a job that fails leaves the index as it was."""
 

@@ -6,14 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netframe.llm import byte_bpe, decontaminate, line_dedup, pii
+from netframe.llm import byte_bpe, decontaminate, jaccard, line_dedup, pii, quality, sstable, toxicity, webp, wordpiece
 from netframe.llm.common import documents
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(documents(spark, sf_dir), with_text=False)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op3_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.tokenize_to_shards(documents(spark, sf_dir))
+
+
+def op4_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_columns(documents(spark, sf_dir), with_media=False)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(documents(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
@@ -22,10 +46,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(documents(spark, sf_dir), with_ids=False)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.find_contamination(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op7_pii, op8_byte_bpe, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_line_dedup, op2_quality, op3_sstable, op4_lossless_webp, op5_token_counts, op6_toxicity, op7_pii, op8_byte_bpe, op9_ngram_jaccard, op10_decontamination)
+}
 
 ORACLES: dict[str, str] = {}
