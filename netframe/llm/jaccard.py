@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -147,10 +148,10 @@ def _sum_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blocks, grams, of = [], [], []
     for batch in batches:
         kinds = batch.column("kind")
-        docs = batch.filter(pa.compute.equal(kinds, 1))
+        docs = batch.filter(pc.equal(kinds, 1))
         if docs.num_rows:
             yield docs.select(["block", "kind", "a", "b"])
-        for block, a, b in zip(*(batch.filter(pa.compute.equal(kinds, 0)).column(c).to_pylist() for c in ("block", "a", "b")), strict=True):
+        for block, a, b in zip(*(batch.filter(pc.equal(kinds, 0)).column(c).to_pylist() for c in ("block", "a", "b")), strict=True):
             blocks.append(block)
             grams.append(np.frombuffer(a, np.uint64))
             of.append(np.frombuffer(b, np.uint32))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -297,8 +297,8 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs
             for raw, keys in zip(raw_texts(batch), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 texts.append(b"\n".join(_kept_lines(raw, keys["hi"], keys["lo"], min_chars)[1]) if keys else raw)
             made = pa.array(texts, pa.binary()).cast(pa.string())
-            made = pa.compute.if_else(pa.compute.and_(pa.compute.is_null(batch.column("text")), pa.compute.equal(made, "")), None, made)
-            own = {"text": made, "n_chars": pa.compute.utf8_length(made)}
+            made = pc.if_else(pc.and_(pc.is_null(batch.column("text")), pc.equal(made, "")), None, made)
+            own = {"text": made, "n_chars": pc.utf8_length(made)}
             yield pa.RecordBatch.from_arrays([own[c].cast(batch.column(k).type) if c in own else batch.column(k) for k, c in enumerate(columns)], columns)
 
     return joined.mapInArrow(rewrite, schema)
