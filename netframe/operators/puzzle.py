@@ -1,0 +1,33 @@
+"""Searches by frontier: placing two stars in every row, column and region of a board, no two touching."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def star_rows(n: int, stars: int) -> list[int]:
+    """Bit masks of the ways to fill one row without neighbours."""
+    return [sum(1 << c for c in own) for own in combinations(range(n), stars) if all(b - a > 1 for a, b in zip(own, own[1:], strict=False))]
+
+
+def star_boards(spark: SparkSession, regions: list[list[int]], stars: int) -> DataFrame:
+    """(r0, r1, ...): a mask for each row of every solution. Rows are added one by one; a board that breaks a rule is gone before the next. regions: the region number of each cell; the board bounds the search."""
+    n = len(regions)
+    option = F.broadcast(spark.createDataFrame([(m,) for m in star_rows(n, stars)], "mask int"))
+    board = None
+    for r in range(n):
+        new = option.select(F.col("mask").alias(f"r{r}"))
+        board = new if board is None else board.crossJoin(new).where((F.col(f"r{r}").bitwiseAND(F.col(f"r{r - 1}")) == 0) & (F.col(f"r{r}").bitwiseAND(F.shiftleft(F.col(f"r{r - 1}"), 1)) == 0) & (F.shiftleft(F.col(f"r{r}"), 1).bitwiseAND(F.col(f"r{r - 1}")) == 0))
+        count = lambda cells: sum((F.shiftright(F.col(f"r{y}"), x).bitwiseAND(1) for y, x in cells), F.lit(0))
+        rest = n - r - 1
+        for c in range(n):
+            held = count([(y, c) for y in range(r + 1)])
+            board = board.where(held.between(stars - rest, stars))
+        for region in {k for row in regions for k in row}:
+            own = [(y, x) for y in range(n) for x in range(n) if regions[y][x] == region]
+            held = count([c for c in own if c[0] <= r])
+            board = board.where((held <= stars) & (held + len([c for c in own if c[0] > r]) >= stars))
+    return board

@@ -1,0 +1,136 @@
+"""Netlists as column expressions over stimuli: rows are runs, columns are nets, NULL is the unknown value.
+
+A netlist is metadata: the driver sorts its gates into levels and writes each gate as one SQL expression over the columns of
+the levels below. A level is one projection, so a run of any number of stimuli is a narrow, shuffle-free plan. settle_columns
+ends in a written table, because a filter above the levels would otherwise be pushed down through all of them.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from netframe.functions.cells import FLIP_FLOPS, expression, functions
+from netframe.operators.components import written
+
+_BASES = {f[1] for f in functions()}
+_FLOPS = {f[0]: f for f in FLIP_FLOPS}
+
+
+@dataclass
+class Gate:
+    """An instance: its base cell and the net on each pin."""
+
+    name: str
+    base: str
+    pins: dict[str, str]
+
+
+@dataclass
+class Circuit:
+    """Gates in levels and flip-flops, with what is odd about them."""
+
+    levels: list[list[Gate]] = field(default_factory=list)
+    flops: list[Gate] = field(default_factory=list)
+    loops: list[str] = field(default_factory=list)
+    unknown: list[str] = field(default_factory=list)
+    several_drivers: list[str] = field(default_factory=list)
+    free: list[str] = field(default_factory=list)
+
+
+def outputs(gate: Gate) -> list[tuple[str, str]]:
+    """(pin, net) that the gate drives."""
+    own = [f[3] for f in functions() if f[1] == gate.base] or ["Q", "Q_N"]
+    return [(p, gate.pins[p]) for p in own if gate.pins.get(p)]
+
+
+def levelise(gates: list[Gate]) -> Circuit:
+    """Gates by level; those on a loop follow at the end in their order, and are evaluated once."""
+    made = Circuit()
+    comb = [g for g in gates if g.base in _BASES]
+    made.flops = [g for g in gates if g.base in _FLOPS]
+    made.unknown = [g.name for g in gates if g.base not in _BASES and g.base not in _FLOPS]
+    driver: dict[str, Gate] = {}
+    for g in comb + made.flops:
+        for _, net in outputs(g):
+            if net in driver:
+                made.several_drivers.append(net)
+            driver[net] = g
+    inputs = {id(g): [n for p, n in g.pins.items() if p not in dict(outputs(g)) and n] for g in gates}
+    made.free = sorted({n for g in comb + made.flops for n in inputs[id(g)]} - driver.keys())
+    done, left = set(driver.keys() & {n for g in made.flops for _, n in outputs(g)}), comb
+    while left:
+        ready = [g for g in left if all(n in done or n not in driver for n in inputs[id(g)])]
+        if not ready:
+            made.loops = [g.name for g in left]
+            made.levels += [[g] for g in left]
+            break
+        made.levels.append(ready)
+        done |= {n for g in ready for _, n in outputs(g)}
+        left = [g for g in left if g not in ready]
+    return made
+
+
+def _quoted(net: str) -> str:
+    return "`" + net.replace("`", "``") + "`"
+
+
+def evaluate(df: DataFrame, circuit: Circuit) -> DataFrame:
+    """df with every gate's output nets; a net that no column holds is unknown."""
+    for level in circuit.levels:
+        known = set(df.columns)
+        df = df.withColumns({net: F.expr(expression(g.base, {p: _quoted(n) for p, n in g.pins.items() if n in known}, p_out)) for g in level for p_out, net in outputs(g)})
+    return df
+
+
+def _state(gate: Gate) -> str:
+    return f"state:{gate.name}"
+
+
+def drive_states(df: DataFrame, circuit: Circuit) -> DataFrame:
+    """Reset, then set (set wins), then Q and Q_N from the states."""
+    columns = {}
+    for g in circuit.flops:
+        _, _, reset, preset, _ = _FLOPS[g.base]
+        held = F.col(_state(g)) if _state(g) in df.columns else F.lit(None).cast("boolean")
+        low = lambda pin: F.coalesce(~F.col(_quoted(g.pins[pin])), F.lit(False)) if pin and g.pins.get(pin) in df.columns else F.lit(False)  # noqa: B023, E731
+        held = F.when(low(preset), True).when(low(reset), False).otherwise(held)
+        columns[_state(g)] = held
+        columns |= {g.pins[p]: held if p == "Q" else ~held for p in ("Q", "Q_N") if g.pins.get(p)}
+    return df.withColumns(columns) if columns else df
+
+
+def settle(df: DataFrame, circuit: Circuit) -> DataFrame:
+    """Gates and asynchronous pins, twice, so that a reset behind gates takes effect."""
+    for _ in range(2):
+        df = evaluate(drive_states(df, circuit), circuit)
+    return df
+
+
+def clock_edge(df: DataFrame, circuit: Circuit, clock: str, table: str = "clock-edge") -> DataFrame:
+    """One rising edge: settle with the clock low, sample D and every flop's own clock, settle with it high, and update the flops whose clock rose (or fell, for those of the falling edge). An unknown clock never triggers. The result is written."""
+    low = settle(df.withColumn(clock, F.lit(False)), circuit)
+    col = lambda n: F.col(_quoted(n)) if n in low.columns else F.lit(None).cast("boolean")
+    sampled = low.withColumns({f"d:{g.name}": col(g.pins.get("D", "")) for g in circuit.flops} | {f"c:{g.name}": col(g.pins.get("CLK", "")) for g in circuit.flops})
+    high = settle(written(sampled, table).withColumn(clock, F.lit(True)), circuit)
+    step = {}
+    for g in circuit.flops:
+        was, now = F.col(f"`c:{g.name}`"), F.col(_quoted(g.pins["CLK"])) if g.pins.get("CLK") in high.columns else F.lit(None).cast("boolean")
+        rose = (~was & now) if _FLOPS[g.base][1] else (was & ~now)
+        step[_state(g)] = F.when(F.coalesce(rose, F.lit(False)), F.col(f"`d:{g.name}`")).otherwise(F.col(f"`{_state(g)}`"))
+    done = high.withColumns(step) if step else high
+    return written(settle(done, circuit).drop(*(f"{k}:{g.name}" for g in circuit.flops for k in "dc")), table)
+
+
+def shift_in(df: DataFrame, circuit: Circuit, clock: str, serial: dict[str, str], bits: int) -> DataFrame:
+    """One clock for each bit, highest first. serial: input net to the column with the word."""
+    for i in range(bits):
+        df = clock_edge(df.withColumns({net: F.get(F.array(F.lit(False), F.lit(True)), F.shiftright(F.col(word), bits - 1 - i).bitwiseAND(1).cast("int")) for net, word in serial.items()}), circuit, clock)
+    return df
+
+
+def sweep(df: DataFrame, circuit: Circuit, target: str, table: str = "sweep") -> DataFrame:
+    """The stimuli for which target is true."""
+    return written(settle(df, circuit), table).where(F.col(_quoted(target)))
