@@ -50,9 +50,12 @@ def decompose(polygons: DataFrame) -> DataFrame:
 
     Rectangles are kept as they are; rings of fewer than three vertices have none; a ring with a diagonal edge is its bounding
     box, marked so; other rings are cut at every height and joined again where the cut changes nothing."""
-    flagged = ring_flags(polygons.select("poly_id", "ring")).where(F.size("ring") >= 3)
+    # a column that comes out of explode is made once for a row, where a plain one would be made again at each use in a lambda
+    opened = polygons.select("poly_id", F.explode(F.array(open_ring(F.col("ring")))).alias("ring")).where(F.size("ring") >= 3)
+    flagged = opened.withColumn("is_manhattan", is_manhattan(F.col("ring"))).withColumn("is_rectangle", is_rectangle(F.col("ring")))
     whole = flagged.where(F.col("is_rectangle") | ~F.col("is_manhattan")).select("poly_id", *ring_box("ring"), (~F.col("is_manhattan")).alias("diagonal"))
-    slabs = flagged.where(F.col("is_manhattan") & ~F.col("is_rectangle")).select("poly_id", F.explode(_merged(_slabs(F.col("ring")))).alias("slab"))
+    slabs = flagged.where(F.col("is_manhattan") & ~F.col("is_rectangle")).select("poly_id", F.explode(F.array(_slabs(F.col("ring")))).alias("slabs"))
+    slabs = slabs.select("poly_id", F.explode(_merged(F.col("slabs"))).alias("slab"))
     cut = slabs.select("poly_id", "slab.ylo", "slab.yhi", F.explode("slab.spans").alias("span")).select("poly_id", F.col("span.lo").alias("xlo"), "ylo", F.col("span.hi").alias("xhi"), "yhi", F.lit(False).alias("diagonal"))
     return whole.unionByName(cut)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netframe.operators.components import written
+from netframe.operators.netlist import numbered
 
 
 def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -14,17 +15,17 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFr
     A round places the nodes whose feeders are all placed; a join and a group for each level of the circuit."""
     edges = written(edges.select("a", "b").distinct(), "edges")
     waiting = edges.groupBy("b").agg(F.count("*").alias("open"))
-    placed = written(nodes.join(waiting, nodes.node == waiting.b, "left_anti").select("node", F.lit(0).alias("level")), "levels")
-    waiting, done, at = written(waiting.select(F.col("b").alias("node"), "open"), "waiting"), [placed], 0
-    while at < max_rounds:
-        at += 1
-        fed = edges.join(placed, edges.a == placed.node, "left_semi").groupBy(F.col("b").alias("node")).agg(F.count("*").alias("fed"))
-        waiting = written(waiting.join(fed, "node", "left").select("node", (F.col("open") - F.coalesce("fed", F.lit(0))).alias("open")), "waiting")
-        placed = written(waiting.where("open = 0").select("node", F.lit(at).alias("level")), "levels")
+    state = written(nodes.join(waiting, nodes.node == waiting.b, "left").select("node", F.coalesce("open", F.lit(0).cast("long")).alias("open")), "levels")
+    done = []
+    for at in range(max_rounds):
+        placed = state.where("open = 0")
         if placed.isEmpty():
             break
-        done.append(placed)
-        waiting = waiting.where("open > 0")
+        done.append(placed.select("node", F.lit(at).alias("level")))
+        fed = edges.join(placed, edges.a == placed.node, "left_semi").groupBy(F.col("b").alias("node")).agg(F.count("*").alias("fed"))
+        state = written(state.where("open > 0").join(fed, "node", "left").select("node", (F.col("open") - F.coalesce("fed", F.lit(0))).alias("open")), "levels")
+    if not done:
+        return nodes.select("node", F.lit(None).cast("int").alias("level"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
@@ -44,8 +45,6 @@ def support(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataF
 
 def ranked(keys: DataFrame) -> DataFrame:
     """keys (key) with dense numbers (colour) from 0 in their order. Only distinct keys are ranked."""
-    from netframe.operators.netlist import numbered
-
     return numbered(keys.select("key").distinct(), ["key"], "colour")
 
 
