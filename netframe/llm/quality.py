@@ -4,7 +4,8 @@ smaller a text gets with the one than with the other, for each of its bytes, bec
 Texts are compressed whole, in blocks, so that the dictionaries count for as much at the end of a long text as at its start.
 
 Fitting takes a bounded sample: per_class labelled documents of each class, the first in the order of a hash of their id,
-none over max_chars. Half of them build the dictionaries, the other half calibrate. Everything else covers all rows.
+none over max_chars. Each half calibrates with dictionaries built from the other half; all of them then build the final ones.
+Everything else covers all rows.
 
 Defined cases: null text is the empty text; its difference is 0, so it has the score that calibration gives 0. A null
 doc_id is not held out. Documents labelled twice with different values, or with null, are not learned from. With labels of
@@ -113,22 +114,27 @@ class QualityModel:
         return sigmoid(self.intercept + self.slope * difference / self.scale)
 
 
+def _model(texts: list[list[bytes]], dictionary_bytes: int) -> QualityModel:
+    """An uncalibrated model of bad and good texts."""
+    held = [_dictionary(own, dictionary_bytes, BLOCK_BYTES) for own in texts]
+    return QualityModel(held[0].as_bytes(), held[1].as_bytes(), tuple(d.dict_id() == 0 for d in held), 1.0, 0.0, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, dictionary_bytes: int = DICTIONARY_BYTES) -> QualityModel | None:
     """None if there aren't two classes to tell apart."""
     sample, counts = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, {0: per_class, 1: per_class}, max_chars)
     by = {label: [t.encode() for _, k, t in sample if k == label] for label in (0, 1)}
     if min(map(len, by.values())) < 2:
         return None
-    held = [_dictionary(by[label][::2], dictionary_bytes, BLOCK_BYTES) for label in (0, 1)]
-    model = QualityModel(held[0].as_bytes(), held[1].as_bytes(), tuple(x.dict_id() == 0 for x in held), 1.0, 0.0, 0.0)
-    compressors = model.compressors()
     x, y, w = [], [], []
-    for label in (0, 1):
-        rest = by[label][1::2]
-        for raw in rest:
-            x.append(model.difference(raw, compressors))
-            y.append(label)
-            w.append(counts[label] / len(rest))  # as often as the label is
+    for half in (0, 1):
+        compressors = _model([by[label][half::2] for label in (0, 1)], dictionary_bytes).compressors()
+        for label in (0, 1):
+            for raw in by[label][1 - half :: 2]:
+                x.append(QualityModel.difference(raw, compressors))
+                y.append(label)
+                w.append(counts[label] / len(by[label]))  # as often as the label is
+    model = _model([by[0], by[1]], dictionary_bytes)
     model.scale = max(1e-9, (sum(v * v for v in x) / len(x)) ** 0.5)
     total = sum(w) / len(w)
     model.intercept, model.slope = logistic([v / model.scale for v in x], y, [v / total for v in w])

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from netframe.llm import quality, sstable, toxicity, webp, wordpiece
 from netframe.llm.common import shared_path
 
-DATA = "/root/testdata/sf0.01"
+DATA = "/root/testdata/sf0.1"
 ODD = [None, "", " ", "\n", "a\x00b", "É é x", "İstanbul ΣΑΣ ǅ don't 12", "👩‍👩‍👧 a@b.co", "x y1 " * 30_000]
 
 
@@ -37,7 +37,7 @@ def test_quality_accuracy(spark):
     out = quality.score_quality(docs, labels).join(labels, "doc_id", "left").collect()
     assert len(out) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
-    assert held_out_accuracy(out, "quality") > 0.93
+    assert held_out_accuracy(out, "quality") > 0.96
 
 
 def test_models_on_odd_tables(spark):
@@ -57,7 +57,7 @@ def test_toxicity_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.score_toxicity(docs, labels).join(labels, "doc_id", "left").collect()
     assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
-    assert held_out_accuracy(out, "toxic") > 0.9
+    assert held_out_accuracy(out, "toxic") > 0.96
     flagged = [r for r in out if r.predicted]
     assert flagged and all(r.evidence for r in flagged)
     kept = toxicity.without_toxic(docs, labels)
@@ -98,7 +98,7 @@ def test_each_fast_character(plain_tokenizer, word_tokenizer):
     fast = [chr(c) for c in range(0x250) if not sstable._OTHER.search(chr(c))] + [chr(c) for c in (*range(0x2010, 0x2028), 0x20AC)]
     texts = [x for c in fast for x in (f"a{c}b1{c}", f"{c} {c}{c}'s", f"é{c.upper()}{c}'LL")]
     texts = [t for t in texts if not sstable._OTHER.search(t)]
-    assert len(texts) > 1500
+    assert len(texts) > 1000
     for t, own in zip(texts, word_tokenizer.encode_batch(texts), strict=True):
         assert own.tolist() == plain_tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
