@@ -46,6 +46,13 @@ def outputs(gate: Gate) -> list[tuple[str, str]]:
     return [(p, gate.pins[p]) for p in own if gate.pins.get(p)]
 
 
+def _inputs(base: str) -> set[str]:
+    """The pins that a cell reads."""
+    if base in _FLOPS:
+        return {"CLK", "D", *(p for p in _FLOPS[base][2:4] if p)}
+    return {p for f in functions() if f[1] == base for p in f[2]}
+
+
 def levelise(gates: list[Gate]) -> Circuit:
     """Gates by level; those on a loop follow at the end in their order, and are evaluated once."""
     made = Circuit()
@@ -58,7 +65,7 @@ def levelise(gates: list[Gate]) -> Circuit:
             if net in driver:
                 made.several_drivers.append(net)
             driver[net] = g
-    inputs = {id(g): [n for p, n in g.pins.items() if p not in dict(outputs(g)) and n] for g in gates}
+    inputs = {id(g): [n for p, n in g.pins.items() if p in _inputs(g.base) and n] for g in gates}
     made.free = sorted({n for g in comb + made.flops for n in inputs[id(g)]} - driver.keys())
     done, left = set(driver.keys() & {n for g in made.flops for _, n in outputs(g)}), comb
     while left:
