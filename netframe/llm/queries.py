@@ -51,11 +51,42 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_contamination(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_contamination(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), with_spans=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_quality, op3_sstable, op4_lossless_webp, op5_token_counts, op6_toxicity, op7_pii, op8_byte_bpe, op9_ngram_jaccard, op10_decontamination)
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(COALESCE({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = "ways AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links), reach AS (SELECT u, u AS v FROM ways UNION SELECT r.u, w.v FROM reach r JOIN ways w ON r.v = w.u)"
+_TEST_WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(COALESCE(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
+        k AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+        heavy AS (SELECT key, MAX(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING COUNT(DISTINCT doc_id) >= 3),
+        m AS (SELECT r, doc_id, i, line, keeper IS NOT NULL AND keeper IS DISTINCT FROM doc_id AS gone FROM k LEFT JOIN heavy USING (key))
+        SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (gone) AS n_dropped, sha256(COALESCE(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY r, doc_id""",
+    "op9_ngram_jaccard": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("text")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM d),
+        n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+        both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), {_REACH},
+        part AS (SELECT u AS doc_id, MIN(v) AS part FROM reach GROUP BY u)
+        SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, COALESCE(part, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN part USING (doc_id)""",
+    "op10_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_TEST_WORDS} AS w FROM documents), b AS (SELECT item_id, {_TEST_WORDS} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, LEAST(len(w), 10) AS n, unnest(list_transform(range(1, GREATEST(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + LEAST(len(w), 10) - 1], ' '))) AS t FROM b WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT n FROM win),
+        own AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS t, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+        hit AS (SELECT doc_id, item_id, i, own.n FROM own JOIN win ON own.n = win.n AND own.t = win.t),
+        h AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+        t AS (SELECT doc_id, COUNT(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
