@@ -21,7 +21,9 @@ other, in the order of the text's hash. An empty table makes no shard.
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -31,7 +33,6 @@ from typing import BinaryIO
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
@@ -191,8 +192,10 @@ class ShardReader:
 # -- tokens ---------------------------------------------------------------------------------------------------------
 
 #: Characters for which lower-casing and splitting here are those of the tokenizer (checked one by one in the tests); a text with any other goes to the tokenizer whole.
-_OTHER = regex.compile(r"[^\x00-įı-ɏ‐-‧€]")
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_OTHER = re.compile(r"[^\x00-\x1b -įı-ſ‐-‧€]")
+_LETTERS, _NUMBERS = ("".join(chr(c) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+#: Pieces whose ids a worker remembers in each of two generations: what occurs again moves to the younger one.
 MAX_REMEMBERED = 400_000
 
 
@@ -206,7 +209,19 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.remembered: dict[str, list[int]] = {}
+        self.remembered: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pieces as one text, apart, and remembers each one's ids."""
+        if len(self.remembered) + len(new) > MAX_REMEMBERED:
+            self.older, self.remembered = self.remembered, {}
+        again = [p for p in new if p in self.older]
+        self.remembered.update((p, self.older[p]) for p in again)
+        if new := [p for p in new if p not in self.remembered]:
+            made = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            cuts = np.flatnonzero(np.diff(np.array(made.word_ids, np.int64))) + 1
+            self.remembered.update(zip(new, (x.tobytes() for x in np.split(np.array(made.ids, np.uint32), cuts)), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if _OTHER.search(t)]
@@ -214,17 +229,15 @@ class WordTokenizer:
         if whole:
             for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
                 out[i] = np.array(e.ids, np.uint32)
-        known = self.remembered
-        for i, text in enumerate(texts):
-            if out[i] is None:
-                pieces = _PIECE.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
-                if new := list({p for p in pieces if p not in known}):
-                    if len(known) + len(new) > MAX_REMEMBERED:
-                        known.clear()
-                        new = list(set(pieces))
-                    for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        known[p] = np.array(e.ids, np.uint32).tobytes()
-                out[i] = np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
+        split = {i: _PIECE.findall((t if t.isascii() else unicodedata.normalize("NFC", t)).lower()) for i, t in enumerate(texts) if out[i] is None}
+        if new := {p for pieces in split.values() for p in pieces}.difference(self.remembered):
+            generation = self.remembered
+            self._learn(list(new))
+            if self.remembered is not generation:  # the young generation lacks what these texts share with the old one
+                self._learn([p for p in {p for pieces in split.values() for p in pieces} if p not in self.remembered])
+        look = self.remembered.__getitem__
+        for i, pieces in split.items():
+            out[i] = np.frombuffer(b"".join(map(look, pieces)), np.uint32)
         return out
 
 
@@ -240,7 +253,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if first is None:
             return
         coder = _workers.get(vocabulary) or _workers.setdefault(vocabulary, WordTokenizer(vocabulary))
-        shard, store = TaskContext.get().partitionId(), None
+        shard = TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
         name = f"{root}/shard-{shard:06d}.sst"
@@ -248,9 +261,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         with store.open_output_stream(own) as out:
             writer = ShardWriter(out, coder.width)
             end = np.array([end_id], np.uint32)
-            for batch in [first, *()]:
-                _add(writer, coder, batch, end)
-            for batch in batches:
+            for batch in itertools.chain([first], batches):
                 _add(writer, coder, batch, end)
             writer.close()
         store.move(own, name)
