@@ -1,5 +1,5 @@
 """Benchmark decontamination: one Aho-Corasick automaton over all windows of the normalised test texts scans each normalised
-document once; hits are mapped back to code points of the original.
+document once (a large benchmark is scanned for in passes); hits are mapped back to code points of the original.
 
 Words are runs of letters and digits (ASCII, A-Z lower-cased) and of all characters beyond ASCII. A window is window
 consecutive words of an item; a shorter item, unless it has no words, is one window.
@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netframe.llm.common import raw_texts, text_frame
+from netframe.llm.common import materialize, raw_texts, text_frame
 
 WINDOW = 10
-#: Benchmark text for one automaton; a larger benchmark is scanned for in blocks of this size.
-MAX_BLOCK_BYTES = 32 << 20
+#: Benchmark text for one automaton (its windows hold each word ten times). A larger benchmark is scanned for in passes, a block of this size in each.
+MAX_BLOCK_BYTES = 1 << 20
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Lower-cases A-Z and makes a space of all that isn't in a word, byte by byte.
@@ -71,74 +71,96 @@ def _blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, by
         yield block
 
 
-class Scanner:
-    """Scans one text after another with the automata of all blocks."""
-
-    def __init__(self, automata: list[ahocorasick.Automaton]):
-        self.automata = automata
-
-    def scan(self, raw: bytes) -> tuple[int, set[int], set[str]]:
-        """Number of words, the numbers of the hit ones, and the items found."""
-        words = words_of(raw)
-        hits, items, hit = [], set(), set()
-        if words and self.automata:
-            normal = f" {b' '.join(words).decode('utf-8', 'replace')} "
-            for made in self.automata:
-                for end, (n, ids) in made.iter(normal):
-                    hits.append((end, n))
-                    items.update(ids)
-        if hits:
-            hits.sort()
-            last = at = 0
-            for end, n in hits:
-                at += normal.count(" ", last, end)
-                last = end
-                hit.update(range(at - n, at))
-        items.discard(None)
-        return len(words), hit, items
-
-
-def _automata(docs: DataFrame, benchmark: DataFrame, window: int, max_block_bytes: int) -> list:
-    """A broadcast automaton for each block of the benchmark."""
-    sc = docs.sparkSession.sparkContext
-    return [sc.broadcast(made) for block in _blocks(benchmark, max_block_bytes) if (made := automaton(block, window)) is not None]
+def scan_text(raw: bytes, made: ahocorasick.Automaton | None) -> tuple[int, set[int], set[str]]:
+    """Number of words, the numbers of the hit ones, and the items found."""
+    words = words_of(raw)
+    hits, items, hit = [], set(), set()
+    if words and made is not None:
+        normal = f" {b' '.join(words).decode('utf-8', 'replace')} "
+        for end, (n, ids) in made.iter(normal):
+            hits.append((end, n))
+            items.update(ids)
+    if hits:
+        hits.sort()
+        last = at = 0
+        for end, n in hits:
+            at += normal.count(" ", last, end)
+            last = end
+            hit.update(range(at - n, at))
+    items.discard(None)
+    return len(words), hit, items
+
+
+def _automata(docs: DataFrame, benchmark: DataFrame, window: int, max_block_bytes: int) -> Iterator[tuple]:
+    """(broadcast automaton or None, whether it is the last), one block at a time."""
+    sc, held = docs.sparkSession.sparkContext, None
+    for block in _blocks(benchmark, max_block_bytes):
+        if (made := automaton(block, window)) is not None:
+            if held is not None:
+                yield held, False
+                held.unpersist()
+            held = sc.broadcast(made)
+    yield held, True
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """The rows of docs, with all columns, in which no window occurs."""
-    shared = _automata(docs, benchmark, window, max_block_bytes)
+    for shared, last in _automata(docs, benchmark, window, max_block_bytes):
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner([x.value for x in shared])
-        for batch in batches:
-            yield batch.filter(pa.array([not scanner.scan(raw)[1] for raw in raw_texts(batch)], pa.bool_()))
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            made = shared.value if shared is not None else None
+            for batch in batches:
+                yield batch.filter(pa.array([not scan_text(raw, made)[1] for raw in raw_texts(batch)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+        if not last:
+            docs = materialize(docs, "decontaminated")
+    return docs
 
-    return docs.mapInArrow(keep, docs.schema)
+
+FOUND_SCHEMA = "doc_id long, text string, hits array<int>, items array<string>"
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES, with_spans: bool = True) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and with_spans: spans) for each row of docs. spans: start:end of each run of hit words, in code points of the original text."""
-    shared = _automata(docs, benchmark, window, max_block_bytes)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner([x.value for x in shared])
-        for batch in batches:
-            n_words, n_hit, n_items, sums, spans = [], [], [], [], []
-            for raw in raw_texts(batch):
-                n, hit, items = scanner.scan(raw)
-                n_words.append(n)
-                n_hit.append(len(hit))
-                n_items.append(len(items))
-                sums.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
-                spans.append(_spans(raw, hit) if hit and with_spans else "")
-            out = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sums, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_())]
+    rows = text_frame(docs).withColumn("hits", F.expr("cast(array() as array<int>)")).withColumn("items", F.expr("cast(array() as array<string>)"))
+    for shared, last in _automata(docs, benchmark, window, max_block_bytes):
+        if last:
+            break
+        rows = materialize(rows.mapInArrow(_found(shared), FOUND_SCHEMA), "contamination")
+    scan = _found(shared)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scan(batches, counted=True):
+            hits, items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+            sums = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+            out = [batch.column("doc_id"), batch.column("n_words"), pa.array(map(len, hits), pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(sums, pa.string()), pa.array([bool(x) for x in hits], pa.bool_())]
             names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
             if with_spans:
-                out.append(pa.array(spans, pa.string()))
+                out.append(pa.array([_spans(raw, set(hit)) if hit else "" for raw, hit in zip(raw_texts(batch), hits, strict=True)], pa.string()))
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return text_frame(docs).mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", spans string" * with_spans)
+    return rows.mapInArrow(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", spans string" * with_spans)
+
+
+def _found(shared):
+    """Adds what one block's automaton finds to what is known of each row."""
+
+    def add(batches: Iterator[pa.RecordBatch], counted: bool = False) -> Iterator[pa.RecordBatch]:
+        made = shared.value if shared is not None else None
+        for batch in batches:
+            n_words, hits, items = [], [], []
+            for raw, old_hits, old_items in zip(raw_texts(batch), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                n, hit, own = scan_text(raw, made)
+                n_words.append(n)
+                hits.append(sorted(hit.union(old_hits)))
+                items.append(sorted(own.union(old_items)))
+            out = [batch.column("doc_id"), batch.column("text"), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            names = ["doc_id", "text", "hits", "items"]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(n_words, pa.int64())], [*names, "n_words"]) if counted else pa.RecordBatch.from_arrays(out, names)
+
+    return add
 
 
 def _spans(raw: bytes, hit: set[int]) -> str:

@@ -31,7 +31,7 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 N_SHARDS = 64
 #: Filters are broadcast up to this size; beyond it every reference goes to the exact join.
-MAX_FILTER_BYTES = 256 << 20
+MAX_FILTER_BYTES = 64 << 20
 
 REF_SCHEMA = "doc_id long, hi long, lo long, n_lines long"
 FILTER_SCHEMA = "shard int, n_keys long, cells binary"

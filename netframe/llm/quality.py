@@ -47,8 +47,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int,
     parts = [known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for label, n in per_class.items()]
     # at most the sum of per_class ids
     picked = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = text_frame(docs).where(F.length("text").between(1, max_chars)).join(picked, "doc_id").select("doc_id", "label", "text").collect()
-    return sorted({r.doc_id: (r.doc_id, r.label, r.text) for r in sorted(rows, key=lambda r: r.text)}.values()), counts
+    found = text_frame(docs).where(F.length("text").between(1, max_chars)).join(picked, "doc_id")
+    # an id's rows are one example, however many there are
+    rows = found.groupBy("doc_id", "label").agg(F.max("text").alias("text")).collect()
+    return sorted((r.doc_id, r.label, r.text) for r in rows), counts
 
 
 def logistic(x: list[float], y: list[int], weights: list[float], ridge: float = 1e-3) -> tuple[float, float]:
