@@ -31,3 +31,9 @@ def reference_histogram(refs: DataFrame) -> DataFrame:
 def labels_per_cell(labels: DataFrame) -> DataFrame:
     """(cell, n, names): distinct labels of a cell, in order."""
     return labels.groupBy("cell").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("value")), " ").alias("names"))
+
+
+def library_summary(library: DataFrame, cells: DataFrame, refs: DataFrame) -> DataFrame:
+    """(path, lib, user_unit, db_unit_m, n_cells, tops): one row for each library."""
+    tops = cells.join(refs, [cells.cell == refs.child, cells.path == refs.path], "left_anti").groupBy("path").agg(F.array_sort(F.collect_set("cell")).alias("tops"))
+    return library.join(cells.groupBy("path").agg(F.count("*").alias("n_cells")), "path", "left").join(tops, "path", "left")

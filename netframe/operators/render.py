@@ -48,3 +48,18 @@ def svg_elements(rects: DataFrame, box: DataFrame) -> DataFrame:
     """(level, rect_id, text) of rects with colour; y points down. box: one row of viewport."""
     view = F.broadcast(box.select(F.col("xlo").alias("v_x"), F.col("yhi").alias("v_y")))  # one row
     return rects.crossJoin(view).select("level", "rect_id", F.format_string('<rect x="%d" y="%d" width="%d" height="%d" fill="%s"/>', F.col("xlo") - F.col("v_x"), F.col("v_y") - F.col("yhi"), F.col("xhi") - F.col("xlo"), F.col("yhi") - F.col("ylo"), F.col("colour")).alias("text"))
+
+
+def to_svg(rects: DataFrame, by: str = "net", width_px: int = 1600, clip: tuple[int, int, int, int] | None = None, max_level: int = 5, highlight: int | None = None, dim_power: bool = False) -> DataFrame:
+    """(part, key, text): a picture's lines, to be written in that order. rects: rect_id, level, edges, net (and kind)."""
+    shown = rects.where(F.col("level") <= max_level)
+    if clip:
+        x0, y0, x1, y1 = clip
+        shown = shown.where((F.col("xlo") <= x1) & (F.col("xhi") >= x0) & (F.col("ylo") <= y1) & (F.col("yhi") >= y0))
+        box = rects.sparkSession.createDataFrame([clip], "xlo long, ylo long, xhi long, yhi long").withColumn("width_px", F.lit(width_px)).withColumn("height_px", F.ceil((F.col("yhi") - F.col("ylo")) * width_px / F.greatest(F.col("xhi") - F.col("xlo"), F.lit(1))))
+    else:
+        box = viewport(shown, width_px)
+    head = box.select(F.lit(0).alias("part"), F.lit("").alias("key"), F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%d" height="%d" viewBox="0 0 %d %d" style="background:%s">', "width_px", "height_px", F.col("xhi") - F.col("xlo"), F.col("yhi") - F.col("ylo"), F.lit(BACKGROUND)).alias("text"))
+    key = F.concat(F.lpad(F.col("level").cast("string"), 4, "0"), F.lpad(F.col("rect_id").cast("string"), 20, "0"))
+    body = svg_elements(colours(shown, by, highlight, dim_power), box).select(F.lit(1).alias("part"), key.alias("key"), "text")
+    return head.unionByName(body).unionByName(box.select(F.lit(2).alias("part"), F.lit("").alias("key"), F.lit("</svg>").alias("text")))

@@ -141,3 +141,14 @@ def shift_in(df: DataFrame, circuit: Circuit, clock: str, serial: dict[str, str]
 def sweep(df: DataFrame, circuit: Circuit, target: str, table: str = "sweep") -> DataFrame:
     """The stimuli for which target is true."""
     return written(settle(df, circuit), table).where(F.col(_quoted(target)))
+
+
+def trace(df: DataFrame, circuit: Circuit, clock: str, drives: dict[str, list[bool | None]], watch: list[str], cycles: int | None = None) -> DataFrame:
+    """df's columns with (cycle, signals): the watched nets after each clock. drives: a net's value for each cycle, the last one repeating; 16 cycles without drives."""
+    n = cycles or max([len(v) for v in drives.values()], default=16)
+    keep, out = df.columns, None
+    for cycle in range(n):
+        df = clock_edge(df.withColumns({net: F.lit(v[min(cycle, len(v) - 1)]).cast("boolean") for net, v in drives.items()}), circuit, clock)
+        seen = df.select(*keep, F.lit(cycle).alias("cycle"), F.create_map(*(x for net in watch for x in (F.lit(net), F.col(_quoted(net)) if net in df.columns else F.lit(None).cast("boolean")))).alias("signals"))
+        out = seen if out is None else out.unionByName(seen)
+    return out

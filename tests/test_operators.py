@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netframe.functions import cells, geometry, text
-from netframe.operators import components, decompose, graphs, hierarchy, netlist, scoring, simulate, spatial, waves
+from netframe.operators import compare, components, decompose, graphs, hierarchy, netlist, render, scoring, simulate, spatial, waves
 from netframe.plans.netlist_queries import _by_name, adder
 
 
@@ -180,3 +180,31 @@ def test_names(spark):
     assert [r[0] for r in reals] == [90.0, 0.0625, -1.0]
     ranked = netlist.numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(7), ["k"], "i")
     assert ranked.where("k <> i").count() == 0 and ranked.count() == 1000
+
+
+def side(spark, wires):
+    insts = spark.createDataFrame([(i, n, c) for i, (n, c, _) in enumerate(wires)], "inst_id long, name string, cell string")
+    pins = spark.createDataFrame([(i, p, n) for i, (_, _, pins) in enumerate(wires) for p, n in pins.items()], "inst_id long, pin string, net string")
+    return compare.Side(insts, pins)
+
+
+def test_compare_with_ties(spark):
+    """Two equal branches: only pairing them one by one tells them apart."""
+    left = [("a", "inv_1", {"A": "i", "Y": "x"}), ("b", "inv_1", {"A": "i", "Y": "y"}), ("c", "nand2_1", {"A": "x", "B": "y", "Y": "o"}), ("d", "inv_1", {"A": "o", "Y": "z1"}), ("e", "inv_1", {"A": "o", "Y": "z2"}), ("f", "decap_3", {})]
+    right = [("r1", "inv_1", {"A": "q", "Y": "w"}), ("r2", "inv_1", {"A": "q", "Y": "v"}), ("r3", "nand2_1", {"A": "v", "B": "w", "Y": "u"}), ("r4", "inv_1", {"A": "u", "Y": "t"}), ("r5", "inv_1", {"A": "u", "Y": "s"})]
+    found = compare.compare(side(spark, left), side(spark, right))
+    names = {(r.kind, r.left): r.right for r in found.mapping.collect()}
+    assert found.equal and names["inst", "a"] == "r2" and names["net", "x"] == "v" and len(names) == 5 + 6 and {names["inst", "d"], names["inst", "e"]} == {"r4", "r5"}
+    insts, pins = compare.renamed(side(spark, left).insts, side(spark, left).pins, found.mapping)
+    assert {r.name for r in insts.collect()} == {"r1", "r2", "r3", "r4", "r5", "f"} and {r.net for r in pins.collect()} == set("qwvuts")
+    wrong = compare.compare(side(spark, left), side(spark, right[:4]))
+    assert not wrong.equal and any("inv_1" in r.message for r in wrong.differences.collect())
+
+
+def test_trace_and_picture(spark):
+    c = simulate.levelise([G("f", "dfxtp", {"CLK": "clk", "D": "n", "Q": "q"}), G("x", "xor2", {"A": "q", "B": "en", "X": "n"}), G("r", "dfrtp", {"CLK": "clk", "D": "q", "RESET_B": "rst", "Q": "p"})])
+    run = simulate.trace(spark.range(1).withColumn("state:f", F.lit(False)), c, "clk", {"en": [True, True, False], "rst": [False, True]}, ["q", "p"], 4)
+    assert [tuple(r.signals[k] for k in "qp") for r in run.orderBy("cycle").collect()] == [(True, False), (False, True), (False, False), (False, False)]
+    rects = spark.createDataFrame([(1, 0, 0, 0, 10, 20, 5), (2, 1, 5, 5, 30, 10, None), (3, 9, 0, 0, 99, 99, 1)], "rect_id long, level int, xlo long, ylo long, xhi long, yhi long, net long")
+    lines = [r.text for r in render.to_svg(rects, highlight=5).orderBy("part", "key").collect()]
+    assert lines[0].startswith("<svg") and lines[-1] == "</svg>" and lines[1] == '<rect x="0" y="0" width="10" height="20" fill="#ff2d55"/>' and render.NO_NET in lines[2] and len(lines) == 4
