@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from netframe.llm.common import text_frame
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens whose ids a worker remembers; then it starts anew.
-MAX_REMEMBERED = 400_000
+#: Pre-tokens whose ids a worker remembers in each of two generations: what is looked up again moves to the younger one.
+MAX_REMEMBERED = 300_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -84,6 +84,7 @@ class ByteBPE:
 
     def __init__(self, tokens: list[bytes], pattern: str = public_tokenizers.PATTERN):
         self.tokens, self.pattern, self.hash = tokens, pattern, PerfectHash(tokens)
+        self.ranks = {t: i for i, t in enumerate(tokens)}
 
     def rank(self, piece: bytes) -> int | None:
         """The id of a whole piece, if the vocabulary has it."""
@@ -91,12 +92,10 @@ class ByteBPE:
         return i if self.tokens[i] == piece else None
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a piece that isn't in the vocabulary as a whole."""
-        n = len(piece)
-        if n == 1:
-            return [self.rank(piece)]
+        """Ids of a piece that isn't in the vocabulary as a whole. The ranks of its parts come from a plain table."""
+        n, rank = len(piece), self.ranks.get
         end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := self.rank(piece[i : i + 2])) is not None]
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
@@ -106,11 +105,11 @@ class ByteBPE:
             end[i], after[i], alive[j] = stop, after[j], False
             if after[i] < n:
                 before[after[i]] = i
-                if (r := self.rank(piece[i : end[after[i]]])) is not None:
+                if (r := rank(piece[i : end[after[i]]])) is not None:
                     heapq.heappush(heap, (r, i, end[after[i]]))
-            if (k := before[i]) >= 0 and (r := self.rank(piece[k:stop])) is not None:
+            if (k := before[i]) >= 0 and (r := rank(piece[k:stop])) is not None:
                 heapq.heappush(heap, (r, k, stop))
-        return [self.rank(piece[i : end[i]]) for i in range(n) if alive[i]]
+        return [rank(piece[i : end[i]]) for i in range(n) if alive[i]]
 
     def piece_ids(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -123,12 +122,16 @@ class _Remembered(dict):
 
     def __init__(self, bpe: ByteBPE):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older, self.packed = bpe, {}, [i.to_bytes(4, "little") for i in range(len(bpe.tokens))]
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MAX_REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        made = self[piece] = np.array(self.bpe.piece_ids(piece), "<u4").tobytes()
+        made = self.older.get(piece)
+        if made is None:
+            made = b"".join([self.packed[i] for i in self.bpe.piece_ids(piece)])
+        self[piece] = made
         return made
 
 
