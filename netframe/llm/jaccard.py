@@ -42,12 +42,12 @@ from netframe.operators.components import connected_components
 SIZE = 5
 PERCENT = 80
 #: Text of one document block, in bytes; a longer document is a block alone.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Classes of an n-gram and band that one chunk of a join key holds.
 CHUNK = 2048
 #: Up to so many candidate ids are broadcast to the scan that reads their texts again; beyond, a shuffle joins them.
 MAX_BROADCAST_IDS = 1 << 20
-MAX_REMEMBERED = 400_000
+MAX_REMEMBERED = 200_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -209,10 +209,12 @@ def _enough(percent: int, overlap: Column, n: Column, m: Column) -> Column:
 
 
 def _candidate_sets(docs: DataFrame, maybe: DataFrame, size: int, percent: int) -> DataFrame:
-    """(cid, n, grams): one set for each class that may link, its n-grams that another such class has, rare ones first."""
+    """(cid, n, grams): one set for each class that may link, its n-grams that another such class has, rare ones first.
+
+    Equal sets have vouched for each other so far; measured again among one document of each class, most of those go too."""
     classes = materialize(maybe.groupBy("hi", "lo").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n")).where("cid is not null"), "classes")
-    ids = classes.select(F.col("cid").alias("doc_id"))
-    own = text_frame(docs).join(F.broadcast(ids) if classes.count() <= MAX_BROADCAST_IDS else ids, "doc_id", "left_semi")
+    again = _measured(_texts_of(docs, classes), size, percent).where("maybe").select("hi", "lo").distinct()
+    classes = materialize(classes.join(again, ["hi", "lo"], "left_semi"), "classes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raws in _text_blocks(batches, BLOCK_BYTES):
@@ -220,16 +222,21 @@ def _candidate_sets(docs: DataFrame, maybe: DataFrame, size: int, percent: int)
             sums = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in found), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["cid", "hi", "lo", "grams"])
 
-    read = own.mapInArrow(sets, "cid long, hi long, lo long, grams array<long>")
-    # a doc_id may have several rows: the one with the class's set
-    found = read.join(classes, ["hi", "lo", "cid"]).dropDuplicates(["hi", "lo"]).select("cid", "n", "grams")
-    found = materialize(found, "candidate-sets")
+    read = _texts_of(docs, classes).mapInArrow(sets, "cid long, hi long, lo long, grams array<long>")
+    # a doc_id may have several rows: one with the class's set
+    found = materialize(read.join(classes, ["hi", "lo", "cid"]).dropDuplicates(["hi", "lo", "cid"]).select("cid", "n", "grams"), "candidate-sets")
     each = found.select("cid", F.explode("grams").alias("gram"))
     often = each.groupBy("gram").agg(F.count("*").alias("often")).where("often > 1")
     kept = each.join(often, "gram").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("often", "gram"))).alias("held"))
     return found.select("cid", "n").join(kept, "cid").where(F.size("held") >= _needed(percent, F.col("n"))).select("cid", "n", F.col("held.gram").alias("grams"))
 
 
+def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents that stand for classes (a written table). So few ids are broadcast; more are joined by a shuffle."""
+    ids = classes.select(F.col("cid").alias("doc_id"))
+    return text_frame(docs).join(F.broadcast(ids) if classes.count() <= MAX_BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _meeting_points(sets: DataFrame, percent: int) -> DataFrame:
     """(gram, band, cid, n, rest): the n-grams at which a class meets its partners, and how many of its n-grams, that one included, are left from there on."""
     n = F.col("n")
