@@ -15,7 +15,8 @@ that each leave less:
    size, and only while the n-grams behind the meeting point still suffice.
 3. Overlap counts of candidate pairs are accumulated exactly. First each class meets the smallest class of its n-gram and
    band (a linear number of pairs). Then pairs in different components meet, of which one side isn't in the largest component
-   of that n-gram: a group of copies, however large, is not expanded into pairs. Skewed n-grams are split in chunks.
+   of that n-gram: a group of copies, however large, is not expanded into pairs. Skewed n-grams are split in chunks. Pairs whose
+   parity signatures differ in more bits than a link allows are discarded inside the join.
 
 Shingles are compared by 64-bit hashes of their words, sets by 128-bit hashes.
 
@@ -48,6 +49,8 @@ CHUNK = 2048
 #: Up to so many candidate ids are broadcast to the scan that reads their texts again; beyond, a shuffle joins them.
 MAX_BROADCAST_IDS = 1 << 20
 MAX_REMEMBERED = 200_000
+#: Words of 64 bits in a set's parity signature.
+WORDS = 8
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -258,6 +261,18 @@ def _possible(percent: int, left: str, right: str) -> Column:
     return _enough(percent, F.least(f"{left}.rest", f"{right}.rest"), F.col(f"{left}.n"), F.col(f"{right}.n"))
 
 
+def _signatures(sets: DataFrame) -> DataFrame:
+    """(cid, k, s0, ...): the number of a class's n-grams and, of the n-grams at each bit, whether they are odd in number."""
+    bits = [F.expr(f"aggregate(filter(grams, g -> g & {WORDS - 1} = {w}), 0L, (s, g) -> s ^ shiftleft(1L, cast(shiftrightunsigned(g, 32) & 63 as int)))").alias(f"s{w}") for w in range(WORDS)]
+    return sets.select("cid", F.size("grams").alias("k"), *bits)
+
+
+def _alike(percent: int, left: str, right: str) -> Column:
+    """Whether signatures allow a link: an n-gram that only one of two sets has turns one bit, so sets differ in as many n-grams as bits, at least."""
+    differ = sum((F.bit_count(F.col(f"{left}.s{w}").bitwiseXOR(F.col(f"{right}.s{w}"))) for w in range(1, WORDS)), F.bit_count(F.col(f"{left}.s0").bitwiseXOR(F.col(f"{right}.s0"))))
+    return _enough(percent, (F.col(f"{left}.k") + F.col(f"{right}.k") - differ) / 2, F.col(f"{left}.n"), F.col(f"{right}.n"))
+
+
 def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, component) of the classes with links."""
     points = materialize(_meeting_points(sets, percent), "meeting-points")
@@ -272,11 +287,11 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     # what is left: pairs in different components, one side outside the n-gram's largest component
     placed = points.join(parts, points.cid == parts.node, "left").select("gram", "band", "cid", "n", "rest", F.coalesce("component", "cid").alias("part"))
     sizes = placed.groupBy("gram", "part").agg(F.count("*").alias("m")).groupBy("gram").agg(F.max_by("part", F.struct("m", "part")).alias("major"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    placed = materialize(placed.join(sizes, "gram").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int")), "placed")
+    placed = materialize(placed.join(sizes, "gram").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int")).join(_signatures(sets), "cid"), "placed")
     left = placed.where("part != major").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("l")
     right = placed.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")).alias("r")
     different = (F.col("l.part") != F.col("r.part")) & ((F.col("r.part") == F.col("r.major")) | (F.col("l.cid") < F.col("r.cid")))
-    rest = left.join(right, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.chunk") == F.col("r.chunk")) & different & _possible(percent, "l", "r"))
+    rest = left.join(right, (F.col("l.gram") == F.col("r.gram")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.chunk") == F.col("r.chunk")) & different & _possible(percent, "l", "r") & _alike(percent, "l", "r"))
     second = rest.select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
     more = materialize(_verified(second, sets, percent), "links")
     stars = parts.select(F.col("component").alias("a"), F.col("node").alias("b"))
