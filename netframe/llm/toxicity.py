@@ -1,24 +1,25 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes,
 calibrated to a score, with the neighbours as evidence.
 
-Terms are word beginnings of MIN_PREFIX to MAX_PREFIX characters, lower-cased: they find inflected and compounded forms in any language. The
-vocabulary holds the terms that the labels of the sample support (chi-squared, no less than SUPPORT of the best term's).
-Examples are kept in blocks; a block's bound is the query's weights times the block's largest weights. Blocks are visited
-from the highest bound down, and the search ends when no bound reaches the k-th best cosine, so the neighbours are exact.
+Terms are lower-cased words of any length, and in scripts without spaces the sequences of 1 to MAX_GRAM characters. The vocabulary
+holds every term of the sample; none is selected. A term's inverse document frequency is raised by how strongly it goes with either
+label (1 + the root of its chi-squared), so that a text's few telling words aren't lost among its many others.
+Examples are kept in blocks; a block's bound is the query's weights times the block's largest weights. The FIRST blocks of the
+highest bounds are visited, then all whose bound reaches the k-th best cosine, so the neighbours are exact.
 
 Fitting takes a bounded sample: n_toxic and n_clean labelled documents, the first in the order of a hash of their id, none
 over max_chars. The index holds only those, so it is broadcast. Everything else covers all rows.
 
-Defined cases: null text is the empty text. A text without any term has no neighbours; its score is the share of toxic
-documents among such examples. Ties between neighbours go to the smaller doc_id. Equal example texts count once. A null
+Defined cases: null text is the empty text. A text without any term of the sample has no neighbours; its score is the
+share of toxic documents among such examples, or among all where there is none. Ties between neighbours go to the smaller doc_id. Equal example texts count once. A null
 doc_id is not held out. With labels of one class only (or none), every score is that class's share (0 without labels).
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,90 +37,121 @@ MAX_CHARS = 20_000
 THRESHOLD = 0.7
 NEIGHBOURS = 15
 BLOCK = 64
-MIN_PREFIX, MAX_PREFIX = 4, 8
-MAX_TERMS = 2048
-MIN_SUPPORT, SUPPORT = 10.0, 0.08
-MAX_REMEMBERED = 400_000
-
-_WORD = re.compile(r"\w+")
-
-
-def prefixes(word: str) -> list[str]:
-    return [word[:k] for k in range(MIN_PREFIX, min(len(word), MAX_PREFIX) + 1)]
-
-
-def vocabulary(sample: list[tuple[int, int, str]], max_terms: int = MAX_TERMS) -> list[str]:
-    """The terms that go with toxic labels, best first."""
-    held = {0: Counter(), 1: Counter()}
-    n = Counter(label for _, label, _ in sample)
-    for _, label, text in sample:
-        held[label].update({p for w in set(_WORD.findall(text.lower())) for p in prefixes(w)})
-    found = []
-    for term, a in held[1].items():
-        b = held[0][term]
-        c, d = n[1] - a, n[0] - b
-        if a * d > b * c:
-            found.append((-(n[0] + n[1]) * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d)), term))
-    found.sort()
-    least = max(MIN_SUPPORT, -SUPPORT * found[0][0]) if found else 0
-    return [term for chi, term in found[:max_terms] if -chi >= least]
+FIRST = 4
+MAX_GRAM = 3
+MAX_REMEMBERED, MAX_WORD = 400_000, 64
+
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana and Han: no spaces between words.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_MARKS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c)) in ("Mn", "Mc"))
+_WORD = re.compile(rf"[\w{_MARKS}]+")
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+_PART = re.compile(f"[{_UNSPACED}]+|[^{_UNSPACED}]+")
+
+
+def word_terms(word: str) -> list[str]:
+    """The word itself, or its parts: sequences of characters where its script has no spaces."""
+    if not _HAS_UNSPACED.search(word):
+        return [word]
+    out = []
+    for part in _PART.findall(word):
+        if _HAS_UNSPACED.match(part):
+            out += [part[i : i + k] for k in range(1, MAX_GRAM + 1) for i in range(len(part) - k + 1)]
+        else:
+            out.append(part)
+    return out
 
 
 class TermCounter(dict):
-    """Remembers the vocabulary's terms in a word."""
+    """Remembers the vocabulary's terms in a word; counts(text) is by the term's number."""
 
     def __init__(self, terms: dict[str, int]):
         super().__init__()
         self.terms = terms
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= MAX_REMEMBERED:
-            self.clear()
-        made = self[word] = tuple(self.terms[p] for p in prefixes(word) if p in self.terms)
+        made = tuple(self.terms[t] for t in word_terms(word) if t in self.terms)
+        if len(word) <= MAX_WORD:
+            if len(self) >= MAX_REMEMBERED:
+                self.clear()
+            self[word] = made
         return made
 
     def counts(self, text: str) -> Counter:
-        return Counter(t for own in map(self.__getitem__, _WORD.findall(text.lower())) if own for t in own)
+        out = Counter()
+        for word, n in Counter(_WORD.findall(text.lower())).items():
+            for t in self[word]:
+                out[t] += n
+        return out
+
+
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and how many each has."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n), n
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples, in blocks: postings of each block, and each term's largest weight in it."""
+    """Unit vectors of examples, in blocks of those that share their heaviest term: postings by term and block, with each block's largest weight of a term."""
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        n_blocks = -(-self.n // block)
-        self.bounds = np.zeros((n_terms, n_blocks))
-        postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(n_blocks)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                postings[i // block].setdefault(t, []).append((i % block, w))
-                self.bounds[t, i // block] = max(self.bounds[t, i // block], w)
-        self.postings = [{t: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for t, p in own.items()} for own in postings]
+        self.n_blocks = -(-self.n // block)
+        order = sorted(range(self.n), key=lambda i: (max(((w, t) for t, w in vectors[i].items()), default=(0.0, -1))[1], i))
+        self.numbers = np.array(order, np.int64)
+        self.places = np.argsort(self.numbers)
+        sizes = [len(vectors[i]) for i in order]
+        terms = np.fromiter((t for i in order for t in vectors[i]), np.int64, sum(sizes))
+        weights = np.fromiter((w for i in order for w in vectors[i].values()), np.float64, sum(sizes))
+        places = np.repeat(np.arange(self.n), sizes)
+        by = np.lexsort((places, terms))
+        terms, self.weights, self.at = terms[by], weights[by], places[by].astype(np.int32)
+        new = np.flatnonzero(np.diff(terms, prepend=-1) | np.diff(self.at // block, prepend=-1))  # where a block's postings of a term start
+        self.starts = np.append(new, len(terms))
+        self.blocks = (self.at[new] // block).astype(np.int32)
+        self.tops = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
+        self.first = np.searchsorted(terms[new], np.arange(n_terms + 1))
+
+    def _add(self, scores: np.ndarray, own: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        which, n = _ranges(self.starts[own], self.starts[own + 1])
+        return scores + np.bincount(self.at[which], self.weights[which] * np.repeat(weights, n), self.n)
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of the highest cosine above 0, as (cosine, number), best first, ties by number."""
-        terms, weights = list(query), np.array(list(query.values()))
-        if not terms or not self.n:
+        if not query or not self.n:
             return []
-        bounds = weights @ self.bounds[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[0][0] - 1e-9:
-                break
-            scores, own = np.zeros(self.block), self.postings[b]
-            for t, w in zip(terms, weights, strict=True):
-                if t in own:
-                    at, held = own[t]
-                    scores[at] += w * held
-            for i in np.flatnonzero(scores):
-                item = (round(float(scores[i]), 12), -(int(b) * self.block + int(i)))
-                if -item[1] == without:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        terms = np.fromiter(sorted(query), np.int64, len(query))
+        weights = np.array([query[t] for t in terms.tolist()])
+        own, n = _ranges(self.first[terms], self.first[terms + 1])
+        weights = np.repeat(weights, n)
+        bounds = np.bincount(self.blocks[own], weights * self.tops[own], self.n_blocks)
+        visited = np.zeros(self.n_blocks, bool)
+        visited[np.argsort(-bounds, kind="stable")[: FIRST + k // self.block]] = True
+        now = visited[self.blocks[own]]
+        scores = self._add(np.zeros(self.n), own[now], weights[now])
+        if without >= 0:
+            scores[self.places[without]] = 0
+        rest = ~visited & (bounds > 0)
+        if self.n > k:
+            rest &= bounds >= np.partition(scores, self.n - k)[self.n - k] - 1e-9
+        if rest.any():
+            now = rest[self.blocks[own]]
+            scores = self._add(scores, own[now], weights[now])
+            if without >= 0:
+                scores[self.places[without]] = 0
+        found = np.flatnonzero(scores > 0)
+        if len(found) > k:
+            found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k] - 1e-9]
+        held = np.round(scores[found], 12)
+        best = np.lexsort((self.numbers[found], -held))[:k]
+        return list(zip(held[best].tolist(), self.numbers[found[best]].tolist(), strict=True))
+
+
+def association(df: np.ndarray, n: Counter) -> np.ndarray:
+    """The root of each term's chi-squared between its presence and the label; df: documents of either label that hold it."""
+    a, b = df[1], df[0]
+    c, d = n[1] - a, n[0] - b
+    return math.sqrt(n[0] + n[1]) * np.abs(a * d - b * c) / np.sqrt(np.maximum(1, (a + b) * (c + d) * (a + c) * (b + d)))
 
 
 class ToxicityModel:
@@ -130,16 +162,22 @@ class ToxicityModel:
         sample = sorted({text: (i, label, text) for i, label, text in reversed(sample)}.values())
         n = Counter(label for _, label, _ in sample)
         share = {label: counts.get(label, 0) / max(1, n[label]) for label in (0, 1)}  # labels for each example
-        terms = vocabulary(sample)
-        self.terms = {t: i for i, t in enumerate(terms)}
+        self.terms = {}
+        if len(n) == 2:
+            for _, _, text in sample:
+                for word in _WORD.findall(text.lower()):
+                    for t in word_terms(word):
+                        self.terms.setdefault(t, len(self.terms))
         counter = TermCounter(self.terms)
         found = [(i, label, counter.counts(text)) for i, label, text in sample]
-        df = Counter(t for _, _, c in found for t in c)
-        self.idf = np.array([math.log((1 + len(sample)) / (1 + df[t])) + 1 for t in range(len(terms))])
+        df = np.zeros((2, len(self.terms)))
+        for _, label, c in found:
+            df[label, list(c)] += 1
+        self.idf = (np.log((1 + len(sample)) / (1 + df[0] + df[1])) + 1) * (1 + association(df, n))
         kept = [(i, label, self.vector(c)) for i, label, c in found if c]
         self.ids, self.labels = [i for i, _, _ in kept], [label for _, label, _ in kept]
-        self.index = BlockMaxIndex([v for _, _, v in kept], len(terms))
-        none = Counter(label for _, label, c in found if not c)
+        self.index = BlockMaxIndex([v for _, _, v in kept], len(self.terms))
+        none = Counter(label for _, label, c in found if not c) or n
         self.without = none[1] * share[1] / max(1e-9, none[0] * share[0] + none[1] * share[1]) if found else 0.0
         self.intercept, self.slope = -4.0, 8.0
         votes = [self.vote(self.index.nearest(v, k, without=j)) for j, (_, _, v) in enumerate(kept)]
@@ -149,9 +187,9 @@ class ToxicityModel:
             self.intercept, self.slope = logistic([x for x, _ in rows], [y for _, y in rows], [v * len(w) / sum(w) for v in w], ridge=0.05)
 
     def vector(self, counts: Counter) -> dict[int, float]:
-        v = {t: (1 + math.log(c)) * self.idf[t] for t, c in sorted(counts.items())}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()}
+        terms = sorted(counts)
+        v = (1 + np.log([counts[t] for t in terms])) * self.idf[terms]
+        return dict(zip(terms, (v / math.sqrt(v @ v)).tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float | None:
         """Share of the votes for toxic, each weighted by the inverse of the distance; two votes for clean at distance 1 keep few far neighbours from being certain."""

@@ -64,6 +64,21 @@ def test_toxicity_accuracy(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in out if not r.predicted}
 
 
+def test_toxicity_takes_every_term():
+    rows = [(i, int(i % 4 == 0), f"{'vile ' * (i % 4 == 0)}an ox no {i} of the red sea") for i in range(40)] + [(100, 0, "犬が好き"), (101, 1, "猫が嫌い")]
+    model = toxicity.ToxicityModel(rows, {0: 31, 1: 11})
+    counter = toxicity.TermCounter(model.terms)
+    assert {"an", "ox", "no", "7", "犬", "が好", "好き"} <= set(model.terms)
+    for text, nearest in (("ox", None), ("the red sea 7", 7), ("私は犬が好き", 100), ("猫", 101)):
+        score, near = model.score(counter.counts(text))
+        assert near and 0 < score < 1, text
+        assert nearest is None or model.ids[near[0][1]] == nearest
+    vectors = {i: model.vector(counter.counts(t)) for i, _, t in rows}
+    query = model.vector(counter.counts("vile sea of 5 oxen"))
+    want = sorted(((round(c, 9), -i) for i, v in vectors.items() if (c := sum(w * v.get(t, 0) for t, w in query.items())) > 0), reverse=True)[:15]
+    assert [(round(c, 9), -model.ids[j]) for c, j in model.index.nearest(query, 15)] == want
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(3)
     def vector():
