@@ -207,7 +207,9 @@ class WordTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a text with an added token's string goes to the tokenizer whole, as _PIECE would split it
+        added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()} - {""})
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.remembered: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -224,7 +226,7 @@ class WordTokenizer:
             self.remembered.update(zip(new, (x.tobytes() for x in np.split(np.array(made.ids, np.uint32), cuts)), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if _OTHER.search(t)]
+        whole = [i for i, t in enumerate(texts) if _OTHER.search(t) or self.added.search(t.lower())]
         out: list[np.ndarray | None] = [None] * len(texts)
         if whole:
             for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):

@@ -124,6 +124,18 @@ def test_word_tokenizer(plain_tokenizer, word_tokenizer, text):
     assert word_tokenizer.encode_batch([text])[0].tolist() == plain_tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts(spark):
+    loaded = Tokenizer.from_file(public_tokenizers.path(sstable.VOCABULARY))
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y z", "A <|ENDOFTEXT|> é", "<|endoftext|><|endoftext|>", "plain", "<| endoftext |>"]
+    want = [loaded.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [320, 49407, 321]
+    coder = sstable.WordTokenizer(public_tokenizers.path(sstable.VOCABULARY))
+    assert [x.tolist() for x in coder.encode_batch(texts)] == want
+    out = sorted(sstable.tokenize_to_shards(frame(spark, list(enumerate(texts))), with_ids=True).collect(), key=lambda r: r.doc_id)
+    assert [r.ids for r in out] == [ids + [2] for ids in want]
+    assert [r.start for r in out] == [sum(len(x) + 1 for x in want[:i]) for i in range(len(want))]
+
+
 def test_sstable(spark, plain_tokenizer):
     rows = [(i * 7 - 20, t) for i, t in enumerate(ODD)] + [(k * 1000 + 500, f"text number {k} " * (k % 50)) for k in range(300)] + [(-20, "again"), (-20, "again"), (None, "no id"), (2**62, "far")]
     path = shared_path(spark, "sst")
