@@ -13,7 +13,7 @@ from netframe.functions.text import SUPPLY_GROUND, SUPPLY_POWER, base_name
 from netframe.operators import hierarchy, netlist
 from netframe.operators.classify import conductor_shapes, layer_stack
 from netframe.operators.components import written
-from netframe.operators.decompose import decompose
+from netframe.operators.decompose import decompose, path_rects
 from netframe.operators.nets import bind_labels, rect_nets
 from netframe.sources.gds import Layout
 
@@ -40,6 +40,16 @@ def _flat(layout: Layout, top: str) -> DataFrame:
     return own.unionByName(below)
 
 
+def _shapes(layout: Layout) -> DataFrame:
+    """(cell, seq, part, layer, datatype, ring): boundaries, and a ring for each segment of a path that has a width."""
+    drawn = layout.boundaries().select("cell", "seq", F.lit(0).alias("part"), "layer", "datatype", "ring")
+    paths = layout.paths().where("width > 0").withColumn("path_id", F.struct("path", "cell", "seq", "layer", "datatype"))
+    corner = lambda x, y: F.struct(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"))
+    ring = F.array(corner("xlo", "ylo"), corner("xhi", "ylo"), corner("xhi", "yhi"), corner("xlo", "yhi"), corner("xlo", "ylo"))
+    wires = path_rects(paths).select("path_id.cell", "path_id.seq", (F.col("i") + 1).alias("part"), "path_id.layer", "path_id.datatype", ring.alias("ring"))
+    return drawn.unionByName(wires)
+
+
 def extract(layout: Layout, top: str | None = None, keep_physical: bool = False, keep_power: bool = False, prefix: str = "n") -> Netlist:
     """The netlist of a layout whose standard cells are placed cells without placements of their own that carry labels."""
     refs = layout.references()
@@ -51,8 +61,8 @@ def extract(layout: Layout, top: str | None = None, keep_physical: bool = False,
     placed = flat.join(insts.select("path", "inst_id"), "path", "left")
     at = {c: F.col(c) for c in ("ox", "oy", "angle", "mirror")}
 
-    shapes = conductor_shapes(layout.boundaries().select("cell", "seq", "layer", "datatype", "ring")).join(placed, "cell")
-    moved = shapes.select(F.concat_ws("#", "path", "cell", F.col("seq").cast("string")).alias("poly_id"), "role", "level", F.transform("ring", lambda p: F.struct(*(c.alias(n) for c, n in zip(place(p["x"], p["y"], **at), ("x", "y"), strict=True)))).alias("ring"))
+    shapes = conductor_shapes(_shapes(layout)).join(placed, "cell")
+    moved = shapes.select(F.concat_ws("#", "path", "cell", F.col("seq").cast("string"), F.col("part").cast("string")).alias("poly_id"), "role", "level", F.transform("ring", lambda p: F.struct(*(c.alias(n) for c, n in zip(place(p["x"], p["y"], **at), ("x", "y"), strict=True)))).alias("ring"))
     moved = written(moved, "polygons")
     cut = decompose(moved).join(moved.select("poly_id", "role", "level"), "poly_id")
     cut = written(netlist.numbered(cut, ["role", "level", "poly_id", "xlo", "ylo", "xhi", "yhi"], "rect_id"), "rects")

@@ -185,6 +185,22 @@ def test_extract(spark, tmp_path):
     assert {r.name for r in n.instances.collect()} == {"inv_0", "inv_1"}
 
 
+def test_extract_wires_drawn_as_paths(spark, tmp_path):
+    """The inverters are joined by paths only: one with a bend, and one of no width, which is no metal."""
+    def wire(width, *pts):
+        return record(gds.PATH) + record(gds.LAYER, 2, i16(67)) + record(gds.DATATYPE, 2, i16(20)) + record(gds.WIDTH, 3, i32(width)) + record(gds.XY, 3, i32(*pts)) + record(gds.ENDEL)
+
+    wires = [wire(6, 90, 10, 200, 10, 200, 40, 250, 40), wire(6, 247, 40, 260, 40, 260, 10, 310, 10), wire(0, -50, 10, 10, 10), wire(6, 390, 10, 500, 10), label(67, 490, 10, "out"), label(67, -40, 10, "in")]
+    (tmp_path / "p.gds").write_bytes(stream(INV, cell("top", place("inv_1", 0, 0), place("inv_1", 300, 0), *wires)))
+    n = extract.extract(gds.read_gds(spark, f"file://{tmp_path}/p.gds"))
+    names = {r.net_id: r.name for r in n.nets.collect()}
+    pins = {(r.inst_id, r.pin): names[r.net_id] for r in n.pins.collect()}
+    first, second = (r.inst_id for r in n.instances.orderBy("x").collect())
+    assert pins[first, "Y"] == pins[second, "A"] and pins[second, "Y"] == "out" and len(names) == 3
+    assert n.stats.first().polygons == 4 + 3 + 3 + 1
+    assert [r.warning for r in n.warnings.collect()] == ["label in is on no metal"]
+
+
 def test_stream_of_clocked_bits(spark, tmp_path):
     for k in range(2):
         spark.createDataFrame([(key, k * 4 + i, (key >> (7 - k * 4 - i)) & 1) for key in (0x35, 0xA1) for i in range(4)], "key long, seq long, bit long").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
