@@ -48,8 +48,8 @@ def _keyed(name: str, side: Side) -> tuple[DataFrame, DataFrame]:
     return nodes.unionByName(nets), named.select(F.lit(name).alias("side"), F.col("i").alias("key"), "pin", F.col("n").alias("other"))
 
 
-def compare(left: Side, right: Side, ignore_physical: bool = True, ignore_power: bool = True, pin_equal_names: bool = True, max_ties: int = 100) -> Comparison:
-    """Counts and cells first; where they agree, colours. Ties are paired one by one: a node of the smallest tied class is set apart together with a candidate of the other side, and the candidate stands if the classes still match."""
+def compare(left: Side, right: Side, ignore_physical: bool = True, ignore_power: bool = True, pin_equal_names: bool = True, max_ties: int | None = None) -> Comparison:
+    """Counts and cells first; where they agree, colours. Ties are paired one by one: a node of the smallest tied class is set apart together with a candidate of the other side, and the candidate stands if the classes still match. Every pairing makes a class more, so it ends; more than max_ties of them are an error."""
     sides = {n: _kept(s, ignore_physical, ignore_power) for n, s in (("left", left), ("right", right))}
     parts = {n: _keyed(n, s) for n, s in sides.items()}
     nodes = parts["left"][0].unionByName(parts["right"][0])
@@ -71,7 +71,7 @@ def compare(left: Side, right: Side, ignore_physical: bool = True, ignore_power:
     odd = graphs.class_sizes(colours)
     if not odd.isEmpty():
         return Comparison(False, odd.select(F.format_string("a class of %d and %d nodes", "n_left", "n_right").alias("message")), none)
-    for _ in range(max_ties):
+    for _ in graphs.rounds(max_ties, "ties"):
         tied = colours.groupBy("colour").agg(F.count("*").alias("n"), F.min(F.when(F.col("side") == "left", F.col("node"))).alias("l")).where("n > 2").orderBy("n", "colour").first()
         if tied is None:
             break

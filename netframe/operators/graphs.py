@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,19 @@ from netframe.operators.components import written
 from netframe.operators.netlist import numbered
 
 
-def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+#: Parts of a union that are written as one, so that plans of long loops stay short.
+MAX_PARTS = 50
+
+
+def rounds(limit: int | None, what: str):
+    """0, 1, ... for as long as the loop needs; an error where it needs more than limit rounds."""
+    for at in itertools.count():
+        if limit is not None and at > limit:
+            raise RuntimeError(f"{what} not settled after {limit} rounds")
+        yield at
+
+
+def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, level): one more than the highest level that feeds a node; null on a loop and behind one. edges: (a, b), a feeds b.
 
     A round places the nodes whose feeders are all placed; a join and a group for each level of the circuit."""
@@ -17,29 +31,37 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFr
     waiting = edges.groupBy("b").agg(F.count("*").alias("open"))
     state = written(nodes.join(waiting, nodes.node == waiting.b, "left").select("node", F.coalesce("open", F.lit(0).cast("long")).alias("open")), "levels")
     done = []
-    for at in range(max_rounds):
+    for at in rounds(max_rounds, "levels"):
         placed = state.where("open = 0")
         if placed.isEmpty():
             break
         done.append(placed.select("node", F.lit(at).alias("level")))
+        if len(done) > MAX_PARTS:
+            done = [written(union(done), "levels")]
         fed = edges.join(placed, edges.a == placed.node, "left_semi").groupBy(F.col("b").alias("node")).agg(F.count("*").alias("fed"))
         state = written(state.where("open > 0").join(fed, "node", "left").select("node", (F.col("open") - F.coalesce("fed", F.lit(0))).alias("open")), "levels")
     if not done:
         return nodes.select("node", F.lit(None).cast("int").alias("level"))
-    out = done[0]
-    for part in done[1:]:
+    return nodes.select("node").join(union(done), "node", "left")
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
-    return nodes.select("node").join(out, "node", "left")
+    return out
 
 
-def support(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def support(edges: DataFrame, start: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Nodes that reach start (node) along edges (a, b), start included."""
     seen = frontier = written(start.select("node").distinct(), "support")
-    for _ in range(max_rounds):
+    for at in rounds(max_rounds, "support"):
         frontier = written(edges.join(frontier, edges.b == frontier.node, "left_semi").select(F.col("a").alias("node")).distinct().join(seen, "node", "left_anti"), "support")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if at % MAX_PARTS == MAX_PARTS - 1:
+            seen = written(seen, "support")
     return seen
 
 
@@ -63,10 +85,10 @@ def refine(colours: DataFrame, edges: DataFrame) -> DataFrame:
     return keyed.join(ranked(keyed), "key").select("side", "node", "colour")
 
 
-def refine_until_stable(colours: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Rounds until the number of colours stops growing."""
+def refine_until_stable(colours: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """Rounds until the number of colours stops growing: at most one for each node."""
     colours, n = written(colours, "colours"), -1
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds, "colours"):
         now = colours.agg(F.count_distinct("colour")).first()[0]
         if now == n:
             break

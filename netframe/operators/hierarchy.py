@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from netframe.functions.geometry import compose
 from netframe.operators.components import written
+from netframe.operators.graphs import MAX_PARTS, rounds, union
 
 
 def top_cells(cells: DataFrame, refs: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def expand_arrays(refs: DataFrame) -> DataFrame:
     return each.withColumn("ox", F.col("ox") + F.col("col") * F.col("dx")).withColumn("oy", F.col("oy") + F.col("row") * F.col("dy"))
 
 
-def flatten(refs: DataFrame, top: str, max_depth: int = 64) -> DataFrame:
+def flatten(refs: DataFrame, top: str, max_depth: int | None = None) -> DataFrame:
     """(path, cell, depth, ox, oy, angle, mirror) of every placement below top, by its composed transform.
 
     The frontier is joined with the references once for each depth; placed cells in a path that they are part of raise an
@@ -53,7 +54,8 @@ def flatten(refs: DataFrame, top: str, max_depth: int = 64) -> DataFrame:
     zero = F.lit(0).cast("long")
     frontier = refs.sparkSession.range(1).select(F.lit("").alias("path"), F.lit(top).alias("cell"), F.array(F.lit(top)).alias("above"), F.lit(0).alias("depth"), zero.alias("ox"), zero.alias("oy"), zero.alias("angle"), F.lit(False).alias("mirror"))
     levels = []
-    for depth in range(1, max_depth + 1):
+    for at_depth in rounds(max_depth, "placements"):
+        depth = at_depth + 1
         at = compose({c: F.col(c) for c in ("ox", "oy", "angle", "mirror")}, {c: F.col(f"r_{c}") for c in ("ox", "oy", "angle", "mirror")})
         nxt = frontier.join(each, frontier.cell == each.parent).select(
             F.concat_ws("/", F.nullif(F.col("path"), F.lit("")), F.col("step")).alias("path"),
@@ -66,7 +68,6 @@ def flatten(refs: DataFrame, top: str, max_depth: int = 64) -> DataFrame:
         if frontier.isEmpty():
             break
         levels.append(frontier.drop("above"))
-    out = levels[0] if levels else frontier.drop("above")
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        if len(levels) > MAX_PARTS:
+            levels = [written(union(levels), "placements")]
+    return union(levels or [frontier.drop("above")])

@@ -1,5 +1,6 @@
 """Geometry, components, cells, circuits and comparison on small cases."""
 
+import inspect
 import itertools
 import random
 
@@ -201,6 +202,25 @@ def test_compare_with_ties(spark):
     assert not wrong.equal and any("inv_1" in r.message for r in wrong.differences.collect())
 
 
+def test_a_cap_that_is_hit_is_an_error(spark):
+    """No result stands for what a cap left undone, and without a cap the loops have no end of their own."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "a long, b long")
+    nodes = spark.range(5).select(F.col("id").alias("node"))
+    with pytest.raises(RuntimeError, match="levels not settled"):
+        graphs.levels(nodes, edges, max_rounds=2)
+    with pytest.raises(RuntimeError, match="support not settled"):
+        graphs.support(edges, nodes.where("node = 4"), max_rounds=1)
+    refs = spark.createDataFrame([("top", "a", 1), ("a", "b", 2), ("b", "c", 3)], "parent string, child string, ref_id long")
+    refs = refs.select("*", *(F.lit(v).cast("long").alias(c) for c, v in (("ox", 0), ("oy", 0), ("angle", 0), ("n_cols", 1), ("n_rows", 1), ("dx", 0), ("dy", 0))), F.lit(False).alias("mirror"))
+    with pytest.raises(RuntimeError, match="placements not settled"):
+        hierarchy.flatten(refs, "top", max_depth=1)
+    left, right = ([(f"{p}{k}", "inv_1", {"A": f"{p}i", "Y": f"{p}y{k}"}) for k in range(3)] for p in "lr")
+    with pytest.raises(RuntimeError, match="ties not settled"):
+        compare.compare(side(spark, left), side(spark, right), max_ties=1)
+    for f, cap in ((graphs.levels, "max_rounds"), (graphs.support, "max_rounds"), (graphs.refine_until_stable, "max_rounds"), (hierarchy.flatten, "max_depth"), (compare.compare, "max_ties")):
+        assert inspect.signature(f).parameters[cap].default is None
+
+
 def test_trace_and_picture(spark):
     c = simulate.levelise([G("f", "dfxtp", {"CLK": "clk", "D": "n", "Q": "q"}), G("x", "xor2", {"A": "q", "B": "en", "X": "n"}), G("r", "dfrtp", {"CLK": "clk", "D": "q", "RESET_B": "rst", "Q": "p"})])
     run = simulate.trace(spark.range(1).withColumn("state:f", F.lit(False)), c, "clk", {"en": [True, True, False], "rst": [False, True]}, ["q", "p"], 4)
