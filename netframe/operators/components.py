@@ -1,8 +1,8 @@
 """Connected components of an edge table: every node gets the smallest node that it is connected with.
 
-Each round sends every node's smallest known neighbour to its other neighbours and then lets labels jump along labels, so
-long chains halve. Rounds write their labels to the shared folder: lineage stays short and survives lost executors. The
-driver only learns whether anything changed.
+Each round sends every node's smallest known neighbour to its other neighbours, so long chains halve. Rounds write their labels
+to the shared folder: lineage stays short and survives lost executors. A round is one job; the number of its edges and a
+checksum over them, taken while they are written, tell the driver whether anything changed.
 """
 
 from __future__ import annotations
@@ -10,40 +10,71 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a temporary one if all run on this machine; else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master.startswith("local") and not master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="netframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder, read again."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the shared folder, read again."""
+    return _write(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of a loop that a later round has replaced."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Rounds:
+    """The tables of a loop: each round's is written, counted with a checksum in the same job, and replaces the one before."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path, self.state, self.settled = spark, name, None, None, False
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """df read again. settled tells whether its rows are those of the round before; state is (rows, checksum)."""
+        seen = Observation()
+        held = df.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*df.columns)).alias("sum"))
+        made, path = _write(held, self.name)
+        state = seen.get["n"], seen.get["sum"]
+        self.settled, self.state = state == self.state, state
+        if self.path is not None:
+            remove(self.spark, self.path)
+        self.path = path
+        return made
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for the nodes of edges (a, b). Nodes without edges aren't listed; nulls and loops are no edges."""
-    pairs = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct()
-    pairs = written(pairs, "edges")
+    """(node, component) for the nodes of edges (a, b). Nodes without edges aren't listed; nulls and loops are no edges.
+
+    More than max_rounds rounds are an error; a chain of n nodes takes about log2(n)."""
+    loop = Rounds(edges.sparkSession, "edges")
+    pairs = loop.write(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct())
     for _ in range(max_rounds):
-        # each node's smallest neighbour (or itself), then the star of every node hangs on that one
+        # each node's smallest neighbour (or itself), then the star of every node hangs on that one; edges that no round changes are stars
         both = pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         stars = both.join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).unionByName(least.select(F.col("m").alias("lo"), F.col("u").alias("hi")))
-        new = written(stars.where("lo < hi").distinct(), "edges")
-        # done when every upper node hangs on one lower node and no lower node is an upper one
-        total = new.agg(F.count("*").alias("n"), F.count_distinct("hi").alias("k")).first()
-        pairs = new
-        if total.n == total.k and new.select(F.col("lo").alias("hi")).distinct().join(new.select("hi"), "hi", "left_semi").isEmpty():
+        pairs = loop.write(stars.where("lo < hi").distinct())
+        if loop.settled:
             break
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
