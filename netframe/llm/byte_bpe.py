@@ -12,6 +12,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,11 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from netframe.llm.common import text_frame
+from netframe.llm.common import Remembered, of_worker, sliced, text_frame
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pre-tokens whose ids a worker remembers in each of two generations: what is looked up again moves to the younger one.
-MAX_REMEMBERED = 300_000
+#: Pre-tokens whose ids a worker remembers, in bytes.
+REMEMBERED_BYTES = 96 << 20
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -117,33 +118,13 @@ class ByteBPE:
         return self.merge(raw) if found is None else [found]
 
 
-class _Remembered(dict):
-    """Ids of pre-tokens as little-endian 32-bit integers."""
+class _Worker:
+    """The broadcast coder, its compiled pattern and the ids of pre-tokens, remembered as little-endian 32-bit integers."""
 
     def __init__(self, bpe: ByteBPE):
-        super().__init__()
-        self.bpe, self.older, self.packed = bpe, {}, [i.to_bytes(4, "little") for i in range(len(bpe.tokens))]
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        made = self.older.get(piece)
-        if made is None:
-            made = b"".join([self.packed[i] for i in self.bpe.piece_ids(piece)])
-        self[piece] = made
-        return made
-
-
-_workers: dict[int, tuple] = {}
-
-
-def _worker(shared) -> tuple:
-    """Of this Python worker, which outlives a task: the broadcast coder, its compiled pattern and what it remembers."""
-    if shared.value is not _workers.get(0, (None,))[0]:
-        bpe = shared.value
-        _workers[0] = (bpe, regex.compile(bpe.pattern), _Remembered(bpe))
-    return _workers[0]
+        packed = [i.to_bytes(4, "little") for i in range(len(bpe.tokens))]
+        self.pattern = regex.compile(bpe.pattern)
+        self.remembered = Remembered(lambda piece: b"".join([packed[i] for i in bpe.piece_ids(piece)]), REMEMBERED_BYTES)
 
 
 def load(path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> ByteBPE:
@@ -155,9 +136,10 @@ def encode_decode(docs: DataFrame, path: str | None = None, with_ids: bool = Tru
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, pattern, remembered = _worker(shared)
-        find, look, tokens = pattern.findall, remembered.__getitem__, bpe.tokens
-        for batch in batches:
+        bpe = shared.value
+        worker = of_worker(bpe, partial(_Worker, bpe))
+        find, look, tokens = worker.pattern.findall, worker.remembered.__getitem__, bpe.tokens
+        for batch in sliced(batches):
             n, sums, back, all_ids, texts = [], [], [], [], []
             for text in batch.column("text"):
                 ids = b"".join(map(look, find(text.as_py() or "")))

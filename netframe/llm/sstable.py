@@ -28,6 +28,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from typing import BinaryIO
 
 import numpy as np
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netframe.llm.common import materialize, shared_path, text_frame
+from netframe.llm.common import materialize, of_worker, shared_path, text_frame
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -194,9 +195,13 @@ class ShardReader:
 #: Characters for which lower-casing and splitting here are those of the tokenizer (checked one by one in the tests); a text with any other goes to the tokenizer whole.
 _OTHER = re.compile(r"[^\x00-\x1b -įı-ſ‐-‧€]")
 _LETTERS, _NUMBERS = ("".join(chr(c) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind) for kind in "LN")
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_PIECE = re.compile(rf"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_ASCII_PIECE = re.compile(r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9]+")
 #: Pieces whose ids a worker remembers in each of two generations: what occurs again moves to the younger one.
 MAX_REMEMBERED = 400_000
+#: A vocabulary shows by this text that _PIECE is its way to split and that each piece ends with such a token; with any other, texts go to the tokenizer whole.
+END_OF_PIECE = "</w>"
+_PROBE = "It's 42 naïve--RE-d I'LL\t'tis x2y «Œuvre»"
 
 
 class WordTokenizer:
@@ -211,41 +216,50 @@ class WordTokenizer:
         added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()} - {""})
         self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a piece
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(END_OF_PIECE)]] = True
+        self.by_piece = self._splits_alike()
         self.remembered: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes pieces as one text, apart, and remembers each one's ids."""
-        if len(self.remembered) + len(new) > MAX_REMEMBERED:
-            self.older, self.remembered = self.remembered, {}
-        again = [p for p in new if p in self.older]
-        self.remembered.update((p, self.older[p]) for p in again)
-        if new := [p for p in new if p not in self.remembered]:
-            made = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            cuts = np.flatnonzero(np.diff(np.array(made.word_ids, np.int64))) + 1
-            self.remembered.update(zip(new, (x.tobytes() for x in np.split(np.array(made.ids, np.uint32), cuts)), strict=True))
+    def _splits_alike(self) -> bool:
+        """Whether the tokenizer lower-cases and splits as is done here."""
+        splitter, normal = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        made, pieces = self.tokenizer.encode(_PROBE, add_special_tokens=False), self._pieces(_PROBE)
+        own = [i for p in pieces for i in self.tokenizer.encode(p, add_special_tokens=False).ids]
+        return splitter is not None and normal is not None and normal.normalize_str("ÀB") == "àb" and made.ids == own and len(set(made.word_ids)) == len(pieces) == int(self.ends[made.ids].sum())
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        return _ASCII_PIECE.findall(text.lower()) if text.isascii() else _PIECE.findall(unicodedata.normalize("NFC", text).lower())
+
+    def _learn(self, new: set[str]) -> None:
+        """Takes pieces from the older generation; those of none are encoded as one text, apart."""
+        older = self.older
+        made = {p: older[p] for p in new if p in older}
+        if new := list(new.difference(made)):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+            raw, cuts = ids.tobytes(), [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            made.update(zip(new, [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        self.remembered.update(made)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if _OTHER.search(t) or self.added.search(t.lower())]
         out: list[np.ndarray | None] = [None] * len(texts)
+        whole = [i for i, t in enumerate(texts) if not self.by_piece or _OTHER.search(t) or self.added.search(t.lower())]
         if whole:
             for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
                 out[i] = np.array(e.ids, np.uint32)
-        split = {i: _PIECE.findall((t if t.isascii() else unicodedata.normalize("NFC", t)).lower()) for i, t in enumerate(texts) if out[i] is None}
-        if new := {p for pieces in split.values() for p in pieces}.difference(self.remembered):
-            generation = self.remembered
-            self._learn(list(new))
-            if self.remembered is not generation:  # the young generation lacks what these texts share with the old one
-                self._learn([p for p in {p for pieces in split.values() for p in pieces} if p not in self.remembered])
+        split = {i: self._pieces(t) for i, t in enumerate(texts) if out[i] is None}
+        if len(self.remembered) > MAX_REMEMBERED:
+            self.older, self.remembered = self.remembered, {}
+        if new := set().union(*split.values()).difference(self.remembered):
+            self._learn(new)
         look = self.remembered.__getitem__
         for i, pieces in split.items():
             out[i] = np.frombuffer(b"".join(map(look, pieces)), np.uint32)
         return out
 
 
-_workers: dict[str, WordTokenizer] = {}
-
-
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes the shards under path and returns (shard, file, n_entries, n_ids), a row for each."""
     vocabulary = tokenizer or public_tokenizers.path(VOCABULARY)
@@ -254,7 +268,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        coder = _workers.get(vocabulary) or _workers.setdefault(vocabulary, WordTokenizer(vocabulary))
+        coder = of_worker(("sstable", vocabulary), partial(WordTokenizer, vocabulary))
         shard = TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)

@@ -4,8 +4,9 @@ calibrated to a score, with the neighbours as evidence.
 Terms are lower-cased words of any length, and in scripts without spaces the sequences of 1 to MAX_GRAM characters. The vocabulary
 holds every term of the sample; none is selected. A term's inverse document frequency is raised by how strongly it goes with either
 label (1 + the root of its chi-squared), so that a text's few telling words aren't lost among its many others.
-Examples are kept in blocks; a block's bound is the query's weights times the block's largest weights. The FIRST blocks of the
-highest bounds are visited, then all whose bound reaches the k-th best cosine, so the neighbours are exact.
+Examples are kept in blocks of similar ones; a block's bound is the query's weights times the block's largest weights. The FIRST
+blocks of the highest bounds are visited, then all whose bound reaches the k-th best cosine, so the neighbours are exact. Terms
+that many examples have keep their postings as matrix rows, and texts are searched for some at a time.
 
 Fitting takes a bounded sample: n_toxic and n_clean labelled documents, the first in the order of a hash of their id, none
 over max_chars. The index holds only those, so it is broadcast. Everything else covers all rows.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netframe.llm.common import str_texts, text_frame
+from netframe.llm.common import sliced, str_texts, text_frame
 from netframe.llm.quality import fold, labelled_sample, logistic, sigmoid
 
 FOLDS, HELD_OUT = 3, 1
@@ -39,7 +40,10 @@ NEIGHBOURS = 15
 BLOCK = 64
 FIRST = 4
 MAX_GRAM = 3
-MAX_REMEMBERED, MAX_WORD = 400_000, 64
+#: A term that one example in so many has is dense.
+DENSE = 16
+#: Texts that are searched for together, and their terms, at most about.
+QUERIES, QUERY_TERMS = 128, 65_536
 
 #: Thai, Lao, Tibetan, Myanmar, Khmer, kana and Han: no spaces between words.
 _UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -62,26 +66,23 @@ def word_terms(word: str) -> list[str]:
     return out
 
 
-class TermCounter(dict):
-    """Remembers the vocabulary's terms in a word; counts(text) is by the term's number."""
+class TermCounter:
+    """counts(text): how often a text has each of the vocabulary's terms, by the term's number."""
 
     def __init__(self, terms: dict[str, int]):
-        super().__init__()
         self.terms = terms
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        made = tuple(self.terms[t] for t in word_terms(word) if t in self.terms)
-        if len(word) <= MAX_WORD:
-            if len(self) >= MAX_REMEMBERED:
-                self.clear()
-            self[word] = made
-        return made
-
-    def counts(self, text: str) -> Counter:
-        out = Counter()
+    def counts(self, text: str) -> dict[int, int]:
+        get, out = self.terms.get, {}
+        spaced = text.isascii() or not _HAS_UNSPACED.search(text)
         for word, n in Counter(_WORD.findall(text.lower())).items():
-            for t in self[word]:
-                out[t] += n
+            if spaced or word.isascii():
+                if (t := get(word)) is not None:
+                    out[t] = out.get(t, 0) + n
+            else:
+                for term in word_terms(word):
+                    if (t := get(term)) is not None:
+                        out[t] = out.get(t, 0) + n
         return out
 
 
@@ -91,19 +92,34 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n), n
 
 
+Query = tuple[np.ndarray, np.ndarray]  # terms and weights
+
+
 class BlockMaxIndex:
-    """Unit vectors of examples, in blocks of those that share their heaviest term: postings by term and block, with each block's largest weight of a term."""
+    """Unit vectors of examples, in blocks of similar ones: postings by term and block, with each block's largest weight of a term.
+    Terms that one example in DENSE has keep their postings as rows of a matrix, block by block."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[Query], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
         self.n_blocks = -(-self.n // block)
-        order = sorted(range(self.n), key=lambda i: (max(((w, t) for t, w in vectors[i].items()), default=(0.0, -1))[1], i))
-        self.numbers = np.array(order, np.int64)
+        sizes = [len(t) for t, _ in vectors]
+        terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
+        weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
+        of = np.repeat(np.arange(self.n), sizes)
+        df = np.bincount(terms, minlength=n_terms)
+        dense = np.flatnonzero((df > 0) & (df * DENSE >= self.n))
+        self.row = np.full(n_terms, -1, np.int32)  # a term's row of the matrix
+        self.row[dense] = np.arange(len(dense))
+        held = np.zeros((len(dense), self.n))
+        at_row = self.row[terms]
+        common = at_row >= 0
+        held[at_row[common], of[common]] = weights[common]
+        self.numbers = self._order(held)
         self.places = np.argsort(self.numbers)
-        sizes = [len(vectors[i]) for i in order]
-        terms = np.fromiter((t for i in order for t in vectors[i]), np.int64, sum(sizes))
-        weights = np.fromiter((w for i in order for w in vectors[i].values()), np.float64, sum(sizes))
-        places = np.repeat(np.arange(self.n), sizes)
+        self.dense = np.ascontiguousarray(held[:, self.numbers])
+        edges = np.arange(0, self.n, block)
+        self.dense_tops = np.maximum.reduceat(self.dense, edges, axis=1) if self.n else np.zeros((len(dense), 0))
+        terms, weights, places = terms[~common], weights[~common], self.places[of[~common]]
         by = np.lexsort((places, terms))
         terms, self.weights, self.at = terms[by], weights[by], places[by].astype(np.int32)
         new = np.flatnonzero(np.diff(terms, prepend=-1) | np.diff(self.at // block, prepend=-1))  # where a block's postings of a term start
@@ -112,39 +128,76 @@ class BlockMaxIndex:
         self.tops = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
         self.first = np.searchsorted(terms[new], np.arange(n_terms + 1))
 
-    def _add(self, scores: np.ndarray, own: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def _order(self, held: np.ndarray) -> np.ndarray:
+        """The examples in an order that puts similar ones in the same block: by the nearest of as many centres as there are blocks, moved a few times."""
+        if self.n_blocks < 2 or not len(held):
+            return np.arange(self.n)
+        units = held.T / np.maximum(1e-12, np.linalg.norm(held, axis=0))[:, None]
+        centres = units[:: self.block][: self.n_blocks].copy()
+        for _ in range(8):
+            near = np.argmax(units @ centres.T, axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, units)
+            norms = np.linalg.norm(sums, axis=1)
+            centres[norms > 0] = sums[norms > 0] / norms[norms > 0, None]
+        near = np.argmax(units @ centres.T, axis=1)
+        walk, left = [0], set(range(1, len(centres)))  # neighbouring centres one after the other
+        like = centres @ centres.T
+        while left:
+            rest = sorted(left)
+            walk.append(rest[int(np.argmax(like[walk[-1], rest]))])
+            left.remove(walk[-1])
+        rank = np.empty(len(centres), np.int64)
+        rank[walk] = np.arange(len(centres))
+        return np.lexsort((np.arange(self.n), rank[near]))
+
+    def _add(self, scores: np.ndarray, query: np.ndarray, entries: Query, of: np.ndarray, want: np.ndarray) -> None:
+        """Adds the cosines' parts of the blocks that each query wants."""
+        for b in np.flatnonzero(want.any(axis=0)).tolist():
+            rows = np.flatnonzero(want[:, b])
+            at = slice(b * self.block, (b + 1) * self.block)
+            scores[rows, at] += query[rows] @ self.dense[:, at]
+        own, weights = entries
+        now = want[of, self.blocks[own]]
+        own, weights, of = own[now], weights[now], of[now]
         which, n = _ranges(self.starts[own], self.starts[own + 1])
-        return scores + np.bincount(self.at[which], self.weights[which] * np.repeat(weights, n), self.n)
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the highest cosine above 0, as (cosine, number), best first, ties by number."""
-        if not query or not self.n:
-            return []
-        terms = np.fromiter(sorted(query), np.int64, len(query))
-        weights = np.array([query[t] for t in terms.tolist()])
+        cell = np.repeat(of * self.n, n) + self.at[which]
+        scores += np.bincount(cell, self.weights[which] * np.repeat(weights, n), scores.size).reshape(scores.shape)
+
+    def nearest(self, queries: list[Query], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each query the k examples of the highest cosine above 0, as (cosine, number), best first, ties by number. without: for each query an example that doesn't count."""
+        if not queries or not self.n:
+            return [[] for _ in queries]
+        m, sizes = len(queries), np.array([len(t) for t, _ in queries])
+        terms, weights, of = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries]), np.repeat(np.arange(m), sizes)
+        row = self.row[terms]
+        common = row >= 0
+        query = np.zeros((m, len(self.dense)))
+        query[of[common], row[common]] = weights[common]
+        terms, weights, of = terms[~common], weights[~common], of[~common]
         own, n = _ranges(self.first[terms], self.first[terms + 1])
-        weights = np.repeat(weights, n)
-        bounds = np.bincount(self.blocks[own], weights * self.tops[own], self.n_blocks)
-        visited = np.zeros(self.n_blocks, bool)
-        visited[np.argsort(-bounds, kind="stable")[: FIRST + k // self.block]] = True
-        now = visited[self.blocks[own]]
-        scores = self._add(np.zeros(self.n), own[now], weights[now])
-        if without >= 0:
-            scores[self.places[without]] = 0
-        rest = ~visited & (bounds > 0)
+        weights, of = np.repeat(weights, n), np.repeat(of, n)
+        bounds = query @ self.dense_tops + np.bincount(of * self.n_blocks + self.blocks[own], weights * self.tops[own], m * self.n_blocks).reshape(m, -1)
+        scores, want = np.zeros((m, self.n)), np.zeros((m, self.n_blocks), bool)
+        few = min(self.n_blocks, FIRST + k // self.block)
+        want[np.arange(m)[:, None], np.argsort(-bounds, axis=1, kind="stable")[:, :few]] = True
+        self._add(scores, query, (own, weights), of, want)
+        if without is not None:
+            left_out = np.arange(m), self.places[without]
+            scores[left_out] = 0
+        rest = ~want & (bounds > 0)
         if self.n > k:
-            rest &= bounds >= np.partition(scores, self.n - k)[self.n - k] - 1e-9
-        if rest.any():
-            now = rest[self.blocks[own]]
-            scores = self._add(scores, own[now], weights[now])
-            if without >= 0:
-                scores[self.places[without]] = 0
-        found = np.flatnonzero(scores > 0)
-        if len(found) > k:
-            found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k] - 1e-9]
-        held = np.round(scores[found], 12)
-        best = np.lexsort((self.numbers[found], -held))[:k]
-        return list(zip(held[best].tolist(), self.numbers[found[best]].tolist(), strict=True))
+            rest &= bounds >= np.partition(scores, self.n - k, axis=1)[:, self.n - k, None] - 1e-9
+        self._add(scores, query, (own, weights), of, rest)
+        if without is not None:
+            scores[left_out] = 0
+        least = np.partition(scores, self.n - k, axis=1)[:, self.n - k, None] - 1e-9 if self.n > k else 0
+        of, found = np.nonzero((scores > 1e-12) & (scores >= least))
+        held, numbers = np.round(scores[of, found], 12), self.numbers[found]
+        best = np.lexsort((numbers, -held, of))
+        of, held, numbers = of[best], held[best].tolist(), numbers[best].tolist()
+        cuts = np.searchsorted(of, np.arange(m + 1)).tolist()
+        return [list(zip(held[i : min(j, i + k)], numbers[i : min(j, i + k)], strict=True)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def association(df: np.ndarray, n: Counter) -> np.ndarray:
@@ -180,16 +233,19 @@ class ToxicityModel:
         none = Counter(label for _, label, c in found if not c) or n
         self.without = none[1] * share[1] / max(1e-9, none[0] * share[0] + none[1] * share[1]) if found else 0.0
         self.intercept, self.slope = -4.0, 8.0
-        votes = [self.vote(self.index.nearest(v, k, without=j)) for j, (_, _, v) in enumerate(kept)]
+        votes = []
+        for at in range(0, len(kept), QUERIES):
+            part = range(at, min(len(kept), at + QUERIES))
+            votes += map(self.vote, self.index.nearest([kept[j][2] for j in part], k, without=list(part)))
         rows = [(x, y) for x, y in zip(votes, self.labels, strict=True) if x is not None]
         if {y for _, y in rows} == {0, 1}:
             w = [share[y] for _, y in rows]
             self.intercept, self.slope = logistic([x for x, _ in rows], [y for _, y in rows], [v * len(w) / sum(w) for v in w], ridge=0.05)
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        terms = sorted(counts)
-        v = (1 + np.log([counts[t] for t in terms])) * self.idf[terms]
-        return dict(zip(terms, (v / math.sqrt(v @ v)).tolist(), strict=True))
+    def vector(self, counts: dict[int, int]) -> Query:
+        terms = np.fromiter(counts, np.int64, len(counts))
+        v = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[terms]
+        return terms, v / math.sqrt(v @ v)
 
     def vote(self, near: list[tuple[float, int]]) -> float | None:
         """Share of the votes for toxic, each weighted by the inverse of the distance; two votes for clean at distance 1 keep few far neighbours from being certain."""
@@ -198,37 +254,39 @@ class ToxicityModel:
         weights = [1 / (1.05 - s) for s, _ in near]
         return sum(w for w, (_, i) in zip(weights, near, strict=True) if self.labels[i]) / (sum(weights) + 2 / 1.05)
 
-    def score(self, counts: Counter) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(self.vector(counts), self.k) if counts else []
-        vote = self.vote(near)
-        return (self.without if vote is None else sigmoid(self.intercept + self.slope * vote)), near
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """(score, neighbours) of each text. Texts are searched together, up to QUERIES of them or QUERY_TERMS terms."""
+        counter, held, n_terms = TermCounter(self.terms), [], 0
+        for text in texts:
+            counts = counter.counts(text)
+            held.append(self.vector(counts) if counts else None)
+            n_terms += len(counts)
+            if len(held) >= QUERIES or n_terms >= QUERY_TERMS:
+                yield from self._scored(held)
+                held, n_terms = [], 0
+        yield from self._scored(held)
+
+    def _scored(self, vectors: list[Query | None]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        found = iter(self.index.nearest([v for v in vectors if v is not None], self.k))
+        for v in vectors:
+            near = next(found) if v is not None else []
+            vote = self.vote(near)
+            yield (self.without if vote is None else sigmoid(self.intercept + self.slope * vote)), near
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = N_TOXIC, n_clean: int = N_CLEAN, max_chars: int = MAX_CHARS) -> ToxicityModel:
     return ToxicityModel(*labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, {0: n_clean, 1: n_toxic}, max_chars))
 
 
-_workers: dict[int, tuple] = {}
-
-
-def _worker(shared) -> tuple[ToxicityModel, TermCounter]:
-    """Of this Python worker, which outlives a task."""
-    model = shared.value
-    if _workers.get(0, (None,))[0] is not model:
-        _workers[0] = (model, TermCounter(model.terms))
-    return _workers[0]
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: ToxicityModel | None = None, **fitting) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for each row of docs. evidence: neighbour's doc_id:label:cosine, nearest first."""
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels, **fitting))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counter = _worker(shared)
-        for batch in batches:
+        model = shared.value
+        for batch in sliced(batches):
             score, evidence = [], []
-            for text in str_texts(batch):
-                s, near = model.score(counter.counts(text))
+            for s, near in model.scores(str_texts(batch)):
                 score.append(s)
                 evidence.append(",".join(f"{model.ids[i]}:{model.labels[i]}:{c:.4f}" for c, i in near))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array(evidence, pa.string())], ["doc_id", "score", "predicted", "evidence"])
@@ -242,8 +300,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels, **fitting))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counter = _worker(shared)
-        for batch in batches:
-            yield batch.filter(pa.array([model.score(counter.counts(text))[0] < threshold for text in str_texts(batch)], pa.bool_()))
+        model = shared.value
+        for batch in sliced(batches):
+            yield batch.filter(pa.array([s < threshold for s, _ in model.scores(str_texts(batch))], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

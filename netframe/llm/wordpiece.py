@@ -14,17 +14,19 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from netframe.llm.common import raw_texts, text_frame
+from netframe.llm.common import Remembered, of_worker, raw_texts, sliced, text_frame
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-MAX_REMEMBERED = 400_000
+#: Words whose lengths a worker remembers, in bytes.
+REMEMBERED_BYTES = 64 << 20
 
 
 def load_pieces(path: str) -> list[str]:
@@ -87,23 +89,11 @@ class Automaton:
 _UNKNOWN = 1 << 40
 
 
-class _Remembered(dict):
+def _pieces_of(automaton: Automaton, raw: bytes) -> int:
     """Number of pieces of a word; an unknown word is one, and _UNKNOWN beside it."""
-
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, raw: bytes) -> int:
-        if len(self) >= MAX_REMEMBERED:
-            self.clear()
-        word = raw.decode("utf-8", "replace")
-        n = None if MARK in word else self.automaton.count(MARK + word)
-        made = self[raw] = 1 + _UNKNOWN if n is None else n
-        return made
-
-
-_workers: dict[int, tuple] = {}
+    word = raw.decode("utf-8", "replace")
+    n = None if MARK in word else automaton.count(MARK + word)
+    return 1 + _UNKNOWN if n is None else n
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -112,10 +102,8 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
-        if _workers.get(0, (None,))[0] is not automaton:
-            _workers[0] = (automaton, _Remembered(automaton))
-        look = _workers[0][1].__getitem__
-        for batch in batches:
+        look = of_worker(automaton, partial(Remembered, partial(_pieces_of, automaton), REMEMBERED_BYTES)).__getitem__
+        for batch in sliced(batches):
             n_words, sums = [], []
             for raw in raw_texts(batch):
                 words = raw.split()

@@ -56,6 +56,8 @@ def corpus(seed, n=160):
 def test_components(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(jaccard, "CHUNK", 4)
+    monkeypatch.setattr(jaccard, "BUCKET_BYTES", (64, 4000, 16 << 20)[seed - 1])
+    monkeypatch.setattr(jaccard, "SET_BLOCK", (8, 8192, 30)[seed - 1])
     monkeypatch.setattr(jaccard, "MAX_BROADCAST_IDS", seed - 2)
     rows = corpus(seed)
     out = jaccard.jaccard_components(frame(spark, rows).repartition(5)).collect()
@@ -69,6 +71,11 @@ def test_components_of_odd_tables(spark):
     more = jaccard.jaccard_components(frame(spark, [*rows, (4, "one two"), (None, "one two"), (None, None)])).collect()
     assert len(more) == len(rows) + 3 and {r.component_id for r in more if r.n_shingles == 1 and r.doc_id != 6 and r.doc_id not in (9, 10)} == {4}
     assert jaccard.jaccard_components(frame(spark, [])).count() == 0
+    # a doc_id with two texts: each row belongs to its own text's component
+    copy, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    two = frame(spark, [(1, copy), (5, copy + " z"), (5, other), (9, other + " z"), (9, other), (9, copy)])
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(two).collect()) == [(1, 36, 1), (5, 36, 5), (5, 37, 1), (9, 36, 1), (9, 36, 5), (9, 37, 5)]
+    assert sorted((r.doc_id, r.text) for r in jaccard.one_of_each_group(two).collect()) == [(1, copy), (5, other)]
     clash = frame(spark, [(4, "a b", 1, 2), (5, "a b", 3, 4)], "doc_id long, text string, hi int, n long")
     assert [r.n for r in jaccard.one_of_each_group(clash).collect()] == [2]
 

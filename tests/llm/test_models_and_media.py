@@ -1,8 +1,11 @@
 """Quality, sorted string tables, lossless WebP, token counts and toxicity: round trips, brute force and held-out accuracy."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -67,31 +70,77 @@ def test_toxicity_accuracy(spark):
 def test_toxicity_takes_every_term():
     rows = [(i, int(i % 4 == 0), f"{'vile ' * (i % 4 == 0)}an ox no {i} of the red sea") for i in range(40)] + [(100, 0, "犬が好き"), (101, 1, "猫が嫌い")]
     model = toxicity.ToxicityModel(rows, {0: 31, 1: 11})
-    counter = toxicity.TermCounter(model.terms)
     assert {"an", "ox", "no", "7", "犬", "が好", "好き"} <= set(model.terms)
-    for text, nearest in (("ox", None), ("the red sea 7", 7), ("私は犬が好き", 100), ("猫", 101)):
-        score, near = model.score(counter.counts(text))
-        assert near and 0 < score < 1, text
-        assert nearest is None or model.ids[near[0][1]] == nearest
-    vectors = {i: model.vector(counter.counts(t)) for i, _, t in rows}
-    query = model.vector(counter.counts("vile sea of 5 oxen"))
-    want = sorted(((round(c, 9), -i) for i, v in vectors.items() if (c := sum(w * v.get(t, 0) for t, w in query.items())) > 0), reverse=True)[:15]
-    assert [(round(c, 9), -model.ids[j]) for c, j in model.index.nearest(query, 15)] == want
+    texts = ("ox", "the red sea 7", "私は犬が好き", "猫", "", "nothing known")
+    for text, nearest, (score, near) in zip(texts, (None, 7, 100, 101, -1, -1), model.scores(list(texts)), strict=True):
+        assert 0 < score < 1 and bool(near) == (nearest != -1), text
+        assert nearest in (None, -1) or model.ids[near[0][1]] == nearest
+
+
+def plain_toxicity(rows, counts, texts, k=15):
+    """Scores by plain loops: TF-IDF weighted by association, cosines, votes and a logistic curve."""
+    rows = sorted({t: (i, y, t) for i, y, t in sorted(rows, reverse=True)}.values())
+    words = lambda t: Counter(re.findall(r"\w+", t.lower()))
+    df = {y: Counter(w for _, label, t in rows if label == y for w in words(t)) for y in (0, 1)}
+    n = Counter(y for _, y, _ in rows)
+    total = n[0] + n[1]
+
+    def weight(w):
+        a, b = df[1][w], df[0][w]
+        c, d = n[1] - a, n[0] - b
+        chi = total * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d))
+        return (math.log((1 + total) / (1 + a + b)) + 1) * (1 + chi**0.5)
+
+    def vector(t):
+        v = {w: (1 + math.log(c)) * weight(w) for w, c in words(t).items() if df[0][w] + df[1][w]}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = [vector(t) for _, _, t in rows]
+
+    def vote(v, without=-1):
+        near = sorted(((-round(s, 12), j) for j, x in enumerate(vectors) if j != without and (s := sum(c * x.get(w, 0) for w, c in v.items())) > 1e-12))[:k]
+        held = [1 / (1.05 + s) for s, _ in near]
+        return sum(h for h, (_, j) in zip(held, near, strict=True) if rows[j][1]) / (sum(held) + 2 / 1.05) if near else None
+
+    votes = [(x, rows[j][1]) for j, v in enumerate(vectors) if (x := vote(v, j)) is not None]
+    share = [counts[y] / n[y] for _, y in votes]
+    a, b = quality.logistic([x for x, _ in votes], [y for _, y in votes], [s * len(share) / sum(share) for s in share], ridge=0.05)
+    none = counts[1] / (counts[0] + counts[1])
+    return [none if (x := vote(vector(t))) is None else 1 / (1 + math.exp(-a - b * x)) for t in texts]
+
+
+def test_toxicity_scores_by_plain_loops():
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(70)]
+    text = lambda y: " ".join(rng.choices(words + ["vile", "foul"] * 6 * y, k=rng.randint(1, 30)))
+    rows = [(i, y := int(i % 3 == 0), text(y)) for i in range(150)] + [(200 + k, 1, "foul w1 w2") for k in range(3)]
+    texts = [text(k % 2) for k in range(80)] + ["", "unheard of", "w1 " * 5000]
+    got = [s for s, _ in toxicity.ToxicityModel(rows, {0: 300, 1: 60}).scores(texts)]
+    assert got == pytest.approx(plain_toxicity(rows, {0: 300, 1: 60}, texts), abs=1e-9)
 
 
 def test_block_max_search_is_exact():
     rng = random.Random(3)
+
     def vector():
-        v = {t: rng.random() for t in rng.sample(range(40), rng.randint(1, 8))}
+        v = {t: rng.random() for t in [*rng.sample(range(40), rng.randint(1, 8)), *rng.sample(range(40, 400), 3)]}
         norm = sum(x * x for x in v.values()) ** 0.5
         return {t: x / norm for t, x in v.items()}
+
+    def packed(v):
+        return np.array(list(v), np.int64), np.array(list(v.values()))
+
     vectors = [vector() for _ in range(500)]
     vectors += vectors[:50]  # ties
-    index = toxicity.BlockMaxIndex(vectors, 40, block=16)
-    for _ in range(60):
-        q = vector()
+    index = toxicity.BlockMaxIndex([packed(v) for v in vectors], 400, block=16)
+    assert 0 < len(index.dense) < 400
+    queries = [vector() for _ in range(60)]
+    for q, near in zip(queries, index.nearest([packed(q) for q in queries], 15), strict=True):
         want = sorted(((round(s, 9), -i) for i, v in enumerate(vectors) if (s := sum(w * v.get(t, 0) for t, w in q.items())) > 0), reverse=True)[:15]
-        assert [(round(s, 9), -i) for s, i in index.nearest(q, 15)] == want
+        assert [-i for _, i in near] == [i for _, i in want] and [s for s, _ in near] == pytest.approx([s for s, _ in want], abs=2e-9)
+    own = index.nearest([packed(v) for v in vectors[50:70]], 1, without=list(range(50, 70)))
+    assert all(near[0][1] != i for i, near in zip(range(50, 70), own, strict=True))
 
 
 # -- sorted string tables -------------------------------------------------------------------------------------------
@@ -99,9 +148,7 @@ def test_block_max_search_is_exact():
 
 @pytest.fixture(scope="module")
 def plain_tokenizer():
-    made = Tokenizer.from_file(public_tokenizers.path(sstable.VOCABULARY))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public_tokenizers.path(sstable.VOCABULARY))
 
 
 @pytest.fixture(scope="module")
