@@ -1,29 +1,38 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over all windows of the normalised test texts scans each normalised
-document once (a large benchmark is scanned for in passes); hits are mapped back to code points of the original.
+"""Benchmark decontamination: an Aho-Corasick automaton over all windows of the normalised test texts scans each normalised
+document once; hits are mapped back to code points of the original.
 
 Words are runs of letters and digits (ASCII, A-Z lower-cased) and of all characters beyond ASCII. A window is window
-consecutive words of an item; a shorter item, unless it has no words, is one window.
+consecutive words of an item; a shorter item, unless it has no words, is one window. The automaton's letters are the benchmark's
+words, so a window is at most window letters long, and a document's word that no item has ends every match.
+
+Automata are built by tasks and stored in the shared folder: one, or where the benchmark has more than max_block_bytes of
+text, one for each hash block of items of about that size. The corpus is read once either way: a task holds a batch of documents
+against one automaton after the other, and has one of them in memory at a time.
 
 Defined cases: null and empty texts have no words and no hits. Items without words never occur. Rows of an item_id that
-repeats count as one item; null item_ids are left out of n_items. Without items nothing is contaminated.
+repeats count as one item; null item_ids are left out of n_items. Without items nothing is contaminated. Long texts are scanned whole.
+Repeated rows have equal results.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import ahocorasick
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netframe.llm.common import materialize, raw_texts, text_frame
+from netframe.llm.common import of_worker, raw_texts, shared_path, sliced, text_frame
 
 WINDOW = 10
-#: Benchmark text for one automaton (its windows hold each word ten times). A larger benchmark is scanned for in passes, a block of this size in each.
-MAX_BLOCK_BYTES = 1 << 20
+#: Benchmark text for one automaton.
+MAX_BLOCK_BYTES = 2 << 20
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Lower-cases A-Z and makes a space of all that isn't in a word, byte by byte.
@@ -41,126 +50,115 @@ def windows_of(words: list[bytes], window: int) -> list[list[bytes]]:
     return [words[i : i + window] for i in range(max(1, len(words) - window + 1))]
 
 
-def automaton(items: list[tuple[str, bytes]], window: int) -> ahocorasick.Automaton | None:
-    """Finds each window with a space at both ends; its value: the number of words and the items that have it."""
-    held: dict[str, tuple[int, set[str]]] = {}
-    for item_id, raw in items:
-        for part in windows_of(words_of(raw), window):
-            held.setdefault(f" {b' '.join(part).decode('utf-8', 'replace')} ", (len(part), set()))[1].add(item_id)
-    if not held:
-        return None
-    made = ahocorasick.Automaton()
-    for key, (n, ids) in held.items():
-        made.add_word(key, (n, tuple(sorted(ids))))
-    made.make_automaton()
-    return made
-
-
-def _blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of a bounded size, one in memory at a time."""
-    block, held = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    for row in rows.toLocalIterator():
-        raw = row.text.encode()
-        block.append((row.item_id, raw))
-        held += len(raw)
-        if held >= max_bytes:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
-def scan_text(raw: bytes, made: ahocorasick.Automaton | None) -> tuple[int, set[int], set[str]]:
-    """Number of words, the numbers of the hit ones, and the items found."""
-    words = words_of(raw)
-    hits, items, hit = [], set(), set()
-    if words and made is not None:
-        normal = f" {b' '.join(words).decode('utf-8', 'replace')} "
-        for end, (n, ids) in made.iter(normal):
-            hits.append((end, n))
+class WindowAutomaton:
+    """Finds windows in sequences of words; a match gives its number of words and the items that have it."""
+
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
+        self.letters: dict[bytes, str] = {}
+        held: dict[str, set[str | None]] = {}
+        for item_id, raw in items:
+            for part in windows_of(words_of(raw), window):
+                held.setdefault("".join([self.letters.setdefault(w, chr(FIRST_LETTER + len(self.letters))) for w in part]), set()).add(item_id)
+        self.automaton = ahocorasick.Automaton()
+        for key, ids in held.items():
+            self.automaton.add_word(key, (len(key), tuple(sorted(ids, key=str))))
+        if held:
+            self.automaton.make_automaton()
+
+    def scan(self, words: list[bytes], hit: set[int], items: set[str]) -> None:
+        """Adds the numbers of the words that are hit and the items found."""
+        if not self.letters or not words:
+            return
+        get = self.letters.get
+        for end, (n, ids) in self.automaton.iter("".join([get(w, NO_LETTER) for w in words])):
+            hit.update(range(end - n + 1, end + 1))
             items.update(ids)
-    if hits:
-        hits.sort()
-        last = at = 0
-        for end, n in hits:
-            at += normal.count(" ", last, end)
-            last = end
-            hit.update(range(at - n, at))
-    items.discard(None)
-    return len(words), hit, items
-
-
-def _automata(docs: DataFrame, benchmark: DataFrame, window: int, max_block_bytes: int) -> Iterator[tuple]:
-    """(broadcast automaton or None, whether it is the last), one block at a time."""
-    sc, held = docs.sparkSession.sparkContext, None
-    for block in _blocks(benchmark, max_block_bytes):
-        if (made := automaton(block, window)) is not None:
-            if held is not None:
-                yield held, False
-                held.unpersist()
-            held = sc.broadcast(made)
-    yield held, True
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all columns, in which no window occurs."""
-    for shared, last in _automata(docs, benchmark, window, max_block_bytes):
+#: Words of an item that one row has; a longer item is several rows that overlap by window - 1 words.
+PART_WORDS = 1 << 16
+#: Letters are characters from here on (beyond the surrogates); no window has NO_LETTER.
+FIRST_LETTER, NO_LETTER = 0xE000, "\0"
+
+
+def _parts(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items with words, normalised, in parts that hold all their windows."""
+    for batch in sliced(batches):
+        rows = [(i, w[k : k + PART_WORDS + window - 1]) for i, w in zip(batch.column("item_id").to_pylist(), map(words_of, raw_texts(batch)), strict=True) if w for k in range(0, max(1, len(w) - window + 1), PART_WORDS)]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.string()), pa.array([b" ".join(w).decode() for _, w in rows], pa.string())], ["item_id", "text"])
+
+
+def _automata(docs: DataFrame, benchmark: DataFrame, window: int, max_block_bytes: int) -> list[str]:
+    """Files of the automata, in the shared folder."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = items.mapInArrow(partial(_parts, window), "item_id string, text string").distinct()
+    n_blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // max_block_bytes)
+    folder = shared_path(docs.sparkSession, "automata")
+
+    def build(block: pa.Table) -> pa.Table:
+        made = WindowAutomaton(list(zip(block["item_id"].to_pylist(), (x.encode() for x in block["text"].to_pylist()), strict=True)), window)
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name = f"{root}/{block['block'][0].as_py()}"
+        with store.open_output_stream(name) as out:  # a task that runs again writes the same
+            out.write(pickle.dumps(made))
+        return pa.table({"name": [name]})
+
+    blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks))))
+    names = [r.name for r in blocks.groupBy("block").applyInArrow(build, "name string").collect()]  # a row for each file
+    return [f"{folder}\t{name}" for name in sorted(names)]
+
+
+def _load(name: str) -> WindowAutomaton:
+    folder, path = name.split("\t")
+    with fs.FileSystem.from_uri(folder)[0].open_input_file(path) as source:
+        return pickle.loads(source.read())
 
-        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            made = shared.value if shared is not None else None
-            for batch in batches:
-                yield batch.filter(pa.array([not scan_text(raw, made)[1] for raw in raw_texts(batch)], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-        if not last:
-            docs = materialize(docs, "decontaminated")
-    return docs
+Found = list[tuple[int, set[int], set[str]]]
 
 
-FOUND_SCHEMA = "doc_id long, text string, hits array<int>, items array<string>"
+def _scanned(batches: Iterator[pa.RecordBatch], automata: list[str]) -> Iterator[tuple[pa.RecordBatch, Found]]:
+    """Each batch with its rows' number of words, hit words and items."""
+    for batch in batches if len(automata) > 1 else sliced(batches):  # an automaton that is read again for each batch wants large ones
+        words = [words_of(raw) for raw in raw_texts(batch)]
+        found: Found = [(len(w), set(), set()) for w in words]
+        for name in automata:
+            made = of_worker(("automaton", name), partial(_load, name))
+            for own, (_, hit, items) in zip(words, found, strict=True):
+                made.scan(own, hit, items)
+        for _, _, items in found:
+            items.discard(None)
+        yield batch, found
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all columns, in which no window occurs."""
+    automata = _automata(docs, benchmark, window, max_block_bytes)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _scanned(batches, automata):
+            yield batch.filter(pa.array([not hit for _, hit, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_block_bytes: int = MAX_BLOCK_BYTES, with_spans: bool = True) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and with_spans: spans) for each row of docs. spans: start:end of each run of hit words, in code points of the original text."""
-    rows = text_frame(docs).withColumn("hits", F.expr("cast(array() as array<int>)")).withColumn("items", F.expr("cast(array() as array<string>)"))
-    for shared, last in _automata(docs, benchmark, window, max_block_bytes):
-        if last:
-            break
-        rows = materialize(rows.mapInArrow(_found(shared), FOUND_SCHEMA), "contamination")
-    scan = _found(shared)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scan(batches, counted=True):
-            hits, items = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-            sums = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-            out = [batch.column("doc_id"), batch.column("n_words"), pa.array(map(len, hits), pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(sums, pa.string()), pa.array([bool(x) for x in hits], pa.bool_())]
+    automata = _automata(docs, benchmark, window, max_block_bytes)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _scanned(batches, automata):
+            sums = [hashlib.sha256(",".join(sorted(items)).encode()).hexdigest() for _, _, items in found]
+            counts = zip(*((n, len(hit), len(items)) for n, hit, items in found), strict=True) if found else ((), (), ())
+            out = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array([bool(hit) for _, hit, _ in found], pa.bool_())]
             names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
             if with_spans:
-                out.append(pa.array([_spans(raw, set(hit)) if hit else "" for raw, hit in zip(raw_texts(batch), hits, strict=True)], pa.string()))
+                out.append(pa.array([_spans(raw, hit) if hit else "" for raw, (_, hit, _) in zip(raw_texts(batch), found, strict=True)], pa.string()))
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(out, names)
 
-    return rows.mapInArrow(finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", spans string" * with_spans)
-
-
-def _found(shared):
-    """Adds what one block's automaton finds to what is known of each row."""
-
-    def add(batches: Iterator[pa.RecordBatch], counted: bool = False) -> Iterator[pa.RecordBatch]:
-        made = shared.value if shared is not None else None
-        for batch in batches:
-            n_words, hits, items = [], [], []
-            for raw, old_hits, old_items in zip(raw_texts(batch), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                n, hit, own = scan_text(raw, made)
-                n_words.append(n)
-                hits.append(sorted(hit.union(old_hits)))
-                items.append(sorted(own.union(old_items)))
-            out = [batch.column("doc_id"), batch.column("text"), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            names = ["doc_id", "text", "hits", "items"]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(n_words, pa.int64())], [*names, "n_words"]) if counted else pa.RecordBatch.from_arrays(out, names)
-
-    return add
+    return text_frame(docs).mapInArrow(find, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", spans string" * with_spans)
 
 
 def _spans(raw: bytes, hit: set[int]) -> str:

@@ -5,7 +5,8 @@ points that min_docs documents hold lose all their lines except in the largest d
 
 The exact side is a table of references (one row for each document and key) and the counts it sums up to. The filters hold
 16-bit fingerprints of the keys that are droppable just now, sharded by key. They spare the exact lookup for the lines whose
-key no filter knows; what a filter lets through is decided by the counts. Deleting documents takes references and
+key no filter knows; what a filter lets through is decided by the counts. Small filters are broadcast to the scan of the texts,
+others meet the references shard by shard. Deleting documents takes references and
 fingerprints back, so an index after insert(x) and delete(x) answers as before.
 
 Defined cases: null text is one empty line. A document in several rows (same doc_id) counts once. Rows without doc_id hold
@@ -24,14 +25,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netframe.llm.common import materialize, raw_texts, shared_path, text_frame
+from netframe.llm.common import materialize, raw_texts, shared_path, sliced, text_frame
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: Shards at least; more where the keys ask for them.
 N_SHARDS = 64
-#: Filters are broadcast up to this size; beyond it every reference goes to the exact join.
+#: Keys of a shard's filter, about.
+SHARD_KEYS = 1 << 17
+#: Filters are broadcast up to this size; beyond it references go to their shard's filter.
 MAX_FILTER_BYTES = 64 << 20
+#: Tasks that the references of one shard are dealt to, each with the shard's filter: a key that many documents have is not one task's.
+SALTS = 16
 
 REF_SCHEMA = "doc_id long, hi long, lo long, n_lines long"
 FILTER_SCHEMA = "shard int, n_keys long, cells binary"
@@ -53,7 +59,7 @@ def line_references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, hi, lo, n_lines): the keys of each document, once each, with the number of its lines."""
 
     def refs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, digests, counts = [], [], []
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch), strict=True):
                 own: dict[bytes, int] = {}
@@ -220,7 +226,7 @@ def _probed(refs_source: DataFrame, bank: FilterBank, min_chars: int) -> DataFra
     shared = refs_source.sparkSession.sparkContext.broadcast(bank)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, digests = [], []
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), raw_texts(batch), strict=True):
                 own = {key for line in raw.split(b"\n") if len(line) >= min_chars and (key := line_key(line, min_chars))}
@@ -233,15 +239,39 @@ def _probed(refs_source: DataFrame, bank: FilterBank, min_chars: int) -> DataFra
     return text_frame(refs_source).mapInArrow(probe, "doc_id long, hi long, lo long")
 
 
+def _probed_by_shard(docs: DataFrame, filters: DataFrame, n_shards: int, min_chars: int) -> DataFrame:
+    """(doc_id, hi, lo) of the lines that the filters may hold: each reference goes to a task that has its shard's filter."""
+    refs = line_references(docs, min_chars).select(_shard(n_shards), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("kind"), "doc_id", "hi", "lo", F.lit(None).cast("binary").alias("cells"))
+    null = F.lit(None).cast("long")
+    held = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), null.alias("doc_id"), null.alias("hi"), null.alias("lo"), "cells")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, bank = None, None
+        for batch in batches:  # sorted: a shard's filter comes before its references
+            filters_at = np.flatnonzero(batch.column("kind").to_numpy() == 0).tolist()
+            cuts = sorted({0, *filters_at, *(i + 1 for i in filters_at), batch.num_rows})
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(i, j - i)
+                if i in filters_at:
+                    shard, bank = part.column("shard")[0].as_py(), FilterBank([(0, part.column("cells")[0].as_py())], 1)
+                elif bank is not None:
+                    hit = bank.probe(part.column("hi").to_numpy().copy(), part.column("lo").to_numpy()) & (part.column("shard").to_numpy() == shard)
+                    yield part.filter(pa.array(hit)).select(["doc_id", "hi", "lo"])
+
+    both = held.unionByName(refs).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    return both.mapInArrow(probe, "doc_id long, hi long, lo long")
+
+
 def _drops(docs: DataFrame, min_chars: int, min_docs: int, n_shards: int, max_filter_bytes: int, index: LineIndex | None) -> DataFrame:
     """(drop_id, hi, lo): the keys whose lines a document loses, in two arrays."""
     if index is None:
         heavy = materialize(reference_counts(line_references(docs, min_chars)).where(F.col("n_docs") >= min_docs), "line-counts")
+        n_shards = max(n_shards, heavy.count() // SHARD_KEYS)
         filters = materialize(cuckoo_filters(heavy, n_shards), "line-filters")
     else:
         heavy, filters, n_shards = index.counts().where(F.col("n_docs") >= min_docs), index.filters(), index.n_shards
     bank = _bank(filters, n_shards, max_filter_bytes)
-    maybe = _probed(docs, bank, min_chars) if bank is not None else line_references(docs, min_chars).select("doc_id", "hi", "lo")
+    maybe = _probed(docs, bank, min_chars) if bank is not None else _probed_by_shard(docs, filters, n_shards, min_chars)
     held = maybe.join(heavy.select("hi", "lo", "keeper"), ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     # a document's own lines at most
     return held.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct("hi", "lo")).alias("keys")).select("drop_id", F.col("keys.hi").alias("hi"), F.col("keys.lo").alias("lo"))
@@ -265,7 +295,7 @@ def dedup_lines(
     joined = own.join(drops, own.doc_id.eqNullSafe(drops.drop_id), "left").select("doc_id", "text", "hi", "lo")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n_lines, n_dropped, sums, kept_texts = [], [], [], []
             for raw, hi, lo in zip(raw_texts(batch), batch.column("hi").to_pylist(), batch.column("lo").to_pylist(), strict=True):
                 lines, kept = _kept_lines(raw, hi, lo, min_chars)
@@ -287,12 +317,15 @@ def dedup_lines(
 def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_shards: int = N_SHARDS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """docs with all its columns; text holds only the lines that stay, and n_chars, where there is one, their length."""
     drops = _drops(docs, min_chars, min_docs, n_shards, max_filter_bytes, None)
-    keys = drops.select(F.struct(*drops.columns).alias("dropped_keys"))
-    joined = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("dropped_keys.drop_id")), "left")
+    name = "dropped_keys"
+    while name in docs.columns:
+        name += "_"
+    keys = drops.select(F.struct(*drops.columns).alias(name))
+    joined = docs.join(keys, docs.doc_id.cast("long").eqNullSafe(keys[name].drop_id), "left")
     columns, schema = docs.columns, docs.schema
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = []
             for raw, keys in zip(raw_texts(batch), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 texts.append(b"\n".join(_kept_lines(raw, keys["hi"], keys["lo"], min_chars)[1]) if keys else raw)
@@ -305,44 +338,60 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs
 
 
 class LineIndex:
-    """The state on disk: references, exact counts and filters. Each change writes a new generation beside the old one, and the generation number moves on only after it is whole, so a job that fails leaves the index as it was."""
+    """The state on disk: references, deleted documents, exact counts and filters. A change writes only itself, as a new generation:
+    the references that come, the documents that go, and the counts and filters of the keys and shards that it touches; the
+    youngest generation of a key or shard holds. The generation number moves on only after all is whole, so a job that fails leaves
+    the index as it was. compacted() writes all of it as one generation."""
+
+    TABLES = {"refs": REF_SCHEMA, "gone": "doc_id long", "counts": "hi long, lo long, n_docs long, keeper long", "filters": FILTER_SCHEMA}
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, n_shards: int = N_SHARDS):
         self.spark, self.path = spark, path or shared_path(spark, "line-index")
-        self.min_chars, self.min_docs, self.n_shards, self.generation = min_chars, min_docs, n_shards, 0
-        empty = spark.createDataFrame([], REF_SCHEMA)
-        self._write(empty, spark.createDataFrame([], FILTER_SCHEMA), 0)
+        self.min_chars, self.min_docs, self.n_shards, self.generations = min_chars, min_docs, n_shards, []
 
-    def _at(self, table: str, generation: int | None = None) -> str:
-        return f"{self.path}/{table}-{self.generation if generation is None else generation}"
+    def _at(self, table: str, generation: int) -> str:
+        return f"{self.path}/{table}-{generation}"
+
+    def _all(self, table: str) -> DataFrame:
+        """All generations of a table, with their number (generation)."""
+        parts = [self.spark.read.schema(self.TABLES[table]).parquet(self._at(table, g)).withColumn("generation", F.lit(g)) for g in self.generations]
+        out = self.spark.createDataFrame([], f"{self.TABLES[table]}, generation int")
+        for part in parts:
+            out = out.unionByName(part)
+        return out
 
     def references(self) -> DataFrame:
-        return self.spark.read.parquet(self._at("refs"))
+        """The references of all documents that are in the index now."""
+        gone = self._all("gone").groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("generation").alias("gone_at"))
+        refs = self._all("refs")
+        return refs.join(gone, refs.doc_id == gone.gone_id, "left").where("gone_at is null or gone_at < generation").select("doc_id", "hi", "lo", "n_lines")
 
     def counts(self) -> DataFrame:
-        return self.spark.read.parquet(self._at("counts"))
+        return self._all("counts").groupBy("hi", "lo").agg(F.max_by(F.struct("n_docs", "keeper"), "generation").alias("x")).select("hi", "lo", "x.*").where("n_docs > 0")
 
     def filters(self) -> DataFrame:
-        return self.spark.read.parquet(self._at("filters"))
-
-    def _write(self, refs: DataFrame, filters: DataFrame | None, generation: int) -> None:
-        refs.write.parquet(self._at("refs", generation))
-        counts = reference_counts(self.spark.read.parquet(self._at("refs", generation)))
-        counts.write.parquet(self._at("counts", generation))
-        if filters is None:
-            filters = self._changed(self.spark.read.parquet(self._at("counts", generation)))
-        filters.write.parquet(self._at("filters", generation))
-        self.generation = generation
-
-    def _changed(self, counts: DataFrame) -> DataFrame:
-        """The filters after the keys that have become droppable are inserted and those no longer so are deleted, shard by shard."""
-        old, new = (x.where(F.col("n_docs") >= self.min_docs).select("hi", "lo") for x in (self.counts(), counts))
-        added, gone = new.join(old, ["hi", "lo"], "left_anti"), old.join(new, ["hi", "lo"], "left_anti")
-        changes = added.withColumn("add", F.lit(True)).unionByName(gone.withColumn("add", F.lit(False))).select(_shard(self.n_shards), "hi", "lo", "add")
-        exact = new.select(_shard(self.n_shards), "hi", "lo")
+        return self._all("filters").groupBy("shard").agg(F.max_by(F.struct("n_keys", "cells"), "generation").alias("x")).select("shard", "x.*").where("n_keys > 0")
+
+    def _write(self, refs: DataFrame, gone: DataFrame, touched: DataFrame) -> LineIndex:
+        """touched: (hi, lo, n_docs, keeper) of the keys that change, after the change."""
+        at = self.generations[-1] + 1 if self.generations else 0
+        refs.write.parquet(self._at("refs", at))
+        gone.write.parquet(self._at("gone", at))
+        touched.write.parquet(self._at("counts", at))
+        now = self.spark.read.schema(self.TABLES["counts"]).parquet(self._at("counts", at))
+        self._changed(now).write.parquet(self._at("filters", at))
+        self.generations.append(at)
+        return self
+
+    def _changed(self, now: DataFrame) -> DataFrame:
+        """The filters of the shards in which keys have become droppable (those are inserted) or no longer are (those are deleted)."""
+        enough = F.col("n_docs") >= self.min_docs
+        old = self.counts().where(enough).select("hi", "lo", F.lit(True).alias("was"))
+        edits = now.join(old, ["hi", "lo"], "left").select("hi", "lo", enough.alias("add"), F.coalesce("was", F.lit(False)).alias("was")).where("add <> was").select(_shard(self.n_shards), "hi", "lo", "add")
+        edits = materialize(edits, "line-filter-edits")
 
         def change(filters: pa.Table, edits: pa.Table) -> pa.Table:
-            shard = (filters if filters.num_rows else edits)["shard"][0].as_py()
+            shard = edits["shard"][0].as_py()
             if filters.num_rows:
                 made = CuckooFilter(np.frombuffer(filters["cells"][0].as_py(), np.uint16).reshape(-1, SLOTS).copy(), filters["n_keys"][0].as_py())
             else:
@@ -352,19 +401,36 @@ class LineIndex:
                 full = full or not (made.insert(hi, lo) if add else made.delete(hi, lo))
             return pa.table({"shard": pa.array([shard], pa.int32()), "n_keys": pa.array([-1 if full else made.n_keys], pa.int64()), "cells": pa.array([b"" if full else made.cells.tobytes()], pa.binary())})
 
-        done = materialize(self.filters().groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(change, FILTER_SCHEMA), "line-filter-changes")
-        full = done.where("n_keys < 0").select("shard")
-        rebuilt = cuckoo_filters(exact.join(full, "shard", "left_semi"), self.n_shards)  # a shard that has outgrown its filter
-        return done.where("n_keys > 0").unionByName(rebuilt)
+        own = self.filters().join(edits.select("shard").distinct(), "shard", "left_semi")
+        done = materialize(own.groupBy("shard").cogroup(edits.groupBy("shard")).applyInArrow(change, FILTER_SCHEMA), "line-filter-changes")
+        full = done.where("n_keys < 0").select("shard")  # a shard that has outgrown its filter
+        after = self.counts().where(enough).select("hi", "lo").join(now, ["hi", "lo"], "left_anti").unionByName(now.where(enough).select("hi", "lo"))
+        rebuilt = cuckoo_filters(after.select(_shard(self.n_shards), "hi", "lo").join(full, "shard", "left_semi"), self.n_shards)
+        return done.where("n_keys >= 0").unionByName(rebuilt)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """Adds documents; those that the index has are left as they are."""
-        new = line_references(docs, self.min_chars)
+        """Adds documents; those that the index has are left as they are, and rows without doc_id are none."""
         known = self.references().select("doc_id").distinct()
-        self._write(self.references().unionByName(new.join(known, "doc_id", "left_anti")), None, self.generation + 1)
-        return self
+        new = line_references(docs.where("doc_id is not null"), self.min_chars).join(known, "doc_id", "left_anti").dropDuplicates(["doc_id", "hi", "lo"])
+        new = materialize(new, "line-references")
+        more = reference_counts(new)
+        old = self.counts().select("hi", "lo", F.col("n_docs").alias("n"), F.col("keeper").alias("k"))
+        touched = more.join(old, ["hi", "lo"], "left").select("hi", "lo", (F.col("n_docs") + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("keeper", "k").alias("keeper"))
+        return self._write(new, self.spark.createDataFrame([], "doc_id long"), touched)
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        """Takes the documents of ids (doc_id) back out."""
-        self._write(self.references().join(ids.select("doc_id").distinct(), "doc_id", "left_anti"), None, self.generation + 1)
-        return self
+        """Takes the documents of ids (doc_id) back out. Keys that they held are counted again, others aren't touched."""
+        gone = materialize(ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "gone-documents")
+        live = self.references()
+        held = materialize(live.join(gone, "doc_id", "left_semi").select("hi", "lo").distinct(), "touched-keys")
+        left = reference_counts(live.join(held, ["hi", "lo"], "left_semi").join(gone, "doc_id", "left_anti"))
+        touched = held.join(left, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"), "keeper")
+        return self._write(self.spark.createDataFrame([], REF_SCHEMA), gone, touched)
+
+    def compacted(self, path: str | None = None) -> LineIndex:
+        """The same index as one generation, in a new place."""
+        made = LineIndex(self.spark, path, self.min_chars, self.min_docs, self.n_shards)
+        for table, rows in (("refs", self.references()), ("gone", self.spark.createDataFrame([], "doc_id long")), ("counts", self.counts()), ("filters", self.filters())):
+            rows.write.parquet(made._at(table, 0))
+        made.generations.append(0)
+        return made

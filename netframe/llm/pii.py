@@ -2,10 +2,13 @@
 cues; from each anchor a small deterministic parser expands to the boundaries and validates.
 
 Base kinds: email, ip (parts of at most 255), card (12 to 19 digits passing Luhn) and phone (9 to 15 digits), each leftmost
-and non-overlapping within its kind; a failing match is dropped and the search goes on behind it. The method adds two kinds:
-url (http, https and ftp addresses) and account (a cue such as IBAN or SSN with the identifier behind it).
+and non-overlapping within its kind; a failing match is dropped and the search goes on behind it. The method adds three kinds:
+url (http, https and ftp addresses), account (a cue such as IBAN, SSN or passport with the identifier behind it: an IBAN must pass
+its check digits, a social security number must have an area, group and serial that are given out, any other needs five digits)
+and secret (a cue such as password or token with the value assigned to it, of letters and digits, or a cloud access key).
 
-Defined cases: null text is the empty text, without spans. Every row has a result; ties can't arise.
+Defined cases: null text is the empty text, without spans. Every row has a result; repeated rows have equal ones, and ties can't
+arise. Texts of any length are searched whole, in one pass over the anchors.
 """
 
 from __future__ import annotations
@@ -18,14 +21,16 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netframe.llm.common import str_texts, text_frame
+from netframe.llm.common import sliced, str_texts, text_frame
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("url", "account")
+ADDED_KINDS = ("url", "account", "secret")
 KINDS = BASE_KINDS + ADDED_KINDS
 
 SCHEMES = ("http://", "https://", "ftp://")
-CUES = ("iban", "ssn", "account", "acct", "passport", "konto", "cuenta", "compte")
+CUES = ("iban", "ssn", "social security", "account", "acct", "passport", "konto", "cuenta", "compte")
+SECRETS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "api-key", "access_key")
+ACCESS_KEY = "akia"
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -34,7 +39,11 @@ _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s\"'<>]+")
-_ACCOUNT = re.compile(r"(?:[\x20]*(?:no|number|nr|code|id))?[\x20]*[.:#=]?[\x20]*([A-Z]{0,3}[0-9](?:[\x20-]?[A-Z0-9]){4,33})", re.ASCII)
+_ACCOUNT = re.compile(r"(?:[\x20]*(?:no|number|nr|code|id))?[\x20]*[.:#=]?[\x20]*([A-Z]{0,3}[0-9](?:[\x20-]?[A-Z0-9]){4,33})(?![A-Za-z0-9])", re.ASCII)
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+_SSN = re.compile(r"(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}")
+_SECRET = re.compile(r"[\"']?[\x20]*(?:=|:)[\x20]*[\"']?([A-Za-z0-9+/_.~-]{8,}=*)")
+_ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -48,14 +57,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def valid_account(cue: str, value: str) -> bool:
+    """Whether an identifier behind a cue can be one. value: as it is written."""
+    plain = value.replace(" ", "").replace("-", "")
+    if _IBAN.fullmatch(plain):
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    if cue in ("ssn", "social security"):
+        return _SSN.fullmatch(plain) is not None
+    return cue != "iban" and sum(c.isdigit() for c in plain) >= 5
+
+
 def anchors() -> ahocorasick.Automaton:
     made = ahocorasick.Automaton()
-    for word, kind in [("@", "at"), ("+", "plus"), *((d, "digit") for d in "0123456789"), *((s, "scheme") for s in SCHEMES), *((c, "cue") for c in CUES)]:
+    for word, kind in [("@", "at"), ("+", "plus"), *((d, "digit") for d in "0123456789"), *((s, "scheme") for s in SCHEMES), *((c, "cue") for c in CUES), *((c, "secret") for c in SECRETS), (ACCESS_KEY, "access key")]:
         made.add_word(word, (kind, len(word)))
     made.make_automaton()
     return made
 
 
+def _mixed(value: str) -> bool:
+    """Letters and digits both: no plain word and no number."""
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
 class Finder:
     """Expands the anchors of one text after another."""
 
@@ -104,9 +128,16 @@ class Finder:
                     done["url"] = m.end()
                     if stop > end + 1:
                         found.append((at, stop, "url"))
-            elif at >= done["account"] and not (at and text[at - 1].isalnum()) and (m := _ACCOUNT.match(text, end + 1)):
-                done["account"] = m.end()
-                found.append((*m.span(1), "account"))
+            elif kind == "cue":
+                if at >= done["account"] and not (at and text[at - 1].isalnum()) and (m := _ACCOUNT.match(text, end + 1)):
+                    done["account"] = m.end()
+                    if valid_account(folded[at : end + 1], m[1]):
+                        found.append((*m.span(1), "account"))
+            elif at >= done["secret"] and (m := (_SECRET if kind == "secret" else _ACCESS_KEY).match(text, end + 1 if kind == "secret" else at)):
+                value = m.span(1) if kind == "secret" else m.span()
+                if kind == "access key" and not (at and text[at - 1].isalnum()) or kind == "secret" and _mixed(m[1]):
+                    found.append((*value, "secret"))
+                    done["secret"] = m.end()
         return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
     @staticmethod
@@ -124,7 +155,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()
-        for batch in batches:
+        for batch in sliced(batches):
             counts, sums, out = {k: [] for k in BASE_KINDS}, [], []
             for text in str_texts(batch):
                 spans = finder.spans(text)

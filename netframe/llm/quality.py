@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netframe.llm.common import raw_texts, text_frame
+from netframe.llm.common import raw_texts, sliced, text_frame
 
 FOLDS, HELD_OUT = 4, 2
 PER_CLASS = 2000
@@ -150,7 +150,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         compressors = model.compressors() if model else []
-        for batch in batches:
+        for batch in sliced(batches):
             found = [model.difference(raw, compressors) if model else 0.0 for raw in raw_texts(batch)]
             score = [model.score(x) if model else 0.5 for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32()), pa.array(found, pa.float64())], ["doc_id", "score", "predicted", "difference"])

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netframe.llm.common import raw_texts, text_frame
+from netframe.llm.common import raw_texts, sliced, text_frame
 
 WIDTH = 64
 MAX_ROWS = 16_384
@@ -607,7 +607,7 @@ def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and with_media: media and pixels) for each row; the payload's columns come from the media."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows, media_out, pixels_out = [], [], []
             for raw in raw_texts(batch):
                 media = store(payload_of(raw))
