@@ -2,12 +2,14 @@
 
 The decoder reads the whole lossless format: prefix codes in groups, back-references, the colour cache, and the predictor,
 cross-colour, subtract-green and palette transforms, into an array of pixels. A stream without back-references, cache and
-groups (as the encoder here writes it) is decoded with arrays: the symbol and length at every bit are looked up at once, and
-only the walk from code to code is sequential.
+groups is decoded with arrays: the symbol and length at every bit are looked up at once, and only the walk from code to code is
+sequential.
 
 A payload (the text's bytes, padded with zeros to a positive multiple of 64) is stored as grey images WIDTH samples wide: a
 sample is a byte, in the green channel, with subtract-green making red and blue follow. An image has at most MAX_ROWS rows;
-a longer payload is several files, one after the other.
+a longer payload is several files, one after the other. How an image is coded goes by its content: a palette where it has few
+different samples, a predictor where the differences to the left or upper neighbour take fewer bits, back-references where it
+repeats itself. No grey image gains by cross-colour or the cache; those are decoded, not written here.
 
 Defined cases: null and empty texts are one row of zeros. Equal texts have equal media. Files that break off or break the
 format raise ValueError.
@@ -275,9 +277,11 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
                 d = max(1, dx + dy * width)
             if d > at or at + n > total:
                 raise ValueError("a back-reference leaves the image")
-            for _ in range(n):
-                out[at] = out[at - d]
-                at += 1
+            if d >= n:
+                out[at : at + n] = out[at - d : at - d + n]
+            else:
+                out[at : at + n] = (out[at - d : at] * (n // d + 1))[:n]
+            at += n
         else:
             while pending < at:
                 cache[_cached(out[pending], cache_bits)] = out[pending]
@@ -301,21 +305,31 @@ def _read_literals(bits: BitReader, codes: list[Code], total: int) -> np.ndarray
     data = np.frombuffer(bits.data, np.uint8, offset=start).astype(np.uint32)
     data = np.concatenate([data, np.zeros(3, np.uint32)])
     words = data[:-2] | data[1:-1] << 8 | data[2:] << 16
-    window = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel() & np.uint32((1 << green.bits) - 1)
-    after = (np.arange(len(window)) + green.lengths[window]).tolist()
-    at, path, end = bits.at & 7, [], (len(data) - 3) * 8
-    try:
-        for _ in range(total):
-            path.append(at)
-            at = after[at]
-    except IndexError:
-        at = end + 1
+    window = ((words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.bits) - 1)).astype(np.uint16).ravel()
+    after = np.minimum(np.arange(len(window), dtype=np.int32) + green.lengths.astype(np.int8)[window], np.int32(len(window) - 1))
+    stride = after  # JUMP codes further
+    for _ in range(JUMP.bit_length() - 1):
+        stride = stride[stride]
+    at, walked, end, step = bits.at & 7, [], (len(data) - 3) * 8, memoryview(stride)
+    for _ in range(-(-total // JUMP)):
+        walked.append(at)
+        at = step[at]
+    path = np.empty((JUMP, len(walked)), np.int32)
+    path[0] = walked
+    for k in range(1, JUMP):
+        path[k] = after[path[k - 1]]
+    path = path.T.ravel()[:total]
+    at = int(path[-1]) + int(green.lengths[window[path[-1]]])
     if at > end:
         raise ValueError("the stream breaks off")
     bits.at = start * 8 + at
     return green.symbols[window[path]].astype(np.uint32) << 8 | rest
 
 
+#: Codes that one step of the sequential walk skips, a power of two.
+JUMP = 16
+
+
 # -- transforms -----------------------------------------------------------------------------------------------------
 
 
@@ -374,6 +388,8 @@ def predicted(mode: int, left: list[int], top: list[int], top_left: list[int], t
 def _over_pixels(pixels: np.ndarray, modes: np.ndarray, bits: int, forward: bool) -> np.ndarray:
     """Predictor residuals to pixels, or (forward) pixels to residuals. pixels: (height, width, 4)."""
     height, width, _ = pixels.shape
+    if (mode := int(modes.flat[0])) in (1, 2) and (modes == mode).all():
+        return _by_neighbour(pixels, mode, forward)
     given = pixels.tolist()
     made = [[None] * width for _ in range(height)]
     real = given if forward else made
@@ -390,6 +406,24 @@ def _over_pixels(pixels: np.ndarray, modes: np.ndarray, bits: int, forward: bool
     return np.array(made, np.int32)
 
 
+def _by_neighbour(pixels: np.ndarray, mode: int, forward: bool) -> np.ndarray:
+    """Predictor 1 (left) or 2 (top) all over the image; the first row goes by the left, the first column by the top."""
+    start = np.zeros((1, 1, 4), np.int32)
+    start[..., 0] = 255
+    if forward:
+        by_left, by_top = np.diff(pixels, axis=1, prepend=0), np.diff(pixels, axis=0, prepend=0)
+        out = by_left.copy() if mode == 1 else by_top.copy()
+        out[0, 1:], out[1:, 0], out[:1, :1] = by_left[0, 1:], by_top[1:, 0], pixels[:1, :1] - start
+        return out & 255
+    out = pixels.copy()
+    out[:1, :1] += start
+    if mode == 1:
+        out[:, 0] = np.cumsum(out[:, 0], axis=0)
+        return np.cumsum(out, axis=1) & 255
+    out[0] = np.cumsum(out[0], axis=0)
+    return np.cumsum(out, axis=0) & 255
+
+
 def _delta(t: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (t.astype(np.int8).astype(np.int32) * c.astype(np.int8).astype(np.int32)) >> 5
 
@@ -465,31 +499,118 @@ def _header(width: int, height: int, alpha: bool) -> BitWriter:
     return out
 
 
+#: Bits that a predictor must save of each sample's to be worth its while.
+GAIN = 0.25
+#: Images that deflate makes this much smaller are written with back-references.
+REPEATS = 0.3
+#: Different samples that a palette may have; as few share a pixel.
+MAX_PALETTE = 16
+MIN_MATCH, MAX_MATCH, MAX_DISTANCE = 4, 4096, (1 << 20) - 120
+
+
+def _bits_a_sample(counts: np.ndarray) -> float:
+    """Entropy of a histogram."""
+    held = counts[counts > 0]
+    return float(np.log2(held.sum()) - (held * np.log2(held)).sum() / held.sum())
+
+
 def encode_grey(samples: np.ndarray) -> bytes:
-    """A grey image, (height, WIDTH) bytes, as one file: subtract-green and a prefix code for green."""
+    """A grey image, (height, width) bytes, as one file, coded as its content asks for."""
     height, width = samples.shape
-    out = _header(width, height, False)
-    out.put(1 | SUBTRACT_GREEN << 1, 3)
+    out, alpha = _header(width, height, False), 255
+    counts = np.bincount(samples.ravel(), minlength=256)
+    values = np.flatnonzero(counts)
+    if len(values) <= MAX_PALETTE:
+        out.put(1 | PALETTE << 1, 3)
+        out.put(len(values) - 1, 8)
+        colours = 0xFF000000 | values.astype(np.uint32) * 0x010101
+        _write_image(out, _packed(np.diff(_channels(colours), axis=0, prepend=0))[None, :], False)
+        size = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+        index = np.pad(np.searchsorted(values, samples), ((0, 0), (0, -width % (1 << size)))).reshape(height, -1, 1 << size)
+        green = (index << (np.arange(1 << size) * (8 >> size))).sum(axis=2).astype(np.uint8)
+    else:
+        out.put(1 | SUBTRACT_GREEN << 1, 3)
+        plain = _bits_a_sample(counts)
+        by = {1: np.diff(samples, axis=1), 2: np.diff(samples, axis=0)} if height > 1 else {1: np.diff(samples, axis=1)}
+        mode = min(by, key=lambda m: (_bits_a_sample(np.bincount(by[m].ravel(), minlength=256)), m))
+        green = samples
+        if _bits_a_sample(np.bincount(by[mode].ravel(), minlength=256)) < plain - GAIN:
+            out.put(1 | PREDICTOR << 1, 3)
+            out.put(7, 3)  # blocks of 512
+            _write_image(out, np.full((-(-height >> 9) or 1, -(-width >> 9) or 1), 0xFF000000 | mode << 8, np.uint32), False)
+            pixels = np.zeros((height, width, 4), np.int32)
+            pixels[..., 0], pixels[..., 2] = 255, samples
+            green, alpha = _by_neighbour(pixels, mode, True)[..., 2].astype(np.uint8), 0
     out.put(0, 3)  # no more transforms, no cache, one group
-    flat = samples.ravel()
-    counts = np.bincount(flat, minlength=256)
-    lengths = code_lengths({s: int(counts[s]) for s in np.flatnonzero(counts).tolist()})
-    code = _write_code(out, lengths)
-    for only in (0, 0, 255, 0):
+    flat = np.ascontiguousarray(green).ravel()
+    repeats = len(flat) > 256 and len(zlib.compress(flat.tobytes(), 1)) < REPEATS * len(flat)
+    symbols, extras, bits, distances, far, far_bits = _matches(flat.tobytes(), green.shape[1]) if repeats else (flat, *[None] * 5)
+    green_codes = _code_for(out, symbols)
+    for only in (0, 0, alpha):
         _write_code(out, {only: 0})
-    codes, sizes = np.zeros(256, np.uint16), np.zeros(256, np.uint8)
-    for s, (c, n) in code.items():
-        codes[s], sizes[s] = c, n
-    if len(code) > 1:
-        n_bits = sizes[flat]
-        ends = np.cumsum(n_bits, dtype=np.int64)
-        total = int(ends[-1])
-        within = (np.arange(total) - np.repeat(ends - n_bits, n_bits)).astype(np.uint16)
-        stream = np.packbits((np.repeat(codes[flat], n_bits) >> within & 1).astype(np.uint8), bitorder="little")
+    if repeats:
+        distance_codes = _code_for(out, distances[distances >= 0])
+        codes, sizes = (x[symbols] for x in green_codes)
+        one = np.maximum(distances, 0)
+        has = distances >= 0
+        parts = [(codes, sizes), (extras, bits), (np.where(has, distance_codes[0][one], 0), np.where(has, distance_codes[1][one], 0)), (far, far_bits)]
+        codes, sizes = (np.stack([p[k] for p in parts], axis=1).ravel().astype(np.int64) for k in (0, 1))
+    else:
+        _write_code(out, {0: 0})
+        codes, sizes = green_codes[0].astype(np.uint16)[symbols], green_codes[1].astype(np.uint8)[symbols]
+    ends = np.cumsum(sizes, dtype=np.int32)
+    if total := int(ends[-1]):
+        within = (np.arange(total, dtype=np.int32) - np.repeat(ends - sizes, sizes)).astype(codes.dtype)
+        stream = np.packbits((np.repeat(codes, sizes) >> within & 1).astype(np.uint8), bitorder="little")
         out.put(int.from_bytes(stream.tobytes(), "little"), total)
     return _file(out)
 
 
+def _code_for(out: BitWriter, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a prefix code for these symbols; returns each symbol's code and length."""
+    counts = np.bincount(symbols, minlength=1)
+    lengths = code_lengths({s: int(counts[s]) for s in np.flatnonzero(counts).tolist()}) if counts.any() else {}
+    code = _write_code(out, lengths)
+    codes, sizes = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    for s, (c, n) in code.items() if len(code) > 1 else ():
+        codes[s], sizes[s] = c, n
+    return codes, sizes
+
+
+@lru_cache(4)
+def _near_of(width: int) -> dict[int, int]:
+    """The number of a short distance in the neighbourhood."""
+    return {max(1, dx + dy * width): k + 1 for k, (dx, dy) in reversed(list(enumerate(_NEAR)))}
+
+
+def _matches(data: bytes, width: int) -> tuple[np.ndarray, ...]:
+    """Greedy back-references: for each literal or reference its green symbol, extra length value and bits, distance symbol (-1 for a literal), extra distance value and bits."""
+    near, seen, rows, at, end = _near_of(width), {}, [], 0, len(data)
+    while at < end:
+        key = data[at : at + MIN_MATCH]
+        before = seen.get(key)
+        seen[key] = at
+        n = 0
+        if before is not None and len(key) == MIN_MATCH and at - before <= MAX_DISTANCE:
+            n, most = MIN_MATCH, min(MAX_MATCH, end - at)
+            step = 64
+            while step:
+                while n + step <= most and data[before + n : before + n + step] == data[at + n : at + n + step]:
+                    n += step
+                step //= 8
+        if not n:
+            rows.append((data[at], 0, 0, -1, 0, 0))
+            at += 1
+            continue
+        d = at - before
+        length, distance = _prefix_of(n), _prefix_of(near.get(d, d + 120))
+        rows.append((256 + length[0], *length[1:], *distance))
+        for k in range(at + 1, at + n - MIN_MATCH, 8):
+            seen[data[k : k + MIN_MATCH]] = k
+        at += n
+    return tuple(np.array(rows, np.int64).T)
+
+
 def encode(pixels: np.ndarray, transforms: tuple[int, ...] = (), block_bits: int = 2, cache_bits: int = 0, references: bool = False, modes: np.ndarray | None = None, elements: np.ndarray | None = None) -> bytes:
     """Any image, (height, width, 4) of alpha, red, green, blue, with the transforms in this order."""
     height, width, _ = pixels.shape
