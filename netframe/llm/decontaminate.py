@@ -2,8 +2,10 @@
 document once; hits are mapped back to code points of the original.
 
 Words are runs of letters and digits (ASCII, A-Z lower-cased) and of all characters beyond ASCII. A window is window
-consecutive words of an item; a shorter item, unless it has no words, is one window. The automaton's letters are the benchmark's
-words, so a window is at most window letters long, and a document's word that no item has ends every match.
+consecutive words of an item; a shorter item, unless it has no words, is one window. For the automaton a word is three letters, the
+digits of its number among the benchmark's words, each place with its own alphabet: nodes have few branches, and no match starts
+within a word. A document's word that no item has ends every match, so only runs of known words as long as the shortest window
+are scanned.
 
 Automata are built by tasks and stored in the shared folder: one, or where the benchmark has more than max_block_bytes of
 text, one for each hash block of items of about that size. The corpus is read once either way: a task holds a batch of documents
@@ -17,6 +19,7 @@ Repeated rows have equal results.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import pickle
 import re
 from collections.abc import Iterator
@@ -32,7 +35,7 @@ from netframe.llm.common import of_worker, raw_texts, shared_path, sliced, text_
 
 WINDOW = 10
 #: Benchmark text for one automaton.
-MAX_BLOCK_BYTES = 2 << 20
+MAX_BLOCK_BYTES = 1 << 19
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Lower-cases A-Z and makes a space of all that isn't in a word, byte by byte.
@@ -50,6 +53,15 @@ def windows_of(words: list[bytes], window: int) -> list[list[bytes]]:
     return [words[i : i + window] for i in range(max(1, len(words) - window + 1))]
 
 
+#: Letters of a word, and of each place's alphabet; what stands for a word that no item has.
+PLACES, ALPHABET, FIRST_LETTER, NO_WORD = 3, 128, 0x4000, "\x01"
+
+
+def spelled(number: int) -> str:
+    """A word's letters, by its number. 128 ** 3 words are more than a block of MAX_BLOCK_BYTES can have."""
+    return "".join(chr(FIRST_LETTER + k * ALPHABET + number // ALPHABET**k % ALPHABET) for k in range(PLACES))
+
+
 class WindowAutomaton:
     """Finds windows in sequences of words; a match gives its number of words and the items that have it."""
 
@@ -58,10 +70,11 @@ class WindowAutomaton:
         held: dict[str, set[str | None]] = {}
         for item_id, raw in items:
             for part in windows_of(words_of(raw), window):
-                held.setdefault("".join([self.letters.setdefault(w, chr(FIRST_LETTER + len(self.letters))) for w in part]), set()).add(item_id)
+                held.setdefault("".join([self.letters.setdefault(w, spelled(len(self.letters))) for w in part]), set()).add(item_id)
+        self.run = re.compile(f"[^{NO_WORD}]{{{min(map(len, held), default=PLACES)},}}")
         self.automaton = ahocorasick.Automaton()
         for key, ids in held.items():
-            self.automaton.add_word(key, (len(key), tuple(sorted(ids, key=str))))
+            self.automaton.add_word(key, (len(key) // PLACES, tuple(sorted(ids, key=str))))
         if held:
             self.automaton.make_automaton()
 
@@ -69,16 +82,20 @@ class WindowAutomaton:
         """Adds the numbers of the words that are hit and the items found."""
         if not self.letters or not words:
             return
-        get = self.letters.get
-        for end, (n, ids) in self.automaton.iter("".join([get(w, NO_LETTER) for w in words])):
-            hit.update(range(end - n + 1, end + 1))
-            items.update(ids)
+        spelt, at, passed = "".join(map(self.letters.get, words, itertools.repeat(NO_WORD))), 0, 0
+        for run in self.run.finditer(spelt):
+            # words before the run: one letter for each without a number, PLACES for the others
+            passed += spelt.count(NO_WORD, at, run.start())
+            at = run.start()
+            first = passed + (at - passed) // PLACES
+            for end, (n, ids) in self.automaton.iter(run[0]):
+                last = first + end // PLACES
+                hit.update(range(last - n + 1, last + 1))
+                items.update(ids)
 
 
 #: Words of an item that one row has; a longer item is several rows that overlap by window - 1 words.
 PART_WORDS = 1 << 16
-#: Letters are characters from here on (beyond the surrogates); no window has NO_LETTER.
-FIRST_LETTER, NO_LETTER = 0xE000, "\0"
 
 
 def _parts(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

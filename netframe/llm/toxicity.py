@@ -43,7 +43,7 @@ MAX_GRAM = 3
 #: A term that one example in so many has is dense.
 DENSE = 16
 #: Texts that are searched for together, and their terms, at most about.
-QUERIES, QUERY_TERMS = 128, 65_536
+QUERIES, QUERY_TERMS = 64, 16_384
 
 #: Thai, Lao, Tibetan, Myanmar, Khmer, kana and Han: no spaces between words.
 _UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -86,6 +86,11 @@ class TermCounter:
         return out
 
 
+def packed(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms, and how often each occurs."""
+    return np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))
+
+
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all ranges one after the other, and how many each has."""
     n = ends - starts
@@ -103,7 +108,7 @@ class BlockMaxIndex:
         self.n, self.block = len(vectors), block
         self.n_blocks = -(-self.n // block)
         sizes = [len(t) for t, _ in vectors]
-        terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
+        terms = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int32)])
         weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
         of = np.repeat(np.arange(self.n), sizes)
         df = np.bincount(terms, minlength=n_terms)
@@ -222,16 +227,17 @@ class ToxicityModel:
                     for t in word_terms(word):
                         self.terms.setdefault(t, len(self.terms))
         counter = TermCounter(self.terms)
-        found = [(i, label, counter.counts(text)) for i, label, text in sample]
+        found = [(i, label, *packed(counter.counts(text))) for i, label, text in sample]
         df = np.zeros((2, len(self.terms)))
-        for _, label, c in found:
-            df[label, list(c)] += 1
+        for _, label, own, _ in found:
+            df[label, own] += 1
         self.idf = (np.log((1 + len(sample)) / (1 + df[0] + df[1])) + 1) * (1 + association(df, n))
-        kept = [(i, label, self.vector(c)) for i, label, c in found if c]
+        none = Counter(label for _, label, own, _ in found if not len(own)) or n
+        kept = [(i, label, self.vector(own, often)) for i, label, own, often in found if len(own)]
+        del sample, found
         self.ids, self.labels = [i for i, _, _ in kept], [label for _, label, _ in kept]
         self.index = BlockMaxIndex([v for _, _, v in kept], len(self.terms))
-        none = Counter(label for _, label, c in found if not c) or n
-        self.without = none[1] * share[1] / max(1e-9, none[0] * share[0] + none[1] * share[1]) if found else 0.0
+        self.without = none[1] * share[1] / max(1e-9, none[0] * share[0] + none[1] * share[1]) if none else 0.0
         self.intercept, self.slope = -4.0, 8.0
         votes = []
         for at in range(0, len(kept), QUERIES):
@@ -242,9 +248,8 @@ class ToxicityModel:
             w = [share[y] for _, y in rows]
             self.intercept, self.slope = logistic([x for x, _ in rows], [y for _, y in rows], [v * len(w) / sum(w) for v in w], ridge=0.05)
 
-    def vector(self, counts: dict[int, int]) -> Query:
-        terms = np.fromiter(counts, np.int64, len(counts))
-        v = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[terms]
+    def vector(self, terms: np.ndarray, often: np.ndarray) -> Query:
+        v = (1 + np.log(often)) * self.idf[terms]
         return terms, v / math.sqrt(v @ v)
 
     def vote(self, near: list[tuple[float, int]]) -> float | None:
@@ -259,7 +264,7 @@ class ToxicityModel:
         counter, held, n_terms = TermCounter(self.terms), [], 0
         for text in texts:
             counts = counter.counts(text)
-            held.append(self.vector(counts) if counts else None)
+            held.append(self.vector(*packed(counts)) if counts else None)
             n_terms += len(counts)
             if len(held) >= QUERIES or n_terms >= QUERY_TERMS:
                 yield from self._scored(held)
