@@ -4,6 +4,7 @@ A netlist is (insts: inst_id, name, cell; pins: inst_id, pin, net; kinds: net, k
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -49,7 +50,7 @@ def _keyed(name: str, side: Side) -> tuple[DataFrame, DataFrame]:
 
 
 def compare(left: Side, right: Side, ignore_physical: bool = True, ignore_power: bool = True, pin_equal_names: bool = True, max_ties: int | None = None) -> Comparison:
-    """Counts and cells first; where they agree, colours. Ties are paired one by one: a node of the smallest tied class is set apart together with a candidate of the other side, and the candidate stands if the classes still match. Every pairing makes a class more, so it ends; more than max_ties of them are an error."""
+    """Counts and cells first; where they agree, colours. Ties are paired one by one: a node of the smallest tied class is set apart together with a candidate of the other side, and the candidate stands while the classes match. A pairing that leads nowhere is taken back. Equal is only what a mapping of all nodes proves, by keeping every pin; more than max_ties pairings are an error."""
     sides = {n: _kept(s, ignore_physical, ignore_power) for n, s in (("left", left), ("right", right))}
     parts = {n: _keyed(n, s) for n, s in sides.items()}
     nodes = parts["left"][0].unionByName(parts["right"][0])
@@ -71,22 +72,41 @@ def compare(left: Side, right: Side, ignore_physical: bool = True, ignore_power:
     odd = graphs.class_sizes(colours)
     if not odd.isEmpty():
         return Comparison(False, odd.select(F.format_string("a class of %d and %d nodes", "n_left", "n_right").alias("message")), none)
-    for _ in graphs.rounds(max_ties, "ties"):
+    # pairings that are open, each with the candidates that it has left; one that leads nowhere is taken back
+    open_pairs: list[tuple[DataFrame, tuple, Iterator]] = []
+    paired = 0
+    while True:
         tied = colours.groupBy("colour").agg(F.count("*").alias("n"), F.min(F.when(F.col("side") == "left", F.col("node"))).alias("l")).where("n > 2").orderBy("n", "colour").first()
         if tied is None:
-            break
-        for (candidate,) in colours.where((F.col("side") == "right") & (F.col("colour") == tied.colour)).select("node").orderBy("node").toLocalIterator():
-            apart = F.when(((F.col("side") == "left") & (F.col("node") == tied.l)) | ((F.col("side") == "right") & (F.col("node") == candidate)), F.lit(-1).cast("long")).otherwise(F.col("colour"))
-            tried = graphs.refine_until_stable(colours.select("side", "node", apart.alias("colour")), edges)
-            if graphs.class_sizes(tried).isEmpty():
-                colours = tried
+            if _same_edges(colours, edges):
                 break
         else:
-            return Comparison(False, nodes.sparkSession.createDataFrame([(f"no partner for {tied.l}",)], "message string"), none)
+            open_pairs.append((colours, tied, colours.where((F.col("side") == "right") & (F.col("colour") == tied.colour)).select("node").orderBy("node").toLocalIterator()))
+        while open_pairs:
+            before, tied, candidates = open_pairs[-1]
+            if (found_one := next(candidates, None)) is None:
+                open_pairs.pop()
+                continue
+            paired += 1
+            if max_ties is not None and paired > max_ties:
+                raise RuntimeError(f"ties not settled after {max_ties} pairings")
+            apart = F.when(((F.col("side") == "left") & (F.col("node") == tied.l)) | ((F.col("side") == "right") & (F.col("node") == found_one.node)), F.lit(-1).cast("long")).otherwise(F.col("colour"))
+            colours = graphs.refine_until_stable(before.select("side", "node", apart.alias("colour")), edges)
+            if graphs.class_sizes(colours).isEmpty():
+                break
+        else:
+            return Comparison(False, nodes.sparkSession.createDataFrame([("colours agree, but no pairing of the tied nodes keeps all pins",)], "message string"), none)
     pairs = graphs.mapping(colours).select(F.when(F.col("left").startswith("i:"), "inst").otherwise("net").alias("kind"), F.substring("left", 3, 1 << 20).alias("left"), F.substring("right", 3, 1 << 20).alias("right"))
     return Comparison(True, found, written(pairs, "mapping"))
 
 
+def _same_edges(colours: DataFrame, edges: DataFrame) -> bool:
+    """Whether the mapping of equal colours takes the left's edges to the right's, each as often: the proof that they are the same."""
+    of = colours.select("side", "node", "colour")
+    ends = edges.join(of, ["side", "node"]).select("side", F.col("colour").alias("a"), "pin", F.col("other").alias("node")).join(of, ["side", "node"]).select("side", "a", "pin", F.col("colour").alias("b"))
+    return ends.groupBy("a", "pin", "b").agg(F.sum(F.when(F.col("side") == "left", 1).otherwise(-1)).alias("more")).where("more <> 0").isEmpty()
+
+
 def renamed(insts: DataFrame, pins: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The left netlist's tables under the right one's names; what the mapping lacks keeps its own."""
     of = lambda kind: mapping.where(F.col("kind") == kind).select(F.col("left").alias("_l"), F.col("right").alias("_r"))

@@ -51,7 +51,12 @@ def _shapes(layout: Layout) -> DataFrame:
 
 
 def extract(layout: Layout, top: str | None = None, keep_physical: bool = False, keep_power: bool = False, prefix: str = "n") -> Netlist:
-    """The netlist of a layout whose standard cells are placed cells without placements of their own that carry labels."""
+    """The netlist of a layout whose standard cells are placed cells without placements of their own that carry labels.
+
+    One layout file at a time: names mean cells of that file, so a layout read from several is an error."""
+    files = [r.path for r in layout.cells().select("path").distinct().limit(2).collect()]
+    if len(files) > 1:
+        raise ValueError(f"a layout of several files can't be extracted as one: {', '.join(sorted(files))}")
     refs = layout.references()
     if top is None:
         top = hierarchy.pick_top(layout.cells(), refs).first()[0]

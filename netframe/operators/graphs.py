@@ -71,18 +71,21 @@ def ranked(keys: DataFrame) -> DataFrame:
 
 
 def seed_colours(nodes: DataFrame) -> DataFrame:
-    """(side, node, colour) of nodes (side, node, kind, label): instances by cell, pinned nets by name, other nets alike; ranked over both sides together."""
+    """(side, node, colour) of nodes (side, node, kind, label): instances by cell, pinned nets by name, other nets alike. A colour is a 64-bit hash, so both sides have the same ones without being ranked together."""
     key = F.when(F.col("kind") == "inst", F.concat(F.lit("I:"), F.col("label"))).when(F.col("label").isNotNull(), F.concat(F.lit("P:"), F.col("label"))).otherwise("N")
-    keyed = nodes.select("side", "node", key.alias("key"))
-    return keyed.join(ranked(keyed), "key").select("side", "node", "colour")
+    return nodes.select("side", "node", F.xxhash64(key).alias("colour"))
 
 
 def refine(colours: DataFrame, edges: DataFrame) -> DataFrame:
-    """One round: a node's new colour is the rank of its colour with the sorted (pin, colour) of its neighbours. edges: (side, node, pin, other), both ways."""
+    """One round: a node's new colour is the hash of its colour with the sums of the hashes of its neighbours' (pin, colour). edges: (side, node, pin, other), both ways.
+
+    Sums are taken before the shuffle as well, so a net that a third of all pins are on is one row from each task. A hash is summed
+    in halves, which can't overflow below 2^31 neighbours."""
     seen = edges.join(colours.select("side", F.col("node").alias("other"), F.col("colour").alias("c")), ["side", "other"])
-    around = seen.groupBy("side", "node").agg(F.array_sort(F.collect_list(F.struct("pin", "c"))).alias("around"))
-    keyed = colours.join(around, ["side", "node"], "left").select("side", "node", F.struct("colour", F.coalesce("around", F.expr("cast(array() as array<struct<pin:bigint,c:bigint>>)")).alias("around")).alias("key"))
-    return keyed.join(ranked(keyed), "key").select("side", "node", "colour")
+    mixed = seen.select("side", "node", F.xxhash64("pin", "c").alias("h"))
+    halves = F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned("h", 32)).alias("high")
+    around = mixed.groupBy("side", "node").agg(*halves)
+    return colours.join(around, ["side", "node"], "left").select("side", "node", F.xxhash64("colour", "low", "high").alias("colour"))
 
 
 def refine_until_stable(colours: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:

@@ -15,10 +15,14 @@ def pin_nets(hits: DataFrame) -> DataFrame:
 
 
 def instance_names(insts: DataFrame) -> DataFrame:
-    """(inst_id, name): base name and a running number within it."""
+    """(inst_id, name): base name and a running number within it.
+
+    All instances are numbered by (base, inst_id) in range partitions; a base's first number is taken off. So the instances of
+    one cell, however many, are dealt to several tasks."""
     base = instance_base_name(F.col("cell"))
-    number = F.row_number().over(Window.partitionBy("base").orderBy("inst_id")) - 1
-    return insts.select("inst_id", base.alias("base")).select("inst_id", F.concat("base", F.lit("_"), number.cast("string")).alias("name"))
+    all_numbers = numbered(insts.select("inst_id", base.alias("base")), ["base", "inst_id"], "k")
+    first = all_numbers.groupBy("base").agg(F.min("k").alias("first"))  # a row for each cell of the library
+    return all_numbers.join(F.broadcast(first), "base").select("inst_id", F.concat("base", F.lit("_"), (F.col("k") - F.col("first")).cast("string")).alias("name"))
 
 
 def net_names(pins: DataFrame, prefix: str = "n") -> DataFrame:

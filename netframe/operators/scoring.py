@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netframe.operators.classify import abutment_boxes, placed_boxes  # noqa: F401  the placement of a cell is its box's lower left corner
-
-
 def placements_found(expected: DataFrame, found: DataFrame) -> DataFrame:
     """(n, n_found): expected rows (cell, x, y) that found has too; a found row may serve several."""
     keys = ["cell", "x", "y"]
@@ -21,9 +18,13 @@ def placements_missing(expected: DataFrame, found: DataFrame, n: int = 10) -> Da
 
 
 def net_signatures(pins: DataFrame) -> DataFrame:
-    """(net_id, signature): the sorted cell.pin of a net, joined by bars. pins: (net_id, cell, pin)."""
+    """(net_id, signature): the sorted cell.pin of a net, joined by bars. pins: (net_id, cell, pin).
+
+    Equal ones are counted first, partly before the shuffle: a net gathers a row for each kind of pin, not for each pin."""
     named = pins.where("net_id is not null").select("net_id", F.concat_ws(".", "cell", F.col("pin").cast("string")).alias("p"))
-    return named.groupBy("net_id").agg(F.array_join(F.array_sort(F.collect_list("p")), "|").alias("signature"))
+    kinds = named.groupBy("net_id", "p").agg(F.count("*").cast("int").alias("n"))
+    sorted_kinds = kinds.groupBy("net_id").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("kinds"))
+    return sorted_kinds.select("net_id", F.array_join(F.flatten(F.transform("kinds", lambda x: F.array_repeat(x["p"], x["n"]))), "|").alias("signature"))
 
 
 def nets_matched(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -1,26 +1,45 @@
-"""Waveforms: changes, edges, frames and replay. Waves are (signal, t, seq, value); seq orders changes of a time."""
+"""Waveforms: changes, edges, frames and replay. Waves are (signal, t, seq, value); seq orders changes of a time.
+
+A few signals have most changes, so a signal isn't a task's unit: waves are dealt by ranges of (signal, time), windows stay within a
+range, and a small table (a row for each signal of each range) carries values over from the ranges before."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netframe.operators.components import written
+
+
+def _dealt(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with the number of their range of (signal, *order), which has no ties; written, as the numbers must last."""
+    return written(rows.repartitionByRange("signal", *order).withColumn("_part", F.spark_partition_id()), "waves")
+
+
+def _carried(dealt: DataFrame, order: list[str], value: str) -> DataFrame:
+    """dealt with _before: the value (a struct; null is none) of the row before, or of the last one that has any in its signal's earlier ranges."""
+    ends = dealt.where(F.col(value).isNotNull()).groupBy("signal", "_part").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    parts = dealt.select("signal", "_part").distinct().join(ends, ["signal", "_part"], "left")
+    earlier = Window.partitionBy("signal").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select("signal", "_part", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+    return dealt.join(carry, ["signal", "_part"])
+
 
-def _by_signal(*order: str):
-    return Window.partitionBy("signal").orderBy(*order)
+def _with_before(waves: DataFrame) -> DataFrame:
+    """waves with _before: (value) of the signal's change before; null at its first."""
+    dealt = _dealt(waves.withColumn("_v", F.struct("value")), ["t", "seq"])
+    w = Window.partitionBy("_part", "signal").orderBy("t", "seq")
+    return _carried(dealt, ["t", "seq"], "_v").withColumn("_before", F.coalesce(F.lag("_v").over(w), "_carry")).drop("_part", "_v", "_carry")
 
 
 def changes(waves: DataFrame) -> DataFrame:
     """Only values that differ from the signal's one before; unknown is a value. A signal's first value is a change."""
-    w = _by_signal("t", "seq")
-    before = F.lag("value").over(w)
-    return waves.withColumn("_first", F.row_number().over(w) == 1).withColumn("_same", F.col("value").eqNullSafe(before)).where("_first or not _same").drop("_first", "_same")
+    return _with_before(waves).where("_before is null or not (value <=> _before.value)").drop("_before").select(*waves.columns)
 
 
 def edges(waves: DataFrame) -> DataFrame:
     """Rising edges: 0, then 1."""
-    w = _by_signal("t", "seq")
-    return waves.withColumn("_before", F.lag("value").over(w)).where("_before = 0 and value = 1").drop("_before")
+    return _with_before(waves).where("_before.value = 0 and value = 1").drop("_before").select(*waves.columns)
 
 
 def last_of_time(waves: DataFrame) -> DataFrame:
@@ -31,12 +50,13 @@ def last_of_time(waves: DataFrame) -> DataFrame:
 def as_of(samples: DataFrame, waves: DataFrame, strictly_before: bool = False) -> DataFrame:
     """samples (signal, t) with the value that their signal has at t, or had before it.
 
-    One sort of both by (signal, t) instead of a range join: the last known value fills forward."""
+    One range-dealt sort of both by (signal, t) instead of a range join: the last known value fills forward."""
     last = last_of_time(waves).select("signal", "t", F.lit(1 if strictly_before else 0).alias("k"), F.struct("value").alias("v"))
     asked = samples.select("signal", "t").distinct().select("signal", "t", F.lit(0 if strictly_before else 1).alias("k"), F.lit(None).cast(last.schema["v"].dataType).alias("v"), F.lit(True).alias("asked"))
-    both = last.withColumn("asked", F.lit(False)).unionByName(asked)
-    w = Window.partitionBy("signal").orderBy("t", "k").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("held", F.last("v", ignorenulls=True).over(w)).where("asked").select("signal", "t", F.col("held.value").alias("value"))
+    dealt = _dealt(last.withColumn("asked", F.lit(False)).unionByName(asked), ["t", "k"])
+    w = Window.partitionBy("_part", "signal").orderBy("t", "k").rowsBetween(Window.unboundedPreceding, 0)
+    held = _carried(dealt, ["t", "k"], "v").withColumn("held", F.coalesce(F.last("v", ignorenulls=True).over(w), "_carry"))
+    return held.where("asked").select("signal", "t", F.col("held.value").alias("value"))
 
 
 def mismatches(recorded: DataFrame, simulated: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from netframe.functions import cells, text
 from netframe.operators import graphs, netlist, puzzle, scoring, simulate, waves
 from netframe.plans.bridge import ctes, view
+from netframe.operators.components import written
 from netframe.sources.verilog import tokens
 
 QUERIES, ORACLES = {}, {}
@@ -52,10 +53,14 @@ def q_id_code(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.id_code(F.col("event_id")).alias("code"))
 
 
-@query("SELECT c_custkey, array_to_string(regexp_extract_all(c_name || ' <= ' || c_custkey || '''hFF;', '[A-Za-z_][A-Za-z0-9_$]*|[0-9]+''[a-z][0-9A-F]+|[0-9]+|<=|[^ ]'), ' ') AS tokens FROM customer")
+_SPACE = r" \t\n\f\r\x0B"
+_TOKEN_SQL = rf"\\[^{_SPACE}]+|[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+''[bodhBODH][0-9a-fA-FxXzZ_]+|[0-9]+|<=|[^{_SPACE}]"
+
+
+@query(f"WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(COALESCE(text, ''), '(?s)//[^\\n]*|/\\*.*?\\*/|\\(\\*.*?\\*\\)', ' ', 'g'), '{_TOKEN_SQL}') AS w FROM documents) SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM t")
 def q_tokens(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.concat("c_name", F.lit(" <= "), F.col("c_custkey").cast("string"), F.lit("'hFF; // "), F.col("c_mktsegment")).alias("text"))
-    return lines.select("c_custkey", F.array_join(tokens(F.col("text")), " ").alias("tokens"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("w"))
+    return docs.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("tokens_md5"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 1 THEN -1 ELSE 1 END * (1 + event_id % 200) * CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 16 ELSE 256 END AS value FROM events")
@@ -219,12 +224,14 @@ def q_cell_models(spark, sf_dir):
 
 # -- circuits -------------------------------------------------------------------------------------------------------
 
-EDGES = "edges AS (SELECT DISTINCT o_custkey % 24 AS a, o_custkey % 24 + 1 + o_orderkey % 5 AS b FROM orders WHERE o_orderkey % 11 = 0)"
+# every order is fed by two earlier ones: a circuit as large as the table, about as deep as its logarithm
+EDGES = "edges AS (SELECT DISTINCT a, b FROM (SELECT o_orderkey // 3 AS a, o_orderkey AS b FROM orders UNION ALL SELECT o_orderkey // 4 + o_custkey % 2, o_orderkey FROM orders) WHERE a < b)"
 
 
 def _edges(spark, sf_dir):
-    c, o = F.col("o_custkey"), F.col("o_orderkey")
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").where(o % 11 == 0).select((c % 24).alias("a"), (c % 24 + 1 + o % 5).alias("b")).distinct()
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    fed = orders.select(F.expr("o_orderkey div 3").alias("a"), F.col("o_orderkey").alias("b")).unionByName(orders.select(F.expr("o_orderkey div 4 + o_custkey % 2").alias("a"), F.col("o_orderkey").alias("b")))
+    return fed.where("a < b").distinct()
 
 
 @query(f"WITH RECURSIVE {EDGES}, nodes AS (SELECT a AS node FROM edges UNION SELECT b FROM edges), l AS (SELECT node, CAST(0 AS INT) AS level FROM nodes WHERE node NOT IN (SELECT b FROM edges) UNION SELECT e.b, l.level + 1 FROM l JOIN edges e ON e.a = l.node) SELECT node, MAX(level) AS level FROM l GROUP BY node")
@@ -233,9 +240,10 @@ def q_levels(spark, sf_dir):
     return graphs.levels(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), edges)
 
 
-@query(f"WITH RECURSIVE {EDGES}, s AS (SELECT CAST(20 AS BIGINT) AS node UNION SELECT e.a FROM s JOIN edges e ON e.b = s.node) SELECT node FROM s")
+@query(f"WITH RECURSIVE {EDGES}, s AS (SELECT o_orderkey AS node FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT e.a FROM s JOIN edges e ON e.b = s.node) SELECT node FROM s")
 def q_support(spark, sf_dir):
-    return graphs.support(_edges(spark, sf_dir), spark.range(20, 21).select(F.col("id").alias("node")))
+    urgent = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderpriority = '1-URGENT'")
+    return graphs.support(_edges(spark, sf_dir), urgent.select(F.col("o_orderkey").alias("node")))
 
 
 @query(PIN + "SELECT DISTINCT net_id FROM v_pin WHERE pin > 4 AND net_id NOT IN (SELECT net_id FROM v_pin WHERE pin = 1 AND inst_id % 50 = 1)")
@@ -304,9 +312,10 @@ def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     right = left.select(F.lit("right").alias("side"), "inst_id", "cell", "pin", F.when(F.col("inst_id") % 50 == 0, F.col("net_id") + 1).otherwise(F.col("net_id")).alias("net_id"))
     both = left.unionByName(right)
     inst, net = F.col("inst_id") * 2, F.col("net_id") * 2 + 1
+    both = written(both, "pins")
     nodes = both.select("side", inst.alias("node"), F.lit("inst").alias("kind"), F.col("cell").alias("label")).union(both.select("side", net.alias("node"), F.lit("net"), F.lit(None).cast("string"))).distinct()
     edges = both.select("side", inst.alias("node"), F.col("pin").cast("long").alias("pin"), net.alias("other"))
-    return nodes, edges.unionByName(edges.select("side", F.col("other").alias("node"), "pin", F.col("node").alias("other")))
+    return written(nodes, "nodes"), edges.unionByName(edges.select("side", F.col("other").alias("node"), "pin", F.col("node").alias("other")))
 
 
 def _wl(rounds: int):
@@ -423,13 +432,13 @@ def q_edges(spark, sf_dir):
     return waves.edges(_wave(spark, sf_dir)).select("signal", "t", "seq")
 
 
-LAST = "l AS (SELECT signal, t, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY signal, t ORDER BY event_id DESC) AS k FROM v_wave) WHERE k = 1), asked AS (SELECT DISTINCT v.signal, t.t FROM (SELECT DISTINCT signal FROM v_wave) v, (SELECT DISTINCT t FROM v_wave WHERE t % 5 = 0) t)"
+LAST = "l AS (SELECT signal, t, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY signal, t ORDER BY event_id DESC) AS k FROM v_wave) WHERE k = 1), asked AS (SELECT DISTINCT v.signal, t.t FROM (SELECT DISTINCT signal FROM v_wave) v, (SELECT DISTINCT t FROM v_wave) t)"
 
 
 def _asked(spark, sf_dir):
     wave = _wave(spark, sf_dir)
     signals = wave.select("signal").distinct()  # event types: a handful
-    return wave.where("t % 5 = 0").select("t").distinct().crossJoin(F.broadcast(signals))
+    return wave.select("t").distinct().withColumn("signal", F.explode(F.lit([r.signal for r in signals.collect()])))
 
 
 @query(WAVE + f", {LAST} SELECT a.signal, a.t, l.value FROM asked a ASOF LEFT JOIN l ON a.signal = l.signal AND a.t >= l.t")

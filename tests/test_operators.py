@@ -228,3 +228,28 @@ def test_trace_and_picture(spark):
     rects = spark.createDataFrame([(1, 0, 0, 0, 10, 20, 5), (2, 1, 5, 5, 30, 10, None), (3, 9, 0, 0, 99, 99, 1)], "rect_id long, level int, xlo long, ylo long, xhi long, yhi long, net long")
     lines = [r.text for r in render.to_svg(rects, highlight=5).orderBy("part", "key").collect()]
     assert lines[0].startswith("<svg") and lines[-1] == "</svg>" and lines[1] == '<rect x="0" y="0" width="10" height="20" fill="#ff2d55"/>' and render.NO_NET in lines[2] and len(lines) == 4
+
+
+def test_rings_are_told_apart(spark):
+    """Colours alone can't tell two rings of three inverters from one of six; the pairing does, and no budget makes them equal."""
+    ring = lambda p, sizes: [(f"{p}{s}{k}", "inv_1", {"A": f"{p}{s}n{k}", "Y": f"{p}{s}n{(k + 1) % n}"}) for s, n in enumerate(sizes) for k in range(n)]
+    assert not compare.compare(side(spark, ring("l", (3, 3))), side(spark, ring("r", (6,)))).equal
+    same = compare.compare(side(spark, ring("l", (3, 3))), side(spark, ring("r", (3, 3))))
+    assert same.equal and same.mapping.count() == 12
+
+
+def test_waves_of_a_hot_signal(spark):
+    rng = random.Random(4)
+    rows = [(("hot" if rng.random() < 0.9 else rng.choice("abc")), rng.randint(0, 300), k, rng.choice((0, 1, None))) for k in range(2000)]
+    w = spark.createDataFrame(rows, "signal string, t long, seq long, value int")
+    by = {}
+    for s, t, k, v in sorted(rows, key=lambda r: r[:3]):
+        by.setdefault(s, []).append((t, k, v))
+    changed = {(s, k) for s, own in by.items() for i, (_, k, v) in enumerate(own) if i == 0 or own[i - 1][2] != v}
+    assert {(r.signal, r.seq) for r in waves.changes(w).collect()} == changed
+    rising = {(s, k) for s, own in by.items() for i, (_, k, v) in enumerate(own) if i and own[i - 1][2] == 0 and v == 1}
+    assert {(r.signal, r.seq) for r in waves.edges(w).collect()} == rising
+    asked = [(s, t) for s in by for t in range(-1, 303, 7)]
+    for strict in (False, True):
+        want = {(s, t): next((v for u, _, v in reversed(by[s]) if u < t or u == t and not strict), None) for s, t in asked}
+        assert {(r.signal, r.t): r.value for r in waves.as_of(spark.createDataFrame(asked, "signal string, t long"), w, strict).collect()} == want

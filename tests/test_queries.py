@@ -6,7 +6,7 @@ import pytest
 from netframe.plans import layout_queries, netlist_queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
 QUERIES = layout_queries.QUERIES | netlist_queries.QUERIES
 ORACLES = layout_queries.ORACLES | netlist_queries.ORACLES
 
