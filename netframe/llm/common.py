@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
+def stored(folder: str, name: str, value: Any) -> str:
+    """Writes value to a file of the shared folder, from the task that has made it; a task that runs again writes the same. Returns what loaded() takes."""
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/{name}") as out:
+        pickle.dump(value, out, protocol=pickle.HIGHEST_PROTOCOL)
+    return f"{folder}\t{root}/{name}"
+
+
+def loaded(place: str) -> Any:
+    """What stored() has written."""
+    folder, path = place.split("\t")
+    with fs.FileSystem.from_uri(folder)[0].open_input_file(path) as source:
+        return pickle.load(source)
+
+
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]

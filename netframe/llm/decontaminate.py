@@ -20,18 +20,16 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import pickle
 import re
 from collections.abc import Iterator
 from functools import partial
 
 import ahocorasick
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netframe.llm.common import of_worker, raw_texts, shared_path, sliced, text_frame
+from netframe.llm.common import loaded, of_worker, raw_texts, shared_path, sliced, stored, text_frame
 
 WINDOW = 10
 #: Benchmark text for one automaton.
@@ -114,22 +112,10 @@ def _automata(docs: DataFrame, benchmark: DataFrame, window: int, max_block_byte
 
     def build(block: pa.Table) -> pa.Table:
         made = WindowAutomaton(list(zip(block["item_id"].to_pylist(), (x.encode() for x in block["text"].to_pylist()), strict=True)), window)
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
-        name = f"{root}/{block['block'][0].as_py()}"
-        with store.open_output_stream(name) as out:  # a task that runs again writes the same
-            out.write(pickle.dumps(made))
-        return pa.table({"name": [name]})
+        return pa.table({"place": [stored(folder, str(block["block"][0].as_py()), made)]})
 
     blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n_blocks))))
-    names = [r.name for r in blocks.groupBy("block").applyInArrow(build, "name string").collect()]  # a row for each file
-    return [f"{folder}\t{name}" for name in sorted(names)]
-
-
-def _load(name: str) -> WindowAutomaton:
-    folder, path = name.split("\t")
-    with fs.FileSystem.from_uri(folder)[0].open_input_file(path) as source:
-        return pickle.loads(source.read())
+    return sorted(r.place for r in blocks.groupBy("block").applyInArrow(build, "place string").collect())  # a row for each file
 
 
 Found = list[tuple[int, set[int], set[str]]]
@@ -141,7 +127,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], automata: list[str]) -> Iterator
         words = [words_of(raw) for raw in raw_texts(batch)]
         found: Found = [(len(w), set(), set()) for w in words]
         for name in automata:
-            made = of_worker(("automaton", name), partial(_load, name))
+            made = of_worker(("automaton", name), partial(loaded, name))
             for own, (_, hit, items) in zip(words, found, strict=True):
                 made.scan(own, hit, items)
         for _, _, items in found:

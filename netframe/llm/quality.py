@@ -39,8 +39,8 @@ def fold(folds: int, id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, per_class: dict[int, int], max_chars: int) -> tuple[list[tuple[int, int, str]], dict[int, int]]:
-    """Up to per_class[label] learnable documents of each label as (doc_id, label, text), and how many labels of each value there are."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, per_class: dict[int, int], max_chars: int) -> tuple[DataFrame, dict[int, int]]:
+    """Up to per_class[label] learnable documents of each label as rows (doc_id, label, text), and how many labels of each value there are."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(fold(folds) != held_out)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most and label in (0, 1)").select("doc_id", "label")
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
@@ -49,8 +49,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int,
     picked = F.broadcast(parts[0].unionByName(parts[1]))
     found = text_frame(docs).where(F.length("text").between(1, max_chars)).join(picked, "doc_id")
     # an id's rows are one example, however many there are
-    rows = found.groupBy("doc_id", "label").agg(F.max("text").alias("text")).collect()
-    return sorted((r.doc_id, r.label, r.text) for r in rows), counts
+    return found.groupBy("doc_id", "label").agg(F.max("text").alias("text")), counts
 
 
 def logistic(x: list[float], y: list[int], weights: list[float], ridge: float = 1e-3) -> tuple[float, float]:
@@ -124,7 +123,8 @@ def _model(texts: list[list[bytes]], dictionary_bytes: int) -> QualityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, dictionary_bytes: int = DICTIONARY_BYTES) -> QualityModel | None:
     """None if there aren't two classes to tell apart."""
-    sample, counts = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, {0: per_class, 1: per_class}, max_chars)
+    rows, counts = labelled_rows(docs, labels, "quality", FOLDS, HELD_OUT, {0: per_class, 1: per_class}, max_chars)
+    sample = sorted(tuple(r) for r in rows.collect())
     by = {label: [t.encode() for _, k, t in sample if k == label] for label in (0, 1)}
     if min(map(len, by.values())) < 2:
         return None

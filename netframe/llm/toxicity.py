@@ -9,7 +9,7 @@ blocks of the highest bounds are visited, then all whose bound reaches the k-th
 that many examples have keep their postings as matrix rows, and texts are searched for some at a time.
 
 Fitting takes a bounded sample: n_toxic and n_clean labelled documents, the first in the order of a hash of their id, none
-over max_chars. The index holds only those, so it is broadcast. Everything else covers all rows.
+over max_chars. One task fits, and stores the model in the shared folder; its size is bounded by the sample. Everything else covers all rows.
 
 Defined cases: null text is the empty text. A text without any term of the sample has no neighbours; its score is the
 share of toxic documents among such examples, or among all where there is none. Ties between neighbours go to the smaller doc_id. Equal example texts count once. A null
@@ -22,15 +22,16 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netframe.llm.common import sliced, str_texts, text_frame
-from netframe.llm.quality import fold, labelled_sample, logistic, sigmoid
+from netframe.llm.common import loaded, of_worker, shared_path, sliced, stored, str_texts, text_frame
+from netframe.llm.quality import fold, labelled_rows, logistic, sigmoid
 
 FOLDS, HELD_OUT = 3, 1
 N_TOXIC, N_CLEAN = 2000, 4000
@@ -217,7 +218,7 @@ class ToxicityModel:
 
     def __init__(self, sample: list[tuple[int, int, str]], counts: dict[int, int], k: int = NEIGHBOURS):
         self.k = k
-        sample = sorted({text: (i, label, text) for i, label, text in reversed(sample)}.values())
+        sample = sorted({text: (i, label, text) for i, label, text in sorted(sample, reverse=True)}.values())
         n = Counter(label for _, label, _ in sample)
         share = {label: counts.get(label, 0) / max(1, n[label]) for label in (0, 1)}  # labels for each example
         self.terms = {}
@@ -279,16 +280,40 @@ class ToxicityModel:
             yield (self.without if vote is None else sigmoid(self.intercept + self.slope * vote)), near
 
 
-def fit(docs: DataFrame, labels: DataFrame, n_toxic: int = N_TOXIC, n_clean: int = N_CLEAN, max_chars: int = MAX_CHARS) -> ToxicityModel:
-    return ToxicityModel(*labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, {0: n_clean, 1: n_toxic}, max_chars))
+def _sample(docs: DataFrame, labels: DataFrame, n_toxic: int = N_TOXIC, n_clean: int = N_CLEAN, max_chars: int = MAX_CHARS) -> tuple[DataFrame, dict[int, int]]:
+    return labelled_rows(docs, labels, "toxic", FOLDS, HELD_OUT, {0: n_clean, 1: n_toxic}, max_chars)
+
+
+def fit(docs: DataFrame, labels: DataFrame, **fitting) -> ToxicityModel:
+    """The model, on the driver."""
+    rows, counts = _sample(docs, labels, **fitting)
+    return ToxicityModel([tuple(r) for r in rows.collect()], counts)
+
+
+def _ready(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None, **fitting) -> Callable[[], ToxicityModel]:
+    """Gives a worker the model. A given one is broadcast; else a task fits it to the bounded sample and stores it in the shared folder, so neither sample nor model passes through the driver."""
+    if model is None:
+        rows, counts = _sample(docs, labels, **fitting)
+        folder = shared_path(docs.sparkSession, "toxicity")
+
+        def build(sample: pa.Table) -> pa.Table:
+            columns = (sample[c].to_pylist() for c in ("doc_id", "label", "text"))
+            return pa.table({"place": [stored(folder, "model", ToxicityModel(list(zip(*columns, strict=True)), counts))]})
+
+        places = [r.place for r in rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(build, "place string").collect()]
+        if places:
+            return partial(of_worker, ("toxicity", places[0]), partial(loaded, places[0]))
+        model = ToxicityModel([], counts)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return lambda: shared.value
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: ToxicityModel | None = None, **fitting) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for each row of docs. evidence: neighbour's doc_id:label:cosine, nearest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels, **fitting))
+    ready = _ready(docs, labels, model, **fitting)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = ready()
         for batch in sliced(batches):
             score, evidence = [], []
             for s, near in model.scores(str_texts(batch)):
@@ -302,10 +327,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: ToxicityModel | None = None, **fitting) -> DataFrame:
     """The rows of docs, with all columns, whose score is below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels, **fitting))
+    ready = _ready(docs, labels, model, **fitting)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = ready()
         for batch in sliced(batches):
             yield batch.filter(pa.array([s < threshold for s, _ in model.scores(str_texts(batch))], pa.bool_()))
 
