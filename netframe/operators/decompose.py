@@ -61,21 +61,13 @@ def decompose(polygons: DataFrame) -> DataFrame:
 
 
 def path_rects(paths: DataFrame) -> DataFrame:
-    """(path_id, i, xlo, ylo, xhi, yhi): a rectangle for each segment of paths (path_id, width, path_type, pts). Types 1 and 2 reach half a width beyond the ends; a diagonal segment is its box, padded."""
+    """(path_id, i, xlo, ylo, xhi, yhi): a rectangle for each segment of paths (path_id, width, path_type, pts).
+
+    Every segment of types 1 and 2 reaches half a width beyond both of its ends, so bends are filled; a diagonal segment is its box, padded; paths without a width or with fewer than two points have none."""
     half = F.expr("width div 2")
-    seg = paths.select("path_id", half.alias("half"), "path_type", F.size("pts").alias("n"), F.posexplode(F.zip_with(F.slice("pts", 1, F.size("pts") - 1), F.slice("pts", 2, F.size("pts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("i", "s"))
-    reach = lambda at_end: F.when(F.col("path_type").isin(1, 2) & at_end, F.col("half")).otherwise(F.lit(0))
+    drawn = paths.where((F.col("width") > 0) & (F.size("pts") >= 2))
+    seg = drawn.select("path_id", half.alias("half"), F.when(F.col("path_type").isin(1, 2), half).otherwise(F.lit(0)).alias("reach"), F.posexplode(F.zip_with(F.slice("pts", 1, F.size("pts") - 1), F.slice("pts", 2, F.size("pts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("i", "s"))
     ax, ay, bx, by = (F.col(f"s.{p}.{c}") for p in "ab" for c in "xy")
-    first, last = reach(F.col("i") == 0), reach(F.col("i") == F.col("n") - 2)
-    low_end = F.when((ax < bx) | (ay < by), first).otherwise(last)
-    high_end = F.when((ax < bx) | (ay < by), last).otherwise(first)
-    flat, upright = ay == by, ax == bx
-    pad = F.col("half")
-    return seg.select(
-        "path_id",
-        "i",
-        (F.least(ax, bx) - F.when(flat & ~upright, low_end).otherwise(pad)).alias("xlo"),
-        (F.least(ay, by) - F.when(upright & ~flat, low_end).otherwise(pad)).alias("ylo"),
-        (F.greatest(ax, bx) + F.when(flat & ~upright, high_end).otherwise(pad)).alias("xhi"),
-        (F.greatest(ay, by) + F.when(upright & ~flat, high_end).otherwise(pad)).alias("yhi"),
-    )
+    across = F.when(ay == by, F.col("reach")).otherwise(F.col("half"))
+    along = F.when((ax == bx) & (ay != by), F.col("reach")).otherwise(F.col("half"))
+    return seg.select("path_id", "i", (F.least(ax, bx) - across).alias("xlo"), (F.least(ay, by) - along).alias("ylo"), (F.greatest(ax, bx) + across).alias("xhi"), (F.greatest(ay, by) + along).alias("yhi"))

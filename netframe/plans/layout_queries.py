@@ -134,7 +134,7 @@ def q_ring_boxes(spark, sf_dir):
 
 @query(
     "WITH p AS (SELECT p_partkey AS path_id, CAST(10 + p_size % 7 AS BIGINT) // 2 AS half, p_partkey % 3 AS kind, CAST(p_size AS BIGINT) AS s FROM part), e AS (SELECT *, CASE WHEN kind IN (1, 2) THEN half ELSE 0 END AS r FROM p) "
-    "SELECT path_id, CAST(0 AS INT) AS i, -r AS xlo, -half AS ylo, 100 + s AS xhi, half AS yhi FROM e UNION ALL SELECT path_id, 1, 100 + s - half, 0, 100 + s + half, 50 + s FROM e UNION ALL SELECT path_id, 2, 60 - half, 50 + s - half, 100 + s + half, 90 + s + half FROM e"
+    "SELECT path_id, CAST(0 AS INT) AS i, -r AS xlo, -half AS ylo, 100 + s + r AS xhi, half AS yhi FROM e UNION ALL SELECT path_id, 1, 100 + s - half, -r, 100 + s + half, 50 + s + r FROM e UNION ALL SELECT path_id, 2, 60 - half, 50 + s - half, 100 + s + half, 90 + s + half FROM e"
 )
 def q_path_rects(spark, sf_dir):
     s = F.col("p_size").cast("long")
