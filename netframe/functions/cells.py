@@ -105,6 +105,7 @@ FLIP_FLOPS = (
     ("dfrtn", False, "RESET_B", None, None),
 )
 STRENGTHS = (1, 2, 4, 6, 8, 12, 16)
+# decap_12 comes in two libraries; names here are without the library's prefix, so it is one
 PHYSICAL = ("decap_3", "decap_4", "decap_6", "decap_8", "decap_12", "fill_1", "fill_2", "fill_4", "fill_8", "tap_1", "tap_2", "diode_2", "fakediode_2", "fill_diode_2", "tapvpwrvgnd_1")
 SUPPLY_PINS = ("VPWR", "VGND", "VPB", "VNB")
 
@@ -144,6 +145,16 @@ def xor_(*values: Column) -> Column:
     return reduce(lambda a, b: a != b, values) if values else F.lit(False)
 
 
+def model_name(cell: Column) -> Column:
+    """A cell's name as models has it: what follows the last double underscore."""
+    return F.substring_index(cell, "__", -1)
+
+
+def is_physical(cell: Column) -> Column:
+    """The cell's model has no logic; a cell without a model isn't physical."""
+    return model_name(cell).isin(*PHYSICAL)
+
+
 def models(spark: SparkSession) -> DataFrame:
     """(cell, base, kind): every base cell in every drive strength, kind comb or seq, and physical cells."""
     bases = sorted({(f[1], "comb") for f in functions()} | {(f[0], "seq") for f in FLIP_FLOPS})

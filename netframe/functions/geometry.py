@@ -78,9 +78,8 @@ def twice_area(ring: Column) -> Column:
 
 
 def place(x: Column, y: Column, ox: Column, oy: Column, angle: Column, mirror: Column, mag: Column | None = None) -> tuple[Column, Column]:
-    """A point under a placement: scale, mirror in the x axis, turn, move. Quarter turns stay exact; other angles round half away from zero."""
-    sx = x if mag is None else F.round(x * mag).cast("long")
-    sy = y if mag is None else F.round(y * mag).cast("long")
+    """A point under a placement: scale, mirror in the x axis, turn, move. Quarter turns without a scale stay exact; all else is rounded once, half away from zero."""
+    sx, sy = (x, y) if mag is None else (x * mag, y * mag)
     my = F.when(mirror, -sy).otherwise(sy)
     turn = F.pmod(angle, F.lit(360))
     rad = F.radians(turn.cast("double"))
@@ -88,11 +87,14 @@ def place(x: Column, y: Column, ox: Column, oy: Column, angle: Column, mirror: C
     odd_y = F.round(sx * F.sin(rad) + my * F.cos(rad)).cast("long")
     px = F.when(turn == 0, sx).when(turn == 90, -my).when(turn == 180, -sx).when(turn == 270, my).otherwise(odd_x)
     py = F.when(turn == 0, my).when(turn == 90, sx).when(turn == 180, -my).when(turn == 270, -sx).otherwise(odd_y)
+    if mag is not None:
+        px, py = F.round(px).cast("long"), F.round(py).cast("long")
     return ox + px, oy + py
 
 
 def compose(outer: dict[str, Column], inner: dict[str, Column]) -> dict[str, Column]:
-    """The placement (ox, oy, angle, mirror) of something placed within a placed cell; a mirrored outer turns the inner angle round."""
-    ox, oy = place(inner["ox"], inner["oy"], outer["ox"], outer["oy"], outer["angle"], outer["mirror"])
+    """The placement (ox, oy, angle, mirror, and mag if both have it) of something placed within a placed cell; a mirrored outer turns the inner angle round, scales multiply."""
+    ox, oy = place(inner["ox"], inner["oy"], **outer)
     angle = F.pmod(outer["angle"] + F.when(outer["mirror"], -inner["angle"]).otherwise(inner["angle"]), F.lit(360))
-    return {"ox": ox, "oy": oy, "angle": angle, "mirror": outer["mirror"] != inner["mirror"]}
+    scale = {"mag": outer["mag"] * inner["mag"]} if "mag" in outer else {}
+    return {"ox": ox, "oy": oy, "angle": angle, "mirror": outer["mirror"] != inner["mirror"], **scale}

@@ -37,10 +37,9 @@ def abutment_boxes(shapes: DataFrame, layer: int = ABUTMENT[0], datatype: int =
 
 
 def placed_boxes(placements: DataFrame, boxes: DataFrame) -> DataFrame:
-    """placements (inst_id, cell, ox, oy, angle, mirror, and an own box as f_xlo...) with their cell's box under the placement, or their own box where the cell has none."""
+    """placements (inst_id, cell, ox, oy, angle, mirror, mag if scaled, and an own box as f_xlo...) with the box around their cell's box under the placement, or their own box where the cell has none."""
     joined = placements.join(boxes, "cell", "left")
-    at = {c: F.col(c) for c in ("ox", "oy", "angle", "mirror")}
-    x1, y1 = place(F.col("xlo"), F.col("ylo"), **at)
-    x2, y2 = place(F.col("xhi"), F.col("yhi"), **at)
-    made = dict(zip(RECT, (F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2)), strict=True))
+    at = {c: F.col(c) for c in ("ox", "oy", "angle", "mirror", "mag") if c in placements.columns}
+    xs, ys = zip(*(place(F.col(x), F.col(y), **at) for x in ("xlo", "xhi") for y in ("ylo", "yhi")), strict=True)
+    made = dict(zip(RECT, (F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)), strict=True))
     return joined.select("inst_id", "cell", *(F.coalesce(made[c], F.col(f"f_{c}")).alias(f"p_{c}") for c in RECT))

@@ -10,11 +10,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netframe.functions.cells import is_physical
 from netframe.operators import graphs
 from netframe.operators.components import written
 
-PHYSICAL = r"(^|__)(decap|fill|tap|diode|fakediode)"
-
 
 @dataclass
 class Side:
@@ -35,7 +34,7 @@ class Comparison:
 def _kept(side: Side, ignore_physical: bool, ignore_power: bool) -> Side:
     insts, pins = side.insts, side.pins.where("net is not null")
     if ignore_physical:
-        insts = insts.where(~F.col("cell").rlike(PHYSICAL))
+        insts = insts.where(~is_physical(F.col("cell")))
     if ignore_power and side.kinds is not None:
         pins = pins.join(side.kinds.where("kind <> 'signal'"), "net", "left_anti")
     return Side(insts, pins.join(insts, "inst_id", "left_semi"), side.kinds)

@@ -4,23 +4,31 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netframe.functions import cells as library
-from netframe.functions.geometry import place
-from netframe.functions.text import SUPPLY_GROUND, SUPPLY_POWER, base_name
+from netframe.functions.geometry import bounding_box, place, ring_box
+from netframe.functions.text import SUPPLY_GROUND, SUPPLY_POWER
 from netframe.operators import hierarchy, netlist
-from netframe.operators.classify import conductor_shapes, layer_stack
+from netframe.operators.classify import abutment_boxes, conductor_shapes, layer_stack, placed_boxes
 from netframe.operators.components import written
 from netframe.operators.decompose import decompose, path_rects
-from netframe.operators.nets import bind_labels, rect_nets
-from netframe.sources.gds import Layout
+from netframe.operators.graphs import union
+from netframe.operators.nets import bind_labels, net_boxes, rect_nets
+from netframe.sources.gds import Layout, LayoutTables
+
+BODY_TIES = {"VPB": "VPWR", "VNB": "VGND"}
+PLACE = ("ox", "oy", "angle", "mirror", "mag")
 
 
 @dataclass
 class Netlist:
-    """The extracted tables."""
+    """The extracted tables.
+
+    instances (inst_id, name, cell, x, y, angle, mirror, and the box that a placer puts down as xlo, ylo, xhi, yhi); pins (inst_id, pin, net_id);
+    nets (net_id, name, named_in_layout, kind, edges of the box); ports (name, direction, net_id); rects (rect_id, level, edges, net);
+    stats, one row of counts; warnings (warning); unknown_cells (cell): placed cells without a model."""
 
     instances: DataFrame
     pins: DataFrame
@@ -29,79 +37,117 @@ class Netlist:
     rects: DataFrame
     stats: DataFrame
     warnings: DataFrame
+    unknown_cells: DataFrame
 
 
-def _flat(layout: Layout, top: str) -> DataFrame:
-    """Every placement, top itself included, with its place; the parent axis of an array step is its column's."""
-    refs = layout.references().select("parent", "child", "ref_id", "ox", "oy", "angle", "mirror", "n_cols", "n_rows", F.col("col_dx").alias("dx"), F.col("row_dy").alias("dy"))
+def _flat(layout: Layout | LayoutTables, top: str) -> DataFrame:
+    """Every placement, top itself included, with its place."""
+    refs = layout.references().select("parent", "child", "ref_id", *PLACE, "n_cols", "n_rows", F.col("col_dx").alias("dx"), "col_dy", "row_dx", F.col("row_dy").alias("dy"))
     below = hierarchy.flatten(refs, top)
     zero = F.lit(0).cast("long")
-    own = refs.sparkSession.range(1).select(F.lit("").alias("path"), F.lit(top).alias("cell"), F.lit(0).alias("depth"), zero.alias("ox"), zero.alias("oy"), zero.alias("angle"), F.lit(False).alias("mirror"))
+    own = refs.sparkSession.range(1).select(F.lit("").alias("path"), F.lit(top).alias("cell"), F.lit(0).alias("depth"), zero.alias("ox"), zero.alias("oy"), zero.cast(refs.schema["angle"].dataType).alias("angle"), F.lit(False).alias("mirror"), F.lit(1.0).alias("mag"))
     return own.unionByName(below)
 
 
-def _shapes(layout: Layout) -> DataFrame:
+def _shapes(layout: Layout | LayoutTables) -> DataFrame:
     """(cell, seq, part, layer, datatype, ring): boundaries, and a ring for each segment of a path that has a width."""
     drawn = layout.boundaries().select("cell", "seq", F.lit(0).alias("part"), "layer", "datatype", "ring")
-    paths = layout.paths().where("width > 0").withColumn("path_id", F.struct("path", "cell", "seq", "layer", "datatype"))
+    paths = layout.paths().withColumn("path_id", F.struct("path", "cell", "seq", "layer", "datatype"))
     corner = lambda x, y: F.struct(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"))
     ring = F.array(corner("xlo", "ylo"), corner("xhi", "ylo"), corner("xhi", "yhi"), corner("xlo", "yhi"), corner("xlo", "ylo"))
     wires = path_rects(paths).select("path_id.cell", "path_id.seq", (F.col("i") + 1).alias("part"), "path_id.layer", "path_id.datatype", ring.alias("ring"))
     return drawn.unionByName(wires)
 
 
-def extract(layout: Layout, top: str | None = None, keep_physical: bool = False, keep_power: bool = False, prefix: str = "n") -> Netlist:
-    """The netlist of a layout whose standard cells are placed cells without placements of their own that carry labels.
+def _moved(ring: str) -> Column:
+    """A cell's ring under its placement."""
+    at = {c: F.col(c) for c in PLACE}
+    return F.transform(ring, lambda p: F.struct(*(c.alias(n) for c, n in zip(place(p["x"], p["y"], **at), ("x", "y"), strict=True)))).alias("ring")
+
+
+def _instance_boxes(insts: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(inst_id, edges): the abutment box of each instance's cell where it lies, or the box of all of the instance's shapes where the cell has none. A cell without shapes has no box."""
+    # a path isn't an abutment box: parts of paths are numbered from 1
+    boxes = written(abutment_boxes(shapes.where("part = 0").select("cell", "layer", "datatype", *ring_box("ring"))), "abutment")
+    drawn = shapes.join(boxes, "cell", "left_anti").select("cell", "ring").join(insts, "cell").select("inst_id", _moved("ring")).select("inst_id", *ring_box("ring"))
+    own = drawn.groupBy("inst_id").agg(*(c.alias(f"f_{n}") for c, n in zip(bounding_box(), ("xlo", "ylo", "xhi", "yhi"), strict=True)))
+    placed = placed_boxes(insts.join(own, "inst_id", "left"), boxes)
+    return placed.select("inst_id", *(F.col(f"p_{n}").alias(n) for n in ("xlo", "ylo", "xhi", "yhi")))
+
+
+def extract(layout: Layout | LayoutTables, top: str | None = None, keep_physical: bool = False, keep_power: bool = False, infer_body_pins: bool = True, prefix: str = "n") -> Netlist:
+    """The netlist of a layout whose standard cells are placed cells without placements of their own that carry labels of conductors.
+
+    Cells are looked up in the models by the name behind their library's prefix. Cells without logic go unless keep_physical; cells
+    without a model stay and are listed. With power pins kept, body pins that a model has and no label binds go to their rail.
 
     One layout file at a time: names mean cells of that file, so a layout read from several is an error."""
     files = [r.path for r in layout.cells().select("path").distinct().limit(2).collect()]
     if len(files) > 1:
         raise ValueError(f"a layout of several files can't be extracted as one: {', '.join(sorted(files))}")
+    spark = layout.cells().sparkSession
     refs = layout.references()
     if top is None:
         top = hierarchy.pick_top(layout.cells(), refs).first()[0]
-    leaves = written(hierarchy.leaf_cells(layout.cells(), refs, layout.texts().select("cell")).select("cell"), "leaves")
+    stack = layer_stack(spark).where("role = 'label'").select("layer", F.col("datatype").alias("texttype"), "level")
+    texts = layout.texts().drop("path").join(stack, ["layer", "texttype"])
+    leaves = written(hierarchy.leaf_cells(layout.cells(), refs, texts.select("cell")).select("cell"), "leaves")
     flat = written(_flat(layout, top).join(leaves.withColumn("leaf", F.lit(True)), "cell", "left"), "placements")
-    insts = written(netlist.numbered(flat.where("leaf"), ["path"], "inst_id").select("inst_id", "path", "cell", "ox", "oy", "angle", "mirror"), "instances")
+    models = F.broadcast(library.models(spark).withColumnRenamed("cell", "model"))  # as many as the library has
+    insts = written(netlist.numbered(flat.where("leaf"), ["path"], "inst_id").withColumn("model", library.model_name(F.col("cell"))).join(models, "model", "left").select("inst_id", "path", "cell", "base", "kind", *PLACE), "instances")
     placed = flat.join(insts.select("path", "inst_id"), "path", "left")
-    at = {c: F.col(c) for c in ("ox", "oy", "angle", "mirror")}
+    unknown = insts.where("kind is null").select("cell").distinct()
 
-    shapes = conductor_shapes(_shapes(layout)).join(placed, "cell")
-    moved = shapes.select(F.concat_ws("#", "path", "cell", F.col("seq").cast("string"), F.col("part").cast("string")).alias("poly_id"), "role", "level", F.transform("ring", lambda p: F.struct(*(c.alias(n) for c, n in zip(place(p["x"], p["y"], **at), ("x", "y"), strict=True)))).alias("ring"))
-    moved = written(moved, "polygons")
+    drawn = written(_shapes(layout), "shapes")
+    shapes = conductor_shapes(drawn).join(placed, "cell")
+    moved = written(shapes.select(F.concat_ws("#", "path", "cell", F.col("seq").cast("string"), F.col("part").cast("string")).alias("poly_id"), "role", "level", _moved("ring")), "polygons")
     cut = decompose(moved).join(moved.select("poly_id", "role", "level"), "poly_id")
     cut = written(netlist.numbered(cut, ["role", "level", "poly_id", "xlo", "ylo", "xhi", "yhi"], "rect_id"), "rects")
     rects = cut.where("role <> 'cut'").select("rect_id", "level", "xlo", "ylo", "xhi", "yhi")
     cuts = cut.where("role = 'cut'").select(F.col("rect_id").alias("cut_id"), F.col("level").alias("lower"), "xlo", "ylo", "xhi", "yhi")
     nets = written(rect_nets(rects, cuts, n_levels=6), "nets")
 
-    stack = layer_stack(refs.sparkSession).where("role = 'label'").select("layer", F.col("datatype").alias("texttype"), "level")
-    x, y = place(F.col("x"), F.col("y"), **at)
-    texts = layout.texts().drop("path").where("value <> ''").join(stack, ["layer", "texttype"]).join(placed, "cell").select("path", "seq", "level", x.alias("x"), y.alias("y"), "value", "inst_id")
-    labels = written(netlist.numbered(texts, ["path", "seq"], "text_id"), "labels")
+    x, y = place(F.col("x"), F.col("y"), **{c: F.col(c) for c in PLACE})
+    labels = texts.where("value <> ''").join(placed, "cell").select("path", "seq", "level", x.alias("x"), y.alias("y"), "value", "inst_id")
+    labels = written(netlist.numbered(labels, ["path", "seq"], "text_id"), "labels")
     bound = written(bind_labels(labels.select("text_id", "level", "x", "y", "value"), rects, nets).join(labels.select("text_id", "inst_id"), "text_id"), "bound")
     top_labels = bound.where("inst_id is null and net is not null").groupBy(F.col("net").alias("net_id")).agg(F.min_by("value", "text_id").alias("name"), F.count_distinct("value").alias("n_names"))
 
-    physical = F.col("cell").rlike(r"(^|__)(decap|fill|tap|diode|fakediode)")
-    kept = insts if keep_physical else insts.where(~physical)
-    all_pins = netlist.pin_nets(bound.where("inst_id is not null and net is not null").select("inst_id", F.col("value").alias("pin"), F.col("net").alias("net_id")))
+    kept = insts if keep_physical else insts.where("kind is null or kind <> 'physical'")
+    all_pins = written(netlist.pin_nets(bound.where("inst_id is not null and net is not null").select("inst_id", F.col("value").alias("pin"), F.col("net").alias("net_id"))), "bound-pins")
     roots = netlist.supply_roots(all_pins)
-    pins = netlist.body_pins(all_pins, {"VPB": "VPWR", "VNB": "VGND"}).join(kept, "inst_id", "left_semi")
+    own_pins = all_pins.join(kept, "inst_id", "left_semi")
     if not keep_power:
-        pins = pins.where(~F.col("pin").isin(*SUPPLY_POWER, *SUPPLY_GROUND))
-    pins = written(pins, "pins")
+        own_pins = own_pins.where(~F.col("pin").isin(*SUPPLY_POWER, *SUPPLY_GROUND))
+    inferred = netlist.inferred_body_pins(own_pins, BODY_TIES).withColumn("n_nets", F.lit(1).cast("long"))
+    known_pins = F.broadcast(library.pins(spark))
+    inferred = inferred.join(kept.select("inst_id", "base"), "inst_id").join(known_pins, ["base", "pin"], "left_semi").drop("base")
+    if not (keep_power and infer_body_pins):
+        inferred = inferred.limit(0)
+    pins = written(own_pins.withColumn("inferred", F.lit(False)).unionByName(inferred.withColumn("inferred", F.lit(True))), "pins")
     auto = netlist.net_names(pins, prefix)
     ids = netlist.all_nets(pins, top_labels)
     named = ids.join(top_labels.select("net_id", F.col("name").alias("label")), "net_id", "left").join(auto, "net_id", "left").select("net_id", F.coalesce("label", "name").alias("name"), F.col("label").isNotNull().alias("named_in_layout"))
     kinds = netlist.net_kinds(ids, top_labels.select("net_id", "name"), roots)
-    directions = library.pins(refs.sparkSession).select(F.col("base").alias("cell"), "pin", "direction")
-    driven = netlist.driven_nets(pins.join(kept.select("inst_id", base_name(F.col("cell")).alias("cell")), "inst_id"), directions)
+    driven = netlist.driven_nets(pins.join(kept.select("inst_id", F.col("base").alias("cell")), "inst_id"), known_pins.select(F.col("base").alias("cell"), "pin", "direction"))
     ports = netlist.ports(top_labels.select("net_id", "name"), kinds, driven)
     names = netlist.instance_names(kept)
-    warnings = top_labels.where("n_names > 1").select(F.format_string("net %s has several labels", F.col("name")).alias("warning")).unionByName(bound.where("net is null").groupBy("value").count().select(F.format_string("label %s is on no metal", F.col("value")).alias("warning")))
-    counts = {"instances": kept, "polygons": moved, "rectangles": rects, "labels": bound.where("net is not null"), "nets": ids, "warnings": warnings}
-    stats = None
-    for name, df in counts.items():
-        one = df.agg(F.count("*").alias(name))
-        stats = one if stats is None else stats.crossJoin(one)  # one row each
-    return Netlist(kept.join(names, "inst_id").select("inst_id", "name", "cell", F.col("ox").alias("x"), F.col("oy").alias("y"), "angle", "mirror"), pins, named.join(kinds, "net_id"), ports, rects.join(nets, "rect_id"), stats, warnings)
+    boxes = net_boxes(rects, nets).withColumnRenamed("net", "net_id").drop("n_rects")
+
+    diagonal = cut.where("diagonal")
+    split = pins.where("n_nets > 1")
+    warnings = (
+        top_labels.where("n_names > 1").select(F.format_string("net %s has several labels", F.col("name")).alias("warning"))
+        .unionByName(bound.where("net is null").groupBy("value").count().select(F.format_string("label %s is on no metal", F.col("value")).alias("warning")))
+        .unionByName(split.join(names, "inst_id").select(F.format_string("pin %s.%s is on %d nets", "name", "pin", "n_nets").alias("warning")))
+        .unionByName(diagonal.agg(F.count("*").alias("n")).where("n > 0").select(F.format_string("%d polygons with diagonal edges are taken as their boxes", "n").alias("warning")))
+        .unionByName(unknown.select(F.format_string("cell %s has no model", "cell").alias("warning")))
+    )
+    counts = {
+        "instances": kept, "logic_instances": kept.where("kind is null or kind <> 'physical'"), "polygons": moved, "rectangles": rects, "labels": bound.where("net is not null"), "unbound": bound.where("net is null"),
+        "split_pins": split, "inferred_body_pins": pins.where("inferred"), "diagonal": diagonal, "unknown_cells": unknown, "nets": ids, "signal_nets": kinds.where("kind = 'signal'"), "warnings": warnings,
+    }
+    each = union([df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in counts.items()])
+    stats = each.agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in counts))
+    instances = kept.join(names, "inst_id").join(_instance_boxes(insts, drawn), "inst_id", "left").select("inst_id", "name", "cell", F.col("ox").alias("x"), F.col("oy").alias("y"), "angle", "mirror", "xlo", "ylo", "xhi", "yhi")
+    return Netlist(instances, pins.select("inst_id", "pin", "net_id"), named.join(kinds, "net_id").join(boxes, "net_id", "left"), ports, rects.join(nets, "rect_id"), stats, warnings, unknown)

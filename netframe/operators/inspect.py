@@ -33,6 +33,11 @@ def labels_per_cell(labels: DataFrame) -> DataFrame:
     return labels.groupBy("cell").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("value")), " ").alias("names"))
 
 
+def labels_listed(texts: DataFrame) -> DataFrame:
+    """(path, cell, seq, label): every label as value@layer/type, repeats too, in the order of the stream."""
+    return texts.select("path", "cell", "seq", F.format_string("%s@%d/%d", "value", "layer", "texttype").alias("label")).orderBy("path", "cell", "seq")
+
+
 def library_summary(library: DataFrame, cells: DataFrame, refs: DataFrame) -> DataFrame:
     """(path, lib, user_unit, db_unit_m, n_cells, tops): one row for each library."""
     tops = cells.join(refs, [cells.cell == refs.child, cells.path == refs.path], "left_anti").groupBy("path").agg(F.array_sort(F.collect_set("cell")).alias("tops"))

@@ -48,11 +48,16 @@ def supply_roots(pins: DataFrame) -> DataFrame:
     return pins.where("n_nets = 1").withColumn("kind", supply_kind(F.col("pin"))).where("kind <> 'signal'").select("net_id", "kind").distinct()
 
 
-def body_pins(pins: DataFrame, pairs: dict[str, str]) -> DataFrame:
-    """pins with the unbound body pins on the rail of their instance. pairs: body pin to rail pin."""
+def inferred_body_pins(pins: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """(inst_id, pin, net_id) of the unbound body pins, on the rail of their instance. pairs: body pin to rail pin."""
     wanted = F.create_map(*(F.lit(x) for kv in pairs.items() for x in reversed(kv)))
     rails = pins.where(F.col("pin").isin(*pairs.values())).select("inst_id", wanted[F.col("pin")].alias("pin"), "net_id")
-    return pins.select("inst_id", "pin", "net_id").unionByName(rails.join(pins, ["inst_id", "pin"], "left_anti"))
+    return rails.join(pins, ["inst_id", "pin"], "left_anti")
+
+
+def body_pins(pins: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """pins with the unbound body pins."""
+    return pins.select("inst_id", "pin", "net_id").unionByName(inferred_body_pins(pins, pairs))
 
 
 def net_kinds(nets: DataFrame, labels: DataFrame, roots: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netframe.operators.extract import Netlist
+from netframe.sources.defdb import RoutedDatabase
+
+
 def placements_found(expected: DataFrame, found: DataFrame) -> DataFrame:
     """(n, n_found): expected rows (cell, x, y) that found has too; a found row may serve several."""
     keys = ["cell", "x", "y"]
@@ -34,3 +38,30 @@ def nets_matched(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 def nets_unmatched(expected: DataFrame, found: DataFrame, n: int = 5) -> DataFrame:
     return expected.join(found, "signature", "left_anti").orderBy("signature", "net_id").limit(n)
+
+
+def database_pins(database: RoutedDatabase) -> DataFrame:
+    """(net_id, cell, pin) of a database's signal nets; the design's own pins have no cell, pins of instances that it lacks the cell ?."""
+    own = database.net_pins().where("not special").select("net", "instance", "pin").distinct()
+    cells = database.components().select(F.col("name").alias("instance"), "cell")
+    cell = F.when(F.col("instance").isNotNull(), F.coalesce("cell", F.lit("?")))
+    return own.join(cells, "instance", "left").select(F.col("net").alias("net_id"), cell.alias("cell"), F.when(F.col("instance").isNull(), F.concat(F.lit("PIN:"), "pin")).otherwise(F.col("pin")).alias("pin"))
+
+
+def extracted_pins(netlist: Netlist) -> DataFrame:
+    """(net_id, cell, pin) of an extraction's signal nets, ports as pins without a cell."""
+    pins = netlist.pins.join(netlist.instances.select("inst_id", "cell"), "inst_id").select("net_id", "cell", "pin")
+    ports = netlist.ports.select("net_id", F.lit(None).cast("string").alias("cell"), F.concat(F.lit("PIN:"), "name").alias("pin"))
+    return pins.unionByName(ports).join(netlist.nets.where("kind = 'signal'"), "net_id", "left_semi")
+
+
+def database_check(netlist: Netlist, database: RoutedDatabase) -> DataFrame:
+    """One row (n_components, n_placed, n_nets, n_matched): components whose cell's abutment box has its lower left corner where the
+    database places it, and signal nets whose pins, by cell, an extracted net has too. Extract with keep_physical to find fillers."""
+    placed = placements_found(database.components().select("cell", "x", "y"), netlist.instances.select("cell", F.col("xlo").alias("x"), F.col("ylo").alias("y")))
+    expected, found = net_signatures(database_pins(database)), net_signatures(extracted_pins(netlist))
+    counts = placed.select(F.col("n").alias("n_components"), F.col("n_found").alias("n_placed"), F.lit(0).cast("long").alias("n_nets"), F.lit(0).cast("long").alias("n_matched"))
+    zero = F.lit(0).cast("long")
+    nets = expected.agg(F.count("*").alias("n")).select(zero, zero, "n", zero)
+    matched = nets_matched(expected, found).select(zero, zero, zero, "n_matched")
+    return counts.union(nets).union(matched).agg(*(F.sum(c).alias(c) for c in counts.columns))

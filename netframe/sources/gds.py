@@ -104,11 +104,19 @@ class Layout:
         made = own.withColumn("n_cols", n_cols).withColumn("n_rows", n_rows)
         return made.select(
             "path", F.col("cell").alias("parent"), _string(F.col("sname")).alias("child"), F.col("seq").alias("ref_id"), F.get(F.col("pts"), F.lit(0))["x"].alias("ox"), F.get(F.col("pts"), F.lit(0))["y"].alias("oy"),
-            F.coalesce(ibm_real(F.hex("angle")), F.lit(0.0)).cast("long").alias("angle"), F.coalesce(unsigned(F.col("strans"), 0, 2).bitwiseAND(0x8000) != 0, F.lit(False)).alias("mirror"), F.coalesce(ibm_real(F.hex("mag")), F.lit(1.0)).alias("mag"),
+            F.coalesce(ibm_real(F.hex("angle")), F.lit(0.0)).alias("angle"), F.coalesce(unsigned(F.col("strans"), 0, 2).bitwiseAND(0x8000) != 0, F.lit(False)).alias("mirror"), F.coalesce(ibm_real(F.hex("mag")), F.lit(1.0)).alias("mag"),
             "n_cols", "n_rows", step(1, "x", "n_cols").alias("col_dx"), step(1, "y", "n_cols").alias("col_dy"), step(2, "x", "n_rows").alias("row_dx"), step(2, "y", "n_rows").alias("row_dy"),
         )
 
 
+class LayoutTables:
+    """A layout whose tables are at hand already (columns as Layout's methods give them): what extract takes from a lake instead of a stream."""
+
+    def __init__(self, **tables: DataFrame):
+        for name in ("cells", "boundaries", "paths", "texts", "references"):
+            setattr(self, name, lambda table=tables[name]: table)
+
+
 def read_gds(spark: SparkSession, path: str) -> Layout:
     """Layouts at path, which Spark reads as binary files."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")

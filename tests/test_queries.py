@@ -3,12 +3,12 @@
 import duckdb
 import pytest
 
-from netframe.plans import layout_queries, netlist_queries
+from netframe.plans import layout_queries, netlist_queries, source_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
-QUERIES = layout_queries.QUERIES | netlist_queries.QUERIES
-ORACLES = layout_queries.ORACLES | netlist_queries.ORACLES
+QUERIES = layout_queries.QUERIES | netlist_queries.QUERIES | source_queries.QUERIES
+ORACLES = layout_queries.ORACLES | netlist_queries.ORACLES | source_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
