@@ -1,11 +1,12 @@
 """Sources and sinks: streams that the tests encode, and round trips."""
 
+import math
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from netframe.operators import extract
+from netframe.operators import extract, inspect, scoring
 from netframe.sources import defdb, gds, jsonir, vcd, verilog
 from netframe.streaming import monitor
 
@@ -201,6 +202,74 @@ def test_extract_wires_drawn_as_paths(spark, tmp_path):
     assert [r.warning for r in n.warnings.collect()] == ["label in is on no metal"]
 
 
+def supplied(s, *more):
+    """A cell with its rails, and a pin A on both ends of the row."""
+    return cell(s, box(67, 20, 0, 0, 20, 20), label(67, 10, 10, "A"), box(68, 20, 0, 40, 100, 50), label(68, 5, 45, "VPWR"), box(68, 20, 0, -50, 100, -40), label(68, 5, -45, "VGND"), *more)
+
+
+def test_extract_models_and_body_pins(spark, tmp_path):
+    """Cells without logic go by their model, not by how their names begin; unknown cells stay, without body pins."""
+    cells = [supplied("lib__inv_1", box(67, 20, 60, 0, 80, 20), label(67, 70, 10, "A"), label(67, 70, 300, "Y")), supplied("lib__tap_1"), supplied("tapestry_1"), supplied("lib__tapvpwrvgnd_1")]
+    placed = [place(c, 200 * k, 0) for k, c in enumerate(("lib__inv_1", "lib__tap_1", "tapestry_1", "lib__tapvpwrvgnd_1"))]
+    (tmp_path / "m.gds").write_bytes(stream(*cells, cell("top", *placed, box(68, 20, 0, 40, 900, 50), label(68, 150, 45, "VPWR"))))
+    g = gds.read_gds(spark, f"file://{tmp_path}/m.gds")
+    n = extract.extract(g)
+    assert {r.name for r in n.instances.collect()} == {"inv_0", "tapestry_0"} and {r.cell for r in n.unknown_cells.collect()} == {"tapestry_1"}
+    assert {r.pin for r in n.pins.collect()} == {"A"}
+    stats = n.stats.first()
+    assert (stats.split_pins, stats.inferred_body_pins, stats.unknown_cells, stats.unbound, stats.logic_instances, stats.nets, stats.signal_nets) == (1, 0, 1, 1, 2, 3, 2)
+    assert {r.warning for r in n.warnings.collect()} == {"pin inv_0.A is on 2 nets", "cell tapestry_1 has no model", "label Y is on no metal"}
+    full = extract.extract(g, keep_physical=True, keep_power=True)
+    names = {r.inst_id: r.cell for r in full.instances.collect()}
+    pins = {}
+    for r in full.pins.collect():
+        pins.setdefault(names[r.inst_id], set()).add(r.pin)
+    rails = {"A", "VPWR", "VGND"}
+    assert pins == {"lib__inv_1": rails | {"VPB", "VNB"}, "lib__tap_1": rails | {"VPB", "VNB"}, "tapestry_1": rails, "lib__tapvpwrvgnd_1": rails}
+    assert (full.stats.first().inferred_body_pins, full.stats.first().logic_instances) == (4, 2)
+    assert extract.extract(g, keep_power=True, infer_body_pins=False).stats.first().inferred_body_pins == 0
+
+
+def test_extract_turned_arrays_and_scales(spark, tmp_path):
+    """Columns of the array run upwards, rows to the left; one inverter is twice as large, one has an odd angle. Boxes hold what is drawn, or the abutment box."""
+    turned = record(gds.AREF) + record(gds.SNAME, 6, name("inv_1")) + record(gds.ANGLE, 5, bytes.fromhex("425A000000000000")) + record(gds.COLROW, 2, i16(3, 2)) + record(gds.XY, 3, i32(0, 0, 0, 600, -400, 0)) + record(gds.ENDEL)
+    strans = record(gds.STRANS, 1, struct.pack(">H", 0))
+    twice = record(gds.SREF) + record(gds.SNAME, 6, name("inv_1")) + strans + record(gds.MAG, 5, bytes.fromhex("4120000000000000")) + record(gds.XY, 3, i32(5000, 0)) + record(gds.ENDEL)
+    odd = record(gds.SREF) + record(gds.SNAME, 6, name("buf_1")) + strans + record(gds.ANGLE, 5, bytes.fromhex("422D800000000000")) + record(gds.XY, 3, i32(9000, 0)) + record(gds.ENDEL)
+    buf = cell("buf_1", box(67, 20, 0, 0, 20, 20), label(67, 10, 10, "A"), box(81, 4, 0, 0, 100, 100))
+    (tmp_path / "t.gds").write_bytes(stream(INV, buf, cell("top", turned, twice, odd)))
+    g = gds.read_gds(spark, f"file://{tmp_path}/t.gds")
+    n = extract.extract(g)
+    boxes = sorted((r.xlo, r.ylo, r.xhi, r.yhi) for r in n.instances.where("cell = 'inv_1'").collect())
+    assert boxes == sorted([(x - 20, y, x, y + 100) for x in (0, -200) for y in (0, 200, 400)] + [(5000, 0, 5200, 40)])
+    c, s = math.cos(math.radians(45.5)), math.sin(math.radians(45.5))
+    r = n.instances.where("cell = 'buf_1'").first()
+    assert r.angle == 45.5 and (r.xlo, r.ylo, r.xhi, r.yhi) == (9000 - round(100 * s), 0, 9000 + round(100 * c), round(100 * (s + c)))
+    assert n.stats.first().labels == 15 and n.stats.first().unbound == 0 and n.stats.first().diagonal == 1
+    assert [tuple(r)[1:] for r in inspect.labels_listed(g.texts()).collect()] == [("buf_1", 6, "A@67/5"), ("inv_1", 2, "A@67/5"), ("inv_1", 4, "Y@67/5")]
+
+
+def test_extraction_against_a_database(spark, tmp_path):
+    """Two of three placements and two of three nets are as the database has them."""
+    wires = [box(67, 20, 100, 5, 300, 15), box(67, 20, -50, 5, 0, 15), label(67, -40, 10, "in"), box(67, 20, 400, 5, 500, 15), label(67, 490, 10, "q")]
+    (tmp_path / "d.gds").write_bytes(stream(INV, cell("top", place("inv_1", 0, 0), place("inv_1", 300, 20, True), *wires)))
+    database = defdb.RoutedDatabase(files(spark, """DESIGN top ;
+COMPONENTS 3 ;
+ - a inv_1 + PLACED ( 0 0 ) N ;
+ - b inv_1 + PLACED ( 300 0 ) FS ;
+ - c inv_1 + PLACED ( 300 20 ) N ;
+END COMPONENTS
+NETS 3 ;
+ - in ( PIN in ) ( a A ) ;
+ - mid ( a Y ) ( b A ) ;
+ - out ( PIN out ) ( b Y ) ;
+END NETS
+END DESIGN
+"""))
+    n = extract.extract(gds.read_gds(spark, f"file://{tmp_path}/d.gds"))
+    assert tuple(scoring.database_check(n, database).first()) == (3, 2, 3, 2)
+
+
 def test_stream_of_clocked_bits(spark, tmp_path):
     for k in range(2):
         spark.createDataFrame([(key, k * 4 + i, (key >> (7 - k * 4 - i)) & 1) for key in (0x35, 0xA1) for i in range(4)], "key long, seq long, bit long").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
