@@ -61,6 +61,12 @@ class Rounds:
         self.path = path
         return made
 
+    def drop(self) -> None:
+        """Deletes the last round's table."""
+        if self.path is not None:
+            remove(self.spark, self.path)
+            self.path = None
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges (a, b). Nodes without edges aren't listed; nulls and loops are no edges.
