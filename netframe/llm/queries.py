@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netframe.llm import byte_bpe, decontaminate, jaccard, line_dedup, pii, quality, sstable, toxicity, webp, wordpiece
+from netframe.llm import byte_bpe, centroids, decontaminate, hard_negatives, jaccard, line_dedup, pii, quality, sstable, toxicity, warc, webp, wordpiece
 from netframe.llm.common import documents
 
 
@@ -54,15 +55,74 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), with_spans=False)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label in seven is moved by one, so that labels and vectors disagree in places."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mine_hard_negatives(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_quality, op3_sstable, op4_lossless_webp, op5_token_counts, op6_toxicity, op7_pii, op8_byte_bpe, op9_ngram_jaccard, op10_decontamination)
-}
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_quality, op3_sstable, op4_lossless_webp, op5_token_counts, op6_toxicity, op7_pii, op8_byte_bpe, op9_ngram_jaccard, op10_decontamination,
+        op11_hard_negatives, op12_centroids, op13_warc,
+    )
+}
 
 _LOWER = "translate(COALESCE({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REACH = "ways AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links), reach AS (SELECT u, u AS v FROM ways UNION SELECT r.u, w.v FROM reach r JOIN ways w ON r.v = w.u)"
 _TEST_WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_WHOLE = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """Each round is two tables: the vectors' nearest centroids, and the centroids' means."""
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {_WHOLE} AS q FROM embeddings WHERE len(embedding) = {width} AND {_FINITE})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT {k}))",
+    ]
+    for n in range(rounds + 1):
+        apart = "list_inner_product(v.q, v.q) - 2 * list_inner_product(v.q, c.q) + list_inner_product(c.q, c.q)"
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, vec_id, q, arg_min(c, (d, c)) AS c, MIN(d) AS d FROM (SELECT v.*, c.c, CAST({apart} AS BIGINT) AS d FROM v, c{n} c) GROUP BY r, vec_id, q)")
+        if n < rounds:
+            parts.append(
+                f"m{n} AS MATERIALIZED (SELECT c, list(CAST(floor(s / n) AS DOUBLE) ORDER BY i) AS q FROM (SELECT c, i, SUM(x) AS s, COUNT(*) AS n FROM "
+                f"(SELECT c, unnest(q) AS x, unnest(range(1, {width + 1})) AS i FROM a{n}) GROUP BY c, i) GROUP BY c)"
+            )
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c.c, COALESCE(m.q, c.q) AS q FROM c{n} c LEFT JOIN m{n} m ON m.c = c.c)")
+    last = rounds
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, CAST(SUM(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(SUM(d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(list_transform(c.q, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+        FROM a{last} a JOIN c{last} c ON c.c = a.c"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_hard_negatives": f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS q
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+        s AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS alike, CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score FROM v a, v WHERE a.vec_id % 50 = 0 AND v.vec_id <> a.vec_id),
+        p AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, k FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM s WHERE alike) WHERE k <= 5),
+        n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.k ORDER BY s.score DESC, s.vec_id) AS rank
+            FROM p JOIN s ON s.r = p.r AND NOT s.alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    "op12_centroids": _clusters_sql(),
+    "op13_warc": """
+        WITH p AS (SELECT page_id, COALESCE(html, '') AS t, strlen(COALESCE(html, '')) AS n FROM pages),
+        k AS (SELECT t, MAX(page_id) AS last FROM p WHERE n >= 1000 AND page_id IS NOT NULL GROUP BY t HAVING COUNT(*) > 1)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest, CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to
+        FROM p LEFT JOIN k USING (t)""",
     "op1_line_dedup": f"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(COALESCE(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d),
