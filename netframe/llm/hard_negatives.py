@@ -102,15 +102,16 @@ class Search:
         self.slack = 2.0**-22 * (width + 8)  # of the product of both norms: over twice what single precision can be off
         self.pairs = self.scored = 0
 
-    def scores(self, rows: Block, at: np.ndarray | slice, least: np.ndarray, most: np.ndarray, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, row, exact score) of the pairs that may score from least to most, both by anchor. at: the anchors taken; allowed: pairs that are asked for, all if None."""
+    def scores(self, rows: Block, at: np.ndarray | slice, least: np.ndarray, most: np.ndarray, allowed: np.ndarray, k: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, row, exact score) of the pairs that may score from least to most, both by anchor. at: the anchors taken; allowed: pairs that are asked for.
+        k: only an anchor's k best are asked for, so that none is below the k-th of what its pairs score at least."""
         a, end = self.a.part(at), self.ends[0]
         slack = self.slack * a.rest[:, 0]
         so_far = a.turned[:, :end] @ rows.turned[:, :end].T
         room = a.rest[:, 1, None] * rows.rest[:, 1] + slack[:, None] * rows.rest[:, 0]
-        open_ = (so_far + room >= least[:, None]) & (so_far - room <= most[:, None])
-        if allowed is not None:
-            open_ &= allowed
+        if 0 < k <= so_far.shape[1]:
+            least = np.maximum(least, np.partition(np.where(allowed, so_far - room, -np.inf), -k, axis=1)[:, -k])
+        open_ = allowed & (so_far + room >= least[:, None]) & (so_far - room <= most[:, None])
         self.pairs += open_.size
         i, j = np.nonzero(open_)
         so_far = so_far[i, j].astype(np.float64)
@@ -132,7 +133,7 @@ class Search:
             for tile in range(begin, end, TILE):
                 own = rows.part(slice(tile, min(tile + TILE, end)))
                 other = self.a.ids[at, None] != own.ids
-                i, j, s = self.scores(own, at, last[at].astype(np.float64), np.full(len(at), np.inf), other)
+                i, j, s = self.scores(own, at, last[at].astype(np.float64), np.full(len(at), np.inf), other, k)
                 found = tuple(map(np.concatenate, zip(kept, (at[i], own.ids[j], s), strict=True)))
                 keep = best(found[0], found[2], found[1], k)
                 kept = tuple(x[keep] for x in found)
@@ -156,7 +157,7 @@ class Search:
             own = rows.part(slice(tile, tile + TILE))
             needed = np.where(low <= high, last.reshape(-1, n), np.iinfo(np.int64).max)
             least, most = needed.min(axis=1).astype(np.float64), np.where(low <= high, high, _NONE).max(axis=1).astype(np.float64)
-            i, j, s = self.scores(own, every, least, most, self.a.labels[:, None] != own.labels)
+            i, j, s = self.scores(own, every, least, most, (self.a.labels[:, None] != own.labels) & (self.a.ids[:, None] != own.ids))
             band, pair = np.nonzero(((s >= last.reshape(-1, n)[i].T) & (s <= high[i].T)))
             found = tuple(map(np.concatenate, zip(kept, (i[pair] * n + band, own.ids[j[pair]], s[pair]), strict=True)))
             keep = best(found[0], found[2], found[1], k)
