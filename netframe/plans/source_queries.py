@@ -4,6 +4,8 @@ A file holds a bounded range of keys, so its text is gathered in one group of kn
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,15 @@ from netframe.functions.text import escape_identifier
 from netframe.operators import scoring
 from netframe.operators.extract import Netlist, extract
 from netframe.plans.bridge import ctes, rings, view
-from netframe.sources import defdb, gds, verilog
+from netframe.operators.components import shared_folder
+from netframe.sources import defdb, gds, vcd, verilog
+from netframe.sources.files import write_files
 
 QUERIES, ORACLES = {}, {}
 
-#: Keys that one written file holds.
+#: Keys that one written file holds, and bytes of the ranges that files are read in: each file is cut several times.
 KEYS = 500
+RANGE = 16_384
 
 
 def query(sql: str):
@@ -56,10 +61,115 @@ def q_read_gds(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(_record(0, 2, F.lit("0258")), _record(gds.BGNSTR, 2, F.lit("0" * 48)), _record(gds.STRNAME, 6, F.hex(F.lit("rings."))))
     files = _files(rings(spark, sf_dir).select(F.col("poly_id").alias("key"), drawn.alias("line")), head, f"0004{gds.ENDSTR:02X}000004{gds.ENDLIB:02X}000000")
     streams = files.select("path", F.unhex("value").alias("content"))
-    read = gds.Layout(streams.mapInArrow(gds.frame_records, "path string, off long, rectype int, body binary")).boundaries()
+    read = gds.Layout.of_streams(streams).boundaries()
     return read.select("path", "layer", "datatype", F.size("ring").cast("long").alias("n_points"), *ring_box("ring"))
 
 
+def _on_disk(spark: SparkSession, files: DataFrame) -> str:
+    """Writes files (path, content) to a new folder of the shared one; returns the folder."""
+    folder = f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}"
+    write_files(files, folder)
+    return folder
+
+
+def _library(name: str, elements: DataFrame) -> DataFrame:
+    """(path, content): streams of one structure that holds elements (key, line in hexadecimal digits)."""
+    head = F.concat(_record(0, 2, F.lit("0258")), _record(gds.BGNLIB, 2, F.lit("0" * 48)), _record(gds.BGNSTR, 2, F.lit("0" * 48)), _record(gds.STRNAME, 6, F.hex(F.lit(name))))
+    return _files(elements, head, f"0004{gds.ENDSTR:02X}000004{gds.ENDLIB:02X}00" + "0" * 64).select("path", F.unhex("value").alias("content"))
+
+
+def _file_name() -> Column:
+    return F.regexp_extract("path", "([^/]*)$", 1).alias("path")
+
+
+def _element(kind: int, *parts: Column) -> Column:
+    return F.concat(_record(kind, 0, F.lit("")), *parts, _record(gds.ENDEL, 0, F.lit("")))
+
+
+def _even(text: Column) -> Column:
+    """Text in hexadecimal digits, filled up to an even length."""
+    raw = F.hex(F.encode(text, "ISO-8859-1"))
+    return F.when(F.length(raw) % 4 == 0, raw).otherwise(F.concat(raw, F.lit("00")))
+
+
+@query(
+    f"WITH {ctes('v_ref')} SELECT CONCAT('f', ref_id // {KEYS}) AS path, child, ox - 5000 AS ox, oy, CAST(angle AS DOUBLE) AS angle, mirror, n_cols, n_rows, "
+    "CASE WHEN n_cols * n_rows > 1 THEN dx ELSE 0 END AS col_dx, CASE WHEN n_cols * n_rows > 1 THEN dy ELSE 0 END AS row_dy FROM v_ref"
+)
+def q_read_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placements as references and arrays of layout streams, turned and mirrored, read from files in ranges."""
+    refs = view(spark, sf_dir, "v_ref")
+    array = F.col("n_cols") * F.col("n_rows") > 1
+    angle = F.when(F.col("angle") == 90, "425A000000000000").when(F.col("angle") == 180, "42B4000000000000").when(F.col("angle") == 270, "4310E00000000000").otherwise("0" * 16)
+    point = lambda x, y: F.concat(_words(x - 5000, 8), _words(y, 8))
+    own = F.concat(_record(gds.SNAME, 6, _even(F.col("child"))), F.when(F.col("mirror"), _record(gds.STRANS, 1, F.lit("8000"))).otherwise(""), _record(gds.ANGLE, 5, angle))
+    single = _element(gds.SREF, own, _record(gds.XY, 3, point(F.col("ox"), F.col("oy"))))
+    corners = F.concat(point(F.col("ox"), F.col("oy")), point(F.col("ox") + F.col("n_cols") * F.col("dx"), F.col("oy")), point(F.col("ox"), F.col("oy") + F.col("n_rows") * F.col("dy")))
+    many = _element(gds.AREF, own, _record(gds.COLROW, 2, F.concat(_words(F.col("n_cols"), 4), _words(F.col("n_rows"), 4))), _record(gds.XY, 3, corners))
+    folder = _on_disk(spark, _library("refs", refs.select(F.col("ref_id").alias("key"), F.when(array, many).otherwise(single).alias("line"))))
+    read = gds.read_gds(spark, folder, RANGE).references()
+    return read.select(_file_name(), "child", "ox", "oy", "angle", "mirror", *(F.col(c).cast("long").alias(c) for c in ("n_cols", "n_rows", "col_dx", "row_dy")))
+
+
+@query(f"WITH {ctes('v_label')} SELECT CONCAT('f', text_id // {KEYS}) AS path, 67 + level AS layer, text_id % 9 AS texttype, x - 20000 AS x, y, value FROM v_label")
+def q_read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as texts of layout streams, read from files in ranges."""
+    parts = _record(gds.LAYER, 2, _words(67 + F.col("level"), 4)), _record(gds.TEXTTYPE, 2, _words(F.col("text_id") % 9, 4)), _record(gds.XY, 3, F.concat(_words(F.col("x") - 20_000, 8), _words(F.col("y"), 8))), _record(gds.STRING, 6, _even(F.col("value")))
+    folder = _on_disk(spark, _library("texts.", view(spark, sf_dir, "v_label").select(F.col("text_id").alias("key"), _element(gds.TEXT, *parts).alias("line"))))
+    return gds.read_gds(spark, folder, RANGE).texts().select(_file_name(), "layer", "texttype", "x", "y", "value")
+
+
+@query(
+    f"WITH {ctes('v_rect')} SELECT CONCAT('f', rect_id // {KEYS}) AS path, level AS layer, CASE WHEN rect_id % 5 = 0 THEN 0 ELSE rect_id % 30 END AS width, CASE WHEN rect_id % 3 = 0 THEN 2 ELSE 0 END AS path_type, "
+    "xlo - 9 AS x0, ylo AS y0, xhi AS x1, CASE WHEN rect_id % 2 = 0 THEN ylo ELSE yhi END AS y1, CAST(2 + rect_id % 2 AS BIGINT) AS n_points FROM v_rect"
+)
+def q_read_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of two or three points, some without width or type, read from files in ranges."""
+    k = F.col("rect_id")
+    point = lambda x, y: F.concat(_words(x, 8), _words(y, 8))
+    bend = point(F.col("xhi"), F.col("ylo"))
+    points = F.concat(point(F.col("xlo") - 9, F.col("ylo")), bend, F.when(k % 2 == 1, point(F.col("xhi"), F.col("yhi"))).otherwise(""))
+    parts = (
+        _record(gds.LAYER, 2, _words(F.col("level"), 4)), _record(gds.DATATYPE, 2, F.lit("0014")), F.when(k % 3 == 0, _record(gds.PATHTYPE, 2, F.lit("0002"))).otherwise(""),
+        F.when(k % 5 == 0, "").otherwise(_record(gds.WIDTH, 3, _words(k % 30, 8))), _record(gds.XY, 3, points),
+    )
+    folder = _on_disk(spark, _library("p", view(spark, sf_dir, "v_rect").select(k.alias("key"), _element(gds.PATH, *parts).alias("line"))))
+    read = gds.read_gds(spark, folder, RANGE).paths()
+    last = F.element_at("pts", -1)
+    return read.select(_file_name(), "layer", F.col("width").cast("long").alias("width"), F.col("path_type").cast("int").alias("path_type"), F.col("pts")[0]["x"].alias("x0"), F.col("pts")[0]["y"].alias("y0"), last["x"].alias("x1"), last["y"].alias("y1"), F.size("pts").cast("long").alias("n_points"))
+
+
+# -- waveforms ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ctes('v_wave')} SELECT CONCAT('f', event_id // {KEYS}) AS path, t, signal, COALESCE(CAST(value AS VARCHAR), 'x') AS value FROM v_wave")
+def q_read_vcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waves written as waveform files and read in ranges: each change with the time it stands under, its signal by its short name."""
+    waves = view(spark, sf_dir, "v_wave").withColumn("key", F.col("event_id"))
+    code = F.concat(F.lit("s"), F.substring(F.col("signal"), 1, 3))
+    value = F.coalesce(F.col("value").cast("string"), F.lit("x"))
+    line = F.concat(F.when((F.col("key") % 3 == 0) | (F.col("key") % KEYS == 0), F.concat(F.lit("#"), F.col("t").cast("string"), F.lit("\n"))).otherwise(""), F.when(F.col("key") % 2 == 0, F.concat(value, code)).otherwise(F.concat(F.lit("b"), value, F.lit(" "), code)), F.lit("\n"))
+    names = waves.select(code.alias("code"), "signal").distinct().agg(F.array_sort(F.collect_set(F.concat(F.lit("$var wire 1 "), "code", F.lit(" "), "signal", F.lit(" $end\n")))).alias("names"))  # a row of five declarations
+    files = _files(waves.select("key", line.alias("line")), F.lit(""), "").crossJoin(F.broadcast(names)).select("path", F.concat(F.array_join("names", ""), F.lit("$enddefinitions $end\n"), "value").cast("binary").alias("content"))
+    return vcd.read_vcd(spark, _on_disk(spark, files), RANGE).select(_file_name(), "t", "signal", "value")
+
+
+# -- routed databases -----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ctes('v_pin')} SELECT DISTINCT CONCAT('f', inst_id // {KEYS}) AS path, CONCAT('n', inst_id) AS net, inst_id % 4 = 0 AS special, CASE WHEN pin = 2 THEN NULL ELSE CONCAT('u', net_id) END AS instance, CONCAT('A', pin) AS pin FROM v_pin")
+def q_read_def_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nets of routed databases with comments, breaks and routing, plain ones and special ones in turn, read from files in ranges."""
+    pins = view(spark, sf_dir, "v_pin")
+    held = F.format_string("( %s A%d )%s", F.when(F.col("pin") == 2, "PIN").otherwise(F.concat(F.lit("u"), F.col("net_id").cast("string"))), "pin", F.when(F.col("pin") % 2 == 0, " # ; ( not A ) \n").otherwise(" "))
+    nets = pins.groupBy("inst_id").agg(F.array_join(F.array_sort(F.collect_list(held)), "").alias("held"))
+    k = F.col("inst_id")
+    section = F.when(k % 4 == 0, "SPECIALNETS").otherwise("NETS")
+    line = F.concat(section, F.lit(" 1 ;\n - n"), k.cast("string"), F.lit("\n "), "held", F.lit("+ ROUTED met1 ( 5 6 ) ( 7 8 ) ;\nEND "), section, F.lit("\n"))
+    files = _files(nets.select(k.alias("key"), line.alias("line")), F.lit("DESIGN nets ;\n"), "END DESIGN\n").select("path", F.col("value").cast("binary").alias("content"))
+    return defdb.read_def(spark, _on_disk(spark, files), RANGE).net_pins().select(_file_name(), "net", "special", "instance", "pin")
+
+
 # -- Verilog --------------------------------------------------------------------------------------------------------
 
 
@@ -125,5 +235,5 @@ def q_def_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = F.when(k % 2 == 1, "-30").otherwise("-10")
     line = F.format_string(" - u%d %s + SOURCE DIST + PLACED ( %d %s ) %s ;\n", k, F.when(k % 5 == 0, "decap_3").otherwise("inv_1"), k * PITCH - 5 + F.when(k % 4 == 0, 1).otherwise(0), corner, F.when(k % 2 == 1, "FS").otherwise("N"))
     lines = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("key"), line.alias("line"))
-    read = defdb.RoutedDatabase(_files(lines, F.concat(F.lit("DESIGN row ;\nCOMPONENTS "), F.size("held").cast("string"), F.lit(" ;\n")), "END COMPONENTS\nEND DESIGN\n"))
+    read = defdb.RoutedDatabase.of_texts(_files(lines, F.concat(F.lit("DESIGN row ;\nCOMPONENTS "), F.size("held").cast("string"), F.lit(" ;\n")), "END COMPONENTS\nEND DESIGN\n"))
     return scoring.placements_found(read.components().select("cell", "x", "y"), _extracted(spark, sf_dir).instances.select("cell", F.col("xlo").alias("x"), F.col("ylo").alias("y")))

@@ -3,6 +3,7 @@
 import math
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ END DESIGN
 
 
 def test_def(spark):
-    d = defdb.RoutedDatabase(files(spark, DEF))
+    d = defdb.RoutedDatabase.of_texts(files(spark, DEF))
     assert tuple(d.design().first())[1:] == ("top", 1000, 0, -5, 5000, 6000)
     assert {tuple(r)[1:] for r in d.components().collect()} == {("u1", "inv_1", 100, 200, "N"), ("u2", "inv_1", -5, 0, "FS")}
     assert [tuple(r)[1:] for r in d.pins().collect()] == [("a", "input", "a")]
@@ -171,6 +172,88 @@ def test_layout_stream(spark, tmp_path):
         gds.read_gds(spark, f"file://{tmp_path}/b.gds").cells().collect()
 
 
+RANGE = {"path": pa.string(), "length": pa.int64(), "begin": pa.int64(), "end": pa.int64(), "entry": pa.int64(), "content": pa.binary(), "cells_before": pa.int64(), "name_before": pa.string(), "elements_before": pa.int64(), "section": pa.string(), "t": pa.int64()}
+
+
+def run(function, *rows):
+    """A task's function over rows of ranges."""
+    batch = pa.RecordBatch.from_pylist([dict.fromkeys(RANGE) | r for r in rows], schema=pa.schema(list(RANGE.items())))
+    return [x for out in function(iter([batch])) for x in out.to_pylist()]
+
+
+def ranges_of(data, *cuts):
+    ends = [*cuts, len(data)]
+    return [{"path": "f", "length": len(data), "begin": a, "end": b, "content": data} for a, b in zip([0, *cuts], ends, strict=True)]
+
+
+def test_layout_cut_at_every_byte():
+    """Two ranges, wherever the cut is: where the second one's guess agrees with the first one's end, both together give the rows of one range."""
+    whole = ranges_of(SMALL := stream(INV, cell("top", place("inv_1", -5, 7, True), box(67, 20, 1, 2, 3, 4), label(67, 1, 2, "abc")), cell("inv_1", box(1, 2, 3, 4, 5, 6))))[0] | {"entry": 0, "cells_before": 0, "elements_before": 0}
+    want, agreed = [run(f, whole) for f in (gds.elements, gds.framed)], 0
+    assert len(want[0]) == 8 and len(want[1]) > 50
+    for cut in range(1, len(SMALL)):
+        first, second = run(gds.follow, *ranges_of(SMALL, cut))
+        if first["leave"] == gds.ENDED:
+            rows = [whole | {"end": cut}]
+        elif second["entry"] == first["leave"]:
+            agreed += 1
+            rows = [whole | {"end": cut}, whole | {"begin": cut, "entry": second["entry"], "cells_before": first["n_cells"], "name_before": first["last_name"], "elements_before": first["n_elements"]}]
+        else:
+            continue
+        assert [run(f, *rows) for f in (gds.elements, gds.framed)] == want
+    assert agreed > 0.9 * (len(SMALL) - 64)
+
+
+def test_layout_in_many_ranges(spark, tmp_path):
+    """Records that stand in another record's body lead guesses astray; agreement along the file puts that right, also where it ends early."""
+    fake = record(gds.BOUNDARY) + record(gds.LAYER, 2, i16(1)) + record(gds.BGNSTR, 2, i16(*range(12))) + record(gds.STRNAME, 6, b"no") + record(gds.ENDEL)
+    traps = [record(gds.BOUNDARY) + record(0x2C, 6, fake * 40 + record(gds.ENDLIB) + fake[:-2]) + record(gds.LAYER, 2, i16(k)) + record(gds.DATATYPE, 2, i16(0)) + record(gds.XY, 3, i32(*range(2 * k + 8))) + record(gds.ENDEL) for k in range(12)]
+    data = stream(INV, cell("top", *traps[:6], place("inv_1", 1, 2), *(box(67, 20, i, 0, i + 5, 20) for i in range(100))), cell("other", *traps[6:], label(67, 1, 2, "x")))
+    (tmp_path / "a.gds").write_bytes(data)
+    (tmp_path / "b.gds").write_bytes(stream(INV))
+    whole = gds.read_gds(spark, f"file://{tmp_path}/*.gds")
+    cut = gds.read_gds(spark, f"file://{tmp_path}/*.gds", range_bytes=1500)
+    assert whole.ranges.count() == 2 and cut.ranges.count() > 4
+    rows = [sorted((r.path, r.cell_id, r.cell, r.seq, r.kind, bytes(r.xy)) for r in g.elements().collect()) for g in (whole, cut)]
+    assert rows[0] == rows[1] and len(rows[0]) == 4 + 12 + 1 + 100 + 1 + 4
+    assert sorted(map(tuple, cut.cells().collect())) == sorted(map(tuple, whole.cells().collect()))
+    (tmp_path / "c.gds").write_bytes(data[:4000] + b"\0\1" + data[4000:])
+    with pytest.raises(Exception, match="c.gds: bad record"):
+        gds.read_gds(spark, f"file://{tmp_path}/c.gds", range_bytes=3000).boundaries().collect()
+    (tmp_path / "d.gds").write_bytes(b"xy")
+    with pytest.raises(Exception, match="not a layout stream"):
+        gds.read_gds(spark, f"file://{tmp_path}/d.gds").cells().collect()
+
+
+def test_database_and_waves_cut_at_every_byte():
+    data = DEF.replace("( 5 6 )", "# a ; comment\n ( 5 6 )").encode()
+    whole = run(defdb._statements, *ranges_of(data))
+    assert len(whole) == 15 and {r["section"] for r in whole} == {None, "COMPONENTS", "PINS", "SPECIALNETS", "NETS"}
+    for cut in range(1, len(data)):
+        head = run(defdb._heads, *ranges_of(data, cut))[0]["last"]
+        first, second = ranges_of(data, cut)
+        assert run(defdb._statements, first, second | {"section": head}) == whole
+    waves = b"$var wire 1 ! clk $end\n$enddefinitions $end\nx!\n#0\n0!\r\n#5\n1!\nb01 !\n\n#17\n0!\n1!"
+    whole = run(vcd._parsed, *ranges_of(waves))
+    assert [(r["t"], r["value"]) for r in whole] == [(0, None), (0, "x"), (0, "0"), (5, "1"), (5, "01"), (17, "0"), (17, "1")]
+    for cut in range(1, len(waves)):
+        first, second = ranges_of(waves, cut)
+        assert run(vcd._parsed, first, second | {"t": run(vcd._times, first)[0]["last"]}) == whole
+
+
+def test_database_and_waves_in_many_ranges(spark, tmp_path):
+    (tmp_path / "a.def").write_text(DEF)
+    cut = defdb.read_def(spark, f"file://{tmp_path}/a.def", range_bytes=40)
+    plain = defdb.RoutedDatabase.of_texts(files(spark, DEF))
+    for table in ("components", "pins", "net_pins", "design"):
+        assert sorted((tuple(r)[1:] for r in getattr(cut, table)().collect()), key=repr) == sorted((tuple(r)[1:] for r in getattr(plain, table)().collect()), key=repr)
+    text = "$var wire 1 ! clk $end\n$enddefinitions $end\n" + "".join(f"#{t}\n{t % 2}!\n" for t in range(200))
+    (tmp_path / "a.vcd").write_text(text)
+    (tmp_path / "b.vcd").write_text("")
+    read = vcd.read_vcd(spark, f"file://{tmp_path}/*.vcd", range_bytes=64)
+    assert [(r.t, r.signal, r.value) for r in read.orderBy("seq").collect()] == [(t, "clk", str(t % 2)) for t in range(200)]
+
+
 def test_extract(spark, tmp_path):
     """Two inverters in a row: in, middle (over a higher level, by cuts) and out."""
     wires = [box(67, 20, 100, 5, 200, 15), box(67, 44, 150, 6, 156, 12), box(68, 20, 145, 0, 400, 20), box(67, 44, 305, 6, 310, 12), box(67, 20, 300, 0, 311, 20), box(67, 20, -50, 5, 0, 15), label(67, -40, 10, "in"), box(67, 20, 400, 5, 500, 15), label(67, 490, 10, "out"), label(67, 5000, 10, "nowhere")]
@@ -253,7 +336,7 @@ def test_extraction_against_a_database(spark, tmp_path):
     """Two of three placements and two of three nets are as the database has them."""
     wires = [box(67, 20, 100, 5, 300, 15), box(67, 20, -50, 5, 0, 15), label(67, -40, 10, "in"), box(67, 20, 400, 5, 500, 15), label(67, 490, 10, "q")]
     (tmp_path / "d.gds").write_bytes(stream(INV, cell("top", place("inv_1", 0, 0), place("inv_1", 300, 20, True), *wires)))
-    database = defdb.RoutedDatabase(files(spark, """DESIGN top ;
+    database = defdb.RoutedDatabase.of_texts(files(spark, """DESIGN top ;
 COMPONENTS 3 ;
  - a inv_1 + PLACED ( 0 0 ) N ;
  - b inv_1 + PLACED ( 300 0 ) FS ;
