@@ -31,12 +31,17 @@ def supply_kind(name: Column) -> Column:
     return F.when(name.isin(*SUPPLY_POWER), "power").when(name.isin(*SUPPLY_GROUND), "ground").otherwise("signal")
 
 
-def id_code(n: Column, digits: int = 4) -> Column:
-    """A waveform's short name for a signal: base 94 from '!', lowest digit first. digits: enough for the largest n."""
-    out, rest = F.chr((n % 94) + 33), F.floor(n / 94)
-    for _ in range(digits - 1):
-        out = F.when(rest > 0, F.concat(out, F.chr((rest % 94) + 33))).otherwise(out)
-        rest = F.floor(rest / 94)
+#: Base 94 digits that any long has at most.
+_CODE_DIGITS = 10
+
+
+def id_code(n: Column) -> Column:
+    """A waveform's short name for a signal: base 94 from '!', lowest digit first; any n of a long that isn't negative."""
+    n = n.cast("long")
+    out = F.chr((n % 94) + 33)
+    for k in range(1, _CODE_DIGITS):
+        rest = F.call_function("div", n, F.lit(94**k))
+        out = F.concat(out, F.when(rest > 0, F.chr((rest % 94) + 33)).otherwise(""))
     return out
 
 

@@ -1,18 +1,31 @@
 """Connected components of an edge table: every node gets the smallest node that it is connected with.
 
-Each round sends every node's smallest known neighbour to its other neighbours, so long chains halve. Rounds write their labels
+By rounds (connected_components): each round sends every node's smallest known neighbour to its other neighbours, so long chains halve. Rounds write their labels
 to the shared folder: lineage stays short and survives lost executors. A round is one job; the number of its edges and a
 checksum over them, taken while they are written, tell the driver whether anything changed.
+
+By contraction (contracted_components): a task joins the edges that it has, a million at a time, into trees before anything is shuffled,
+and sends each node once with the smallest node of its tree. Where edges that lie together are dealt together, most nodes are in one tree
+only and are done. A node in several trees ties their roots; only these ties, a graph of trees, go through the rounds. A hub is one
+node of each tree that it is in, so its edges are spread as they were dealt.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Edges that a task joins into trees at a time.
+CHUNK_EDGES = 1 << 20
+#: Nodes of a tree in a chunk from which on its nodes are dealt to SALTS tasks when they look up their root's component.
+LARGE_TREE, SALTS = 10_000, 64
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a temporary one if all run on this machine; else an error."""
@@ -86,3 +99,53 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = pairs.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, smallest node of its tree, size of the tree) of the nodes of edges a, b: every tree hooks on the smallest tree beside it, and paths are made short, until nothing hooks."""
+    nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, label = places[: len(a)], places[len(a) :], np.arange(len(nodes))
+    while True:
+        lu, lv = label[u], label[v]
+        apart = lu != lv
+        if not apart.any():
+            return nodes, nodes[label], np.bincount(label, minlength=len(nodes))[label]
+        u, v = u[apart], v[apart]
+        np.minimum.at(label, np.maximum(lu, lv)[apart], np.minimum(lu, lv)[apart])
+        while (shorter := label[label]).tobytes() != label.tobytes():
+            label = shorter
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> pa.RecordBatch:
+        node, root, size = roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(size >= LARGE_TREE)], ["node", "root", "large"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        n += batch.num_rows
+        if n >= CHUNK_EDGES:
+            yield made()
+            held, n = [], 0
+    if n:
+        yield made()
+
+
+def contracted_components(edges: DataFrame, *near: str | Column) -> DataFrame:
+    """(node, component) for the nodes of edges (a, b); nulls and loops are no edges. near: edges with values that are close by are dealt together, in ranges of about the same number."""
+    own = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), *near)
+    if near:
+        own = written(own, "edges")
+        own = own.repartitionByRange(*own.columns[2:])
+    trees = written(own.select("a", "b").mapInArrow(_trees, "node long, root long, large boolean"), "trees")
+    each = Window.partitionBy("node")  # a node is once in each tree
+    met = trees.withColumn("n", F.row_number().over(each.orderBy("root"))).withColumn("first", F.min("root").over(each))
+    met = written(met, "trees")
+    parts = connected_components(met.where("root <> first").select(F.col("first").alias("a"), F.col("root").alias("b")).distinct())
+    moved = parts.where("node <> component").select(F.col("node").alias("root"), "component")
+    large = met.where("large").select("root").distinct()
+    copies = moved.join(large.withColumn("large", F.lit(True)), "root", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("large"), SALTS - 1).otherwise(0)))).drop("large")
+    # a tree is large where one chunk says so; its nodes in other chunks are few there, and look for salt 0
+    nodes = met.where("n = 1").select("node", "root", F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    return nodes.join(copies, ["root", "salt"], "left").select("node", F.coalesce("component", "root").alias("component"))

@@ -11,11 +11,11 @@ from netframe.functions import cells as library
 from netframe.functions.geometry import bounding_box, place, ring_box
 from netframe.functions.text import SUPPLY_GROUND, SUPPLY_POWER
 from netframe.operators import hierarchy, netlist
-from netframe.operators.classify import abutment_boxes, conductor_shapes, layer_stack, placed_boxes
+from netframe.operators.classify import CONDUCTORS, abutment_boxes, conductor_shapes, layer_stack, placed_boxes
 from netframe.operators.components import written
 from netframe.operators.decompose import decompose, path_rects
 from netframe.operators.graphs import union
-from netframe.operators.nets import bind_labels, net_boxes, rect_nets
+from netframe.operators.nets import bind_labels, net_boxes, wired
 from netframe.sources.gds import Layout, LayoutTables
 
 BODY_TIES = {"VPB": "VPWR", "VNB": "VGND"}
@@ -28,7 +28,10 @@ class Netlist:
 
     instances (inst_id, name, cell, x, y, angle, mirror, and the box that a placer puts down as xlo, ylo, xhi, yhi); pins (inst_id, pin, net_id);
     nets (net_id, name, named_in_layout, kind, edges of the box); ports (name, direction, net_id); rects (rect_id, level, edges, net);
-    stats, one row of counts; warnings (warning); unknown_cells (cell): placed cells without a model."""
+    stats, one row of counts; warnings (warning); unknown_cells (cell): placed cells without a model.
+
+    The counts: instances are all placed standard cells, whatever is kept of them; polygons all shapes of all layers in all placements; labels all
+    texts on label layers, unbound the ones of them on no metal; rectangles those of conductors."""
 
     instances: DataFrame
     pins: DataFrame
@@ -65,14 +68,75 @@ def _moved(ring: str) -> Column:
     return F.transform(ring, lambda p: F.struct(*(c.alias(n) for c, n in zip(place(p["x"], p["y"], **at), ("x", "y"), strict=True)))).alias("ring")
 
 
-def _instance_boxes(insts: DataFrame, shapes: DataFrame) -> DataFrame:
+def _box_of(at: dict[str, Column]) -> list[Column]:
+    """A row's rectangle under a placement in right angles."""
+    (x0, y0), (x1, y1) = (place(F.col(x), F.col(y), **at) for x, y in (("xlo", "ylo"), ("xhi", "yhi")))
+    return [F.least(x0, x1).alias("xlo"), F.least(y0, y1).alias("ylo"), F.greatest(x0, x1).alias("xhi"), F.greatest(y0, y1).alias("yhi")]
+
+
+#: Placements of a cell that are joined with its shapes in one task.
+PLACED_TOGETHER = 20_000
+
+
+def _lattice() -> Column:
+    """Placed in right angles, and no larger or smaller than drawn."""
+    return (F.col("angle") % 90 == 0) & (F.col("mag") == 1)
+
+
+class Placements:
+    """Placements (cell, path, place and more; quarter: turned by one or three quarters), joined with what is drawn in their cells.
+
+    A cell that is placed more than PLACED_TOGETHER times is several keys: its placements are dealt to parts, and what is drawn in it, a few
+    rows, is repeated for each. counts is a row for each cell: n_placed, n_parts, and whether it is placed in right angles as drawn (upright) or turned by a quarter (quarters)."""
+
+    def __init__(self, placed: DataFrame):
+        own = placed.withColumn("quarter", F.col("angle") % 180 != 0)
+        ways = F.max(_lattice() & ~F.col("quarter")).alias("upright"), F.max(_lattice() & F.col("quarter")).alias("quarters"), F.max(~_lattice()).alias("odd")
+        self.counts = written(own.groupBy("cell").agg(F.count(F.lit(1)).alias("n_placed"), *ways).withColumn("n_parts", F.ceil(F.col("n_placed") / PLACED_TOGETHER).cast("int")), "cells")
+        self.rows = own.join(self.counts.select("cell", "n_parts"), "cell").withColumn("cell_part", F.pmod(F.xxhash64("path"), F.col("n_parts")).cast("int")).drop("n_parts")
+        self.odd = not self.counts.where("odd").isEmpty()
+
+    def join(self, drawn: DataFrame, *keys: str, only: Column | None = None) -> DataFrame:
+        """Each placement (those of only) with each row of its cell; keys: further columns that both have."""
+        each = drawn.join(self.counts.select("cell", "n_parts"), "cell").withColumn("cell_part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).drop("n_parts")
+        return (self.rows if only is None else self.rows.where(only)).join(each, ["cell", "cell_part", *keys]).drop("cell_part")
+
+
+def _placed_rects(shapes: DataFrame, placed: Placements) -> DataFrame:
+    """(role, level, edges, diagonal): every shape (cell, role, level, ring) of conductors and cuts, cut into rectangles where it is placed.
+
+    Rectangles stay rectangles in right angles, and the cut doesn't change under half turns and mirrors. So a cell's shapes are cut once as they
+    are and once turned by a quarter, as far as it is placed so, and only rectangles are placed. Placements at odd angles or scales take the rings along."""
+    ways = F.filter(F.array(F.when(F.col("upright"), F.lit(False)), F.when(F.col("quarters"), F.lit(True))), lambda q: q.isNotNull())
+    needed = placed.counts.select("cell", F.explode(ways).alias("quarter"))
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.when(F.col("quarter"), F.transform("ring", lambda p: corner(-p["y"], p["x"]))).otherwise(F.transform("ring", lambda p: corner(p["x"], p["y"])))
+    own = shapes.join(needed, "cell").select(F.struct("cell", "quarter", "role", "level").alias("poly_id"), ring.alias("ring"))
+    q = F.col("poly_id.quarter")
+    back = [F.when(q, F.col("ylo")).otherwise(F.col("xlo")), F.when(q, -F.col("xhi")).otherwise(F.col("ylo")), F.when(q, F.col("yhi")).otherwise(F.col("xhi")), F.when(q, -F.col("xlo")).otherwise(F.col("yhi"))]
+    cut = written(decompose(own).select("poly_id.*", *(c.alias(n) for c, n in zip(back, ("xlo", "ylo", "xhi", "yhi"), strict=True)), "diagonal"), "cell-rects")
+    at = {c: F.col(c) for c in PLACE}
+    straight = placed.join(cut, "quarter", only=_lattice()).select("role", "level", *_box_of(at), "diagonal")
+    if not placed.odd:
+        return straight
+    odd = placed.join(shapes, only=~_lattice()).select(F.struct("role", "level").alias("poly_id"), _moved("ring"))
+    return straight.unionByName(decompose(odd).select("poly_id.role", "poly_id.level", "xlo", "ylo", "xhi", "yhi", "diagonal"))
+
+
+def _instance_boxes(insts: Placements, shapes: DataFrame) -> DataFrame:
     """(inst_id, edges): the abutment box of each instance's cell where it lies, or the box of all of the instance's shapes where the cell has none. A cell without shapes has no box."""
     # a path isn't an abutment box: parts of paths are numbered from 1
-    boxes = written(abutment_boxes(shapes.where("part = 0").select("cell", "layer", "datatype", *ring_box("ring"))), "abutment")
-    drawn = shapes.join(boxes, "cell", "left_anti").select("cell", "ring").join(insts, "cell").select("inst_id", _moved("ring")).select("inst_id", *ring_box("ring"))
-    own = drawn.groupBy("inst_id").agg(*(c.alias(f"f_{n}") for c, n in zip(bounding_box(), ("xlo", "ylo", "xhi", "yhi"), strict=True)))
-    placed = placed_boxes(insts.join(own, "inst_id", "left"), boxes)
-    return placed.select("inst_id", *(F.col(f"p_{n}").alias(n) for n in ("xlo", "ylo", "xhi", "yhi")))
+    boxes = abutment_boxes(shapes.where("part = 0").select("cell", "layer", "datatype", *ring_box("ring")))
+    without = shapes.join(boxes, "cell", "left_anti").select("cell", "ring")
+    drawn = without.select("cell", *ring_box("ring")).groupBy("cell").agg(*bounding_box())
+    rows = insts.rows.where("inst_id IS NOT NULL")
+    edges = ("xlo", "ylo", "xhi", "yhi")
+    out = placed_boxes(rows.where(_lattice()).withColumns({f"f_{n}": F.lit(None).cast("long") for n in edges}), boxes.unionByName(drawn))
+    if insts.odd:
+        odd = insts.join(without, only=~_lattice() & F.col("inst_id").isNotNull()).select("inst_id", _moved("ring")).select("inst_id", *ring_box("ring"))
+        own = odd.groupBy("inst_id").agg(*(c.alias(f"f_{n}") for c, n in zip(bounding_box(), edges, strict=True)))
+        out = out.unionByName(placed_boxes(rows.where(~_lattice()).join(own, "inst_id", "left"), boxes))
+    return out.select("inst_id", *(F.col(f"p_{n}").alias(n) for n in edges))
 
 
 def extract(layout: Layout | LayoutTables, top: str | None = None, keep_physical: bool = False, keep_power: bool = False, infer_body_pins: bool = True, prefix: str = "n") -> Netlist:
@@ -91,30 +155,30 @@ def extract(layout: Layout | LayoutTables, top: str | None = None, keep_physical
         top = hierarchy.pick_top(layout.cells(), refs).first()[0]
     stack = layer_stack(spark).where("role = 'label'").select("layer", F.col("datatype").alias("texttype"), "level")
     texts = layout.texts().drop("path").join(stack, ["layer", "texttype"])
-    leaves = written(hierarchy.leaf_cells(layout.cells(), refs, texts.select("cell")).select("cell"), "leaves")
-    flat = written(_flat(layout, top).join(leaves.withColumn("leaf", F.lit(True)), "cell", "left"), "placements")
+    leaves = hierarchy.leaf_cells(layout.cells(), refs, texts.select("cell")).select("cell", F.lit(False).alias("inner"))
+    flat = _flat(layout, top).join(leaves, "cell", "left").withColumn("inner", F.coalesce("inner", F.lit(True)))
+    # leaves are numbered before all else, so their numbers are those among leaves
     models = F.broadcast(library.models(spark).withColumnRenamed("cell", "model"))  # as many as the library has
-    insts = written(netlist.numbered(flat.where("leaf"), ["path"], "inst_id").withColumn("model", library.model_name(F.col("cell"))).join(models, "model", "left").select("inst_id", "path", "cell", "base", "kind", *PLACE), "instances")
-    placed = flat.join(insts.select("path", "inst_id"), "path", "left")
+    told = netlist.numbered(flat.select("cell", "path", "inner", *PLACE), ["inner", "path"], "k").withColumn("model", library.model_name(F.col("cell"))).join(models, "model", "left")
+    places = written(told.select("path", "cell", F.when(~F.col("inner"), F.col("k")).alias("inst_id"), "base", "kind", *PLACE), "placements")
+    insts, placed = places.where("inst_id IS NOT NULL"), Placements(places)
     unknown = insts.where("kind is null").select("cell").distinct()
 
     drawn = written(_shapes(layout), "shapes")
-    shapes = conductor_shapes(drawn).join(placed, "cell")
-    moved = written(shapes.select(F.concat_ws("#", "path", "cell", F.col("seq").cast("string"), F.col("part").cast("string")).alias("poly_id"), "role", "level", _moved("ring")), "polygons")
-    cut = decompose(moved).join(moved.select("poly_id", "role", "level"), "poly_id")
-    cut = written(netlist.numbered(cut, ["role", "level", "poly_id", "xlo", "ylo", "xhi", "yhi"], "rect_id"), "rects")
+    # numbers are those of the written rows: they tell rectangles apart, and which is which doesn't matter
+    cut = written(_placed_rects(conductor_shapes(drawn), placed).withColumn("rect_id", F.monotonically_increasing_id()), "rects")
     rects = cut.where("role <> 'cut'").select("rect_id", "level", "xlo", "ylo", "xhi", "yhi")
     cuts = cut.where("role = 'cut'").select(F.col("rect_id").alias("cut_id"), F.col("level").alias("lower"), "xlo", "ylo", "xhi", "yhi")
-    nets = written(rect_nets(rects, cuts, n_levels=6), "nets")
+    rects = written(wired(rects, cuts, n_levels=6), "nets")
 
     x, y = place(F.col("x"), F.col("y"), **{c: F.col(c) for c in PLACE})
-    labels = texts.where("value <> ''").join(placed, "cell").select("path", "seq", "level", x.alias("x"), y.alias("y"), "value", "inst_id")
-    labels = written(netlist.numbered(labels, ["path", "seq"], "text_id"), "labels")
-    bound = written(bind_labels(labels.select("text_id", "level", "x", "y", "value"), rects, nets).join(labels.select("text_id", "inst_id"), "text_id"), "bound")
-    top_labels = bound.where("inst_id is null and net is not null").groupBy(F.col("net").alias("net_id")).agg(F.min_by("value", "text_id").alias("name"), F.count_distinct("value").alias("n_names"))
+    labels = placed.join(texts.where("value <> ''").select("cell", "seq", "level", "x", "y", "value")).select(F.struct("path", "seq").alias("at"), "level", x.alias("x"), y.alias("y"), "value", "inst_id")
+    labels = written(labels.withColumn("text_id", F.monotonically_increasing_id()), "labels")
+    bound = written(bind_labels(labels, rects), "bound")
+    top_labels = bound.where("inst_id is null and net is not null").groupBy(F.col("net").alias("net_id")).agg(F.min_by("value", "at").alias("name"), F.count_distinct("value").alias("n_names"))
 
     kept = insts if keep_physical else insts.where("kind is null or kind <> 'physical'")
-    all_pins = written(netlist.pin_nets(bound.where("inst_id is not null and net is not null").select("inst_id", F.col("value").alias("pin"), F.col("net").alias("net_id"))), "bound-pins")
+    all_pins = netlist.pin_nets(bound.where("inst_id is not null and net is not null").select("inst_id", F.col("value").alias("pin"), F.col("net").alias("net_id")))
     roots = netlist.supply_roots(all_pins)
     own_pins = all_pins.join(kept, "inst_id", "left_semi")
     if not keep_power:
@@ -132,22 +196,26 @@ def extract(layout: Layout | LayoutTables, top: str | None = None, keep_physical
     driven = netlist.driven_nets(pins.join(kept.select("inst_id", F.col("base").alias("cell")), "inst_id"), known_pins.select(F.col("base").alias("cell"), "pin", "direction"))
     ports = netlist.ports(top_labels.select("net_id", "name"), kinds, driven)
     names = netlist.instance_names(kept)
-    boxes = net_boxes(rects, nets).withColumnRenamed("net", "net_id").drop("n_rects")
+    boxes = net_boxes(rects).withColumnRenamed("net", "net_id").drop("n_rects")
 
     diagonal = cut.where("diagonal")
     split = pins.where("n_nets > 1")
     warnings = (
         top_labels.where("n_names > 1").select(F.format_string("net %s has several labels", F.col("name")).alias("warning"))
-        .unionByName(bound.where("net is null").groupBy("value").count().select(F.format_string("label %s is on no metal", F.col("value")).alias("warning")))
+        .unionByName(bound.where("net is null").select(F.format_string("label %s at (%d, %d) on %s is on no metal", "value", "x", "y", F.element_at(F.array(*map(F.lit, CONDUCTORS)), F.col("level") + 1)).alias("warning")))
         .unionByName(split.join(names, "inst_id").select(F.format_string("pin %s.%s is on %d nets", "name", "pin", "n_nets").alias("warning")))
         .unionByName(diagonal.agg(F.count("*").alias("n")).where("n > 0").select(F.format_string("%d polygons with diagonal edges are taken as their boxes", "n").alias("warning")))
         .unionByName(unknown.select(F.format_string("cell %s has no model", "cell").alias("warning")))
     )
     counts = {
-        "instances": kept, "logic_instances": kept.where("kind is null or kind <> 'physical'"), "polygons": moved, "rectangles": rects, "labels": bound.where("net is not null"), "unbound": bound.where("net is null"),
+        "instances": insts, "logic_instances": kept.where("kind is null or kind <> 'physical'"), "rectangles": rects, "labels": bound, "unbound": bound.where("net is null"),
         "split_pins": split, "inferred_body_pins": pins.where("inferred"), "diagonal": diagonal, "unknown_cells": unknown, "nets": ids, "signal_nets": kinds.where("kind = 'signal'"), "warnings": warnings,
     }
     each = union([df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in counts.items()])
+    # shapes of every placement: a row for each cell, so nothing is placed to be counted
+    drawn_each = placed.counts.join(drawn.groupBy("cell").agg(F.count("*").alias("n_shapes")), "cell")
+    each = each.unionByName(drawn_each.agg(F.coalesce(F.sum(F.col("n_placed") * F.col("n_shapes")), F.lit(0)).alias("n")).select(F.lit("polygons").alias("name"), "n"))
+    counts["polygons"] = None
     stats = each.agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in counts))
-    instances = kept.join(names, "inst_id").join(_instance_boxes(insts, drawn), "inst_id", "left").select("inst_id", "name", "cell", F.col("ox").alias("x"), F.col("oy").alias("y"), "angle", "mirror", "xlo", "ylo", "xhi", "yhi")
-    return Netlist(instances, pins.select("inst_id", "pin", "net_id"), named.join(kinds, "net_id").join(boxes, "net_id", "left"), ports, rects.join(nets, "rect_id"), stats, warnings, unknown)
+    instances = kept.join(names, "inst_id").join(_instance_boxes(placed, drawn), "inst_id", "left").select("inst_id", "name", "cell", F.col("ox").alias("x"), F.col("oy").alias("y"), "angle", "mirror", "xlo", "ylo", "xhi", "yhi")
+    return Netlist(instances, pins.select("inst_id", "pin", "net_id"), named.join(kinds, "net_id").join(boxes, "net_id", "left"), ports, rects, stats, warnings, unknown)

@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netframe.functions.geometry import bounding_box
-from netframe.operators.components import connected_components
-from netframe.operators.spatial import GRID, cut_edges, cut_hits, point_hits, touch_pairs
+from netframe.operators.components import contracted_components
+from netframe.operators.spatial import cut_edges, cut_hits, points_bound, touch_pairs
 
 
-def rect_nets(rects: DataFrame, cuts: DataFrame | None = None, n_levels: int = 4, grid: int = GRID) -> DataFrame:
+def along_curve(x: str, y: str) -> Column:
+    """Where a place lies on a curve that runs through squares within squares: the bits of both coordinates in turn, 31 of each, of squares of 64 by 64 units. Places that are close on it are close by."""
+
+    def spread(v: Column) -> Column:
+        """Every bit moved to twice its place."""
+        v = F.floor(v / 64).cast("long").bitwiseAND((1 << 31) - 1)
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(mask)
+        return v
+
+    return spread(F.col(x)).bitwiseOR(F.shiftleft(spread(F.col(y)), 1))
+
+
+def rect_nets(rects: DataFrame, cuts: DataFrame | None = None, n_levels: int = 4) -> DataFrame:
     """(rect_id, net): every rectangle with the smallest rectangle of its net."""
-    edges = touch_pairs(rects, grid)
+    return wired(rects, cuts, n_levels).select("rect_id", "net")
+
+
+def wired(rects: DataFrame, cuts: DataFrame | None = None, n_levels: int = 4) -> DataFrame:
+    """rects with net, the smallest rectangle of their net. Edges that lie together, on whatever level, are joined before anything else is shuffled."""
+    edges = touch_pairs(rects, with_place=True)
     if cuts is not None:
-        edges = edges.unionByName(cut_edges(cut_hits(cuts, rects, n_levels, grid)))
-    parts = connected_components(edges)
-    return rects.join(parts, rects.rect_id == parts.node, "left").select("rect_id", F.coalesce("component", "rect_id").alias("net"))
+        edges = edges.unionByName(cut_edges(cut_hits(cuts, rects, n_levels, with_place=True)))
+    parts = contracted_components(edges, along_curve("x", "y").alias("place"))
+    return rects.join(parts, rects.rect_id == parts.node, "left").select(*rects.columns, F.coalesce("component", "rect_id").alias("net"))
 
 
-def net_boxes(rects: DataFrame, nets: DataFrame) -> DataFrame:
-    """(net, n_rects, bounding box)."""
-    return rects.join(nets, "rect_id").groupBy("net").agg(F.count("*").alias("n_rects"), *bounding_box())
+def net_boxes(rects: DataFrame) -> DataFrame:
+    """(net, n_rects, bounding box) of rectangles with their net."""
+    return rects.groupBy("net").agg(F.count("*").alias("n_rects"), *bounding_box())
 
 
-def bind_labels(labels: DataFrame, rects: DataFrame, nets: DataFrame) -> DataFrame:
-    """(text_id, value, net): the net under each label, null where there is no metal. All rectangles under a label share a net, so the least is theirs."""
-    hits = point_hits(labels, rects).join(nets, "rect_id", "left")
-    return hits.groupBy("text_id").agg(F.first("value").alias("value"), F.min("net").alias("net"))
+def bind_labels(labels: DataFrame, rects: DataFrame) -> DataFrame:
+    """labels (text_id and more) with the net under each, null where there is no metal. rects have their net; all of them under a label share it, so the least is theirs."""
+    return points_bound(labels, rects, "text_id")
 
 
 def net_labels(bound: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netframe.functions import cells, text
-from netframe.operators import graphs, netlist, puzzle, scoring, simulate, waves
+from netframe.operators import graphs, netlist, scoring, waves
 from netframe.plans.bridge import ctes, view
 from netframe.operators.components import written
 from netframe.sources.verilog import tokens
@@ -48,9 +48,13 @@ def q_escape(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.escape_identifier(F.expr(CELL_NAME)).alias("name"))
 
 
-@query("SELECT event_id, chr(CAST(33 + event_id % 94 AS INT)) || CASE WHEN event_id >= 94 THEN chr(CAST(33 + event_id // 94 % 94 AS INT)) ELSE '' END || CASE WHEN event_id >= 8836 THEN chr(CAST(33 + event_id // 8836 AS INT)) ELSE '' END AS code FROM events")
+_CODE = " || ".join(f"CASE WHEN {k} = 0 OR n >= {94**k} THEN chr(CAST(33 + n // {94**k} % 94 AS INT)) ELSE '' END" for k in range(8))
+
+
+@query(f"SELECT event_id, {_CODE} AS code FROM (SELECT event_id, event_id * 123456789 AS n FROM events)")
 def q_id_code(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.id_code(F.col("event_id")).alias("code"))
+    """Names of up to seven characters."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.id_code(F.col("event_id") * 123_456_789).alias("code"))
 
 
 _SPACE = r" \t\n\f\r\x0B"
@@ -217,9 +221,17 @@ for _kind in ("buffer", "basic", "xor", "complex", "other"):
     query(_gate_sql(_kind), f"q_gate_{_kind}")(_gate_counts(_kind))
 
 
-@query("SELECT base, COUNT(*) AS n_models FROM (SELECT unnest(['conb', 'nand2', 'dfrtp', 'mux4']) AS base) JOIN range(7) ON true GROUP BY base")
+_PLACED_CELL = "CASE p_partkey % 6 WHEN 0 THEN 'nand2_' WHEN 1 THEN 'lib__dfrtp_' WHEN 2 THEN 'mux4_' WHEN 3 THEN 'conb_' WHEN 4 THEN 'decap_' ELSE 'zzz_' END || CASE p_size % 7 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '4' WHEN 3 THEN '6' WHEN 4 THEN '8' WHEN 5 THEN '12' ELSE '16' END"
+
+
+@query(
+    f"WITH c AS (SELECT p_partkey, p_partkey % 6 AS k, {_PLACED_CELL} AS cell FROM part) SELECT p_partkey, cell, CASE WHEN k = 1 THEN 'seq' WHEN k < 4 THEN 'comb' WHEN k = 4 AND cell NOT IN ('decap_1', 'decap_2', 'decap_16') THEN 'physical' END AS kind FROM c"
+)
 def q_cell_models(spark, sf_dir):
-    return cells.models(spark).where(F.col("base").isin("conb", "nand2", "dfrtp", "mux4")).groupBy("base").agg(F.count("*").alias("n_models"))
+    """The model of every placed cell, by its name behind the library's prefix; null for what has none."""
+    placed = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(_PLACED_CELL).alias("cell"))
+    models = cells.models(spark).select(F.col("cell").alias("model"), "kind")
+    return placed.withColumn("model", cells.model_name(F.col("cell"))).join(F.broadcast(models), "model", "left").select("p_partkey", "cell", "kind")
 
 
 # -- circuits -------------------------------------------------------------------------------------------------------
@@ -257,50 +269,6 @@ def q_multi_driver(spark, sf_dir):
     return netlist.multiple_drivers(_pins(spark, sf_dir).where("pin = 1"))
 
 
-def adder(bits: int, target: int) -> list[simulate.Gate]:
-    """A ripple adder of two words and a gate that is true where the sum is target."""
-    gates, carry = [simulate.Gate("t", "conb", {"LO": "c0"})], "c0"
-    for k in range(bits):
-        gates += [simulate.Gate(f"s{k}", "xor3", {"A": f"a{k}", "B": f"b{k}", "C": carry, "X": f"s{k}"}), simulate.Gate(f"m{k}", "maj3", {"A": f"a{k}", "B": f"b{k}", "C": carry, "X": f"c{k + 1}"})]
-        carry = f"c{k + 1}"
-    word = [f"s{k}" for k in range(bits)] + [carry]
-    for k, net in enumerate(word):
-        gates.append(simulate.Gate(f"e{k}", "buf" if target >> k & 1 else "inv", {"A": net, "X": f"e{k}", "Y": f"e{k}"}))
-    at = "e0"
-    for k in range(1, len(word)):
-        gates.append(simulate.Gate(f"h{k}", "and2", {"A": at, "B": f"e{k}", "X": f"h{k}"}))
-        at = f"h{k}"
-    return [*gates, simulate.Gate("hit", "buf", {"A": at, "X": "hit"})]
-
-
-@query("SELECT a.range AS a, b.range AS b, a.range + b.range AS total FROM range(256) a JOIN range(256) b ON a.range + b.range = 496")
-def q_sweep_sum(spark, sf_dir):
-    words = spark.range(1 << 16).select((F.col("id") % 256).alias("wa"), F.shiftright("id", 8).alias("wb"))
-    stimuli = words.select("wa", "wb", *((F.shiftright(f"w{x}", k).bitwiseAND(1) == 1).alias(f"{x}{k}") for x in "ab" for k in range(8)))
-    hits = simulate.sweep(stimuli, simulate.levelise(adder(8, 496)), "hit")
-    return hits.select(F.col("wa").alias("a"), F.col("wb").alias("b"), (F.col("wa") + F.col("wb")).alias("total"))
-
-
-@query("SELECT a.range AS cell, b.range AS changed FROM range(8) a JOIN range(9) b ON b.range = a.range")
-def q_perturb(spark, sf_dir):
-    """One run for each flipped bit against the run of zeros: which sum bits change."""
-    one_hot = spark.range(9).select((F.col("id") - 1).alias("cell"))
-    stimuli = one_hot.select("cell", *((F.col("cell") == k).alias(f"a{k}") for k in range(8)), *(F.lit(False).alias(f"b{k}") for k in range(8)))
-    runs = simulate.settle(stimuli, simulate.levelise(adder(8, 0)))
-    bits = runs.select("cell", F.posexplode(F.array(*(F.col(f"s{k}") for k in range(8)))).alias("bit", "value"))
-    zero = bits.where("cell = -1").select("bit", F.col("value").alias("base"))
-    return bits.where("cell >= 0").join(F.broadcast(zero), "bit").where("value <> base").select("cell", F.col("bit").cast("long").alias("changed"))
-
-
-_ONE = " AND ".join(f"abs(q{i} - q{i + 1}) > 1" for i in range(4)) + " AND " + " AND ".join(f"q{i} <> q{j}" for i in range(5) for j in range(i + 1, 5))
-
-
-@query(f"SELECT {', '.join(f'CAST(1 << q{i} AS INT) AS r{i}' for i in range(5))} FROM " + ", ".join(f"(SELECT CAST(range AS INT) AS q{i} FROM range(5))" for i in range(5)) + f" WHERE {_ONE}")
-def q_stars(spark, sf_dir):
-    """One star in each row, column and region, the regions being the rows."""
-    return puzzle.star_boards(spark, [[r] * 5 for r in range(5)], 1)
-
-
 # -- comparison -----------------------------------------------------------------------------------------------------
 
 # two netlists of the same instances; the right one has some nets rewired

@@ -237,3 +237,42 @@ def q_def_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("key"), line.alias("line"))
     read = defdb.RoutedDatabase.of_texts(_files(lines, F.concat(F.lit("DESIGN row ;\nCOMPONENTS "), F.size("held").cast("string"), F.lit(" ;\n")), "END COMPONENTS\nEND DESIGN\n"))
     return scoring.placements_found(read.components().select("cell", "x", "y"), _extracted(spark, sf_dir).instances.select("cell", F.col("xlo").alias("x"), F.col("ylo").alias("y")))
+
+
+@query(
+    "SELECT COUNT(*) AS instances, COUNT(*) FILTER (WHERE o_orderkey % 5 <> 0) AS logic_instances, CAST(SUM(CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 3 END) + COUNT(*) FILTER (WHERE o_orderkey % 3 <> 0) AS BIGINT) AS polygons, "
+    "CAST(SUM(CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 2 END) + COUNT(*) FILTER (WHERE o_orderkey % 3 <> 0) AS BIGINT) AS rectangles, CAST(SUM(CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 2 END) AS BIGINT) AS labels, CAST(0 AS BIGINT) AS unbound, CAST(0 AS BIGINT) AS warnings FROM orders"
+)
+def q_extract_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extraction's counts: every placed instance, shapes of all layers, all labels."""
+    return _extracted(spark, sf_dir).stats.select("instances", "logic_instances", "polygons", "rectangles", "labels", "unbound", "warnings")
+
+
+def _block_layout(spark: SparkSession, sf_dir: str) -> gds.LayoutTables:
+    """A block for each order, turned and mirrored in all eight ways: two inverters that a wire joins over two higher levels. In every third block one cut is missing."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    wire = [(67, 20, box(100, 5, 160, 15)), (67, 44, box(150, 6, 156, 12)), (68, 20, box(145, 0, 200, 20)), (68, 44, box(185, 6, 190, 12)), (69, 20, box(180, 0, 280, 20)), (68, 20, box(260, 0, 310, 20)), (67, 44, box(302, 6, 306, 12)), (67, 20, box(300, 0, 311, 20))]
+    last_cut = (68, 44, box(265, 6, 270, 12))
+    inverter = [(67, 20, box(0, 0, 20, 20)), (67, 20, [(80, 0), (100, 0), (100, 30), (90, 30), (90, 20), (80, 20)])]
+    drawn = {"inv_1": inverter, "joined": [*wire, last_cut], "open": wire}
+    rows = [("f", cell, n, *shape) for cell, shapes in drawn.items() for n, shape in enumerate(shapes, 1)]
+    boundaries = spark.createDataFrame(rows, "path string, cell string, seq long, layer long, datatype long, ring array<struct<x:long,y:long>>")
+    texts = spark.createDataFrame([("f", "inv_1", 4, 67, 5, 10, 10, "A"), ("f", "inv_1", 5, 67, 5, 95, 10, "Y")], "path string, cell string, seq long, layer long, texttype long, x long, y long, value string")
+    zero, one, file = F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit("f").alias("path")
+    plain = [F.lit(1.0).alias("mag"), one.alias("n_cols"), one.alias("n_rows"), *(zero.alias(c) for c in ("col_dx", "col_dy", "row_dx", "row_dy"))]
+    k = F.col("k")
+    top = orders.select(file, F.lit("top").alias("parent"), F.when(k % 3 == 0, "open").otherwise("joined").alias("child"), k.alias("ref_id"), (k * 2 * PITCH).alias("ox"), zero.alias("oy"), (90.0 * (k % 4)).cast("double").alias("angle"), (F.floor(k / 4) % 2 == 1).alias("mirror"), *plain)
+    inner = spark.createDataFrame([("f", c, "inv_1", n, 300 * n, 0, 0.0, False) for c in ("joined", "open") for n in (0, 1)], "path string, parent string, child string, ref_id long, ox long, oy long, angle double, mirror boolean").select("*", *plain)
+    cells = spark.createDataFrame([("f", n, c) for n, c in enumerate(("inv_1", "joined", "open", "top"))], "path string, cell_id long, cell string")
+    paths = spark.createDataFrame([], "path string, cell string, seq long, layer long, datatype long, width long, path_type long, pts array<struct<x:long,y:long>>")
+    return gds.LayoutTables(cells=cells, boundaries=boundaries, paths=paths, texts=texts, references=top.unionByName(inner))
+
+
+@query("SELECT o_orderkey AS k, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE 3 END AS BIGINT) AS n_nets, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS most, CAST(4 AS BIGINT) AS n_pins, CAST(o_orderkey % 4 AS BIGINT) AS quarters FROM orders")
+def q_extract_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nets of each block: the inverters are two levels down, turned and mirrored with their block, and joined over three levels by cuts."""
+    found = extract(_block_layout(spark, sf_dir))
+    pins = found.pins.join(found.instances.select("inst_id", F.floor((F.col("x") + PITCH) / (2 * PITCH)).alias("k"), "angle"), "inst_id")
+    nets = pins.groupBy("k", "net_id").agg(F.count("*").alias("n"), F.max("angle").alias("angle"))
+    return nets.groupBy("k").agg(F.count("*").alias("n_nets"), F.max("n").alias("most"), F.sum("n").alias("n_pins"), (F.max("angle") / 90).cast("long").alias("quarters"))

@@ -4,12 +4,15 @@ import inspect
 import itertools
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from netframe.functions import cells, geometry, text
-from netframe.operators import compare, components, decompose, graphs, hierarchy, netlist, render, scoring, simulate, spatial, waves
-from netframe.plans.netlist_queries import _by_name, adder
+from netframe.operators import compare, components, decompose, graphs, hierarchy, netlist, render, scoring, spatial, waves
+from netframe.plans.netlist_queries import _by_name
 
 
 def ring(*points):
@@ -40,13 +43,92 @@ def test_components_of_chains_and_stars(spark):
 
 def test_touch_and_overlap(spark):
     rects = spark.createDataFrame([(1, 0, 0, 0, 10, 10), (2, 0, 10, 10, 20, 20), (3, 0, 21, 0, 30, 10), (4, 1, 0, 0, 10, 10), (5, 0, -3000, -3000, 5000, 5000), (6, 1, 10, 0, 20, 10)], "rect_id long, level int, xlo long, ylo long, xhi long, yhi long")
-    assert {tuple(r) for r in spatial.touch_pairs(rects, 7).collect()} == {(1, 2), (1, 5), (2, 5), (3, 5), (4, 6)}
+    assert {tuple(r) for r in spatial.touch_pairs(rects, 1).collect()} == {(1, 2), (1, 5), (2, 5), (3, 5), (4, 6)}
     cuts = spark.createDataFrame([(1, 0, 5, 5, 15, 15), (2, 0, 10, 0, 12, 5), (3, 1, 0, 0, 1, 1), (4, 0, 30, 0, 31, 1)], "cut_id long, lower int, xlo long, ylo long, xhi long, yhi long")
-    hits = spatial.cut_hits(cuts, rects, 2, 7)
+    hits = spatial.cut_hits(cuts, rects, 2)
     assert {tuple(r) for r in hits.collect()} == {(1, 1), (1, 2), (1, 4), (1, 5), (1, 6), (2, 5), (2, 6), (4, 5)}
     assert {tuple(r) for r in spatial.cut_edges(hits).collect()} == {(1, 2), (1, 4), (1, 5), (1, 6), (5, 6)}
     points = spark.createDataFrame([(1, 0, 10, 10), (2, 1, 99, 99)], "text_id long, level int, x long, y long")
-    assert {(r.text_id, r.rect_id) for r in spatial.point_hits(points, rects, 7).collect()} == {(1, 1), (1, 2), (1, 5), (2, None)}
+    assert {(r.text_id, r.rect_id) for r in spatial.point_hits(points, rects).collect()} == {(1, 1), (1, 2), (1, 5), (2, None)}
+
+
+def sizes(seed, n):
+    """Rectangles of all sizes, one across the chip, and a third of all in one place: some in a pile, the others side by side."""
+    made = random.Random(seed)
+    rows = []
+    for k in range(n):
+        w, h = (made.choice([0, 1, 7, 60, 64, 65, 500, 4000]) for _ in "wh")
+        x, y = made.randrange(-30_000, 30_000), made.randrange(-30_000, 30_000)
+        if k % 3 == 0:
+            x, y, w, h = (5, 5, 20, 20) if k % 6 == 0 and k < n // 3 else (100 + 3 * (k % 40), 100 + 3 * (k // 40), 2, 2)
+        rows.append((k, k % 2, x, y, x + w, y + h))
+    return [*rows, (n, 0, -10**9, 50, 10**9, 60), (n + 1, 1, 7, -10**9, 7, 10**9), (n + 2, 0, -(10**12), -(10**12), -(10**12), -(10**12))]
+
+
+def test_touching_whatever_the_size(spark):
+    rows = sizes(4, 900)
+    rects = spark.createDataFrame(rows, "rect_id long, level int, xlo long, ylo long, xhi long, yhi long")
+    near = lambda a, b: a[2] <= b[4] and b[2] <= a[4] and a[3] <= b[5] and b[3] <= a[5]
+    over = lambda a, b: a[2] < b[4] and b[2] < a[4] and a[3] < b[5] and b[3] < a[5]
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and near(a, b))
+    for dense in (spatial.DENSE, 5):
+        assert sorted(tuple(r) for r in spatial.touch_pairs(rects, dense).collect()) == want
+    cuts = [(k, 0, *r[2:]) for k, r in enumerate(sizes(9, 200))]
+    hits = spatial.cut_hits(spark.createDataFrame(cuts, "cut_id long, lower int, xlo long, ylo long, xhi long, yhi long"), rects, 2)
+    assert sorted(tuple(r) for r in hits.collect()) == sorted((c[0], r[0]) for c in cuts for r in rows if over((*c[:2], *c[2:]), r))
+    points = [(k, k % 2, r[2], r[3]) for k, r in enumerate(sizes(11, 200))]
+    found = spatial.point_hits(spark.createDataFrame(points, "text_id long, level int, x long, y long"), rects)
+    hit = {p[0]: [r[0] for r in rows if r[1] == p[1] and r[2] <= p[2] <= r[4] and r[3] <= p[3] <= r[5]] for p in points}
+    assert sorted(((r.text_id, r.rect_id) for r in found.collect()), key=str) == sorted(((k, r) for k, v in hit.items() for r in v or [None]), key=str)
+    listed = spatial.listed(rects).count() + spatial.looking(rects, spatial.classes_of(rects)).count()
+    assert listed < len(rows) * (4 + 4 + 2 * len(spatial.classes_of(rects)))  # a rail across the chip is no row for each of a million cells
+
+
+def test_empty_layers(spark):
+    none = spark.createDataFrame([], "rect_id long, level int, xlo long, ylo long, xhi long, yhi long")
+    one = spark.createDataFrame([(1, 0, 5, 5)], "text_id long, level int, x long, y long")
+    assert spatial.touch_pairs(none).count() == 0
+    assert [(r.text_id, r.rect_id) for r in spatial.point_hits(one, none).collect()] == [(1, None)]
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=60))
+def test_roots(edges):
+    part = {}
+
+    def find(x):
+        while part.setdefault(x, x) != x:
+            x = part[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        part[y] = x
+    node, root, size = components.roots(*(np.array(x) for x in zip(*edges, strict=True)))
+    assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {n: find(n) for n in part}
+    assert size.tolist() == [sum(find(m) == find(n) for m in part) for n in node.tolist()]
+
+
+def test_contracted_components(spark, monkeypatch):
+    """A hub with a third of all edges, a long chain and pairs: as by rounds, and the hub is one row of each tree."""
+    made = random.Random(6)
+    edges = [(7, 1000 + k) for k in range(2000)] + [(10_000 + k, 10_001 + k) for k in range(2000)] + [(20_000 + 2 * k, 20_001 + 2 * k) for k in range(1990)] + [(5000, 7), (7, 7), (None, 3), (12, None), (12_000, 2999)]
+    made.shuffle(edges)
+    table = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    want = {r.node: r.component for r in components.connected_components(table).collect()}
+    assert want[2500] == 7 and want[11_999] == 7
+    for frame in (components.contracted_components(table), components.contracted_components(table, F.col("a").alias("place"))):
+        rows = frame.collect()
+        assert len(rows) == len(want) and {r.node: r.component for r in rows} == want
+    trees = table.where("a <> b").mapInArrow(components._trees, "node long, root long, large boolean")
+    assert trees.where("node = 7").count() <= 6
+    assert components.contracted_components(table.limit(0)).count() == 0
+
+
+def test_large_trees_look_up_in_parts(spark):
+    """Roots of large trees have their component once for each salt, so that the nodes of one tree are no task's alone."""
+    edges = spark.range(30_000).select(F.lit(5).alias("a"), (F.col("id") + 10).alias("b")).repartition(3).unionByName(spark.createDataFrame([(2, 29_000)], "a long, b long"))
+    out = components.contracted_components(edges)
+    assert out.agg(F.count("*"), F.min("component"), F.max("component")).first()[:] == (30_002, 2, 2)
 
 
 def test_decompose(spark):
@@ -120,27 +202,6 @@ def test_models_and_stubs(spark):
     assert "assign Y = ~((A1 & A2) | B1);" in stubs["a21oi_2"] and "always @(posedge CLK or negedge RESET_B)" in stubs["dfrtp_1"]
 
 
-G = simulate.Gate
-
-
-def test_levels_loops_and_drivers():
-    c = simulate.levelise([G("b", "inv", {"A": "n1", "Y": "n2"}), G("a", "inv", {"A": "i", "Y": "n1"}), G("x", "nor2", {"A": "r", "B": "q", "Y": "p"}), G("y", "nor2", {"A": "s", "B": "p", "Y": "q"}), G("z", "mystery", {"A": "i"}), G("d", "buf", {"A": "i", "X": "n1"})])
-    assert c.loops == ["x", "y"] and c.unknown == ["z"] and c.several_drivers == ["n1"] and c.free == ["i", "r", "s"]
-    assert simulate.levelise(adder(8, 3)).loops == []
-
-
-def test_shift_register(spark):
-    gates = [G("k", "clkbuf", {"A": "clk", "X": "ck"}), *(G(f"f{i}", "dfrtp", {"CLK": "ck", "D": "i" if i == 0 else f"q{i - 1}", "RESET_B": "rst_n", "Q": f"q{i}"}) for i in range(4))]
-    c = simulate.levelise(gates)
-    df = spark.createDataFrame([(w,) for w in range(16)], "word long").withColumn("rst_n", F.lit(False)).withColumn("i", F.lit(False))
-    df = simulate.clock_edge(df, c, "clk")
-    assert {tuple(r) for r in df.select("q0", "q1", "q2", "q3").collect()} == {(False,) * 4}
-    df = simulate.shift_in(df.withColumn("rst_n", F.lit(True)), c, "clk", {"i": "word"}, 4)
-    assert all(r.word == sum(r[f"q{k}"] << k for k in range(4)) for r in df.collect())
-    dead = simulate.clock_edge(spark.range(1).withColumn("i", F.lit(True)).withColumn("rst_n", F.lit(None).cast("boolean")), simulate.levelise(gates[1:]), "clk")
-    assert dead.first().q0 is None  # its clock net has no column: unknown, never triggers
-
-
 def netlist_tables(spark, wires, side):
     rows = [(side, i * 2, pin, n * 2 + 1, cell) for i, (cell, pins) in enumerate(wires) for pin, n in pins.items()]
     df = spark.createDataFrame(rows, "side string, inst long, pin long, net long, cell string")
@@ -221,13 +282,25 @@ def test_a_cap_that_is_hit_is_an_error(spark):
         assert inspect.signature(f).parameters[cap].default is None
 
 
-def test_trace_and_picture(spark):
-    c = simulate.levelise([G("f", "dfxtp", {"CLK": "clk", "D": "n", "Q": "q"}), G("x", "xor2", {"A": "q", "B": "en", "X": "n"}), G("r", "dfrtp", {"CLK": "clk", "D": "q", "RESET_B": "rst", "Q": "p"})])
-    run = simulate.trace(spark.range(1).withColumn("state:f", F.lit(False)), c, "clk", {"en": [True, True, False], "rst": [False, True]}, ["q", "p"], 4)
-    assert [tuple(r.signals[k] for k in "qp") for r in run.orderBy("cycle").collect()] == [(True, False), (False, True), (False, False), (False, False)]
-    rects = spark.createDataFrame([(1, 0, 0, 0, 10, 20, 5), (2, 1, 5, 5, 30, 10, None), (3, 9, 0, 0, 99, 99, 1)], "rect_id long, level int, xlo long, ylo long, xhi long, yhi long, net long")
-    lines = [r.text for r in render.to_svg(rects, highlight=5).orderBy("part", "key").collect()]
-    assert lines[0].startswith("<svg") and lines[-1] == "</svg>" and lines[1] == '<rect x="0" y="0" width="10" height="20" fill="#ff2d55"/>' and render.NO_NET in lines[2] and len(lines) == 4
+def test_picture(spark):
+    rects = spark.createDataFrame([(1, 0, 0, 0, 10, 20, 5), (2, 1, 5, 5, 30, 10, None), (3, 1, 0, 0, 1, 1, 1), (4, 5, 0, 0, 2, 2, 1)], "rect_id long, level int, xlo long, ylo long, xhi long, yhi long, net long")
+    lines = lambda **options: [r.text for r in render.to_svg(rects, width_px=300, **options).orderBy("part", "key").collect()]
+    drawn = lines(highlight=5, max_level=4)
+    assert drawn[0].endswith('width="300" height="200" viewBox="0 0 300 200">') and drawn[1].endswith('fill="#ffffff"/>') and drawn[-1] == "</svg>"
+    assert drawn[2:5] == ['<g id="li1">', '<rect x="0.00" y="0.00" width="100.00" height="200.00" fill="#d62828"/>', "</g>"]
+    assert [x.rpartition("fill=")[2] for x in drawn[6:8]] == ['"#e8ebee"/>'] * 2 and len(drawn) == 10
+    boxes = spark.createDataFrame([(0, 0, 30, 20), (500, 500, 501, 501)], "xlo long, ylo long, xhi long, yhi long")
+    clipped = lines(clip=(0, 0, 3, 3), instances=boxes, stroke=0.5, background="#000000", by="layer")
+    assert sum("stroke-width=\"50.00\"" in x for x in clipped) == 3 and clipped[2].startswith('<g fill="none"') and clipped[4] == "</g>" and clipped[1].endswith('fill="#000000"/>')
+    assert [r.text for r in render.to_svg(rects.limit(0)).collect()] == []
+    colours = {r.rect_id: r.colour for r in render.colours(rects.withColumn("kind", F.lit("ground")), dim_power=True).collect()}
+    assert colours == {1: render.DIMMED, 2: render.NO_NET, 3: render.DIMMED, 4: render.DIMMED}
+
+
+def test_id_codes(spark):
+    n = [0, 93, 94, 94**4 - 1, 94**4, 94**5 + 7, 2**63 - 1]
+    code = lambda v: chr(33 + v % 94) + (code(v // 94) if v >= 94 else "")
+    assert [r.c for r in spark.createDataFrame([(v,) for v in n], "n long").select(text.id_code(F.col("n")).alias("c")).collect()] == [code(v) for v in n]
 
 
 def test_rings_are_told_apart(spark):

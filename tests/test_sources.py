@@ -265,7 +265,7 @@ def test_extract(spark, tmp_path):
     assert pins[first, "A"] == "in" and pins[second, "Y"] == "out" and pins[first, "Y"] == pins[second, "A"] and len(names) == 3
     assert {(r.name, r.direction) for r in n.ports.collect()} == {("in", "input"), ("out", "output")}
     stats = n.stats.first()
-    assert (stats.instances, stats.nets, stats.labels, stats.warnings) == (2, 3, 6, 1)
+    assert (stats.instances, stats.nets, stats.labels, stats.unbound, stats.polygons, stats.warnings) == (2, 3, 7, 1, 11, 1)
     assert {r.name for r in n.instances.collect()} == {"inv_0", "inv_1"}
 
 
@@ -282,7 +282,7 @@ def test_extract_wires_drawn_as_paths(spark, tmp_path):
     first, second = (r.inst_id for r in n.instances.orderBy("x").collect())
     assert pins[first, "Y"] == pins[second, "A"] and pins[second, "Y"] == "out" and len(names) == 3
     assert n.stats.first().polygons == 4 + 3 + 3 + 1
-    assert [r.warning for r in n.warnings.collect()] == ["label in is on no metal"]
+    assert [r.warning for r in n.warnings.collect()] == ["label in at (-40, 10) on li1 is on no metal"]
 
 
 def supplied(s, *more):
@@ -301,7 +301,7 @@ def test_extract_models_and_body_pins(spark, tmp_path):
     assert {r.pin for r in n.pins.collect()} == {"A"}
     stats = n.stats.first()
     assert (stats.split_pins, stats.inferred_body_pins, stats.unknown_cells, stats.unbound, stats.logic_instances, stats.nets, stats.signal_nets) == (1, 0, 1, 1, 2, 3, 2)
-    assert {r.warning for r in n.warnings.collect()} == {"pin inv_0.A is on 2 nets", "cell tapestry_1 has no model", "label Y is on no metal"}
+    assert {r.warning for r in n.warnings.collect()} == {"pin inv_0.A is on 2 nets", "cell tapestry_1 has no model", "label Y at (70, 300) on li1 is on no metal"}
     full = extract.extract(g, keep_physical=True, keep_power=True)
     names = {r.inst_id: r.cell for r in full.instances.collect()}
     pins = {}
@@ -328,7 +328,7 @@ def test_extract_turned_arrays_and_scales(spark, tmp_path):
     c, s = math.cos(math.radians(45.5)), math.sin(math.radians(45.5))
     r = n.instances.where("cell = 'buf_1'").first()
     assert r.angle == 45.5 and (r.xlo, r.ylo, r.xhi, r.yhi) == (9000 - round(100 * s), 0, 9000 + round(100 * c), round(100 * (s + c)))
-    assert n.stats.first().labels == 15 and n.stats.first().unbound == 0 and n.stats.first().diagonal == 1
+    assert n.stats.first().polygons == 16 and n.stats.first().rectangles == 15 and n.stats.first().labels == 15 and n.stats.first().unbound == 0 and n.stats.first().diagonal == 1
     assert [tuple(r)[1:] for r in inspect.labels_listed(g.texts()).collect()] == [("buf_1", 6, "A@67/5"), ("inv_1", 2, "A@67/5"), ("inv_1", 4, "Y@67/5")]
 
 
