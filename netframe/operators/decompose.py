@@ -1,13 +1,70 @@
-"""Polygons cut into disjoint rectangles, row by row with array functions: no shuffle, no Python."""
+"""Polygons cut into disjoint rectangles, row by row: no shuffle.
+
+Rectangles and rings of few vertices are cut by array functions. These look at every edge for every height, so rings of more than SMALL_RING
+vertices go, in Arrow batches, to a sweep: edges are sorted once, and each height only takes out the edges that end there and puts in those that begin."""
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from netframe.functions.geometry import is_manhattan, is_rectangle, open_ring, ring_box
 
 
+#: Vertices of a ring up to which it is cut by array functions.
+SMALL_RING = 16
+
+
+def sweep(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(xlo, ylo, xhi, yhi) of an opened ring in right angles: the stretches between its upright edges, two by two, from each height to the next; neighbouring heights with the same stretches are one."""
+    below, above = np.minimum(y, np.roll(y, -1)), np.maximum(y, np.roll(y, -1))
+    upright = (x == np.roll(x, -1)) & (below < above)
+    ex, below, above = x[upright], below[upright], above[upright]
+    starts, ends = np.argsort(below, kind="stable"), np.argsort(above, kind="stable")
+    heights = np.unique(y).tolist()
+    start_x, start_y, end_x, end_y = ex[starts].tolist(), below[starts].tolist(), ex[ends].tolist(), above[ends].tolist()
+    active: list[int] = []
+    out, spans, since, s, e = [], [], heights[0] if heights else 0, 0, 0
+    for at in heights:
+        changed = False
+        while e < len(end_y) and end_y[e] == at:
+            del active[bisect.bisect_left(active, end_x[e])]
+            e, changed = e + 1, True
+        while s < len(start_y) and start_y[s] == at:
+            bisect.insort(active, start_x[s])
+            s, changed = s + 1, True
+        if changed:
+            now = [(lo, hi) for lo, hi in zip(active[::2], active[1::2], strict=False) if hi > lo]
+            if now != spans:
+                out += [(lo, since, hi, at) for lo, hi in spans]
+                spans, since = now, at
+    return out
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rectangles of rings (poly_id, ring)."""
+    for batch in batches:
+        rings, ids = batch.column("ring"), batch.column("poly_id")
+        points = rings.flatten()
+        xs, ys = (points.field(c).to_numpy(zero_copy_only=False) for c in "xy")
+        cuts = np.concatenate([[0], np.cumsum(rings.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        rows, of = [], []
+        for k in range(batch.num_rows):
+            found = sweep(xs[cuts[k] : cuts[k + 1]], ys[cuts[k] : cuts[k + 1]])
+            rows += found
+            of += [k] * len(found)
+            if len(rows) > 100_000 or k == batch.num_rows - 1:
+                edges = np.array(rows, np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int32())), *(pa.array(edges[:, c]) for c in range(4)), pa.array(np.zeros(len(of), bool))], ["poly_id", "xlo", "ylo", "xhi", "yhi", "diagonal"])
+                rows, of = [], []
+
+
 def _spans(ring: Column, y0: Column, y1: Column) -> Column:
     """The stretches of x inside the ring between two neighbouring heights: its upright edges there, in order, two by two. Empty stretches and an odd edge are dropped."""
     turned = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
@@ -49,15 +106,19 @@ def decompose(polygons: DataFrame) -> DataFrame:
     """(poly_id, xlo, ylo, xhi, yhi, diagonal) of polygons (poly_id, ring).
 
     Rectangles are kept as they are; rings of fewer than three vertices have none; a ring with a diagonal edge is its bounding
-    box, marked so; other rings are cut at every height and joined again where the cut changes nothing."""
+    box, marked so; other rings are cut at every height and joined again where the cut changes nothing. poly_id may be of any type."""
     # a column that comes out of explode is made once for a row, where a plain one would be made again at each use in a lambda
     opened = polygons.select("poly_id", F.explode(F.array(open_ring(F.col("ring")))).alias("ring")).where(F.size("ring") >= 3)
     flagged = opened.withColumn("is_manhattan", is_manhattan(F.col("ring"))).withColumn("is_rectangle", is_rectangle(F.col("ring")))
     whole = flagged.where(F.col("is_rectangle") | ~F.col("is_manhattan")).select("poly_id", *ring_box("ring"), (~F.col("is_manhattan")).alias("diagonal"))
-    slabs = flagged.where(F.col("is_manhattan") & ~F.col("is_rectangle")).select("poly_id", F.explode(F.array(_slabs(F.col("ring")))).alias("slabs"))
+    inner = flagged.where(F.col("is_manhattan") & ~F.col("is_rectangle"))
+    slabs = inner.where(F.size("ring") <= SMALL_RING).select("poly_id", F.explode(F.array(_slabs(F.col("ring")))).alias("slabs"))
     slabs = slabs.select("poly_id", F.explode(_merged(F.col("slabs"))).alias("slab"))
     cut = slabs.select("poly_id", "slab.ylo", "slab.yhi", F.explode("slab.spans").alias("span")).select("poly_id", F.col("span.lo").alias("xlo"), "ylo", F.col("span.hi").alias("xhi"), "yhi", F.lit(False).alias("diagonal"))
-    return whole.unionByName(cut)
+    schema = StructType([polygons.schema["poly_id"], *(StructField(c, LongType()) for c in ("xlo", "ylo", "xhi", "yhi")), StructField("diagonal", BooleanType())])
+    point = F.transform("ring", lambda p: F.struct(p["x"].cast("long").alias("x"), p["y"].cast("long").alias("y")))
+    swept = inner.where(F.size("ring") > SMALL_RING).select("poly_id", point.alias("ring")).mapInArrow(_swept, schema)
+    return whole.unionByName(cut).unionByName(swept)
 
 
 def path_rects(paths: DataFrame) -> DataFrame:

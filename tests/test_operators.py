@@ -3,6 +3,7 @@
 import inspect
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -131,6 +132,54 @@ def test_large_trees_look_up_in_parts(spark):
     assert out.agg(F.count("*"), F.min("component"), F.max("component")).first()[:] == (30_002, 2, 2)
 
 
+def plain_cut(points):
+    """The definition, slab by slab."""
+    edges = list(zip(points, points[1:] + points[:1], strict=True))
+    ys, out = sorted({y for _, y in points}), []
+    for lo, hi in zip(ys, ys[1:], strict=False):
+        xs = sorted(a[0] for a, b in edges if a[0] == b[0] and min(a[1], b[1]) <= lo and max(a[1], b[1]) >= hi)
+        spans = [(a, b) for a, b in zip(xs[::2], xs[1::2], strict=False) if b > a]
+        if out and out[-1][2] == spans and out[-1][1] == lo:
+            out[-1] = (out[-1][0], hi, spans)
+        else:
+            out.append((lo, hi, spans))
+    return [(a, lo, b, hi) for lo, hi, spans in out for a, b in spans]
+
+
+def staircase(n, up=7):
+    """A ring of about 2 n vertices: n steps up, and straight back."""
+    steps = [p for k in range(n) for p in ((5 * k, up * k), (5 * k + 5, up * k))]
+    return [*steps, (5 * n, up * n), (-3, up * n), (-3, 0)]
+
+
+def comb(n):
+    """Teeth of three lengths."""
+    teeth = [p for k in range(n) for p in ((4 * k, 10 + k % 3), (4 * k + 2, 10 + k % 3), (4 * k + 2, 2), (4 * k + 4, 2))]
+    return [(0, 0), *teeth, (4 * n, 0)]
+
+
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=2, max_size=12))
+def test_sweep_of_any_ring(corners):
+    """Rings in right angles through any corners, crossing and touching themselves: as by definition."""
+    points = [p for (x0, y0), (x1, _) in zip(corners, corners[1:] + corners[:1], strict=True) for p in ((x0, y0), (x1, y0))]
+    x, y = (np.array(v) for v in zip(*points, strict=True))
+    assert decompose.sweep(x, y) == plain_cut(points)
+
+
+def test_rings_of_many_vertices(spark, monkeypatch):
+    """Rings of 20,000 vertices take a sweep, and small ones give the same rectangles by either way."""
+    began = time.time()
+    big = staircase(10_000)
+    x, y = (np.array(v) for v in zip(*big, strict=True))
+    assert len(decompose.sweep(x, y)) == 10_000 and time.time() - began < 10
+    rows = [((k, "a"), ring(*f(n))) for k, (f, n) in enumerate([(staircase, 5), (comb, 3), (comb, 40), (staircase, 300), (comb, 1)])]
+    polygons = spark.createDataFrame(rows, "poly_id struct<k:int,s:string>, ring array<struct<x:long,y:long>>")
+    want = sorted((k, *r) for k, (f, n) in enumerate([(staircase, 5), (comb, 3), (comb, 40), (staircase, 300), (comb, 1)]) for r in plain_cut(f(n)))
+    for limit in (decompose.SMALL_RING, 0):
+        monkeypatch.setattr(decompose, "SMALL_RING", limit)
+        assert sorted((r.poly_id.k, r.xlo, r.ylo, r.xhi, r.yhi) for r in decompose.decompose(polygons).where("NOT diagonal").collect()) == want
+
+
 def test_decompose(spark):
     polygons = [
         (1, ring((0, 0), (100, 0), (100, 50), (0, 50), (0, 0), (0, 0))),
