@@ -360,6 +360,26 @@ def test_rings_are_told_apart(spark):
     assert same.equal and same.mapping.count() == 12
 
 
+def test_many_ties_in_few_jobs(spark):
+    """Forty pairs of branches that are alike, each at a place of its own, and a class of thirty twins: paired together, in a few rounds."""
+    def circuit(p, flip):
+        out = []
+        for k in range(40):
+            a, b = ("x", "y") if (k % 3 == 0) != flip else ("y", "x")
+            out += [(f"{p}{k}a", "inv_1", {"A": f"{p}i{k}", "Y": f"{p}{a}{k}"}), (f"{p}{k}b", "inv_1", {"A": f"{p}i{k}", "Y": f"{p}{b}{k}"}), (f"{p}{k}c", "nand2_1", {"A": f"{p}x{k}", "B": f"{p}x{k}", "Y": f"{p}o{k}"})]
+            out += [(f"{p}{k}d", "nand2_1", {"A": f"{p}y{k}", "B": f"{p}y{k}", "Y": f"{p}q{k}"}), (f"{p}{k}e", "buf_1", {"A": f"{p}i{k}", "X": f"{p}i{k + 1}"})]
+        return out + [(f"{p}t{k}", "dfxtp_1", {"D": f"{p}i0", "CLK": f"{p}i40"}) for k in range(30)]
+
+    rounds = []
+    counted = compare.Pairings.add
+    compare.Pairings.add = lambda self, n: (rounds.append(n), counted(self, n))[1]
+    try:
+        found = compare.compare(side(spark, circuit("l", False)), side(spark, circuit("r", True)))
+    finally:
+        compare.Pairings.add = counted
+    assert found.equal and found.mapping.count() == 40 * 5 + 30 + 40 * 5 + 1 and len(rounds) <= 3 and max(rounds) >= 41
+
+
 def test_waves_of_a_hot_signal(spark):
     rng = random.Random(4)
     rows = [(("hot" if rng.random() < 0.9 else rng.choice("abc")), rng.randint(0, 300), k, rng.choice((0, 1, None))) for k in range(2000)]
