@@ -21,14 +21,21 @@ def placements_missing(expected: DataFrame, found: DataFrame, n: int = 10) -> Da
     return expected.join(found, ["cell", "x", "y"], "left_anti").orderBy("cell", "x", "y").limit(n)
 
 
-def net_signatures(pins: DataFrame) -> DataFrame:
-    """(net_id, signature): the sorted cell.pin of a net, joined by bars. pins: (net_id, cell, pin).
-
-    Equal ones are counted first, partly before the shuffle: a net gathers a row for each kind of pin, not for each pin."""
+def _pin_kinds(pins: DataFrame) -> DataFrame:
+    """(net_id, kinds): the sorted (cell.pin, how often) of a net. Equal ones are counted first, partly before the shuffle: a net gathers a row for each kind of pin, not for each pin."""
     named = pins.where("net_id is not null").select("net_id", F.concat_ws(".", "cell", F.col("pin").cast("string")).alias("p"))
     kinds = named.groupBy("net_id", "p").agg(F.count("*").cast("int").alias("n"))
-    sorted_kinds = kinds.groupBy("net_id").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("kinds"))
-    return sorted_kinds.select("net_id", F.array_join(F.flatten(F.transform("kinds", lambda x: F.array_repeat(x["p"], x["n"]))), "|").alias("signature"))
+    return kinds.groupBy("net_id").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("kinds"))
+
+
+def net_signatures(pins: DataFrame) -> DataFrame:
+    """(net_id, signature): the sorted cell.pin of a net, each as often as it is there, joined by bars: text to show. pins: (net_id, cell, pin)."""
+    return _pin_kinds(pins).select("net_id", F.array_join(F.flatten(F.transform("kinds", lambda x: F.array_repeat(x["p"], x["n"]))), "|").alias("signature"))
+
+
+def counted_signatures(pins: DataFrame) -> DataFrame:
+    """(net_id, signature): each cell.pin of a net once, with how often it is there. Equal where net_signatures are, and as long as a net has kinds of pins."""
+    return _pin_kinds(pins).select("net_id", F.to_json("kinds").alias("signature"))
 
 
 def nets_matched(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -59,7 +66,7 @@ def database_check(netlist: Netlist, database: RoutedDatabase) -> DataFrame:
     """One row (n_components, n_placed, n_nets, n_matched): components whose cell's abutment box has its lower left corner where the
     database places it, and signal nets whose pins, by cell, an extracted net has too. Extract with keep_physical to find fillers."""
     placed = placements_found(database.components().select("cell", "x", "y"), netlist.instances.select("cell", F.col("xlo").alias("x"), F.col("ylo").alias("y")))
-    expected, found = net_signatures(database_pins(database)), net_signatures(extracted_pins(netlist))
+    expected, found = counted_signatures(database_pins(database)), counted_signatures(extracted_pins(netlist))
     counts = placed.select(F.col("n").alias("n_components"), F.col("n_found").alias("n_placed"), F.lit(0).cast("long").alias("n_nets"), F.lit(0).cast("long").alias("n_matched"))
     zero = F.lit(0).cast("long")
     nets = expected.agg(F.count("*").alias("n")).select(zero, zero, "n", zero)

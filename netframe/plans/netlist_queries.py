@@ -271,13 +271,17 @@ def q_multi_driver(spark, sf_dir):
 
 # -- comparison -----------------------------------------------------------------------------------------------------
 
-# two netlists of the same instances; the right one has some nets rewired
-SIDES = PIN + ", e AS (SELECT 'left' AS side, inst_id, cell, pin, net_id FROM v_pin UNION ALL SELECT 'right', inst_id, cell, pin, CASE WHEN inst_id % 50 = 0 THEN net_id + 1 ELSE net_id END FROM v_pin)"
+# two netlists of the same instances; the right one has some nets rewired: pins of every fiftieth instance, or only the first pins of one net
+REWIRED, FEW_REWIRED = "inst_id % 50 = 0", "net_id = 1 AND pin = 1"
 
 
-def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _sides_sql(rewired: str) -> str:
+    return PIN + f", e AS (SELECT 'left' AS side, inst_id, cell, pin, net_id FROM v_pin UNION ALL SELECT 'right', inst_id, cell, pin, CASE WHEN {rewired} THEN net_id + 1 ELSE net_id END FROM v_pin)"
+
+
+def _graph(spark, sf_dir, rewired: str = REWIRED) -> tuple[DataFrame, DataFrame]:
     left = _pins(spark, sf_dir).select(F.lit("left").alias("side"), "inst_id", "cell", "pin", "net_id")
-    right = left.select(F.lit("right").alias("side"), "inst_id", "cell", "pin", F.when(F.col("inst_id") % 50 == 0, F.col("net_id") + 1).otherwise(F.col("net_id")).alias("net_id"))
+    right = left.select(F.lit("right").alias("side"), "inst_id", "cell", "pin", F.when(F.expr(rewired), F.col("net_id") + 1).otherwise(F.col("net_id")).alias("net_id"))
     both = left.unionByName(right)
     inst, net = F.col("inst_id") * 2, F.col("net_id") * 2 + 1
     both = written(both, "pins")
@@ -298,8 +302,8 @@ def _wl(rounds: int):
     return classes
 
 
-def _wl_sql(rounds: int) -> str:
-    out = SIDES + ", i0 AS (SELECT DISTINCT side, inst_id, md5('I' || cell) AS c FROM e), n0 AS (SELECT DISTINCT side, net_id, md5('N') AS c FROM e)"
+def _wl_sql(rounds: int, rewired: str = REWIRED) -> str:
+    out = _sides_sql(rewired) + ", i0 AS (SELECT DISTINCT side, inst_id, md5('I' || cell) AS c FROM e), n0 AS (SELECT DISTINCT side, net_id, md5('N') AS c FROM e)"
     for k in range(rounds):
         out += f", i{k + 1} AS (SELECT e.side, e.inst_id, md5(MIN(i{k}.c) || string_agg(pin || ':' || n{k}.c, ',' ORDER BY pin, n{k}.c)) AS c FROM e JOIN n{k} ON e.side = n{k}.side AND e.net_id = n{k}.net_id JOIN i{k} ON e.side = i{k}.side AND e.inst_id = i{k}.inst_id GROUP BY e.side, e.inst_id)"
         out += f", n{k + 1} AS (SELECT e.side, e.net_id, md5(MIN(n{k}.c) || string_agg(pin || ':' || i{k}.c, ',' ORDER BY pin, i{k}.c)) AS c FROM e JOIN i{k} ON e.side = i{k}.side AND e.inst_id = i{k}.inst_id JOIN n{k} ON e.side = n{k}.side AND e.net_id = n{k}.net_id GROUP BY e.side, e.net_id)"
@@ -311,8 +315,8 @@ for _r in (1, 2, 3):
     query(_wl_sql(_r) + _WL_SIZES, f"q_wl_round{_r}")(_wl(_r))
 
 
-def _refined(spark, sf_dir, rounds):
-    nodes, edges = _graph(spark, sf_dir)
+def _refined(spark, sf_dir, rounds, rewired=REWIRED):
+    nodes, edges = _graph(spark, sf_dir, rewired)
     colours = graphs.seed_colours(nodes)
     for _ in range(rounds):
         colours = graphs.refine(colours, edges)
@@ -324,9 +328,9 @@ def q_class_sizes(spark, sf_dir):
     return graphs.class_sizes(_refined(spark, sf_dir, 2)).groupBy("n_left", "n_right").agg(F.count("*").alias("n"))
 
 
-@query(_wl_sql(2) + ", z AS (SELECT c, MIN(node) FILTER (side = 'left') AS l, MIN(node) FILTER (side = 'right') AS r FROM c GROUP BY c HAVING COUNT(*) FILTER (side = 'left') = 1 AND COUNT(*) FILTER (side = 'right') = 1) SELECT CAST(substr(l, 2) AS BIGINT) * 2 + CASE WHEN l LIKE 'n%' THEN 1 ELSE 0 END AS \"left\", CAST(substr(r, 2) AS BIGINT) * 2 + CASE WHEN r LIKE 'n%' THEN 1 ELSE 0 END AS \"right\" FROM z")
+@query(_wl_sql(2, FEW_REWIRED) + ", z AS (SELECT c, MIN(node) FILTER (side = 'left') AS l, MIN(node) FILTER (side = 'right') AS r FROM c GROUP BY c HAVING COUNT(*) FILTER (side = 'left') = 1 AND COUNT(*) FILTER (side = 'right') = 1) SELECT CAST(substr(l, 2) AS BIGINT) * 2 + CASE WHEN l LIKE 'n%' THEN 1 ELSE 0 END AS \"left\", CAST(substr(r, 2) AS BIGINT) * 2 + CASE WHEN r LIKE 'n%' THEN 1 ELSE 0 END AS \"right\" FROM z")
 def q_wl_mapping(spark, sf_dir):
-    return graphs.mapping(_refined(spark, sf_dir, 2))
+    return graphs.mapping(_refined(spark, sf_dir, 2, FEW_REWIRED))
 
 
 @query("SELECT p_brand AS cell, CAST(SUM(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS n FROM part GROUP BY p_brand HAVING SUM(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) <> 0")
@@ -356,28 +360,29 @@ def q_place_missing(spark, sf_dir):
     return scoring.placements_missing(*_expected(spark, sf_dir))
 
 
-SIGNED = SIDES + ", g AS (SELECT side, net_id, string_agg(cell || '.' || pin, '|' ORDER BY cell || '.' || pin) AS signature FROM e GROUP BY side, net_id)"
+SIGNED = _sides_sql(REWIRED) + ", g AS (SELECT side, net_id, string_agg(cell || '.' || pin, '|' ORDER BY cell || '.' || pin) AS signature FROM e GROUP BY side, net_id)"
 
 
 def _signatures(spark, sf_dir, side):
+    """Pins of a side's nets."""
     pins = _pins(spark, sf_dir)
-    net = F.when(F.col("inst_id") % 50 == 0, F.col("net_id") + 1).otherwise(F.col("net_id")) if side == "right" else F.col("net_id")
-    return scoring.net_signatures(pins.select(net.alias("net_id"), "cell", "pin"))
+    net = F.when(F.expr(REWIRED), F.col("net_id") + 1).otherwise(F.col("net_id")) if side == "right" else F.col("net_id")
+    return pins.select(net.alias("net_id"), "cell", "pin")
 
 
 @query(SIGNED + "SELECT net_id, md5(signature) AS signature FROM g WHERE side = 'left'")
 def q_net_signature(spark, sf_dir):
-    return _signatures(spark, sf_dir, "left").select("net_id", F.md5("signature").alias("signature"))
+    return scoring.net_signatures(_signatures(spark, sf_dir, "left")).select("net_id", F.md5("signature").alias("signature"))
 
 
 @query(SIGNED + "SELECT COUNT(*) AS n_matched FROM (SELECT signature FROM g WHERE side = 'left' INTERSECT ALL SELECT signature FROM g WHERE side = 'right')")
 def q_net_multiset(spark, sf_dir):
-    return scoring.nets_matched(_signatures(spark, sf_dir, "left"), _signatures(spark, sf_dir, "right"))
+    return scoring.nets_matched(*(scoring.counted_signatures(_signatures(spark, sf_dir, side)) for side in ("left", "right")))
 
 
 @query(SIGNED + "SELECT md5(signature) AS signature, net_id FROM (SELECT signature, net_id FROM g WHERE side = 'left' AND signature NOT IN (SELECT signature FROM g WHERE side = 'right') ORDER BY signature, net_id LIMIT 5)")
 def q_net_unmatched(spark, sf_dir):
-    return scoring.nets_unmatched(_signatures(spark, sf_dir, "left"), _signatures(spark, sf_dir, "right")).select(F.md5("signature").alias("signature"), "net_id")
+    return scoring.nets_unmatched(*(scoring.net_signatures(_signatures(spark, sf_dir, side)) for side in ("left", "right"))).select(F.md5("signature").alias("signature"), "net_id")
 
 
 # -- waves ----------------------------------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from netframe.operators import scoring
 from netframe.operators.extract import Netlist, extract
 from netframe.plans.bridge import ctes, rings, view
 from netframe.operators.components import shared_folder
-from netframe.sources import defdb, gds, vcd, verilog
+from netframe.sources import defdb, gds, jsonir, vcd, verilog
 from netframe.sources.files import write_files
 
 QUERIES, ORACLES = {}, {}
@@ -185,6 +185,27 @@ def q_read_verilog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.pins().join(read.instances(), ["path", "inst_id"]).select("name", "cell", "pin", "net")
 
 
+# -- JSON -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ctes('v_pin')} SELECT 'u\"' || inst_id AS instance, cell, inst_id * 10 AS x, inst_id % 2 = 1 AS mirror, 'A' || pin AS pin, CASE WHEN net_id % 9 = 0 THEN 'VPWR' || net_id ELSE 'n' || net_id END AS net, CASE WHEN net_id % 9 = 0 THEN 'power' ELSE 'signal' END AS kind, net_id % 9 = 0 AS labelled FROM v_pin")
+def q_json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A netlist's document, written by many tasks in ordered parts and read again: each pin with its instance and net."""
+    pins = view(spark, sf_dir, "v_pin")
+    k, net = F.col("inst_id"), F.col("net_id")
+    insts = pins.select("inst_id", "cell").distinct().select("inst_id", F.concat(F.lit('u"'), k.cast("string")).alias("name"), "cell", (k * 10).alias("x"), k.alias("y"), F.lit(0.0).alias("angle"), (k % 2 == 1).alias("mirror"), *((k * 10 + n).alias(c) for n, c in enumerate(("xlo", "ylo", "xhi", "yhi"))))
+    supply = net % 9 == 0
+    nets = pins.select("net_id").distinct().select("net_id", F.concat(F.when(supply, "VPWR").otherwise("n"), net.cast("string")).alias("name"), supply.alias("named_in_layout"), F.when(supply, "power").otherwise("signal").alias("kind"), *((net + n).alias(c) for n, c in enumerate(("xlo", "ylo", "xhi", "yhi"))))
+    ports = nets.where("named_in_layout").select("name", F.lit("inout").alias("direction"), "net_id")
+    stats = insts.agg(*(F.count("*").alias(c) for c in jsonir.COUNTS.values()))
+    netlist = Netlist(insts, pins.select("inst_id", F.concat(F.lit("A"), F.col("pin").cast("string")).alias("pin"), "net_id"), nets, ports, insts, stats, insts.where("inst_id % 100 = 7").select(F.col("name").alias("warning")), insts.limit(0).select("cell"))
+    folder = f"{shared_folder(spark)}/document-{uuid.uuid4().hex}"
+    verilog.write_lines(jsonir.document(netlist, "top"), folder)
+    read = jsonir.read_document(spark, folder)
+    named = read["nets"].select(F.col("name").alias("net"), "kind", "labelled")
+    return read["pins"].join(read["instances"].select(F.col("name").alias("instance"), "cell", "x", "mirror"), "instance").join(named, "net").select("instance", "cell", "x", "mirror", "pin", "net", "kind", "labelled")
+
+
 # -- extraction -----------------------------------------------------------------------------------------------------
 
 PITCH = 1000

@@ -1,10 +1,19 @@
-"""Netlists as JSON: one document for a netlist, read into tables and written from them."""
+"""Netlists as JSON: one document for a netlist, read into tables and written from them.
+
+document() gives an extraction's counts and netlist as ordered lines, an object each, which tasks write in parts of their own; the parts one after
+the other are the document. read_document() reads such parts line by line, each where it is."""
 
 from __future__ import annotations
 
+import json
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from netframe.operators.extract import Netlist
+
 SCHEMA = "name string, ports array<struct<name: string, direction: string, net: string>>, nets array<struct<name: string, kind: string>>, instances array<struct<name: string, cell: string, pins: map<string, string>>>"
 
 
@@ -35,3 +44,56 @@ def to_json(name: str, ports: DataFrame, nets: DataFrame, insts: DataFrame, pins
 def stats_json(stats: DataFrame) -> DataFrame:
     """(value): each row of stats as a document."""
     return stats.select(F.to_json(F.struct(*stats.columns)).alias("value"))
+
+
+# fixed values of the document: names of the counts, by the names that extract gives them
+COUNTS = {
+    "instances": "instances", "logic_instances": "logic_instances", "polygons": "polygons", "rectangles": "rectangles", "nets_total": "nets", "nets_signal": "signal_nets", "labels": "labels",
+    "unbound_pins": "unbound", "split_pins": "split_pins", "inferred_body_pins": "inferred_body_pins", "unknown_cells": "unknown_cells",
+}
+#: What a line of ports, nets or instances may have.
+LINE = (
+    "name string, direction string, net string, kind string, labelled boolean, bbox array<long>, cell string, x long, y long, abutment array<long>, angle double, mirror_x boolean, connections map<string,string>"
+)
+
+
+def _listed(part: int, rows: DataFrame) -> DataFrame:
+    """(part, key, text) of a list's objects (key, text), keys without ties: all but the first begin with a comma."""
+    first = rows.agg(F.min("key").alias("first"))
+    return rows.crossJoin(F.broadcast(first)).select(F.lit(part).alias("part"), "key", F.concat(F.when(F.col("key") == F.col("first"), "").otherwise(","), "text").alias("text"))  # one row
+
+
+def document(netlist: Netlist, module: str) -> DataFrame:
+    """(part, key, text): the lines of the document of an extraction, counts first, to be written in that order (verilog.write_lines does)."""
+    spark = netlist.pins.sparkSession
+    number = lambda c: F.lpad(F.col(c).cast("string"), 20, "0").alias("key")
+    line = lambda part, text: spark.range(1).select(F.lit(part).alias("part"), F.lit("").alias("key"), F.lit(text).alias("text"))
+    edges = F.array("xlo", "ylo", "xhi", "yhi")
+    counts = netlist.stats.select(F.concat(F.lit('{"stats":'), F.regexp_replace(F.to_json(F.struct(*(F.col(own).alias(name) for name, own in COUNTS.items()))), "\\}$", ""), F.lit(',"warnings":[')).alias("text"))
+    names = netlist.nets.select("net_id", F.col("name").alias("net"))
+    ports = netlist.ports.join(names, "net_id", "left").select(F.col("name").alias("key"), F.to_json(F.struct("name", "direction", F.coalesce("net", F.lit("")).alias("net"))).alias("text"))
+    nets = netlist.nets.select(number("net_id"), F.to_json(F.struct("name", "kind", F.col("named_in_layout").alias("labelled"), edges.alias("bbox"))).alias("text"))
+    held = netlist.pins.join(names, "net_id", "left").groupBy("inst_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pin", F.coalesce("net", F.lit("")).alias("net"))))).alias("connections"))
+    each = netlist.instances.join(held, "inst_id", "left").withColumn("connections", F.coalesce("connections", F.expr("cast(map() as map<string,string>)")))
+    insts = each.select(number("inst_id"), F.to_json(F.struct("name", "cell", "x", "y", edges.alias("abutment"), F.col("angle").cast("double").alias("angle"), F.col("mirror").alias("mirror_x"), "connections"), {"ignoreNullFields": "true"}).alias("text"))
+    warnings = netlist.warnings.distinct().select(F.col("warning").alias("key"), F.expr("substring(to_json(array(warning)), 2, length(to_json(array(warning))) - 2)").alias("text"))
+    out = counts.select(F.lit(0).alias("part"), F.lit("").alias("key"), "text")
+    for more in (
+        _listed(1, warnings), line(2, f']}},"netlist":{{"module":{json.dumps(module, ensure_ascii=False)},"ports":['), _listed(3, ports), line(4, '],"nets":['), _listed(5, nets), line(6, '],"instances":['), _listed(7, insts), line(8, "]}}"),
+    ):
+        out = out.unionByName(more)
+    return out
+
+
+def read_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """ports, nets, instances and pins (instance, pin, net) of the parts that document()'s lines were written to. Every line is parsed where it is."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("v")).where(F.col("v").startswith('{"name":'))
+    row = lines.select(F.from_json("v", LINE).alias("r")).select("r.*")
+    named = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    insts = row.where("cell IS NOT NULL")
+    return {
+        "ports": row.where("direction IS NOT NULL").select("name", "direction", named("net")),
+        "nets": row.where("kind IS NOT NULL").select("name", "kind", "labelled", "bbox"),
+        "instances": insts.select("name", "cell", "x", "y", "angle", F.col("mirror_x").alias("mirror"), "abutment"),
+        "pins": insts.select(F.col("name").alias("instance"), F.explode("connections").alias("pin", "net")).select("instance", "pin", named("net")),
+    }

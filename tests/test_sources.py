@@ -1,5 +1,6 @@
 """Sources and sinks: streams that the tests encode, and round trips."""
 
+import json
 import math
 import struct
 
@@ -109,6 +110,29 @@ def test_json_round_trip(spark, tmp_path):
     assert jsonir.stats_json(spark.createDataFrame([(1, "x")], "a int, b string")).first().value == '{"a":1,"b":"x"}'
 
 
+def test_document(spark, tmp_path):
+    """Counts and netlist as one document, whatever the parts it was written in; lists may be empty."""
+    frame = spark.createDataFrame
+    insts = frame([(k, f'u"{k}', "inv_1", 10 * k, 0, 90.0, k % 2 == 1, 0, 0, 5, 5) for k in range(3)], "inst_id long, name string, cell string, x long, y long, angle double, mirror boolean, xlo long, ylo long, xhi long, yhi long")
+    pins = frame([(0, "A", 5), (0, "Y", 6), (1, "A", 6), (1, "Y", None)], "inst_id long, pin string, net_id long")
+    nets = frame([(5, "in", True, "signal", 0, 0, 1, 1), (6, "n0", False, "signal", 2, 2, 3, 3)], "net_id long, name string, named_in_layout boolean, kind string, xlo long, ylo long, xhi long, yhi long")
+    stats = frame([tuple(range(len(jsonir.COUNTS)))], ", ".join(f"{c} long" for c in jsonir.COUNTS.values()))
+    warnings = frame([('a "quoted" one',), ("b",), ("b",)], "warning string")
+    made = extract.Netlist(insts, pins, nets, frame([("in", "input", 5)], "name string, direction string, net_id long"), insts, stats, warnings, insts.select("cell"))
+    verilog.write_lines(jsonir.document(made, "to\"p"), f"file://{tmp_path}/d")
+    parts = [p.read_text() for p in sorted((tmp_path / "d").glob("part-*"))]
+    doc = json.loads("".join(parts))
+    assert list(doc) == ["stats", "netlist"] and doc["stats"]["nets_signal"] == 5 and doc["stats"]["warnings"] == ['a "quoted" one', "b"]
+    assert doc["netlist"]["module"] == 'to"p' and doc["netlist"]["ports"] == [{"name": "in", "direction": "input", "net": "in"}]
+    assert [n["bbox"] for n in doc["netlist"]["nets"]] == [[0, 0, 1, 1], [2, 2, 3, 3]] and [n["labelled"] for n in doc["netlist"]["nets"]] == [True, False]
+    assert [i["connections"] for i in doc["netlist"]["instances"]] == [{"A": "in", "Y": "n0"}, {"A": "n0", "Y": ""}, {}]
+    read = jsonir.read_document(spark, f"file://{tmp_path}/d")
+    assert sorted(map(tuple, read["pins"].collect()), key=str) == [('u"0', "A", "in"), ('u"0', "Y", "n0"), ('u"1', "A", "n0"), ('u"1', "Y", None)]
+    assert read["instances"].count() == 3 and [r.net for r in read["ports"].collect()] == ["in"]
+    none = extract.Netlist(*(df.limit(0) for df in (insts, pins, nets, made.ports, insts)), stats, warnings.limit(0), insts.limit(0))
+    assert json.loads("".join(r.text for r in jsonir.document(none, "m").orderBy("part", "key").collect()))["netlist"] == {"module": "m", "ports": [], "nets": [], "instances": []}
+
+
 # -- layout streams -------------------------------------------------------------------------------------------------
 
 
