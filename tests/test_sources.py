@@ -2,13 +2,15 @@
 
 import json
 import math
+import random
 import struct
+import time
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from netframe.operators import extract, inspect, scoring
+from netframe.operators import extract, inspect, scoring, waves
 from netframe.sources import defdb, gds, jsonir, vcd, verilog
 from netframe.streaming import monitor
 
@@ -377,10 +379,28 @@ END DESIGN
     assert tuple(scoring.database_check(n, database).first()) == (3, 2, 3, 2)
 
 
-def test_stream_of_clocked_bits(spark, tmp_path):
-    for k in range(2):
-        spark.createDataFrame([(key, k * 4 + i, (key >> (7 - k * 4 - i)) & 1) for key in (0x35, 0xA1) for i in range(4)], "key long, seq long, bit long").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
-    source = spark.readStream.schema("key long, seq long, bit long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
-    q = monitor.shift_registers(source).writeStream.format("memory").queryName("registers").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r.key: r.word for r in spark.table("registers").where(F.col("seq") == 7).collect()} == {0x35: 0x35, 0xA1: 0xA1}
+def test_changes_of_a_late_stream(spark, tmp_path):
+    """A stream out of order, in small batches: the rows of the operator over the whole table; a signal that falls silent is let go."""
+    made = random.Random(8)
+    rows = [(made.choice(["clk", "clk", "d", "q"]), 1_700_000_000_000 + 1000 * (k + made.randrange(-5, 6)), k, made.choice([0, 1, None])) for k in range(240)]
+    rows.sort(key=lambda r: r[1] + made.randrange(-4000, 4000))
+    schema = "signal string, ts timestamp, seq long, value int"
+    frame = lambda part: spark.createDataFrame(part, "signal string, ms long, seq long, value int").select("signal", F.timestamp_millis("ms").alias("ts"), "seq", "value")
+    ends = [[("flush", 1_700_000_000_000 + 1000 * t, 10_000 + t, 1)] for t in (2000, 2001, 20_000, 20_001)]  # push the watermark on, twice past the end
+    parts = [rows[k : k + 80] for k in range(0, 240, 80)] + ends
+    for part in parts:
+        frame(part).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        time.sleep(0.02)
+
+    def read(name, function):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+        q = function(source, "30 seconds", 1_000_000).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        assert q.exception() is None
+        return sorted(((r.signal, r.seq, r.value) for r in spark.table(name).where("signal <> 'flush'").collect()), key=str), q.lastProgress.stateOperators[0].numRowsTotal
+
+    table = frame(rows).select("signal", F.unix_millis("ts").alias("t"), "seq", "value")
+    for name, function, whole in (("changed", monitor.changes_of_stream, waves.changes), ("rising", monitor.edges_of_stream, waves.edges)):
+        got, left = read(name, function)
+        assert got == sorted(((r.signal, r.seq, r.value) for r in whole(table).collect()), key=str) and len(got) > 20
+        assert left == 1  # only the signal that has come last
