@@ -18,8 +18,8 @@ from netframe.functions.geometry import contains, overlaps, touches
 
 #: Cells of class k are BASE * STEP ** k wide and high; STEP is a power of two.
 BASE, STEP = 64, 4
-#: Listed rectangles of a cell from which on it is split, and how many a part has.
-DENSE = 2048
+#: Listed rectangles of a cell from which on it is split, and about how many a part has; and the part of the rectangles that shows which cells are so crowded.
+DENSE, SHOWN = 2048, 0.05
 RECT = ("xlo", "ylo", "xhi", "yhi")
 _KEYS = ("level", "cls", "bx", "by")
 
@@ -69,8 +69,9 @@ def _owner() -> Column:
 
 
 def _split(looks: DataFrame, there: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a part of their cell, 0 where it isn't crowded. One row for each crowded cell is looked up; if there is none, both stay as they are."""
-    crowded = there.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*_KEYS, F.ceil(F.col("n") / most).cast("int").alias("n_parts"))
+    """Both sides with a part of their cell, 0 where it isn't crowded. A sample only says into how many parts a cell goes; every rectangle is in one of them. If no cell is crowded, both stay as they are."""
+    shown = there.where(F.pmod(F.xxhash64("rect_id"), F.lit(10_000)) < int(10_000 * SHOWN)).groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    crowded = shown.where(F.col("n") > most * SHOWN).select(*_KEYS, F.ceil(F.col("n") / (most * SHOWN)).cast("int").alias("n_parts"))
     if crowded.isEmpty():
         return looks.withColumn("part", F.lit(0)), there.withColumn("part", F.lit(0))
     every = F.explode(F.sequence(F.lit(0), F.coalesce("n_parts", F.lit(1)) - 1))
