@@ -99,6 +99,69 @@ def refine_until_stable(colours: DataFrame, edges: DataFrame, max_rounds: int |
     return colours
 
 
+def _mixed(features: DataFrame, bits: int) -> DataFrame:
+    """(side, node, h): the last bits of a hash of all that a node has; nodes that have nothing have no row."""
+    each = features.select("side", "node", F.xxhash64("f", "n").alias("h"))
+    halves = F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned("h", 32)).alias("high")
+    return each.groupBy("side", "node").agg(*halves).select("side", "node", F.shiftrightunsigned(F.xxhash64("low", "high"), 64 - bits).alias("h"))
+
+
+def _uneven(classes: DataFrame, features: DataFrame) -> DataFrame:
+    """(colour, f): of each class whose members don't all have the same, the first f that tells some apart. Only counts are shuffled, taken in part before: no class is gathered."""
+    sizes = classes.groupBy("colour").agg(F.count("*").alias("size"))
+    held = features.join(classes, ["side", "node"]).groupBy("colour", "f", "n").agg(F.count("*").alias("have"))
+    return held.join(sizes, "colour").where("have < size").groupBy("colour").agg(F.min("f").alias("f"))
+
+
+def exact_classes(classes: DataFrame, features: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(side, node, colour): classes (side, node, colour) divided until all members of one have the same features (side, node, f, n), each n of f.
+
+    f is of any type that has an order; a node has an f once. A class that came of a hash is right as it is, and one job shows it: each (f, n) is had by
+    as many as the class has members. What a collision has joined is divided by one feature a round, for all such classes in the same jobs. Numbers
+    are dense, in an order of no meaning; classes that were right are never joined. A node without features is in a class of such nodes."""
+    features, classes = written(features.select("side", "node", "f", "n"), "features"), written(classes.select("side", "node", "colour"), "classes")
+    for _ in rounds(max_rounds, "classes"):
+        uneven = written(_uneven(classes, features), "uneven")
+        if uneven.isEmpty():
+            break
+        mine = classes.join(uneven, "colour")
+        told = mine.join(features, ["side", "node", "f"], "left").select("side", "node", "colour", F.coalesce("n", F.lit(0)).alias("n"))
+        kept = classes.join(uneven, "colour", "left_anti").select("side", "node", "colour", F.lit(-1).cast("long").alias("n"))
+        divided = written(told.unionByName(kept), "classes")
+        numbers = numbered(divided.select("colour", "n").distinct(), ["colour", "n"], "number")
+        classes = written(divided.join(numbers, ["colour", "n"]).select("side", "node", F.col("number").alias("colour")), "classes")
+    numbers = numbered(classes.select("colour").distinct(), ["colour"], "number")
+    return classes.join(numbers, "colour").select("side", "node", F.col("number").alias("colour"))
+
+
+def signature_classes(nodes: DataFrame, features: DataFrame, bits: int = 64) -> DataFrame:
+    """(side, node, colour): nodes (side, node) numbered by all that they have, exactly: equal numbers if and only if equal features (side, node, f, n). No
+    signature is put together as one value. bits: of the hash that proposes the classes."""
+    proposed = nodes.select("side", "node").join(_mixed(features, bits), ["side", "node"], "left").select("side", "node", F.coalesce("h", F.lit(0)).alias("colour"))
+    return exact_classes(proposed, features)
+
+
+def exact_seeds(nodes: DataFrame, bits: int = 64) -> DataFrame:
+    """seed_colours() in exact classes."""
+    key = F.when(F.col("kind") == "inst", F.concat(F.lit("I:"), F.col("label"))).when(F.col("label").isNotNull(), F.concat(F.lit("P:"), F.col("label"))).otherwise("N")
+    return signature_classes(nodes, nodes.select("side", "node", key.alias("f"), F.lit(1).cast("long").alias("n")), bits)
+
+
+def neighbour_features(colours: DataFrame, edges: DataFrame) -> DataFrame:
+    """(side, node, f, n): how many neighbours of a colour a node has on a pin. edges: (side, node, pin, other), both ways."""
+    seen = edges.join(colours.select("side", F.col("node").alias("other"), F.col("colour").alias("c")), ["side", "other"])
+    return seen.groupBy("side", "node", F.struct("pin", "c").alias("f")).agg(F.count("*").alias("n"))
+
+
+def exact_refine(colours: DataFrame, edges: DataFrame, bits: int = 64) -> DataFrame:
+    """One round as refine() does it, with exact classes: equal colours if and only if the colours were equal and so is what is around."""
+    around = neighbour_features(colours, edges)
+    own = colours.join(_mixed(around, bits), ["side", "node"], "left").select("side", "node", "colour", F.coalesce("h", F.lit(0)).alias("h"))
+    own = written(own, "classes")
+    pairs = numbered(own.select("colour", "h").distinct(), ["colour", "h"], "number")
+    return exact_classes(own.join(pairs, ["colour", "h"]).select("side", "node", F.col("number").alias("colour")), around)
+
+
 def class_sizes(colours: DataFrame) -> DataFrame:
     """(colour, n_left, n_right) of the colours whose classes differ in size between the sides."""
     counts = colours.groupBy("side", "colour").agg(F.count("*").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netframe.operators import graphs
+from netframe.operators.components import written
 from netframe.operators.extract import Netlist
 from netframe.sources.defdb import RoutedDatabase
 
@@ -43,6 +45,16 @@ def nets_matched(expected: DataFrame, found: DataFrame) -> DataFrame:
     return expected.select("signature").intersectAll(found.select("signature")).agg(F.count("*").alias("n_matched"))
 
 
+def nets_matched_exactly(expected: DataFrame, found: DataFrame, bits: int = 64) -> DataFrame:
+    """(n_matched): as nets_matched, from pins (net_id, cell, pin) of both. Nets are numbered by their kinds of pins; a net with very many of them is never one value."""
+    named = lambda side, pins: pins.where("net_id is not null").select(F.lit(side).alias("side"), F.col("net_id").cast("string").alias("node"), F.concat_ws(".", "cell", F.col("pin").cast("string")).alias("f"))
+    kinds = named("expected", expected).unionByName(named("found", found)).groupBy("side", "node", "f").agg(F.count("*").alias("n"))
+    kinds = written(kinds, "kinds")
+    classes = graphs.signature_classes(kinds.select("side", "node").distinct(), kinds, bits)
+    sizes = classes.groupBy("colour").agg(F.count_if(F.col("side") == "expected").alias("a"), F.count_if(F.col("side") == "found").alias("b"))
+    return sizes.agg(F.coalesce(F.sum(F.least("a", "b")), F.lit(0)).alias("n_matched"))
+
+
 def nets_unmatched(expected: DataFrame, found: DataFrame, n: int = 5) -> DataFrame:
     return expected.join(found, "signature", "left_anti").orderBy("signature", "net_id").limit(n)
 
@@ -66,9 +78,9 @@ def database_check(netlist: Netlist, database: RoutedDatabase) -> DataFrame:
     """One row (n_components, n_placed, n_nets, n_matched): components whose cell's abutment box has its lower left corner where the
     database places it, and signal nets whose pins, by cell, an extracted net has too. Extract with keep_physical to find fillers."""
     placed = placements_found(database.components().select("cell", "x", "y"), netlist.instances.select("cell", F.col("xlo").alias("x"), F.col("ylo").alias("y")))
-    expected, found = counted_signatures(database_pins(database)), counted_signatures(extracted_pins(netlist))
+    expected, found = database_pins(database), extracted_pins(netlist)
     counts = placed.select(F.col("n").alias("n_components"), F.col("n_found").alias("n_placed"), F.lit(0).cast("long").alias("n_nets"), F.lit(0).cast("long").alias("n_matched"))
     zero = F.lit(0).cast("long")
-    nets = expected.agg(F.count("*").alias("n")).select(zero, zero, "n", zero)
-    matched = nets_matched(expected, found).select(zero, zero, zero, "n_matched")
+    nets = expected.agg(F.count_distinct("net_id").alias("n")).select(zero, zero, "n", zero)
+    matched = nets_matched_exactly(expected, found).select(zero, zero, zero, "n_matched")
     return counts.union(nets).union(matched).agg(*(F.sum(c).alias(c) for c in counts.columns))

@@ -310,11 +310,26 @@ def _wl_sql(rounds: int, rewired: str = REWIRED) -> str:
     return out + f", c AS (SELECT side, 'i' || inst_id AS node, c FROM i{rounds} UNION ALL SELECT side, 'n' || net_id, c FROM n{rounds})"
 
 
+def _exact_wl(bits: int, rounds: int):
+    def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes, edges = _graph(spark, sf_dir)
+        edges, colours = written(edges, "edges"), graphs.exact_seeds(nodes, bits)
+        for _ in range(rounds):
+            colours = graphs.exact_refine(colours, edges, bits)
+        sizes = colours.groupBy("side", "colour").agg(F.count("*").alias("size"))
+        return sizes.groupBy("side", "size").agg(F.count("*").alias("n_classes"))
+
+    return classes
+
+
 _WL_SIZES = ", z AS (SELECT side, c, COUNT(*) AS size FROM c GROUP BY side, c) SELECT side, size, COUNT(*) AS n_classes FROM z GROUP BY side, size"
 for _r in (1, 2, 3):
     query(_wl_sql(_r) + _WL_SIZES, f"q_wl_round{_r}")(_wl(_r))
 
 
+query(_wl_sql(2) + _WL_SIZES, "q_wl_exact")(_exact_wl(64, 2))
+
+
 def _refined(spark, sf_dir, rounds, rewired=REWIRED):
     nodes, edges = _graph(spark, sf_dir, rewired)
     colours = graphs.seed_colours(nodes)
@@ -375,6 +390,21 @@ def q_net_signature(spark, sf_dir):
     return scoring.net_signatures(_signatures(spark, sf_dir, "left")).select("net_id", F.md5("signature").alias("signature"))
 
 
+@query(SIGNED + ", c AS (SELECT signature, COUNT(*) FILTER (side = 'left') AS n_left, COUNT(*) FILTER (side = 'right') AS n_right, MIN(net_id) AS first FROM g GROUP BY signature) SELECT g.side, g.net_id, c.first, c.n_left, c.n_right FROM g JOIN c USING (signature)")
+def q_net_classes(spark, sf_dir):
+    """Each net of both sides with the first net and the sizes of its class: nets whose kinds of pins are the same, each as often."""
+    kinds = [_signatures(spark, sf_dir, side).select(F.lit(side).alias("side"), F.col("net_id").alias("node"), F.struct("cell", "pin").alias("f")) for side in ("left", "right")]
+    kinds = written(kinds[0].unionByName(kinds[1]).groupBy("side", "node", "f").agg(F.count("*").alias("n")), "kinds")
+    classes = written(graphs.signature_classes(kinds.select("side", "node").distinct(), kinds), "classes")
+    each = classes.groupBy("colour").agg(F.count_if(F.col("side") == "left").alias("n_left"), F.count_if(F.col("side") == "right").alias("n_right"), F.min("node").alias("first"))
+    return classes.join(each, "colour").select("side", F.col("node").alias("net_id"), "first", "n_left", "n_right")
+
+
+@query(SIGNED + "SELECT COUNT(*) AS n_matched FROM (SELECT signature FROM g WHERE side = 'left' INTERSECT ALL SELECT signature FROM g WHERE side = 'right')")
+def q_net_matched_exact(spark, sf_dir):
+    return scoring.nets_matched_exactly(*(_signatures(spark, sf_dir, side) for side in ("left", "right")))
+
+
 @query(SIGNED + "SELECT COUNT(*) AS n_matched FROM (SELECT signature FROM g WHERE side = 'left' INTERSECT ALL SELECT signature FROM g WHERE side = 'right')")
 def q_net_multiset(spark, sf_dir):
     return scoring.nets_matched(*(scoring.counted_signatures(_signatures(spark, sf_dir, side)) for side in ("left", "right")))

@@ -200,12 +200,61 @@ def q_json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = insts.agg(*(F.count("*").alias(c) for c in jsonir.COUNTS.values()))
     netlist = Netlist(insts, pins.select("inst_id", F.concat(F.lit("A"), F.col("pin").cast("string")).alias("pin"), "net_id"), nets, ports, insts, stats, insts.where("inst_id % 100 = 7").select(F.col("name").alias("warning")), insts.limit(0).select("cell"))
     folder = f"{shared_folder(spark)}/document-{uuid.uuid4().hex}"
-    verilog.write_lines(jsonir.document(netlist, "top"), folder)
+    jsonir.write_extraction(netlist, "top", folder)
     read = jsonir.read_document(spark, folder)
     named = read["nets"].select(F.col("name").alias("net"), "kind", "labelled")
     return read["pins"].join(read["instances"].select(F.col("name").alias("instance"), "cell", "x", "mirror"), "instance").join(named, "net").select("instance", "cell", "x", "mirror", "pin", "net", "kind", "labelled")
 
 
+# -- documents that tasks write -------------------------------------------------------------------------------------
+
+#: Ports are nets whose number PORTS divides.
+PORTS = 10
+_WRITTEN = (
+    f"WITH {ctes('v_pin')}, n AS (SELECT *, CASE WHEN net_id % 3 = 0 THEN 'n[' || net_id || ']' ELSE 'n' || net_id END AS net FROM v_pin), p AS (SELECT DISTINCT net_id, net FROM n WHERE net_id % {PORTS} = 0) "
+    "SELECT 'pin' AS kind, 'u/' || inst_id AS name, replace(cell, ' ', '_') AS cell, 'A' || pin AS pin, net FROM n UNION ALL "
+    "SELECT 'port', net, CASE WHEN net_id % 4 = 0 THEN 'input' ELSE 'output' END, NULL, NULL FROM p UNION ALL SELECT DISTINCT 'net', net, NULL, NULL, NULL FROM n"
+)
+
+
+def _named_netlist(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """insts, pins, ports and nets, some by names that must be escaped."""
+    pins = view(spark, sf_dir, "v_pin")
+    number = F.col("net_id")
+    net = F.when(number % 3 == 0, F.format_string("n[%d]", number)).otherwise(F.format_string("n%d", number))
+    nets = pins.select("net_id", net.alias("name"), F.lit("signal").alias("kind")).distinct()
+    ports = nets.where(number % PORTS == 0).select("name", F.when(number % 4 == 0, "input").otherwise("output").alias("direction"), F.col("name").alias("net"))
+    insts = pins.select("inst_id", F.format_string("u/%d", "inst_id").alias("name"), F.translate("cell", " ", "_").alias("cell")).distinct()
+    return insts, pins.select("inst_id", F.format_string("A%d", F.col("pin").cast("long")).alias("pin"), net.alias("net")), ports, nets.select("name", "kind")
+
+
+def _listed(pins: DataFrame, ports: DataFrame, nets: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    row = lambda df, kind, *columns: df.select(F.lit(kind).alias("kind"), *(c.alias(n) for c, n in zip(columns, ("name", "cell", "pin", "net"))))
+    out = row(pins, "pin", F.col("name"), F.col("cell"), F.col("pin"), F.col("net"))
+    return out.unionByName(row(ports, "port", F.col("name"), F.col("direction"), none, none)).unionByName(row(nets, "net", F.col("name"), none, none, none))
+
+
+@query(_WRITTEN)
+def q_write_verilog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module written by many tasks as one committed document and read again: pins, ports and nets."""
+    insts, pins, ports, _ = _named_netlist(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/module-{uuid.uuid4().hex}"
+    verilog.write_verilog(insts, pins, ports, "m[0]", folder)
+    read = verilog.read_written(spark, folder)
+    return _listed(read.pins().join(read.instances(), ["path", "inst_id"]), read.ports(), read.nets().select("name").distinct())
+
+
+@query(_WRITTEN)
+def q_write_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A netlist written by many tasks as one committed JSON document and read again: pins, ports and nets."""
+    insts, pins, ports, nets = _named_netlist(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/netlist-{uuid.uuid4().hex}"
+    jsonir.write_json_netlist("m", ports, nets, insts, pins, folder)
+    read = jsonir.read_written_netlist(spark, folder)
+    return _listed(read["pins"].join(read["instances"].withColumnRenamed("name", "instance"), "instance").withColumnRenamed("instance", "name"), read["ports"], read["nets"])
+
+
 # -- extraction -----------------------------------------------------------------------------------------------------
 
 PITCH = 1000

@@ -1,19 +1,23 @@
 """Netlists as JSON: one document for a netlist, read into tables and written from them.
 
-document() gives an extraction's counts and netlist as ordered lines, an object each, which tasks write in parts of their own; the parts one after
-the other are the document. read_document() reads such parts line by line, each where it is."""
+Documents are written by tasks in parts of their own, a line for each object; the parts one after the other are the document. read_document()
+and read_written_netlist() read such parts line by line, each where it is."""
 
 from __future__ import annotations
 
 import json
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netframe.sources import documents
+
 if TYPE_CHECKING:
     from netframe.operators.extract import Netlist
 
+#: Rows of a list are lines: all but the first begin with a comma.
+ROWS = "\n,"
 SCHEMA = "name string, ports array<struct<name: string, direction: string, net: string>>, nets array<struct<name: string, kind: string>>, instances array<struct<name: string, cell: string, pins: map<string, string>>>"
 
 
@@ -29,16 +33,15 @@ def read_json_netlist(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def to_json(name: str, ports: DataFrame, nets: DataFrame, insts: DataFrame, pins: DataFrame) -> DataFrame:
-    """(value): the document of one netlist. A document holds its whole netlist, so this is for netlists, not for layouts."""
+def write_json_netlist(name: str, ports: DataFrame, nets: DataFrame, insts: DataFrame, pins: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A netlist as the document at path: a line for each port, net and instance (inst_id, name, cell), with its pins (inst_id, pin, net). Of a pin's several nets none is lost: that is an error of the map."""
     own = pins.groupBy("inst_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pin", "net")))).alias("pins"))
-    rows = insts.join(own, "inst_id", "left").select("inst_id", F.struct("name", "cell", F.coalesce("pins", F.expr("cast(map() as map<string,string>)")).alias("pins")).alias("i"))
-    part = ports.agg(F.array_sort(F.collect_list(F.struct("name", "direction", "net"))).alias("ports"))
-    part = part.crossJoin(nets.agg(F.array_sort(F.collect_list(F.struct("name", "kind"))).alias("nets")))  # one row each
-    part = part.crossJoin(rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("inst_id", F.to_json("i").alias("j")))), lambda x: x["j"]).alias("instances")))
-    body = F.concat(F.lit('{"name":'), F.to_json(F.struct(F.lit(name).alias("n"))).substr(6, 1 << 20), F.lit(""))
-    head = F.regexp_extract(body, r'^(\{"name":".*")\}$', 1)
-    return part.select(F.concat(head, F.lit(',"ports":'), F.to_json("ports"), F.lit(',"nets":'), F.to_json("nets"), F.lit(',"instances":['), F.array_join("instances", ","), F.lit("]}")).alias("value"))
+    each = insts.join(own, "inst_id", "left").withColumn("pins", F.coalesce("pins", F.expr("cast(map() as map<string,string>)")))
+    row = lambda section, df, key, *columns: df.select(F.lit(section).alias("section"), key.alias("key"), F.to_json(F.struct(*columns)).alias("text"))
+    rows = row(0, ports, F.col("name"), "name", "direction", "net").unionByName(row(1, nets, F.col("name"), "name", "kind")).unionByName(row(2, each, _number("inst_id"), "name", "cell", "pins"))
+    head = f'{{"name":{json.dumps(name, ensure_ascii=False)},"ports":[\n'
+    sections = [documents.Section(head, ROWS, "\n],"), documents.Section('"nets":[\n', ROWS, "\n],"), documents.Section('"instances":[\n', ROWS, "\n]}\n")]
+    documents.write_document(rows, sections, path, overwrite)
 
 
 def stats_json(stats: DataFrame) -> DataFrame:
@@ -57,38 +60,53 @@ LINE = (
 )
 
 
-def _listed(part: int, rows: DataFrame) -> DataFrame:
-    """(part, key, text) of a list's objects (key, text), keys without ties: all but the first begin with a comma."""
-    first = rows.agg(F.min("key").alias("first"))
-    return rows.crossJoin(F.broadcast(first)).select(F.lit(part).alias("part"), "key", F.concat(F.when(F.col("key") == F.col("first"), "").otherwise(","), "text").alias("text"))  # one row
-
-
-def document(netlist: Netlist, module: str) -> DataFrame:
-    """(part, key, text): the lines of the document of an extraction, counts first, to be written in that order (verilog.write_lines does)."""
-    spark = netlist.pins.sparkSession
-    number = lambda c: F.lpad(F.col(c).cast("string"), 20, "0").alias("key")
-    line = lambda part, text: spark.range(1).select(F.lit(part).alias("part"), F.lit("").alias("key"), F.lit(text).alias("text"))
+def document(netlist: Netlist, module: str) -> tuple[DataFrame, list[documents.Section]]:
+    """Rows (section, key, text) and sections of the document of an extraction, counts first. write_extraction() writes them."""
+    section = lambda n, df: df.select(F.lit(n).alias("section"), "key", "text")
     edges = F.array("xlo", "ylo", "xhi", "yhi")
-    counts = netlist.stats.select(F.concat(F.lit('{"stats":'), F.regexp_replace(F.to_json(F.struct(*(F.col(own).alias(name) for name, own in COUNTS.items()))), "\\}$", ""), F.lit(',"warnings":[')).alias("text"))
+    counts = netlist.stats.select(F.lit("").alias("key"), F.regexp_replace(F.to_json(F.struct(*(F.col(own).alias(name) for name, own in COUNTS.items()))), "\\}$", "").alias("text"))
     names = netlist.nets.select("net_id", F.col("name").alias("net"))
     ports = netlist.ports.join(names, "net_id", "left").select(F.col("name").alias("key"), F.to_json(F.struct("name", "direction", F.coalesce("net", F.lit("")).alias("net"))).alias("text"))
-    nets = netlist.nets.select(number("net_id"), F.to_json(F.struct("name", "kind", F.col("named_in_layout").alias("labelled"), edges.alias("bbox"))).alias("text"))
+    nets = netlist.nets.select(_number("net_id"), F.to_json(F.struct("name", "kind", F.col("named_in_layout").alias("labelled"), edges.alias("bbox"))).alias("text"))
     held = netlist.pins.join(names, "net_id", "left").groupBy("inst_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pin", F.coalesce("net", F.lit("")).alias("net"))))).alias("connections"))
     each = netlist.instances.join(held, "inst_id", "left").withColumn("connections", F.coalesce("connections", F.expr("cast(map() as map<string,string>)")))
-    insts = each.select(number("inst_id"), F.to_json(F.struct("name", "cell", "x", "y", edges.alias("abutment"), F.col("angle").cast("double").alias("angle"), F.col("mirror").alias("mirror_x"), "connections"), {"ignoreNullFields": "true"}).alias("text"))
+    insts = each.select(_number("inst_id"), F.to_json(F.struct("name", "cell", "x", "y", edges.alias("abutment"), F.col("angle").cast("double").alias("angle"), F.col("mirror").alias("mirror_x"), "connections"), {"ignoreNullFields": "true"}).alias("text"))
     warnings = netlist.warnings.distinct().select(F.col("warning").alias("key"), F.expr("substring(to_json(array(warning)), 2, length(to_json(array(warning))) - 2)").alias("text"))
-    out = counts.select(F.lit(0).alias("part"), F.lit("").alias("key"), "text")
-    for more in (
-        _listed(1, warnings), line(2, f']}},"netlist":{{"module":{json.dumps(module, ensure_ascii=False)},"ports":['), _listed(3, ports), line(4, '],"nets":['), _listed(5, nets), line(6, '],"instances":['), _listed(7, insts), line(8, "]}}"),
-    ):
-        out = out.unionByName(more)
-    return out
+    rows = section(0, counts).unionByName(section(1, warnings)).unionByName(section(2, ports)).unionByName(section(3, nets)).unionByName(section(4, insts))
+    own = f'{{"module":{json.dumps(module, ensure_ascii=False)}'
+    sections = [documents.Section('{"stats":'), documents.Section(',"warnings":[\n', ROWS, "\n]},\n"), documents.Section(f'"netlist":{own},"ports":[\n', ROWS, "\n],"), documents.Section('"nets":[\n', ROWS, "\n],"), documents.Section('"instances":[\n', ROWS, "\n]}}\n")]
+    return rows, sections
+
+
+def write_extraction(netlist: Netlist, module: str, path: str, overwrite: bool = False) -> None:
+    documents.write_document(*document(netlist, module), path, overwrite)
+
+
+def _number(c: str) -> Column:
+    return F.lpad(F.col(c).cast("string"), 20, "0").alias("key")
+
+
+def _objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects with a name, a line each, of the document at path."""
+    lines = documents.read_lines(spark, path).select(F.regexp_replace("value", "^,", "").alias("v")).where(F.col("v").startswith('{"name":') & F.col("v").endswith("}"))
+    return lines.select(F.from_json("v", schema).alias("r")).select("r.*")
+
+
+def read_written_netlist(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """ports, nets, instances (name, cell) and pins (instance, pin, net) of the document that write_json_netlist() made."""
+    row = _objects(spark, path, "name string, direction string, net string, kind string, cell string, pins map<string,string>")
+    insts = row.where("cell IS NOT NULL")
+    return {
+        "ports": row.where("direction IS NOT NULL").select("name", "direction", "net"),
+        "nets": row.where("kind IS NOT NULL").select("name", "kind"),
+        "instances": insts.select("name", "cell"),
+        "pins": insts.select(F.col("name").alias("instance"), F.explode("pins").alias("pin", "net")),
+    }
 
 
 def read_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """ports, nets, instances and pins (instance, pin, net) of the parts that document()'s lines were written to. Every line is parsed where it is."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^,", "").alias("v")).where(F.col("v").startswith('{"name":'))
-    row = lines.select(F.from_json("v", LINE).alias("r")).select("r.*")
+    row = _objects(spark, path, LINE)
     named = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
     insts = row.where("cell IS NOT NULL")
     return {

@@ -6,10 +6,13 @@ statements are spread over the cluster. Only the first module of a file is read;
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netframe.functions.text import SUPPLY_GROUND, SUPPLY_POWER, escape_identifier, supply_kind
+from netframe.sources import documents
 
 TRIVIA = r"(?s)//[^\n]*|/\*.*?\*/|\(\*(?!\)).*?\*\)"
 TOKEN = r"\\\S+|[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+'[bodhBODH][0-9a-fA-FxXzZ_]+|[0-9]+|<=|\S"
@@ -93,23 +96,51 @@ def read_structural_verilog(spark: SparkSession, path: str) -> StructuralVerilog
     return StructuralVerilog(read_text(spark, path))
 
 
-def to_verilog(insts: DataFrame, pins: DataFrame, ports: DataFrame, module: str, power: bool = False, physical: DataFrame | None = None, header: str | None = None) -> DataFrame:
-    """(part, key, text): a module's lines, to be written in that order. insts: (inst_id, name, cell); pins: (inst_id, pin, net); ports: (name, direction). Supply pins go unless power; instances of the cells in physical go."""
+def _kept(insts: DataFrame, pins: DataFrame, ports: DataFrame, power: bool, physical: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     if not power:
         supplies = SUPPLY_POWER + SUPPLY_GROUND
         pins, ports = pins.where(~F.col("pin").isin(*supplies)), ports.where(~F.col("name").isin(*supplies))
     if physical is not None:
         insts = insts.join(physical.select("cell").distinct(), "cell", "left_anti")
+    return insts, pins, ports
+
+
+def to_verilog(insts: DataFrame, pins: DataFrame, ports: DataFrame, module: str, power: bool = False, physical: DataFrame | None = None, header: str | None = None) -> DataFrame:
+    """(part, key, text): a module's lines, to be written in that order. insts: (inst_id, name, cell); pins: (inst_id, pin, net); ports: (name, direction). Supply pins go unless power; instances of the cells in physical go."""
+    insts, pins, ports = _kept(insts, pins, ports, power, physical)
     name, spark = escape_identifier(F.lit(module)), insts.sparkSession
     head = ports.agg(F.array_join(F.array_sort(F.collect_list(escape_identifier(F.col("name")))), ", ").alias("p")).select(F.lit(0).alias("part"), F.lit("").alias("key"), F.concat(F.lit(f"// {header}\n" if header else ""), F.lit("module "), name, F.lit(" ("), F.coalesce("p", F.lit("")), F.lit(");")).alias("text"))
+    end = spark.range(1).select(F.lit(4).alias("part"), F.lit("").alias("key"), F.lit("endmodule").alias("text"))
+    return head.unionByName(_body(insts, pins, ports)).unionByName(end)
+
+
+def _body(insts: DataFrame, pins: DataFrame, ports: DataFrame) -> DataFrame:
+    """(part, key, text): lines of declared ports (1), wires (2) and instances (3)."""
     declared = ports.select(F.lit(1).alias("part"), F.col("name").alias("key"), F.concat(F.lit("  "), F.col("direction"), F.lit(" "), escape_identifier(F.col("name")), F.lit(";")).alias("text"))
     wires = pins.where("net is not null").select(F.col("net").alias("name")).distinct().join(ports, "name", "left_anti").select(F.lit(2).alias("part"), F.col("name").alias("key"), F.concat(F.lit("  wire "), escape_identifier(F.col("name")), F.lit(";")).alias("text"))
     held = pins.groupBy("inst_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pin", "net"))), lambda p: F.concat(F.lit("."), escape_identifier(p["pin"]), F.lit("("), F.coalesce(escape_identifier(p["net"]), F.lit("")), F.lit(")"))), ", ").alias("held"))
     gates = insts.join(held, "inst_id", "left").select(F.lit(3).alias("part"), F.lpad(F.col("inst_id").cast("string"), 20, "0").alias("key"), F.concat(F.lit("  "), escape_identifier(F.col("cell")), F.lit(" "), escape_identifier(F.col("name")), F.lit(" ("), F.coalesce("held", F.lit("")), F.lit(");")).alias("text"))
-    end = spark.range(1).select(F.lit(4).alias("part"), F.lit("").alias("key"), F.lit("endmodule").alias("text"))
-    return head.unionByName(declared).unionByName(wires).unionByName(gates).unionByName(end)
-
-
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Lines (part, key, text) as text files in their order: files sort by name as their lines do."""
-    lines.orderBy("part", "key").select("text").write.text(path)
+    return declared.unionByName(wires).unionByName(gates)
+
+
+def write_verilog(insts: DataFrame, pins: DataFrame, ports: DataFrame, module: str, path: str, power: bool = False, physical: DataFrame | None = None, header: str | None = None, overwrite: bool = False) -> None:
+    """to_verilog's text as the document at path. No list of it, the ports in the module's head included, is gathered anywhere."""
+    insts, pins, ports = _kept(insts, pins, ports, power, physical)
+    name = f"\\{module} " if re.fullmatch("[A-Za-z_$][A-Za-z0-9_$]*", module) is None else module
+    head = documents.Section(f"// {header}\nmodule {name} (" if header else f"module {name} (", ", ", ");\n")
+    own = escape_identifier(F.col("name"))
+    listed = ports.select(F.lit(0).alias("section"), own.alias("key"), own.alias("text"))
+    body = _body(insts, pins, ports).select(F.col("part").alias("section"), "key", F.concat("text", F.lit("\n")).alias("text"))
+    plain = documents.Section()
+    documents.write_document(listed.unionByName(body), [head, plain, plain, documents.Section(closing="endmodule\n")], path, overwrite)
+
+
+def read_written(spark: SparkSession, path: str) -> StructuralVerilog:
+    """Tables of the document at path that write_verilog() made, each statement parsed where it is; a path for each part of it."""
+    documents.whole(path)
+    read = StructuralVerilog.__new__(StructuralVerilog)
+    line, head = F.col("line"), F.col("line").startswith("module ")
+    own = read_text(spark, path).select("path", F.posexplode(F.split("value", "\n")).alias("seq", "line")).where(head | (line.startswith("  ") & line.endswith(";")))
+    text = F.regexp_replace(F.regexp_replace("line", "^module |;$", ""), r"\s+", " ")
+    read.statements = own.select("path", F.when(head, 0).otherwise(F.col("seq") + 1).alias("seq"), F.trim(text).alias("text"))
+    return read

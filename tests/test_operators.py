@@ -269,6 +269,41 @@ def test_comparison(spark, right, equal):
         assert {tuple(r) for r in graphs.mapping(colours).collect()} >= {(1 * 2 + 1, 5 * 2 + 1), (2 * 2 + 1, 6 * 2 + 1), (0, 0), (2, 2)}
 
 
+@pytest.mark.parametrize("bits", [0, 2, 64])
+def test_signatures_that_collide(spark, bits):
+    """Classes are those of whole signatures, whatever the hash that proposes them: here it has no, four or all values."""
+    made = random.Random(5)
+    own = {(side, k): {made.randrange(4): made.randrange(1, 3) for _ in range(made.randrange(4))} for side in ("left", "right") for k in range(60)}
+    nodes = spark.createDataFrame(list(own), "side string, node long")
+    features = spark.createDataFrame([(*who, f, n) for who, has in own.items() for f, n in has.items()], "side string, node long, f long, n long")
+    found = {(r.side, r.node): r.colour for r in graphs.signature_classes(nodes, features, bits).collect()}
+    assert found.keys() == own.keys()
+    pairs = {(found[who], tuple(sorted(has.items()))) for who, has in own.items()}
+    assert len(pairs) == len({c for c, _ in pairs}) == len({s for _, s in pairs}) and {c for c, _ in pairs} == set(range(len(pairs)))
+
+
+def test_exact_rounds(spark):
+    """Rounds with a hash of four values give the classes of the rounds that trust 64 bits; nothing to number gives nothing."""
+    wires = [(made, {1: k % 7, 2: (k * 3) % 11}) for k, made in enumerate(["inv", "nand", "inv", "buf"] * 6)]
+    nodes, edges = netlist_tables(spark, wires, "left")
+    plain, exact = graphs.seed_colours(nodes), graphs.exact_seeds(nodes, 2)
+    for _ in range(2):
+        both = [{r.node: r.colour for r in df.collect()} for df in (plain, exact)]
+        assert both[0].keys() == both[1].keys()
+        assert len({(both[0][k], both[1][k]) for k in both[0]}) == len(set(both[0].values())) == len(set(both[1].values()))
+        plain, exact = graphs.refine(plain, edges), graphs.exact_refine(exact, edges, 2)
+    assert graphs.exact_refine(exact.limit(0), edges.limit(0)).count() == 0
+
+
+def test_matched_exactly(spark):
+    pins = lambda *rows: spark.createDataFrame(list(rows), "net_id long, cell string, pin string")
+    a = pins((1, "i", "A"), (1, "i", "A"), (2, "i", "A"), (3, "i", "A"), (4, None, "PIN:x"), (None, "i", "A"))
+    b = pins((7, "i", "A"), (7, "i", "A"), (8, "i", "A"), (9, "b", "A"))
+    for bits in (0, 64):
+        assert scoring.nets_matched_exactly(a, b, bits).first().n_matched == 2
+    assert scoring.nets_matched_exactly(a, b.limit(0)).first().n_matched == 0 == scoring.nets_matched_exactly(a.limit(0), b.limit(0)).first().n_matched
+
+
 def test_scores(spark):
     a = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "net_id long, signature string")
     b = spark.createDataFrame([(1, "x"), (2, "z")], "net_id long, signature string")

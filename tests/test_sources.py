@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netframe.operators import extract, inspect, scoring, waves
-from netframe.sources import defdb, gds, jsonir, vcd, verilog
+from netframe.sources import defdb, documents, gds, jsonir, vcd, verilog
 from netframe.streaming import monitor
 
 
@@ -19,6 +19,11 @@ def files(spark, *texts):
     return spark.createDataFrame([(f"f{k}", t) for k, t in enumerate(texts)], "path string, value string")
 
 
+def held(folder):
+    """The text of a written document."""
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+
+
 VERILOG = r"""// a comment; with a semicolon
 module top (a, clk, \out[0] , VPWR);
   input a, clk; inout VPWR;
@@ -53,7 +58,7 @@ def test_verilog_round_trip(spark, tmp_path):
     v = verilog.StructuralVerilog(files(spark, VERILOG))
     insts = v.instances().where("cell not in ('$alias', 'buf_1')").select("inst_id", "name", "cell")
     lines = verilog.to_verilog(insts, v.pins().where("inst_id < 3").select("inst_id", "pin", "net"), v.ports().select("name", "direction"), "top", physical=spark.createDataFrame([("decap_3",)], "cell string"))
-    verilog.write_lines(lines, f"file://{tmp_path}/out")
+    documents.write_lines(lines, f"file://{tmp_path}/out")
     text = "\n".join(p.read_text().rstrip("\n") for p in sorted((tmp_path / "out").glob("part-*")) if p.stat().st_size)
     again = verilog.StructuralVerilog(files(spark, text))
     assert {(r.name, r.cell) for r in again.instances().collect()} == {("u1", "inv_1"), ("a_reg[0]", "dfxtp_1")}
@@ -104,8 +109,9 @@ def test_vcd_round_trip(spark):
 
 def test_json_round_trip(spark, tmp_path):
     v = verilog.StructuralVerilog(files(spark, VERILOG))
-    made = jsonir.to_json('a "b"', v.ports().select("name", "direction", "net"), v.nets().select("name", "kind"), v.instances().select("inst_id", "name", "cell"), v.pins().where("net is not null").select("inst_id", "pin", "net"))
-    (tmp_path / "n.json").write_text(made.first().value)
+    jsonir.write_json_netlist('a "b"', v.ports().select("name", "direction", "net"), v.nets().select("name", "kind"), v.instances().select("inst_id", "name", "cell"), v.pins().where("net is not null").select("inst_id", "pin", "net"), f"file://{tmp_path}/n")
+    (tmp_path / "n.json").write_text(held(tmp_path / "n"))
+    assert json.loads(held(tmp_path / "n"))["name"] == 'a "b"'
     read = jsonir.read_json_netlist(spark, f"file://{tmp_path}/n.json")
     assert {tuple(r) for r in read["pins"].collect()} == {tuple(r)[1:] for r in v.pins().where("net is not null").collect()}
     assert [r.name for r in read["instances"].orderBy("inst_id").collect()] == [r.name for r in v.instances().orderBy("inst_id").collect()]
@@ -121,7 +127,7 @@ def test_document(spark, tmp_path):
     stats = frame([tuple(range(len(jsonir.COUNTS)))], ", ".join(f"{c} long" for c in jsonir.COUNTS.values()))
     warnings = frame([('a "quoted" one',), ("b",), ("b",)], "warning string")
     made = extract.Netlist(insts, pins, nets, frame([("in", "input", 5)], "name string, direction string, net_id long"), insts, stats, warnings, insts.select("cell"))
-    verilog.write_lines(jsonir.document(made, "to\"p"), f"file://{tmp_path}/d")
+    jsonir.write_extraction(made, "to\"p", f"file://{tmp_path}/d")
     parts = [p.read_text() for p in sorted((tmp_path / "d").glob("part-*"))]
     doc = json.loads("".join(parts))
     assert list(doc) == ["stats", "netlist"] and doc["stats"]["nets_signal"] == 5 and doc["stats"]["warnings"] == ['a "quoted" one', "b"]
@@ -132,7 +138,83 @@ def test_document(spark, tmp_path):
     assert sorted(map(tuple, read["pins"].collect()), key=str) == [('u"0', "A", "in"), ('u"0', "Y", "n0"), ('u"1', "A", "n0"), ('u"1', "Y", None)]
     assert read["instances"].count() == 3 and [r.net for r in read["ports"].collect()] == ["in"]
     none = extract.Netlist(*(df.limit(0) for df in (insts, pins, nets, made.ports, insts)), stats, warnings.limit(0), insts.limit(0))
-    assert json.loads("".join(r.text for r in jsonir.document(none, "m").orderBy("part", "key").collect()))["netlist"] == {"module": "m", "ports": [], "nets": [], "instances": []}
+    jsonir.write_extraction(none, "m", f"file://{tmp_path}/none")
+    assert json.loads(held(tmp_path / "none"))["netlist"] == {"module": "m", "ports": [], "nets": [], "instances": []}
+
+
+# -- documents ------------------------------------------------------------------------------------------------------
+
+
+def plain_document(rows, sections):
+    return "".join(s.opening + s.separator.join(t for _, _, t in sorted(r for r in rows if r[0] == n)) + s.closing for n, s in enumerate(sections))
+
+
+@pytest.mark.parametrize("counts", [(0, 0, 0), (1, 0, 0), (0, 0, 1), (40, 0, 300), (3, 500, 1)])
+def test_documents_of_many_parts(spark, tmp_path, counts):
+    """Whatever the parts, a document is its sections one after the other, empty ones included."""
+    sections = [documents.Section("[", ",", "]"), documents.Section("<", "|", ">"), documents.Section("{", ";\n", "}")]
+    rows = [(n, f"{k:05d}", f"é{n}.{k}") for n, count in enumerate(counts) for k in range(count)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "section int, key string, text string").repartition(5)
+    documents.write_document(df, sections, f"file://{tmp_path}/d")
+    assert held(tmp_path / "d") == plain_document(rows, sections)
+    assert sum(documents.whole(f"file://{tmp_path}/d").values()) == len(held(tmp_path / "d").encode())
+    assert [p.name for p in tmp_path.iterdir()] == ["d"]
+
+
+def test_a_document_is_there_as_a_whole_or_not_at_all(spark, tmp_path):
+    sections, schema = [documents.Section("[", ",", "]")], "section int, key string, text string"
+    target = f"file://{tmp_path}/d"
+    rows = spark.createDataFrame([(0, f"{k:03d}", str(k)) for k in range(200)], schema).repartition(4)
+    killed = rows.select("section", "key", F.when(F.col("key") == "150", F.raise_error(F.lit("killed"))).otherwise(F.col("text")).alias("text"))
+    for bad in (killed, rows.select("section", "key", F.when(F.col("key") < "199", F.col("text")).alias("text")), rows.select(F.lit(3).alias("section"), "key", "text")):
+        with pytest.raises(Exception, match="killed|without section|no section"):
+            documents.write_document(bad, sections, target)
+        assert list(tmp_path.iterdir()) == []
+    documents.write_document(rows, sections, target)
+    with pytest.raises(Exception, match="there already"):
+        documents.write_document(rows, sections, target)
+    with pytest.raises(Exception, match="killed"):
+        documents.write_document(killed, sections, target, overwrite=True)
+    assert json.loads(held(tmp_path / "d")) == list(range(200))
+    documents.write_document(rows.where("key < '003'"), sections, target, overwrite=True)
+    assert held(tmp_path / "d") == "[0,1,2]" and len(list(tmp_path.iterdir())) == 1
+    first = sorted((tmp_path / "d").glob("part-*"))[0]
+    first.write_text(first.read_text() + " ")
+    with pytest.raises(ValueError, match="whole"):
+        documents.read_lines(spark, target)
+
+
+def test_attempts_that_failed_leave_nothing(tmp_path):
+    """A part written twice counts once; what a lost attempt has left goes; parts out of order are refused."""
+    sections = [documents.Section("[", ",", "]")]
+    batch = lambda *keys: iter([pa.RecordBatch.from_arrays([pa.array([0] * len(keys), pa.int32()), pa.array(list(keys)), pa.array(list(keys))], ["section", "key", "text"])])
+    writer = documents.DocumentWriter(f"file://{tmp_path}/d", sections, False)
+    writer.written(batch("a", "b"), 0, 7)  # lost
+    writer.commit([writer.written(batch("c"), 3, 9), None, writer.written(iter([]), 2, 5), writer.written(batch("a", "b"), 0, 8)])
+    assert held(tmp_path / "d") == "[a,b,c]" and sorted(p.name for p in (tmp_path / "d").glob("*-7")) == []
+    wrong = documents.DocumentWriter(f"file://{tmp_path}/e", sections, False)
+    with pytest.raises(ValueError, match="out of order"):
+        wrong.commit([wrong.written(batch("b"), 0, 1), wrong.written(batch("a"), 1, 2)])
+    with pytest.raises(ValueError, match="out of order"):
+        wrong.written(batch("b", "a"), 0, 3)
+    wrong.abort([])
+    assert [p.name for p in tmp_path.iterdir()] == ["d"]
+
+
+def test_written_verilog_is_read_by_many_tasks(spark, tmp_path):
+    v = verilog.StructuralVerilog(files(spark, VERILOG))
+    insts = v.instances().where("cell not in ('$alias', 'buf_1')").select("inst_id", "name", "cell")
+    tables = insts, v.pins().where("inst_id < 3").select("inst_id", "pin", "net"), v.ports().select("name", "direction")
+    verilog.write_verilog(*tables, "top", f"file://{tmp_path}/v", power=True, header="made")
+    assert held(tmp_path / "v").startswith("// made\nmodule top (") and held(tmp_path / "v").endswith("endmodule\n")
+    lines = "".join(r.text + "\n" for r in verilog.to_verilog(*tables, "top", power=True, header="made").orderBy("part", "key").collect())
+    assert held(tmp_path / "v") == lines
+    read = verilog.read_written(spark, f"file://{tmp_path}/v")
+    named = lambda made: {(r.name, r.cell, r.pin, r.net) for r in made.pins().join(made.instances(), ["path", "inst_id"]).collect()}
+    assert named(read) == named(verilog.StructuralVerilog(files(spark, lines))) and len(named(read)) == 7
+    assert {(r.name, r.direction) for r in read.ports().collect()} == {("a", "input"), ("clk", "input"), ("VPWR", "inout"), ("out[0]", "output")}
+    assert read.modules().first().module == "top"
 
 
 # -- layout streams -------------------------------------------------------------------------------------------------
