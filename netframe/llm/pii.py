@@ -5,7 +5,8 @@ Base kinds: email, ip (parts of at most 255), card (12 to 19 digits passing Luhn
 and non-overlapping within its kind; a failing match is dropped and the search goes on behind it. The method adds three kinds:
 url (http, https and ftp addresses), account (a cue such as IBAN, SSN or passport with the identifier behind it: an IBAN must pass
 its check digits, a social security number must have an area, group and serial that are given out, any other needs five digits)
-and secret (a cue such as password or token with the value assigned to it, of letters and digits, or a cloud access key).
+and secret (a cue such as password or api key with the value that =, : or "is" assigns to it, of letters and digits; a bearer token; a key with its
+vendor's prefix; a private key from its first line to its last, only the first where there is no last).
 
 Defined cases: null text is the empty text, without spans. Every row has a result; repeated rows have equal ones, and ties can't
 arise. Texts of any length are searched whole, in one pass over the anchors.
@@ -29,8 +30,10 @@ KINDS = BASE_KINDS + ADDED_KINDS
 
 SCHEMES = ("http://", "https://", "ftp://")
 CUES = ("iban", "ssn", "social security", "account", "acct", "passport", "konto", "cuenta", "compte")
-SECRETS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "api-key", "access_key")
-ACCESS_KEY = "akia"
+SECRETS = ("password", "passwd", "passphrase", "pwd", "token", "secret", "api_key", "apikey", "api-key", "api key", "access_key", "access key", "secret key")
+BEARER, ARMOUR = "bearer ", "-----begin "
+# fixed values: what keys of public services begin with
+VENDORS = ("AKIA", "ASIA", "AIza", "sk_live_", "sk_test_", "rk_live_", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "xoxb-", "xoxp-")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -42,8 +45,11 @@ _URL = re.compile(r"[^\s\"'<>]+")
 _ACCOUNT = re.compile(r"(?:[\x20]*(?:no|number|nr|code|id))?[\x20]*[.:#=]?[\x20]*([A-Z]{0,3}[0-9](?:[\x20-]?[A-Z0-9]){4,33})(?![A-Za-z0-9])", re.ASCII)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 _SSN = re.compile(r"(?!000|666|9)[0-9]{3}(?!00)[0-9]{2}(?!0000)[0-9]{4}")
-_SECRET = re.compile(r"[\"']?[\x20]*(?:=|:)[\x20]*[\"']?([A-Za-z0-9+/_.~-]{8,}=*)")
-_ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
+_SECRET = re.compile(r"[\"']?[\x20]*(?:=|:|\bis\b)[\x20]*[\"']?([A-Za-z0-9+/_.~-]{8,}=*)", re.ASCII)
+_BEARER = re.compile(r"[\x20]*([A-Za-z0-9+/_.~-]{16,}=*)")
+_VENDOR_KEY = re.compile(r"(?:A[KS]IA[A-Z0-9]{16}|(?!A[KS]IA)(?:" + "|".join(map(re.escape, VENDORS)) + r")[A-Za-z0-9_-]{16,})(?![A-Za-z0-9])")
+_ARMOUR = re.compile(r"-----BEGIN (?:[A-Z0-9]+\x20){0,4}PRIVATE KEY-----")
+_ARMOUR_END = re.compile(r"-----END [A-Z0-9\x20]{0,60}-----")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -69,7 +75,7 @@ def valid_account(cue: str, value: str) -> bool:
 
 def anchors() -> ahocorasick.Automaton:
     made = ahocorasick.Automaton()
-    for word, kind in [("@", "at"), ("+", "plus"), *((d, "digit") for d in "0123456789"), *((s, "scheme") for s in SCHEMES), *((c, "cue") for c in CUES), *((c, "secret") for c in SECRETS), (ACCESS_KEY, "access key")]:
+    for word, kind in [("@", "at"), ("+", "plus"), *((d, "digit") for d in "0123456789"), *((s, "scheme") for s in SCHEMES), *((c, "cue") for c in CUES), *((c, "secret") for c in SECRETS), *((v.lower(), "vendor") for v in VENDORS), (BEARER, "bearer"), (ARMOUR, "armour")]:
         made.add_word(word, (kind, len(word)))
     made.make_automaton()
     return made
@@ -90,6 +96,7 @@ class Finder:
         """(start, end, kind) by start, then as the kinds are listed."""
         found: list[tuple[int, int, str]] = []
         done = dict.fromkeys(KINDS, 0)  # where the search of a kind goes on
+        self.no_armour_ends = False
         folded = text.lower()
         if len(folded) != len(text):  # a character that lower-cases to two; cues and schemes are ASCII
             folded = "".join(x.lower() if x < "\x80" else x for x in text)
@@ -133,13 +140,25 @@ class Finder:
                     done["account"] = m.end()
                     if valid_account(folded[at : end + 1], m[1]):
                         found.append((*m.span(1), "account"))
-            elif at >= done["secret"] and (m := (_SECRET if kind == "secret" else _ACCESS_KEY).match(text, end + 1 if kind == "secret" else at)):
-                value = m.span(1) if kind == "secret" else m.span()
-                if kind == "access key" and not (at and text[at - 1].isalnum()) or kind == "secret" and _mixed(m[1]):
-                    found.append((*value, "secret"))
-                    done["secret"] = m.end()
+            elif at >= done["secret"] and (span := self._secret(text, kind, at, end + 1)):
+                found.append((*span, "secret"))
+                done["secret"] = span[1]
         return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
+    def _secret(self, text: str, kind: str, at: int, behind: int) -> tuple[int, int] | None:
+        """The secret of an anchor that begins at at and has behind behind it."""
+        if kind == "armour":
+            if not (m := _ARMOUR.match(text, at)):
+                return None
+            last = None if self.no_armour_ends else _ARMOUR_END.search(text, m.end())
+            self.no_armour_ends = last is None  # nor behind this one
+            return at, (last or m).end()
+        if kind == "vendor":
+            m = None if at and text[at - 1].isalnum() else _VENDOR_KEY.match(text, at)
+            return m.span() if m else None
+        m = (_BEARER if kind == "bearer" else _SECRET).match(text, behind)
+        return m.span(1) if m and _mixed(m[1]) else None
+
     @staticmethod
     def _no_ip(text: str, at: int) -> int:
         """A match can't start in this run of digits if none starts at its head."""
