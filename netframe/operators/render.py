@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netframe.operators.classify import CONDUCTORS
+from netframe.sources import documents
 
 # fixed values of the pictures: colours of the levels from the bottom; background; the highlighted net and all else beside it; dimmed supplies; metal of no net; outlines of instances and of rectangles
 PALETTE = ("#c0392b", "#2e86c1", "#28b463", "#f39c12", "#8e44ad", "#16a085")
@@ -117,3 +118,8 @@ def to_svg(
     out = out.unionByName(line(body, 5, F.concat(level, F.lit("a"), digits("rect_id", 20)), F.col("text")))
     out = out.unionByName(line(groups, 5, F.concat(level, F.lit("b")), F.lit("</g>")))
     return out.unionByName(line(box, 6, no_key, F.lit("</svg>")))
+
+
+def write_svg(rects: DataFrame, path: str, overwrite: bool = False, **picture) -> None:
+    """to_svg's lines as the document at path; picture: what to_svg takes."""
+    documents.write_lines(to_svg(rects, **picture), path, overwrite)

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from netframe.functions.geometry import ring_box
 from netframe.functions.text import escape_identifier
-from netframe.operators import scoring
+from netframe.operators import render, scoring
 from netframe.operators.extract import Netlist, extract
 from netframe.plans.bridge import ctes, rings, view
 from netframe.operators.components import shared_folder
-from netframe.sources import defdb, gds, jsonir, vcd, verilog
+from netframe.operators.netlist import numbered
+from netframe.sources import defdb, documents, gds, jsonir, vcd, verilog
 from netframe.sources.files import write_files
 
 QUERIES, ORACLES = {}, {}
@@ -255,6 +256,38 @@ def q_write_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(read["pins"].join(read["instances"].withColumnRenamed("name", "instance"), "instance").withColumnRenamed("instance", "name"), read["ports"], read["nets"])
 
 
+_FIXED = "(0, '$timescale 1ns $end'), (1, '$scope module top $end'), (3, '$upscope $end'), (4, '$enddefinitions $end'), (5, '$dumpvars'), (7, '$end')"
+
+
+@query(
+    f"WITH {ctes('v_wave')}, s AS (SELECT signal, row_number() OVER (ORDER BY signal) - 1 AS k FROM (SELECT DISTINCT signal FROM v_wave)), "
+    "b AS (SELECT *, LAG(value) OVER (PARTITION BY signal ORDER BY t, event_id) AS was FROM v_wave), c AS (SELECT t, k, event_id, COALESCE(CAST(value AS VARCHAR), 'x') || chr(CAST(33 + k AS INT)) AS line FROM b JOIN s USING (signal) WHERE value IS DISTINCT FROM was), "
+    f"d AS (SELECT part, 0 AS t, 0 AS k, 0 AS e, line FROM (VALUES {_FIXED}) f(part, line) UNION ALL SELECT 2, 0, k, 0, '$var wire 1 ' || chr(CAST(33 + k AS INT)) || ' ' || signal || ' $end' FROM s UNION ALL SELECT 6, 0, k, 0, 'x' || chr(CAST(33 + k AS INT)) FROM s "
+    "UNION ALL SELECT DISTINCT 8, t, -1, 0, '#' || t FROM c UNION ALL SELECT 8, t, k, event_id, line FROM c) SELECT row_number() OVER (ORDER BY part, t, k, e) - 1 AS n, line FROM d"
+)
+def q_write_vcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A waveform written by many tasks as one committed document: every line of it, in order."""
+    wave = view(spark, sf_dir, "v_wave").withColumnRenamed("event_id", "seq")
+    signals = numbered(wave.select("signal").distinct(), ["signal"], "n")
+    folder = f"{shared_folder(spark)}/wave-{uuid.uuid4().hex}"
+    vcd.write_vcd(wave, signals, folder)
+    return documents.numbered_lines(spark, folder).withColumnRenamed("value", "line")
+
+
+@query(
+    f"WITH {ctes('v_rect')}, b AS (SELECT MIN(xlo) AS x0, MIN(ylo) AS y0, MAX(xhi) AS x1, MAX(yhi) AS y1 FROM v_rect), p AS (SELECT *, 1600::DOUBLE / (x1 - x0) AS s, CAST(round((y1 - y0) * 1600::DOUBLE / (x1 - x0)) AS BIGINT) AS h FROM b), "
+    "r AS (SELECT level, rect_id, printf('<rect x=\"%.2f\" y=\"%.2f\" width=\"%.2f\" height=\"%.2f\" fill=\"%s\"/>', (xlo - x0) * s, (y1 - yhi) * s, (xhi - xlo) * s, (yhi - ylo) * s, list_extract(['#c0392b', '#2e86c1', '#28b463', '#f39c12', '#8e44ad', '#16a085'], level + 1)) AS line FROM v_rect, p WHERE level <= 5), "
+    "d AS (SELECT 0 AS part, 0 AS level, 0 AS k, 0 AS id, printf('<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"1600\" height=\"%d\" viewBox=\"0 0 1600 %d\">', h, h) AS line FROM p UNION ALL SELECT 1, 0, 0, 0, '<rect width=\"100%\" height=\"100%\" fill=\"#ffffff\"/>' "
+    "UNION ALL SELECT 5, level, 0, 0, printf('<g id=\"%s\">', list_extract(['li1', 'met1', 'met2', 'met3', 'met4', 'met5'], level + 1)) FROM r GROUP BY level UNION ALL SELECT 5, level, 1, rect_id, line FROM r UNION ALL SELECT 5, level, 2, 0, '</g>' FROM r GROUP BY level UNION ALL SELECT 6, 0, 0, 0, '</svg>') "
+    "SELECT row_number() OVER (ORDER BY part, level, k, id) - 1 AS n, line FROM d"
+)
+def q_write_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The picture of all rectangles, written by many tasks as one committed document: every line of it, in order."""
+    folder = f"{shared_folder(spark)}/picture-{uuid.uuid4().hex}"
+    render.write_svg(view(spark, sf_dir, "v_rect").withColumn("net", F.col("rect_id")), folder, by="layer")
+    return documents.numbered_lines(spark, folder).withColumnRenamed("value", "line")
+
+
 # -- extraction -----------------------------------------------------------------------------------------------------
 
 PITCH = 1000

@@ -22,7 +22,7 @@ from dataclasses import asdict, dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -195,3 +195,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value): lines of the document at path, each where it is. A line that several parts share is several rows."""
     whole(path)
     return spark.read.text(path)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): lines of the document at path that write_lines() made, from 0 in its order. A part is a row of text while its lines are told apart."""
+    order = spark.createDataFrame([(at, name) for at, name in enumerate(whole(path))], "at long, file string")  # a row for each part
+    parts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(F.regexp_replace("value", "\n$", ""), "\n").alias("lines"))
+    sizes = parts.select("file", F.size("lines").alias("size")).join(order, "file")
+    starts = sizes.select("file", (F.sum("size").over(Window.orderBy("at")) - F.col("size")).alias("start"))
+    each = parts.join(F.broadcast(starts), "file").select("start", F.posexplode("lines").alias("at", "value"))
+    return each.select((F.col("start") + F.col("at")).alias("n"), "value")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from netframe.functions.text import id_code
 from netframe.operators.components import written
 from netframe.operators.waves import changes
+from netframe.sources import documents
 from netframe.sources.ranges import RANGE_BYTES, Batches, byte_ranges, carried, dealt, lines, open_source, rows_of, whole
 
 _TIME, _SCALAR, _VECTOR = re.compile(rb"#(\d+)"), re.compile(rb"([01xXzZ])(\S+)"), re.compile(rb"[bB]([01xXzZ]+)\s+(\S+)")
@@ -99,3 +100,8 @@ def to_vcd(waves: DataFrame, signals: DataFrame) -> DataFrame:
     for part in (head, dump, times, values):
         out = out.unionByName(part)
     return out
+
+
+def write_vcd(waves: DataFrame, signals: DataFrame, path: str, overwrite: bool = False) -> None:
+    """to_vcd's lines as the document at path."""
+    documents.write_lines(to_vcd(waves, signals), path, overwrite)
