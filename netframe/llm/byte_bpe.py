@@ -3,7 +3,9 @@ others are merged with a heap over a linked list of their bytes.
 
 Encoding gives the ids that the ranks define (lowest rank first, leftmost first among equals); decoding gives the bytes back.
 
-Defined cases: null text is the empty text and has no ids. Other columns and repeated rows are left as they are.
+Defined cases: null text is the empty text and has no ids. Other columns and repeated rows are left as they are. Texts of any length are encoded
+whole; an empty table has an empty result. Some characters that were unassigned before Unicode 16 are letters or digits for the regex module but not yet for
+the tiktoken library; beside them words may be cut elsewhere than there.
 """
 
 from __future__ import annotations

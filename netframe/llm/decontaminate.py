@@ -13,7 +13,7 @@ against one automaton after the other, and has one of them in memory at a time.
 
 Defined cases: null and empty texts have no words and no hits. Items without words never occur. Rows of an item_id that
 repeats count as one item; null item_ids are left out of n_items. Without items nothing is contaminated. Long texts are scanned whole.
-Repeated rows have equal results.
+Repeated rows have equal results. An empty table of documents has an empty result.
 """
 
 from __future__ import annotations

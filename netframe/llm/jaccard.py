@@ -25,7 +25,7 @@ runs again (a written table or a scan does), as a block's documents go by their
 
 Defined cases: null, empty and wordless texts have an empty set, no links, and are their own component. A row without doc_id
 gets the component of its set's class; a class of such rows only has no links and no component. Repeated rows have equal
-results. Rows that share a doc_id but not the text belong to the components of their texts. A text of any length is one block at most.
+results. Rows that share a doc_id but not the text belong to the components of their texts. A text of any length is one block at most. An empty table has an empty result.
 """
 
 from __future__ import annotations

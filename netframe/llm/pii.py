@@ -9,7 +9,7 @@ and secret (a cue such as password or api key with the value that =, : or "is" a
 vendor's prefix; a private key from its first line to its last, only the first where there is no last).
 
 Defined cases: null text is the empty text, without spans. Every row has a result; repeated rows have equal ones, and ties can't
-arise. Texts of any length are searched whole, in one pass over the anchors.
+arise. Texts of any length are searched whole, in one pass over the anchors. An empty table has an empty result.
 """
 
 from __future__ import annotations

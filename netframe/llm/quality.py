@@ -9,7 +9,8 @@ Everything else covers all rows.
 
 Defined cases: null text is the empty text; its difference is 0, so it has the score that calibration gives 0. A null
 doc_id is not held out. Documents labelled twice with different values, or with null, are not learned from. With labels of
-one class only (or none), every score is that class's share (0.5).
+one class only (or none), every score is that class's share (0.5). Repeated rows have equal scores, and an id's rows are one
+example. An empty table has an empty result.
 """
 
 from __future__ import annotations

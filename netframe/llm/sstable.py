@@ -15,7 +15,7 @@ Shards are written by the tasks of a range partitioning on (doc_id, hash of text
 as well. Names come from the partition, and a file is renamed only when whole, so a task that runs again does no harm.
 
 Defined cases: null text is the empty text and has the end id alone. Rows that share an identifier are kept, next to each
-other, in the order of the text's hash. An empty table makes no shard.
+other, in the order of the text's hash. An empty table makes no shard. A text of any length is encoded whole and is one entry of a block.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ over max_chars. One task fits, and stores the model in the shared folder; its si
 Defined cases: null text is the empty text. A text without any term of the sample has no neighbours; its score is the
 share of toxic documents among such examples, or among all where there is none. Ties between neighbours go to the smaller doc_id. Equal example texts count once. A null
 doc_id is not held out. With labels of one class only (or none), every score is that class's share (0 without labels).
+Repeated rows have equal scores. Texts of any length are scored whole. An empty table has an empty result.
 """
 
 from __future__ import annotations

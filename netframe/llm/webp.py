@@ -11,7 +11,7 @@ a longer payload is several files, one after the other. How an image is coded go
 different samples, a predictor where the differences to the left or upper neighbour take fewer bits, back-references where it
 repeats itself. No grey image gains by cross-colour or the cache; those are decoded, not written here.
 
-Defined cases: null and empty texts are one row of zeros. Equal texts have equal media. Files that break off or break the
+Defined cases: null and empty texts are one row of zeros. Equal texts have equal media. An empty table has an empty result. Files that break off or break the
 format raise ValueError.
 """
 

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyarrow import fs
@@ -43,6 +44,48 @@ def test_quality_accuracy(spark):
     assert held_out_accuracy(out, "quality") > 0.96
 
 
+def plain_quality(rows, labels, n_bytes):
+    """Scores of rows (doc_id, text) by plain loops: dictionaries of the learnable halves, differences, a logistic fitted by many small steps."""
+    learn = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 != 2}
+    own = [[t.encode() for i, t in sorted(rows) if learn.get(i) == y] for y in (0, 1)]
+
+    def made(texts):
+        pieces = [t[k : k + 512] for t in texts for k in range(0, len(t), 512)]
+        return zstandard.ZstdCompressor(level=3, dict_data=zstandard.train_dictionary(n_bytes, pieces), write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def difference(raw, bad, good):
+        blocks = [raw[k : k + 512] for k in range(0, len(raw), 512)]
+        return sum(len(bad.compress(b)) - len(good.compress(b)) for b in blocks) / max(1, len(raw))
+
+    seen = []
+    for half in (0, 1):
+        pair = [made(texts[half::2]) for texts in own]
+        seen += [(difference(raw, *pair), y) for y in (0, 1) for raw in own[y][1 - half :: 2]]
+    scale = (sum(x * x for x, _ in seen) / len(seen)) ** 0.5
+    x, y = np.array([v / scale for v, _ in seen]), np.array([k for _, k in seen])
+    a = b = 0.0
+    for _ in range(200_000):
+        p = 1 / (1 + np.exp(-(a + b * x)))
+        g = (y - p).sum() - 1e-3 * a, ((y - p) * x).sum() - 1e-3 * b
+        a, b = a + 0.01 * g[0], b + 0.01 * g[1]
+        if abs(g[0]) + abs(g[1]) < 1e-10:
+            break
+    pair = [made(texts) for texts in own]
+    return {i: 1 / (1 + math.exp(-(a + b * difference(t.encode(), *pair) / scale))) for i, t in rows}
+
+
+def test_quality_scores_by_plain_loops(spark):
+    rng = random.Random(4)
+    kinds = [[f"{c}{k}{c}word" for k in range(60)] for c in "xq"]
+    text = lambda y: " ".join(rng.choice(kinds[y if rng.random() < 0.6 else 1 - y]) for _ in range(rng.randint(1, 260)))
+    labels = {i: i % 2 for i in range(240)}
+    rows = [(i, text(i % 2)) for i in range(300)]
+    got = quality.score_quality(frame(spark, [*rows, (7, rows[7][1])]), frame(spark, list(labels.items()), "doc_id long, quality int"), dictionary_bytes=4096).collect()
+    want = plain_quality(rows, labels, 4096)
+    assert len(got) == 301 and len({round(v, 3) for v in want.values()}) > 50
+    assert [r.score for r in got] == pytest.approx([want[r.doc_id] for r in got], abs=1e-6)
+
+
 def test_models_on_odd_tables(spark):
     docs, labels = frame(spark, list(enumerate(ODD)) + [(None, "x"), (1, "")]), spark.read.parquet(f"{DATA}/labels.parquet")
     for score in (quality.score_quality, toxicity.score_toxicity):
