@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netframe.functions.geometry import bounding_box
-from netframe.operators.components import contracted_components
-from netframe.operators.spatial import cut_edges, cut_hits, points_bound, touch_pairs
-
-
-def along_curve(x: str, y: str) -> Column:
-    """Where a place lies on a curve that runs through squares within squares: the bits of both coordinates in turn, 31 of each, of squares of 64 by 64 units. Places that are close on it are close by."""
-
-    def spread(v: Column) -> Column:
-        """Every bit moved to twice its place."""
-        v = F.floor(v / 64).cast("long").bitwiseAND((1 << 31) - 1)
-        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(mask)
-        return v
-
-    return spread(F.col(x)).bitwiseOR(F.shiftleft(spread(F.col(y)), 1))
+from netframe.operators.components import joined
+from netframe.operators.spatial import points_bound
+from netframe.operators.squares import square_trees
 
 
 def rect_nets(rects: DataFrame, cuts: DataFrame | None = None, n_levels: int = 4) -> DataFrame:
@@ -29,11 +17,8 @@ def rect_nets(rects: DataFrame, cuts: DataFrame | None = None, n_levels: int = 4
 
 
 def wired(rects: DataFrame, cuts: DataFrame | None = None, n_levels: int = 4) -> DataFrame:
-    """rects with net, the smallest rectangle of their net. Edges that lie together, on whatever level, are joined before anything else is shuffled."""
-    edges = touch_pairs(rects, with_place=True)
-    if cuts is not None:
-        edges = edges.unionByName(cut_edges(cut_hits(cuts, rects, n_levels, with_place=True)))
-    parts = contracted_components(edges, along_curve("x", "y").alias("place"))
+    """rects with net, the smallest rectangle of their net. Pairs that touch are many times as many as rectangles where these lie over each other, and are never rows: a task joins what lies in its square."""
+    parts = joined(square_trees(rects, cuts, n_levels))
     return rects.join(parts, rects.rect_id == parts.node, "left").select(*rects.columns, F.coalesce("component", "rect_id").alias("net"))
 
 

@@ -81,19 +81,19 @@ def _split(looks: DataFrame, there: DataFrame, most: int) -> tuple[DataFrame, Da
     )
 
 
-def touch_pairs(rects: DataFrame, dense: int = DENSE, with_place: bool = False) -> DataFrame:
-    """(a, b), a < b: rectangles of the same level that touch. rects: rect_id, level and edges. with_place: and x, y of the pair's common lower left corner."""
-    own = rects.select("rect_id", "level", *RECT)
-    looks, there = _split(looking(own, classes_of(own)), listed(own), dense)
+def touch_pairs(rects: DataFrame, dense: int = DENSE, listed_only: Column | None = None) -> DataFrame:
+    """(a, b), a < b: rectangles of the same level that touch. rects: rect_id, level and edges. listed_only: pairs that none of the large rectangles, of which this is true, is in are left out; larger ones must be among them."""
+    own = rects.select("rect_id", "level", *RECT).withColumn("held", F.lit(True) if listed_only is None else listed_only)
+    held = own.where("held")
+    looks, there = _split(looking(own, classes_of(held)), listed(held), dense)
     keys = (*_KEYS, "part")
     pairs = _renamed(looks, "a_", keys).join(_renamed(there, "b_", keys), list(keys))
-    once = (F.col("a_own") < F.col("b_own")) | (F.col("a_rect_id") < F.col("b_rect_id"))
-    place = [F.greatest("a_xlo", "b_xlo").alias("x"), F.greatest("a_ylo", "b_ylo").alias("y")] if with_place else []
-    return pairs.where(once & touches("a_", "b_") & _owner()).select(F.least("a_rect_id", "b_rect_id").alias("a"), F.greatest("a_rect_id", "b_rect_id").alias("b"), *place)
+    once = (F.col("a_own") < F.col("b_own")) | (F.col("a_rect_id") < F.col("b_rect_id")) | ~F.col("a_held")
+    return pairs.where(once & touches("a_", "b_") & _owner()).select(F.least("a_rect_id", "b_rect_id").alias("a"), F.greatest("a_rect_id", "b_rect_id").alias("b"))
 
 
-def cut_hits(cuts: DataFrame, rects: DataFrame, n_levels: int, with_place: bool = False) -> DataFrame:
-    """(cut_id, rect_id): rectangles of the two levels beside a cut that share area with it. Cuts above the stack have none. with_place: and x, y of the common lower left corner.
+def cut_hits(cuts: DataFrame, rects: DataFrame, n_levels: int) -> DataFrame:
+    """(cut_id, rect_id): rectangles of the two levels beside a cut that share area with it. Cuts above the stack have none.
 
     A cut and a rectangle meet in the cells of the coarser of their classes: one of them is listed there, the other looks into it."""
     each = cuts.where(F.col("lower") + 1 < n_levels).withColumn("level", F.explode(F.array(F.col("lower"), F.col("lower") + 1))).drop("lower")
@@ -103,8 +103,7 @@ def cut_hits(cuts: DataFrame, rects: DataFrame, n_levels: int, with_place: bool
     b = tag(listed(own), "rect").unionByName(tag(looking(own, classes_of(each)), "cut"))
     keys = (*_KEYS, "tag")
     met = _renamed(a, "a_", keys).join(_renamed(b, "b_", keys), list(keys)).where(overlaps("a_", "b_") & _owner())
-    place = [F.greatest("a_xlo", "b_xlo").alias("x"), F.greatest("a_ylo", "b_ylo").alias("y")] if with_place else []
-    return met.select(F.col("a_cut_id").alias("cut_id"), F.col("b_rect_id").alias("rect_id"), *place)
+    return met.select(F.col("a_cut_id").alias("cut_id"), F.col("b_rect_id").alias("rect_id"))
 
 
 def cut_edges(hits: DataFrame) -> DataFrame:

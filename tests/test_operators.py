@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from netframe.functions import cells, geometry, text
-from netframe.operators import compare, components, decompose, graphs, hierarchy, netlist, render, scoring, spatial, waves
+from netframe.operators import compare, components, decompose, graphs, hierarchy, netlist, nets, render, scoring, spatial, squares, waves
 from netframe.plans.netlist_queries import _by_name
 
 
@@ -430,3 +430,40 @@ def test_waves_of_a_hot_signal(spark):
     for strict in (False, True):
         want = {(s, t): next((v for u, _, v in reversed(by[s]) if u < t or u == t and not strict), None) for s, t in asked}
         assert {(r.signal, r.t): r.value for r in waves.as_of(spark.createDataFrame(asked, "signal string, t long"), w, strict).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_swept_squares(seed):
+    """Trees of a square against all its pairs: rectangles that only touch, piles, points, and cuts with and without area."""
+    rng = np.random.default_rng(seed)
+    n, span = 60 * (1 + seed), (30, 100, 400)[seed % 3]
+    lo = rng.integers(0, span, (n, 2))
+    box = np.concatenate([lo, lo + rng.integers(0, (4, 9, 60)[seed % 3], (n, 2))], axis=1)
+    level, cut, node = rng.integers(0, 3, n), rng.random(n) < 0.3, rng.permutation(n).astype(np.int64)
+    near = lambda a, b: a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]
+    over = lambda a, b: a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
+    ties = [(a, b) for a in range(n) for b in range(n) if a != b and not cut[b] and (over(box[a], box[b]) and level[b] - level[a] in (0, 1) if cut[a] else near(box[a], box[b]) and level[a] == level[b])]
+    found = squares.swept(node, level, cut, box)
+    if ties:
+        want = components.roots(*(node[list(x)] for x in zip(*ties, strict=True)))
+        assert all((a == b).all() for a, b in zip(found, want, strict=True))
+
+
+def test_nets_of_a_pile(spark, monkeypatch):
+    """Squares that are divided, rails beside them and cuts, against all pairs; a pile gives a row for each rectangle, not for each pair."""
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(2), x := rng.randrange(-900, 900), y := rng.randrange(-900, 900), x + rng.randrange(1, 25), y + rng.randrange(1, 25)) for k in range(1500)]
+    rows += [(2000 + k, 0, -1000, 100 * k, 1000, 100 * k + 3) for k in range(4)] + [(3000 + k, 1, 5, 5, 20, 20) for k in range(1000)]
+    cuts = [(k, 0, x := rng.randrange(-900, 900), y := rng.randrange(-900, 900), x + 9, y + 9) for k in range(40)] + [(90, 0, -1000, 701, 1000, 704), (91, 1, 0, 0, 9, 9)]
+    rects, made = spark.createDataFrame(rows, "rect_id long, level int, xlo long, ylo long, xhi long, yhi long"), spark.createDataFrame(cuts, "cut_id long, lower int, xlo long, ylo long, xhi long, yhi long")
+    edges = spatial.touch_pairs(rects).unionByName(spatial.cut_edges(spatial.cut_hits(made, rects, 2)))
+    parts = {r.node: r.component for r in components.connected_components(edges).collect()}
+    monkeypatch.setattr(squares, "TOGETHER", 300)
+    monkeypatch.setattr(squares, "CROWDED", 200)
+    monkeypatch.setattr(squares, "SHOWN", 1)
+    monkeypatch.setattr(squares, "LONG", 2)
+    found = nets.rect_nets(rects, made, 2).collect()
+    assert {r.rect_id: r.net for r in found} == {r[0]: parts.get(r[0], r[0]) for r in rows} and len(found) == len(rows)
+    pile = rects.where("rect_id >= 3000")
+    assert squares.square_trees(pile, None, 2).count() == 1000
+    assert nets.rect_nets(rects.limit(0), made, 2).count() == 0
