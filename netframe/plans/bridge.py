@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netframe.operators.components import dealt
+
 #: Side of the square in which rectangles lie.
 SPAN = 40_000
 
@@ -61,6 +63,10 @@ VIEWS: dict[str, tuple[str, str]] = {
 }
 
 
+#: Keys by which a view's tables are joined: all that follows for a key is one task's, a bounded part of the view.
+KEYS = {"v_pin": {"lineitem": "l_orderkey", "orders": "o_orderkey"}}
+
+
 def ring_sql() -> str:
     """DuckDB text of v_ring: the vertices of each ring, numbered."""
     shapes = {
@@ -75,12 +81,13 @@ def ring_sql() -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables, text = VIEWS[name]
-    return _sql(spark, sf_dir, tables.split(), text.format(div="div"))
+    return _sql(spark, sf_dir, tables.split(), text.format(div="div"), KEYS.get(name, {}))
 
 
-def _sql(spark: SparkSession, sf_dir: str, tables: list[str], text: str) -> DataFrame:
-    """text over the tables, without registering anything in the session."""
+def _sql(spark: SparkSession, sf_dir: str, tables: list[str], text: str, keys: dict[str, str]) -> DataFrame:
+    """text over the tables, without registering anything in the session. Tables with a key are dealt by it."""
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    frames |= {t: dealt(frames[t], k) for t, k in keys.items()}
     return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(tables)})\b", r"\1 {\2}", text), **frames)
 
 

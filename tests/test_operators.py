@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from netframe.functions import cells, geometry, text
 from netframe.operators import compare, components, decompose, graphs, hierarchy, netlist, nets, render, scoring, spatial, squares, waves
+from netframe.plans.bridge import view
 from netframe.plans.netlist_queries import _by_name
 
 
@@ -467,3 +468,27 @@ def test_nets_of_a_pile(spark, monkeypatch):
     pile = rects.where("rect_id >= 3000")
     assert squares.square_trees(pile, None, 2).count() == 1000
     assert nets.rect_nets(rects.limit(0), made, 2).count() == 0
+
+
+@pytest.mark.parametrize("what", ["pins", "as_of", "refined", "exact", "numbered", "bound"])
+def test_tasks_stay_small(spark, what):
+    """What is joined, sorted and counted is dealt to as many tasks as a shuffle has, however small it is: adaptive execution would join them."""
+    rows = spark.range(400).select((F.col("id") % 7).cast("string").alias("signal"), F.col("id").alias("t"), F.col("id").alias("seq"), F.col("id").alias("value"))
+    edges = spark.range(400).select(F.substring(F.col("id").cast("string"), 5, 1).alias("side"), F.col("id").alias("node"), F.lit(1).cast("long").alias("pin"), (F.col("id") * 7 % 400).alias("other"))
+    colours = edges.select("side", "node", F.lit(0).cast("long").alias("colour"))
+    rects = spark.range(50).select((F.col("id") * 9).alias("net"), F.lit(0).alias("level"), (F.col("id") * 50).alias("xlo"), F.lit(0).cast("long").alias("ylo"), (F.col("id") * 50 + 20).alias("xhi"), F.lit(20).cast("long").alias("yhi"))
+    made = {
+        "pins": lambda: view(spark, "/root/testdata/sf0.001", "v_pin"), "as_of": lambda: waves.as_of(rows.select("signal", "t"), rows), "refined": lambda: graphs.refine(colours, edges), "exact": lambda: graphs.exact_refine(colours, edges),
+        "numbered": lambda: netlist.numbered(rows, ["seq"], "n"), "bound": lambda: spatial.points_bound(spark.range(90).select(F.col("id").alias("text_id"), F.lit(0).alias("level"), (F.col("id") * 30).alias("x"), F.lit(5).cast("long").alias("y")), rects, "text_id"),
+    }[what]()
+    assert made.rdd.getNumPartitions() >= components.n_parts(spark)
+
+
+def test_colours_of_a_hub(spark, monkeypatch):
+    """A node that very many have as a neighbour gives its colour where they are, with the same result."""
+    edges = spark.range(300).select(F.lit("left").alias("side"), F.col("id").alias("node"), F.lit(1).cast("long").alias("pin"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") * 7 % 300).alias("other"))
+    colours = edges.select("side", "node", (F.col("node") % 4).alias("colour"))
+    want = {tuple(r) for r in graphs.refine(colours, edges).collect()}
+    monkeypatch.setattr(graphs, "HUB", 20)
+    monkeypatch.setattr(graphs, "SHOWN", 1)
+    assert {tuple(r) for r in graphs.refine(colours, edges).collect()} == want and len(want) == 300
