@@ -7,12 +7,14 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netframe.operators.components import written
+from netframe.operators.components import dealt, written
 from netframe.operators.netlist import numbered
 
 
 #: Parts of a union that are written as one, so that plans of long loops stay short.
 MAX_PARTS = 50
+#: Edges of a node from which on its colour is broadcast to them, where they are; and one of how many edges shows it.
+HUB, SHOWN = 200_000, 100
 
 
 def rounds(limit: int | None, what: str):
@@ -76,16 +78,28 @@ def seed_colours(nodes: DataFrame) -> DataFrame:
     return nodes.select("side", "node", F.xxhash64(key).alias("colour"))
 
 
+def _seen(colours: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges with c, the colour of other. Edges to a node that very many have stay where they are; a sample shows these nodes."""
+    known = colours.select("side", F.col("node").alias("other"), F.col("colour").alias("c"))
+    keys = ["side", "other"]
+    shown = edges.where(F.pmod(F.xxhash64("node", "pin"), F.lit(SHOWN)) == 0).groupBy(*keys).agg(F.count("*").alias("n"))
+    hubs = F.broadcast(written(shown.where(F.col("n") > HUB / SHOWN).select(*keys), "hubs"))
+    plain = lambda e: dealt(e, *keys).join(dealt(known, *keys), keys)
+    if hubs.isEmpty():
+        return plain(edges)
+    return plain(edges.join(hubs, keys, "left_anti")).unionByName(edges.join(F.broadcast(known.join(hubs, keys)), keys))
+
+
 def refine(colours: DataFrame, edges: DataFrame) -> DataFrame:
     """One round: a node's new colour is the hash of its colour with the sums of the hashes of its neighbours' (pin, colour). edges: (side, node, pin, other), both ways.
 
     Sums are taken before the shuffle as well, so a net that a third of all pins are on is one row from each task. A hash is summed
     in halves, which can't overflow below 2^31 neighbours."""
-    seen = edges.join(colours.select("side", F.col("node").alias("other"), F.col("colour").alias("c")), ["side", "other"])
+    seen = _seen(colours, edges)
     mixed = seen.select("side", "node", F.xxhash64("pin", "c").alias("h"))
     halves = F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned("h", 32)).alias("high")
     around = mixed.groupBy("side", "node").agg(*halves)
-    return colours.join(around, ["side", "node"], "left").select("side", "node", F.xxhash64("colour", "low", "high").alias("colour"))
+    return dealt(colours, "side", "node").join(around, ["side", "node"], "left").select("side", "node", F.xxhash64("colour", "low", "high").alias("colour"))
 
 
 def refine_until_stable(colours: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -101,16 +115,17 @@ def refine_until_stable(colours: DataFrame, edges: DataFrame, max_rounds: int |
 
 def _mixed(features: DataFrame, bits: int) -> DataFrame:
     """(side, node, h): the last bits of a hash of all that a node has; nodes that have nothing have no row."""
-    each = features.select("side", "node", F.xxhash64("f", "n").alias("h"))
+    each = dealt(features.select("side", "node", F.xxhash64("f", "n").alias("h")), "side", "node")
     halves = F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned("h", 32)).alias("high")
     return each.groupBy("side", "node").agg(*halves).select("side", "node", F.shiftrightunsigned(F.xxhash64("low", "high"), 64 - bits).alias("h"))
 
 
 def _uneven(classes: DataFrame, features: DataFrame) -> DataFrame:
-    """(colour, f): of each class whose members don't all have the same, the first f that tells some apart. Only counts are shuffled, taken in part before: no class is gathered."""
+    """(colour, f): of each class whose members don't all have the same, the first f that tells some apart. Rows are dealt by what is counted, and counted as they come: no class is gathered."""
     sizes = classes.groupBy("colour").agg(F.count("*").alias("size"))
-    held = features.join(classes, ["side", "node"]).groupBy("colour", "f", "n").agg(F.count("*").alias("have"))
-    return held.join(sizes, "colour").where("have < size").groupBy("colour").agg(F.min("f").alias("f"))
+    own = dealt(features, "side", "node").join(dealt(classes, "side", "node"), ["side", "node"])
+    held = dealt(own.select("colour", "f", "n"), "colour", "f", "n").groupBy("colour", "f", "n").agg(F.count("*").alias("have"))
+    return held.join(dealt(sizes, "colour"), "colour").where("have < size").groupBy("colour").agg(F.min("f").alias("f"))
 
 
 def exact_classes(classes: DataFrame, features: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -131,13 +146,13 @@ def exact_classes(classes: DataFrame, features: DataFrame, max_rounds: int | Non
         numbers = numbered(divided.select("colour", "n").distinct(), ["colour", "n"], "number")
         classes = written(divided.join(numbers, ["colour", "n"]).select("side", "node", F.col("number").alias("colour")), "classes")
     numbers = numbered(classes.select("colour").distinct(), ["colour"], "number")
-    return classes.join(numbers, "colour").select("side", "node", F.col("number").alias("colour"))
+    return dealt(classes, "colour").join(dealt(numbers, "colour"), "colour").select("side", "node", F.col("number").alias("colour"))
 
 
 def signature_classes(nodes: DataFrame, features: DataFrame, bits: int = 64) -> DataFrame:
     """(side, node, colour): nodes (side, node) numbered by all that they have, exactly: equal numbers if and only if equal features (side, node, f, n). No
     signature is put together as one value. bits: of the hash that proposes the classes."""
-    proposed = nodes.select("side", "node").join(_mixed(features, bits), ["side", "node"], "left").select("side", "node", F.coalesce("h", F.lit(0)).alias("colour"))
+    proposed = dealt(nodes.select("side", "node"), "side", "node").join(_mixed(features, bits), ["side", "node"], "left").select("side", "node", F.coalesce("h", F.lit(0)).alias("colour"))
     return exact_classes(proposed, features)
 
 
@@ -149,17 +164,17 @@ def exact_seeds(nodes: DataFrame, bits: int = 64) -> DataFrame:
 
 def neighbour_features(colours: DataFrame, edges: DataFrame) -> DataFrame:
     """(side, node, f, n): how many neighbours of a colour a node has on a pin. edges: (side, node, pin, other), both ways."""
-    seen = edges.join(colours.select("side", F.col("node").alias("other"), F.col("colour").alias("c")), ["side", "other"])
-    return seen.groupBy("side", "node", F.struct("pin", "c").alias("f")).agg(F.count("*").alias("n"))
+    seen = dealt(_seen(colours, edges).select("side", "node", F.struct("pin", "c").alias("f")), "side", "node", "f")
+    return seen.groupBy("side", "node", "f").agg(F.count("*").alias("n"))
 
 
 def exact_refine(colours: DataFrame, edges: DataFrame, bits: int = 64) -> DataFrame:
     """One round as refine() does it, with exact classes: equal colours if and only if the colours were equal and so is what is around."""
-    around = neighbour_features(colours, edges)
-    own = colours.join(_mixed(around, bits), ["side", "node"], "left").select("side", "node", "colour", F.coalesce("h", F.lit(0)).alias("h"))
+    around = written(neighbour_features(colours, edges), "around")
+    own = dealt(colours, "side", "node").join(_mixed(around, bits), ["side", "node"], "left").select("side", "node", "colour", F.coalesce("h", F.lit(0)).alias("h"))
     own = written(own, "classes")
-    pairs = numbered(own.select("colour", "h").distinct(), ["colour", "h"], "number")
-    return exact_classes(own.join(pairs, ["colour", "h"]).select("side", "node", F.col("number").alias("colour")), around)
+    pairs = numbered(dealt(own.select("colour", "h"), "colour", "h").distinct(), ["colour", "h"], "number")
+    return exact_classes(dealt(own, "colour", "h").join(dealt(pairs, "colour", "h"), ["colour", "h"]).select("side", "node", F.col("number").alias("colour")), around)
 
 
 def class_sizes(colours: DataFrame) -> DataFrame:

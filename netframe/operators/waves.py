@@ -8,28 +8,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netframe.operators.components import written
+from netframe.operators.components import dealt, dealt_by_range, written
 
 
 def _dealt(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with the number of their range of (signal, *order), which has no ties; written, as the numbers must last."""
-    return written(rows.repartitionByRange("signal", *order).withColumn("_part", F.spark_partition_id()), "waves")
+    return written(dealt_by_range(rows, "signal", *order).withColumn("_part", F.spark_partition_id()), "waves")
 
 
-def _carried(dealt: DataFrame, order: list[str], value: str) -> DataFrame:
-    """dealt with _before: the value (a struct; null is none) of the row before, or of the last one that has any in its signal's earlier ranges."""
-    ends = dealt.where(F.col(value).isNotNull()).groupBy("signal", "_part").agg(F.max_by(value, F.struct(*order)).alias("_end"))
-    parts = dealt.select("signal", "_part").distinct().join(ends, ["signal", "_part"], "left")
+def _carried(ranged: DataFrame, order: list[str], value: str) -> DataFrame:
+    """ranged with _carry: the value (a struct; null is none) of the last row that has any in its signal's earlier ranges."""
+    ends = ranged.where(F.col(value).isNotNull()).groupBy("signal", "_part").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    parts = ranged.select("signal", "_part").distinct().join(ends, ["signal", "_part"], "left")
     earlier = Window.partitionBy("signal").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carry = parts.select("signal", "_part", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
-    return dealt.join(carry, ["signal", "_part"])
+    return dealt(ranged, "signal", "_part").join(dealt(carry, "signal", "_part"), ["signal", "_part"])
 
 
 def _with_before(waves: DataFrame) -> DataFrame:
     """waves with _before: (value) of the signal's change before; null at its first."""
-    dealt = _dealt(waves.withColumn("_v", F.struct("value")), ["t", "seq"])
+    ranged = _dealt(waves.withColumn("_v", F.struct("value")), ["t", "seq"])
     w = Window.partitionBy("_part", "signal").orderBy("t", "seq")
-    return _carried(dealt, ["t", "seq"], "_v").withColumn("_before", F.coalesce(F.lag("_v").over(w), "_carry")).drop("_part", "_v", "_carry")
+    return _carried(ranged, ["t", "seq"], "_v").withColumn("_before", F.coalesce(F.lag("_v").over(w), "_carry")).drop("_part", "_v", "_carry")
 
 
 def changes(waves: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def edges(waves: DataFrame) -> DataFrame:
 
 def last_of_time(waves: DataFrame) -> DataFrame:
     """(signal, t, value): a time's last value of a signal."""
-    return waves.groupBy("signal", "t").agg(F.max_by(F.struct("value"), "seq").alias("v")).select("signal", "t", "v.value")
+    return dealt(waves, "signal", "t").groupBy("signal", "t").agg(F.max_by(F.struct("value"), "seq").alias("v")).select("signal", "t", "v.value")
 
 
 def as_of(samples: DataFrame, waves: DataFrame, strictly_before: bool = False) -> DataFrame:
@@ -52,16 +52,17 @@ def as_of(samples: DataFrame, waves: DataFrame, strictly_before: bool = False) -
 
     One range-dealt sort of both by (signal, t) instead of a range join: the last known value fills forward."""
     last = last_of_time(waves).select("signal", "t", F.lit(1 if strictly_before else 0).alias("k"), F.struct("value").alias("v"))
-    asked = samples.select("signal", "t").distinct().select("signal", "t", F.lit(0 if strictly_before else 1).alias("k"), F.lit(None).cast(last.schema["v"].dataType).alias("v"), F.lit(True).alias("asked"))
-    dealt = _dealt(last.withColumn("asked", F.lit(False)).unionByName(asked), ["t", "k"])
+    asked = dealt(samples.select("signal", "t"), "signal", "t").distinct().select("signal", "t", F.lit(0 if strictly_before else 1).alias("k"), F.lit(None).cast(last.schema["v"].dataType).alias("v"), F.lit(True).alias("asked"))
+    ranged = _dealt(last.withColumn("asked", F.lit(False)).unionByName(asked), ["t", "k"])
     w = Window.partitionBy("_part", "signal").orderBy("t", "k").rowsBetween(Window.unboundedPreceding, 0)
-    held = _carried(dealt, ["t", "k"], "v").withColumn("held", F.coalesce(F.last("v", ignorenulls=True).over(w), "_carry"))
+    held = _carried(ranged, ["t", "k"], "v").withColumn("held", F.coalesce(F.last("v", ignorenulls=True).over(w), "_carry"))
     return held.where("asked").select("signal", "t", F.col("held.value").alias("value"))
 
 
 def mismatches(recorded: DataFrame, simulated: DataFrame) -> DataFrame:
     """(n, n_mismatched) over samples (signal, t, value) of both; unknown equals unknown."""
-    joined = recorded.select("signal", "t", F.col("value").alias("a")).join(simulated.select("signal", "t", F.col("value").alias("b")), ["signal", "t"])
+    side = lambda df, name: dealt(df.select("signal", "t", F.col("value").alias(name)), "signal", "t")
+    joined = side(recorded, "a").join(side(simulated, "b"), ["signal", "t"])
     return joined.agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_mismatched"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from netframe.functions import cells, text
 from netframe.operators import graphs, netlist, scoring, waves
 from netframe.plans.bridge import ctes, view
-from netframe.operators.components import written
+from netframe.operators.components import dealt, written
 from netframe.sources.verilog import tokens
 
 QUERIES, ORACLES = {}, {}
@@ -285,7 +285,8 @@ def _graph(spark, sf_dir, rewired: str = REWIRED) -> tuple[DataFrame, DataFrame]
     both = left.unionByName(right)
     inst, net = F.col("inst_id") * 2, F.col("net_id") * 2 + 1
     both = written(both, "pins")
-    nodes = both.select("side", inst.alias("node"), F.lit("inst").alias("kind"), F.col("cell").alias("label")).union(both.select("side", net.alias("node"), F.lit("net"), F.lit(None).cast("string"))).distinct()
+    insts = dealt(both.select("side", inst.alias("node"), F.lit("inst").alias("kind"), F.col("cell").alias("label")), "side", "node").distinct()
+    nodes = insts.union(both.select("side", net.alias("node"), F.lit("net"), F.lit(None).cast("string")).distinct())
     edges = both.select("side", inst.alias("node"), F.col("pin").cast("long").alias("pin"), net.alias("other"))
     return written(nodes, "nodes"), edges.unionByName(edges.select("side", F.col("other").alias("node"), "pin", F.col("node").alias("other")))
 
@@ -441,7 +442,7 @@ LAST = "l AS (SELECT signal, t, value, event_id FROM (SELECT *, row_number() OVE
 def _asked(spark, sf_dir):
     wave = _wave(spark, sf_dir)
     signals = wave.select("signal").distinct()  # event types: a handful
-    return wave.select("t").distinct().withColumn("signal", F.explode(F.lit([r.signal for r in signals.collect()])))
+    return dealt(wave.select("t"), "t").distinct().withColumn("signal", F.explode(F.lit([r.signal for r in signals.collect()])))
 
 
 @query(WAVE + f", {LAST} SELECT a.signal, a.t, l.value FROM asked a ASOF LEFT JOIN l ON a.signal = l.signal AND a.t >= l.t")
