@@ -14,7 +14,7 @@ from netframe.functions.text import escape_identifier
 from netframe.operators import render, scoring
 from netframe.operators.extract import Netlist, extract
 from netframe.plans.bridge import ctes, rings, view
-from netframe.operators.components import shared_folder
+from netframe.operators.components import dealt, shared_folder
 from netframe.operators.netlist import numbered
 from netframe.sources import defdb, documents, gds, jsonir, vcd, verilog
 from netframe.sources.files import write_files
@@ -243,7 +243,8 @@ def q_write_verilog(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/module-{uuid.uuid4().hex}"
     verilog.write_verilog(insts, pins, ports, "m[0]", folder)
     read = verilog.read_written(spark, folder)
-    return _listed(read.pins().join(read.instances(), ["path", "inst_id"]), read.ports(), read.nets().select("name").distinct())
+    pins, own = (dealt(df, "path", "inst_id") for df in (read.pins(), read.instances()))
+    return _listed(pins.join(own, ["path", "inst_id"]), read.ports(), read.nets().select("name").distinct())
 
 
 @query(_WRITTEN)
@@ -253,7 +254,8 @@ def q_write_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/netlist-{uuid.uuid4().hex}"
     jsonir.write_json_netlist("m", ports, nets, insts, pins, folder)
     read = jsonir.read_written_netlist(spark, folder)
-    return _listed(read["pins"].join(read["instances"].withColumnRenamed("name", "instance"), "instance").withColumnRenamed("instance", "name"), read["ports"], read["nets"])
+    pins, own = dealt(read["pins"], "instance"), dealt(read["instances"].withColumnRenamed("name", "instance"), "instance")
+    return _listed(pins.join(own, "instance").withColumnRenamed("instance", "name"), read["ports"], read["nets"])
 
 
 _FIXED = "(0, '$timescale 1ns $end'), (1, '$scope module top $end'), (3, '$upscope $end'), (4, '$enddefinitions $end'), (5, '$dumpvars'), (7, '$end')"

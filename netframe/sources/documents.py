@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from netframe.operators.components import dealt_by_range
+
 FORMAT = "sectioned_document"
 LISTED = "_files.json"
 
@@ -171,7 +173,8 @@ def write_document(rows: DataFrame, sections: list[Section], path: str, overwrit
     """Writes rows (section, key, text) as the document at path, a folder; an error where it is there already, unless overwrite."""
     spark = rows.sparkSession
     spark.dataSource.register(DocumentSink)
-    ordered = rows.select(F.col("section").cast("int").alias("section"), "key", "text").orderBy("section", "key")
+    ordered = rows.select(F.col("section").cast("int").alias("section"), "key", "text")
+    ordered = dealt_by_range(ordered, "section", "key").sortWithinPartitions("section", "key")
     ordered.write.format(FORMAT).option("sections", json.dumps([asdict(s) for s in sections])).mode("overwrite" if overwrite else "append").save(path)
 
 

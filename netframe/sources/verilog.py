@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netframe.functions.text import SUPPLY_GROUND, SUPPLY_POWER, escape_identifier, supply_kind
+from netframe.operators.components import dealt
 from netframe.sources import documents
 
 TRIVIA = r"(?s)//[^\n]*|/\*.*?\*/|\(\*(?!\)).*?\*\)"
@@ -77,7 +78,7 @@ class StructuralVerilog:
         gates = found.select("path", "seq", _unescaped(F.col("name")).alias("name"), _unescaped(F.col("cell")).alias("cell"), named.alias("pins"))
         alias = s.where(F.col("text").startswith("assign ")).select("path", "seq", F.concat(F.lit("$alias_"), F.col("seq").cast("string")).alias("name"), F.lit("$alias").alias("cell"), F.array(F.concat(F.lit(".A("), F.regexp_extract("text", r"=\s*(.*)$", 1), F.lit(")")), F.concat(F.lit(".X("), F.regexp_extract("text", r"^assign\s+(.*?)\s*=", 1), F.lit(")"))).alias("pins"))
         number = F.row_number().over(Window.partitionBy("path").orderBy("seq")) - 1
-        return gates.unionByName(alias).select("path", number.cast("long").alias("inst_id"), "name", "cell", "pins")
+        return dealt(gates.unionByName(alias), "path").select("path", number.cast("long").alias("inst_id"), "name", "cell", "pins")
 
     def pins(self) -> DataFrame:
         """(path, inst_id, pin, net): null for unconnected pins; what is more than one name becomes the net $first."""
