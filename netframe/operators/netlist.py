@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netframe.functions.text import instance_base_name, supply_kind
-from netframe.operators.components import written
+from netframe.operators.components import dealt, dealt_by_range, written
 
 
 def pin_nets(hits: DataFrame) -> DataFrame:
@@ -36,11 +36,11 @@ def net_names(pins: DataFrame, prefix: str = "n") -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with its rows' numbers, from 0, in an order without ties."""
-    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    ranged = written(dealt_by_range(df, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = ranged.groupBy("_part").count()
     starts = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_start"))  # a row for each partition
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + within).drop("_part", "_start")
+    return dealt(ranged, "_part").join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + within).drop("_part", "_start")
 
 
 def supply_roots(pins: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netframe.functions.geometry import contains, overlaps, touches
+from netframe.operators.components import dealt
 
 #: Cells of class k are BASE * STEP ** k wide and high; STEP is a power of two.
 BASE, STEP = 64, 4
@@ -136,7 +137,7 @@ def points_bound(points: DataFrame, rects: DataFrame, key: str) -> DataFrame:
     """points, told apart by key, with net: the smallest net of the rectangles (with net) that hold a point, null where there are none."""
     more = [c for c in points.columns if c != key]
     rows = _point_rows(points, rects, "net").select("_point.*", "net")
-    return rows.groupBy(key).agg(*(F.first(c).alias(c) for c in more), F.min("net").alias("net"))
+    return dealt(rows, key).groupBy(key).agg(*(F.first(c).alias(c) for c in more), F.min("net").alias("net"))
 
 
 def in_window(rects: DataFrame, xlo: int, ylo: int, xhi: int, yhi: int, max_level: int) -> DataFrame:
