@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from netframe.operators.classify import CONDUCTORS, abutment_boxes, conductor_sh
 from netframe.operators.components import written
 from netframe.operators.decompose import decompose, path_rects
 from netframe.operators.graphs import union
-from netframe.operators.nets import bind_labels, net_boxes, wired
+from netframe.operators.nets import net_boxes, wired_labels
 from netframe.sources.gds import Layout, LayoutTables
 
 BODY_TIES = {"VPB": "VPWR", "VNB": "VGND"}
@@ -43,6 +45,20 @@ class Netlist:
     unknown_cells: DataFrame
 
 
+class Extracted(Netlist):
+    """A netlist whose tables are made when they are first asked for: what numbers nets or instances takes jobs of its own."""
+
+    def __init__(self, **made: Callable[[], DataFrame]):
+        self._made = made
+
+    def __getattr__(self, name: str) -> DataFrame:
+        made = self.__dict__.get("_made", {})
+        if name not in made:
+            raise AttributeError(name)
+        setattr(self, name, made[name]())
+        return self.__dict__[name]
+
+
 def _flat(layout: Layout | LayoutTables, top: str) -> DataFrame:
     """Every placement, top itself included, with its place."""
     refs = layout.references().select("parent", "child", "ref_id", *PLACE, "n_cols", "n_rows", F.col("col_dx").alias("dx"), "col_dy", "row_dx", F.col("row_dy").alias("dy"))
@@ -84,7 +100,7 @@ def _lattice() -> Column:
 
 
 class Placements:
-    """Placements (cell, path, place and more; quarter: turned by one or three quarters), joined with what is drawn in their cells.
+    """Placements (k, cell, place and more; quarter: turned by one or three quarters), joined with what is drawn in their cells.
 
     A cell that is placed more than PLACED_TOGETHER times is several keys: its placements are dealt to parts, and what is drawn in it, a few
     rows, is repeated for each. counts is a row for each cell: n_placed, n_parts, and whether it is placed in right angles as drawn (upright) or turned by a quarter (quarters)."""
@@ -93,12 +109,13 @@ class Placements:
         own = placed.withColumn("quarter", F.col("angle") % 180 != 0)
         ways = F.max(_lattice() & ~F.col("quarter")).alias("upright"), F.max(_lattice() & F.col("quarter")).alias("quarters"), F.max(~_lattice()).alias("odd")
         self.counts = written(own.groupBy("cell").agg(F.count(F.lit(1)).alias("n_placed"), *ways).withColumn("n_parts", F.ceil(F.col("n_placed") / PLACED_TOGETHER).cast("int")), "cells")
-        self.rows = own.join(self.counts.select("cell", "n_parts"), "cell").withColumn("cell_part", F.pmod(F.xxhash64("path"), F.col("n_parts")).cast("int")).drop("n_parts")
+        self.rows = own.join(self.counts.select("cell", "n_parts"), "cell").withColumn("cell_part", F.pmod(F.xxhash64("k"), F.col("n_parts")).cast("int")).drop("n_parts")
         self.odd = not self.counts.where("odd").isEmpty()
 
     def join(self, drawn: DataFrame, *keys: str, only: Column | None = None) -> DataFrame:
         """Each placement (those of only) with each row of its cell; keys: further columns that both have."""
         each = drawn.join(self.counts.select("cell", "n_parts"), "cell").withColumn("cell_part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).drop("n_parts")
+        each = written(each, "drawn")  # of a known size: what is drawn in few cells goes to where the placements are
         return (self.rows if only is None else self.rows.where(only)).join(each, ["cell", "cell_part", *keys]).drop("cell_part")
 
 
@@ -114,7 +131,7 @@ def _placed_rects(shapes: DataFrame, placed: Placements) -> DataFrame:
     own = shapes.join(needed, "cell").select(F.struct("cell", "quarter", "role", "level").alias("poly_id"), ring.alias("ring"))
     q = F.col("poly_id.quarter")
     back = [F.when(q, F.col("ylo")).otherwise(F.col("xlo")), F.when(q, -F.col("xhi")).otherwise(F.col("ylo")), F.when(q, F.col("yhi")).otherwise(F.col("xhi")), F.when(q, -F.col("xlo")).otherwise(F.col("yhi"))]
-    cut = written(decompose(own).select("poly_id.*", *(c.alias(n) for c, n in zip(back, ("xlo", "ylo", "xhi", "yhi"), strict=True)), "diagonal"), "cell-rects")
+    cut = decompose(own).select("poly_id.*", *(c.alias(n) for c, n in zip(back, ("xlo", "ylo", "xhi", "yhi"), strict=True)), "diagonal")
     at = {c: F.col(c) for c in PLACE}
     straight = placed.join(cut, "quarter", only=_lattice()).select("role", "level", *_box_of(at), "diagonal")
     if not placed.odd:
@@ -129,11 +146,11 @@ def _instance_boxes(insts: Placements, shapes: DataFrame) -> DataFrame:
     boxes = abutment_boxes(shapes.where("part = 0").select("cell", "layer", "datatype", *ring_box("ring")))
     without = shapes.join(boxes, "cell", "left_anti").select("cell", "ring")
     drawn = without.select("cell", *ring_box("ring")).groupBy("cell").agg(*bounding_box())
-    rows = insts.rows.where("inst_id IS NOT NULL")
+    rows = insts.rows.where("NOT inner").withColumn("inst_id", F.col("k"))
     edges = ("xlo", "ylo", "xhi", "yhi")
     out = placed_boxes(rows.where(_lattice()).withColumns({f"f_{n}": F.lit(None).cast("long") for n in edges}), boxes.unionByName(drawn))
     if insts.odd:
-        odd = insts.join(without, only=~_lattice() & F.col("inst_id").isNotNull()).select("inst_id", _moved("ring")).select("inst_id", *ring_box("ring"))
+        odd = insts.join(without, only=~_lattice() & ~F.col("inner")).select(F.col("k").alias("inst_id"), _moved("ring")).select("inst_id", *ring_box("ring"))
         own = odd.groupBy("inst_id").agg(*(c.alias(f"f_{n}") for c, n in zip(bounding_box(), edges, strict=True)))
         out = out.unionByName(placed_boxes(rows.where(~_lattice()).join(own, "inst_id", "left"), boxes))
     return out.select("inst_id", *(F.col(f"p_{n}").alias(n) for n in edges))
@@ -155,67 +172,87 @@ def extract(layout: Layout | LayoutTables, top: str | None = None, keep_physical
         top = hierarchy.pick_top(layout.cells(), refs).first()[0]
     stack = layer_stack(spark).where("role = 'label'").select("layer", F.col("datatype").alias("texttype"), "level")
     texts = layout.texts().drop("path").join(stack, ["layer", "texttype"])
-    leaves = hierarchy.leaf_cells(layout.cells(), refs, texts.select("cell")).select("cell", F.lit(False).alias("inner"))
+    leaves = written(hierarchy.leaf_cells(layout.cells(), refs, texts.select("cell")).select("cell", F.lit(False).alias("inner")), "leaves")
     flat = _flat(layout, top).join(leaves, "cell", "left").withColumn("inner", F.coalesce("inner", F.lit(True)))
-    # leaves are numbered before all else, so their numbers are those among leaves
     models = F.broadcast(library.models(spark).withColumnRenamed("cell", "model"))  # as many as the library has
-    told = netlist.numbered(flat.select("cell", "path", "inner", *PLACE), ["inner", "path"], "k").withColumn("model", library.model_name(F.col("cell"))).join(models, "model", "left")
-    places = written(told.select("path", "cell", F.when(~F.col("inner"), F.col("k")).alias("inst_id"), "base", "kind", *PLACE), "placements")
-    insts, placed = places.where("inst_id IS NOT NULL"), Placements(places)
+    known = lambda df: df.withColumn("model", library.model_name(F.col("cell"))).join(models, "model", "left").drop("model")
+    # leaves are numbered before all else, so their numbers are those among leaves
+    places = written(known(netlist.numbered(flat.select("cell", "path", "inner", *PLACE), ["inner", "path"], "k", drop=("path",))).select("k", "cell", "inner", "base", "kind", *PLACE), "placements")
+    insts, placed = places.where("NOT inner").withColumnRenamed("k", "inst_id"), Placements(places)
     unknown = insts.where("kind is null").select("cell").distinct()
+    logic = F.lit(True) if keep_physical else F.expr("kind is null or kind <> 'physical'")
 
     drawn = written(_shapes(layout), "shapes")
     # numbers are those of the written rows: they tell rectangles apart, and which is which doesn't matter
-    cut = written(_placed_rects(conductor_shapes(drawn), placed).withColumn("rect_id", F.monotonically_increasing_id()), "rects")
-    rects = cut.where("role <> 'cut'").select("rect_id", "level", "xlo", "ylo", "xhi", "yhi")
+    sized = _placed_rects(conductor_shapes(drawn), placed).select("role", "level", "xlo", "ylo", (F.col("xhi") - F.col("xlo")).alias("w"), (F.col("yhi") - F.col("ylo")).alias("h"), "diagonal")
+    cut = written(sized.withColumn("rect_id", F.monotonically_increasing_id()), "rects").withColumns({"xhi": F.col("xlo") + F.col("w"), "yhi": F.col("ylo") + F.col("h")})
+    metal = cut.where("role <> 'cut'").select("rect_id", "level", "xlo", "ylo", "xhi", "yhi")
     cuts = cut.where("role = 'cut'").select(F.col("rect_id").alias("cut_id"), F.col("level").alias("lower"), "xlo", "ylo", "xhi", "yhi")
-    rects = written(wired(rects, cuts, n_levels=6), "nets")
 
+    # a label's number says which text it is, and of which placement, so nothing else of it is carried to where it is bound
+    told = known(netlist.numbered(texts.where("value <> ''").select("cell", "seq", "level", "x", "y", "value"), ["cell", "seq"], "t").join(leaves, "cell", "left"))
+    texts = written(told.select("t", "cell", "seq", "level", "x", "y", "value", F.coalesce("inner", F.lit(True)).alias("inner"), logic.alias("logic")), "texts")
+    n_texts = max(texts.count(), 1)
     x, y = place(F.col("x"), F.col("y"), **{c: F.col(c) for c in PLACE})
-    labels = placed.join(texts.where("value <> ''").select("cell", "seq", "level", "x", "y", "value")).select(F.struct("path", "seq").alias("at"), "level", x.alias("x"), y.alias("y"), "value", "inst_id")
-    labels = written(labels.withColumn("text_id", F.monotonically_increasing_id()), "labels")
-    bound = written(bind_labels(labels, rects), "bound")
-    top_labels = bound.where("inst_id is null and net is not null").groupBy(F.col("net").alias("net_id")).agg(F.min_by("value", "at").alias("name"), F.count_distinct("value").alias("n_names"))
-
-    kept = insts if keep_physical else insts.where("kind is null or kind <> 'physical'")
-    all_pins = netlist.pin_nets(bound.where("inst_id is not null and net is not null").select("inst_id", F.col("value").alias("pin"), F.col("net").alias("net_id")))
-    roots = netlist.supply_roots(all_pins)
-    own_pins = all_pins.join(kept, "inst_id", "left_semi")
+    labels = placed.join(texts.select("cell", "t", "level", "x", "y")).select((F.col("k") * n_texts + F.col("t")).alias("text_id"), "level", x.alias("x"), y.alias("y"))
+    rects, nets_under = wired_labels(metal, cuts, labels, n_levels=6)
+    nets_under = nets_under.withColumn("k", F.expr(f"text_id div {n_texts}")).withColumn("t", F.col("text_id") % n_texts)
+    bound = nets_under.where("net is not null").join(texts.select("t", "seq", "value", "inner", "logic"), "t")
+    unbound = nets_under.where("net is null")
+    top_labels = bound.where("inner").groupBy(F.col("net").alias("net_id")).agg(F.min_by("value", F.struct("k", "seq")).alias("name"), F.count_distinct("value").alias("n_names"))
+
+    kept = insts.where(logic)
+    hits = bound.where("NOT inner").select(F.col("k").alias("inst_id"), F.col("value").alias("pin"), F.col("net").alias("net_id"), "logic")
+    roots = netlist.supply_roots(netlist.pin_nets(hits.where(F.col("pin").isin(*SUPPLY_POWER, *SUPPLY_GROUND))))
+    own_hits = hits.where("logic")
     if not keep_power:
-        own_pins = own_pins.where(~F.col("pin").isin(*SUPPLY_POWER, *SUPPLY_GROUND))
+        own_hits = own_hits.where(~F.col("pin").isin(*SUPPLY_POWER, *SUPPLY_GROUND))
+    own_pins = netlist.pin_nets(own_hits)
     inferred = netlist.inferred_body_pins(own_pins, BODY_TIES).withColumn("n_nets", F.lit(1).cast("long"))
     known_pins = F.broadcast(library.pins(spark))
     inferred = inferred.join(kept.select("inst_id", "base"), "inst_id").join(known_pins, ["base", "pin"], "left_semi").drop("base")
     if not (keep_power and infer_body_pins):
         inferred = inferred.limit(0)
     pins = written(own_pins.withColumn("inferred", F.lit(False)).unionByName(inferred.withColumn("inferred", F.lit(True))), "pins")
-    auto = netlist.net_names(pins, prefix)
     ids = netlist.all_nets(pins, top_labels)
-    named = ids.join(top_labels.select("net_id", F.col("name").alias("label")), "net_id", "left").join(auto, "net_id", "left").select("net_id", F.coalesce("label", "name").alias("name"), F.col("label").isNotNull().alias("named_in_layout"))
     kinds = netlist.net_kinds(ids, top_labels.select("net_id", "name"), roots)
     driven = netlist.driven_nets(pins.join(kept.select("inst_id", F.col("base").alias("cell")), "inst_id"), known_pins.select(F.col("base").alias("cell"), "pin", "direction"))
     ports = netlist.ports(top_labels.select("net_id", "name"), kinds, driven)
-    names = netlist.instance_names(kept)
-    boxes = net_boxes(rects).withColumnRenamed("net", "net_id").drop("n_rects")
+    names = cache(lambda: netlist.instance_names(kept))
+
+    def nets() -> DataFrame:
+        named = ids.join(top_labels.select("net_id", F.col("name").alias("label")), "net_id", "left").join(netlist.net_names(pins, prefix), "net_id", "left").select("net_id", F.coalesce("label", "name").alias("name"), F.col("label").isNotNull().alias("named_in_layout"))
+        boxes = net_boxes(rects).withColumnRenamed("net", "net_id").drop("n_rects")
+        return named.join(kinds, "net_id").join(boxes, "net_id", "left")
+
+    def instances() -> DataFrame:
+        return kept.join(names(), "inst_id").join(_instance_boxes(placed, drawn), "inst_id", "left").select("inst_id", "name", "cell", F.col("ox").alias("x"), F.col("oy").alias("y"), "angle", "mirror", "xlo", "ylo", "xhi", "yhi")
 
     diagonal = cut.where("diagonal")
     split = pins.where("n_nets > 1")
-    warnings = (
-        top_labels.where("n_names > 1").select(F.format_string("net %s has several labels", F.col("name")).alias("warning"))
-        .unionByName(bound.where("net is null").select(F.format_string("label %s at (%d, %d) on %s is on no metal", "value", "x", "y", F.element_at(F.array(*map(F.lit, CONDUCTORS)), F.col("level") + 1)).alias("warning")))
-        .unionByName(split.join(names, "inst_id").select(F.format_string("pin %s.%s is on %d nets", "name", "pin", "n_nets").alias("warning")))
-        .unionByName(diagonal.agg(F.count("*").alias("n")).where("n > 0").select(F.format_string("%d polygons with diagonal edges are taken as their boxes", "n").alias("warning")))
-        .unionByName(unknown.select(F.format_string("cell %s has no model", "cell").alias("warning")))
-    )
-    counts = {
-        "instances": insts, "logic_instances": kept.where("kind is null or kind <> 'physical'"), "rectangles": rects, "labels": bound, "unbound": bound.where("net is null"),
-        "split_pins": split, "inferred_body_pins": pins.where("inferred"), "diagonal": diagonal, "unknown_cells": unknown, "nets": ids, "signal_nets": kinds.where("kind = 'signal'"), "warnings": warnings,
-    }
-    each = union([df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in counts.items()])
-    # shapes of every placement: a row for each cell, so nothing is placed to be counted
-    drawn_each = placed.counts.join(drawn.groupBy("cell").agg(F.count("*").alias("n_shapes")), "cell")
-    each = each.unionByName(drawn_each.agg(F.coalesce(F.sum(F.col("n_placed") * F.col("n_shapes")), F.lit(0)).alias("n")).select(F.lit("polygons").alias("name"), "n"))
-    counts["polygons"] = None
-    stats = each.agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in counts))
-    instances = kept.join(names, "inst_id").join(_instance_boxes(placed, drawn), "inst_id", "left").select("inst_id", "name", "cell", F.col("ox").alias("x"), F.col("oy").alias("y"), "angle", "mirror", "xlo", "ylo", "xhi", "yhi")
-    return Netlist(instances, pins.select("inst_id", "pin", "net_id"), named.join(kinds, "net_id").join(boxes, "net_id", "left"), ports, rects, stats, warnings, unknown)
+
+    @cache
+    def warnings() -> DataFrame:
+        missed = unbound.join(labels.select("text_id", "level", "x", "y"), "text_id").join(texts.select("t", "value"), "t")
+        return (
+            top_labels.where("n_names > 1").select(F.format_string("net %s has several labels", F.col("name")).alias("warning"))
+            .unionByName(missed.select(F.format_string("label %s at (%d, %d) on %s is on no metal", "value", "x", "y", F.element_at(F.array(*map(F.lit, CONDUCTORS)), F.col("level") + 1)).alias("warning")))
+            .unionByName(split.join(names(), "inst_id").select(F.format_string("pin %s.%s is on %d nets", "name", "pin", "n_nets").alias("warning")))
+            .unionByName(diagonal.agg(F.count("*").alias("n")).where("n > 0").select(F.format_string("%d polygons with diagonal edges are taken as their boxes", "n").alias("warning")))
+            .unionByName(unknown.select(F.format_string("cell %s has no model", "cell").alias("warning")))
+        )
+
+    def stats() -> DataFrame:
+        counts = {
+            "instances": insts, "logic_instances": kept.where("kind is null or kind <> 'physical'"), "rectangles": metal, "labels": nets_under, "unbound": unbound,
+            "split_pins": split, "inferred_body_pins": pins.where("inferred"), "diagonal": diagonal, "unknown_cells": unknown, "nets": ids, "signal_nets": kinds.where("kind = 'signal'"), "warnings": warnings(),
+        }
+        each = union([df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in counts.items()])
+        # shapes of every placement: a row for each cell, so nothing is placed to be counted
+        drawn_each = placed.counts.join(drawn.groupBy("cell").agg(F.count("*").alias("n_shapes")), "cell")
+        each = each.unionByName(drawn_each.agg(F.coalesce(F.sum(F.col("n_placed") * F.col("n_shapes")), F.lit(0)).alias("n")).select(F.lit("polygons").alias("name"), "n"))
+        counts["polygons"] = None
+        return each.agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in counts))
+
+    own = (("pins", pins.select("inst_id", "pin", "net_id")), ("ports", ports), ("rects", rects), ("unknown_cells", unknown))
+    return Extracted(instances=instances, nets=nets, stats=stats, warnings=warnings, **{name: lambda df=df: df for name, df in own})

@@ -14,9 +14,14 @@ from netframe.operators.components import written
 from netframe.operators.graphs import MAX_PARTS, rounds, union
 
 
+def _once(df: DataFrame, name: str) -> DataFrame:
+    """(cell): a column's values, once each, so that a cell with very many placements is one row of each task."""
+    return df.select(F.col(name).alias("cell")).distinct()
+
+
 def top_cells(cells: DataFrame, refs: DataFrame) -> DataFrame:
     """Cells that nothing places."""
-    return cells.join(refs, cells.cell == refs.child, "left_anti")
+    return cells.join(_once(refs, "child"), "cell", "left_anti").select(*cells.columns)
 
 
 def pick_top(cells: DataFrame, refs: DataFrame) -> DataFrame:
@@ -27,7 +32,7 @@ def pick_top(cells: DataFrame, refs: DataFrame) -> DataFrame:
 
 def leaf_cells(cells: DataFrame, refs: DataFrame, labels: DataFrame) -> DataFrame:
     """Cells that are placed, place nothing themselves, and have a label (labels: cell)."""
-    return cells.join(refs, cells.cell == refs.child, "left_semi").join(refs, cells.cell == refs.parent, "left_anti").join(labels, "cell", "left_semi")
+    return cells.join(_once(refs, "child"), "cell", "left_semi").join(_once(refs, "parent"), "cell", "left_anti").join(_once(labels, "cell"), "cell", "left_semi").select(*cells.columns)
 
 
 def missing_children(cells: DataFrame, refs: DataFrame) -> DataFrame:

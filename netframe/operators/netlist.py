@@ -11,7 +11,7 @@ from netframe.operators.components import dealt, dealt_by_range, written
 
 def pin_nets(hits: DataFrame) -> DataFrame:
     """(inst_id, pin, net_id, n_nets): a pin's smallest net; several nets mark a split pin."""
-    return hits.groupBy("inst_id", "pin").agg(F.min("net_id").alias("net_id"), F.count_distinct("net_id").alias("n_nets"))
+    return dealt(hits, "inst_id", "pin").groupBy("inst_id", "pin").agg(F.min("net_id").alias("net_id"), F.count_distinct("net_id").alias("n_nets"))
 
 
 def instance_names(insts: DataFrame) -> DataFrame:
@@ -34,13 +34,14 @@ def net_names(pins: DataFrame, prefix: str = "n") -> DataFrame:
     return numbered(first, ["first"], "k").select("net_id", F.concat(F.lit(prefix), F.col("k").cast("string")).alias("name"))
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with its rows' numbers, from 0, in an order without ties."""
-    ranged = written(dealt_by_range(df, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+def numbered(df: DataFrame, order: list[str], name: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """df with its rows' numbers, from 0, in an order without ties. Sorted rows get their partition and their place in it as one number, which is written with them, so nothing is sorted or moved again."""
+    ranged = written(dealt_by_range(df, *order).sortWithinPartitions(*order).drop(*drop).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
     sizes = ranged.groupBy("_part").count()
     starts = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_start"))  # a row for each partition
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt(ranged, "_part").join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + within).drop("_part", "_start")
+    within = F.col("_at") - F.shiftleft("_part", 33)
+    return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + within).drop("_part", "_start", "_at")
 
 
 def supply_roots(pins: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from netframe.functions.geometry import bounding_box
 from netframe.operators.components import joined
 from netframe.operators.spatial import points_bound
-from netframe.operators.squares import square_trees
+from netframe.operators.squares import labelled_trees, square_trees
 
 
 def rect_nets(rects: DataFrame, cuts: DataFrame | None = None, n_levels: int = 4) -> DataFrame:
@@ -22,6 +22,17 @@ def wired(rects: DataFrame, cuts: DataFrame | None = None, n_levels: int = 4) ->
     return rects.join(parts, rects.rect_id == parts.node, "left").select(*rects.columns, F.coalesce("component", "rect_id").alias("net"))
 
 
+def wired_labels(rects: DataFrame, cuts: DataFrame | None, labels: DataFrame, n_levels: int) -> tuple[DataFrame, DataFrame]:
+    """wired(), and (text_id, net) of labels (text_id from 0 on, level, x, y): the net of the metal under each, null where there is none.
+
+    Labels are bound where the rectangles are joined. Which net a node is in is written once, by trees; either result looks up its own nodes only."""
+    trees, first = labelled_trees(rects, cuts, n_levels, labels)
+    parts = joined(trees)
+    own = parts.where(F.col("node") < first)
+    held = rects.join(own, rects.rect_id == own.node, "left").select(*rects.columns, F.coalesce("component", "rect_id").alias("net"))
+    return held, parts.where(F.col("node") >= first).select((F.col("node") - first).alias("text_id"), F.when(F.col("component") < first, F.col("component")).alias("net"))
+
+
 def net_boxes(rects: DataFrame) -> DataFrame:
     """(net, n_rects, bounding box) of rectangles with their net."""
     return rects.groupBy("net").agg(F.count("*").alias("n_rects"), *bounding_box())

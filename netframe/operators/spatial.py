@@ -133,6 +133,11 @@ def point_hits(points: DataFrame, rects: DataFrame) -> DataFrame:
     return rows.where("rect_id IS NOT NULL OR n = 1").select("_point.*", "rect_id")
 
 
+def points_held(points: DataFrame, rects: DataFrame) -> DataFrame:
+    """points with rect_id, a row for each rectangle of their level that holds them."""
+    return _point_rows(points, rects, "rect_id").where("rect_id IS NOT NULL").select("_point.*", "rect_id")
+
+
 def points_bound(points: DataFrame, rects: DataFrame, key: str) -> DataFrame:
     """points, told apart by key, with net: the smallest net of the rectangles (with net) that hold a point, null where there are none."""
     more = [c for c in points.columns if c != key]

@@ -470,6 +470,42 @@ def test_nets_of_a_pile(spark, monkeypatch):
     assert nets.rect_nets(rects.limit(0), made, 2).count() == 0
 
 
+def test_labels_in_squares(spark, monkeypatch):
+    """Labels are bound by the sweep as by the point join: on edges, on rails, in piles, on two rectangles that touch, inside of cuts without metal, and on nothing."""
+    rng = random.Random(6)
+    rows = [(k, rng.randrange(2), x := rng.randrange(-900, 900), y := rng.randrange(-900, 900), x + rng.randrange(1, 25), y + rng.randrange(1, 25)) for k in range(900)]
+    rows += [(2000 + k, 0, -1000, 100 * k, 1000, 100 * k + 3) for k in range(4)]
+    cuts = [(k, 0, x := rng.randrange(-900, 900), y := rng.randrange(-900, 900), x + 30, y + 30) for k in range(60)]
+    points = [(l, *rng.choice([(x0, y0), (x1, y1), (x0, y1 + 1), (x0 - 1, y0), ((x0 + x1) // 2, y0)])) for _, l, x0, y0, x1, y1 in rng.sample(rows, 400)] + [(l, x + 15, y + 15) for _, _, x, y, _, _ in cuts for l in (0, 1)] + [(5, 0, 0), (0, 90_000, 7), (0, 90_000, 7)]
+    rects, made = spark.createDataFrame(rows, "rect_id long, level int, xlo long, ylo long, xhi long, yhi long"), spark.createDataFrame(cuts, "cut_id long, lower int, xlo long, ylo long, xhi long, yhi long")
+    labels = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "text_id long, level int, x long, y long")
+    want = {r.text_id: r.net for r in nets.bind_labels(labels, nets.wired(rects, made, 2)).collect()}
+    assert len(want) == len(points) and 50 < sum(net is None for net in want.values()) < len(points) - 50
+    for long in (2, 10_000):  # with rails beside the squares and without
+        monkeypatch.setattr(squares, "TOGETHER", 300)
+        monkeypatch.setattr(squares, "LONG", long)
+        held, bound = nets.wired_labels(rects, made, labels, 2)
+        bound = bound.collect()
+        assert {r.text_id: r.net for r in bound} == want and len(bound) == len(points)
+        assert {r.rect_id: r.net for r in held.collect()} == {r.rect_id: r.net for r in nets.rect_nets(rects, made, 2).collect()}
+    assert {(r.text_id, r.net) for r in nets.wired_labels(rects.limit(0), made, labels, 2)[1].collect()} == {(k, None) for k in range(len(points))}
+
+
+def _moved(df) -> int:
+    """Shuffles by a hash in df's plan."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_numbers_and_pins_move_rows_once(spark):
+    """Numbered rows aren't dealt or sorted again to be counted, and a pin's nets are counted where its rows were dealt to."""
+    rows = spark.range(400).select((F.col("id") * 7 % 400).alias("seq"), F.col("id").alias("more"))
+    ranked = netlist.numbered(rows, ["seq"], "n", drop=("seq",))
+    assert ranked.columns == ["more", "n"] and sorted(r.n for r in ranked.collect()) == list(range(400)) and ranked.where("n <> more * 7 % 400").count() == 0
+    assert "Window [row_number" not in ranked._jdf.queryExecution().executedPlan().toString() and "seq" not in ranked._jdf.queryExecution().executedPlan().toString()
+    hits = spark.range(400).select((F.col("id") % 50).alias("inst_id"), (F.col("id") % 4).cast("string").alias("pin"), (F.col("id") % 3).alias("net_id"))
+    assert _moved(netlist.pin_nets(hits)) == 1
+
+
 @pytest.mark.parametrize("what", ["pins", "as_of", "refined", "exact", "numbered", "bound"])
 def test_tasks_stay_small(spark, what):
     """What is joined, sorted and counted is dealt to as many tasks as a shuffle has, however small it is: adaptive execution would join them."""
