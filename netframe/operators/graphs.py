@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netframe.operators.components import dealt, written
+from netframe.operators.components import SALTS, dealt, written
 from netframe.operators.netlist import numbered
 
 
@@ -177,19 +177,24 @@ def exact_refine(colours: DataFrame, edges: DataFrame, bits: int = 64) -> DataFr
     return exact_classes(dealt(own, "colour", "h").join(dealt(pairs, "colour", "h"), ["colour", "h"]).select("side", "node", F.col("number").alias("colour")), around)
 
 
+def _classes(colours: DataFrame) -> DataFrame:
+    """(colour, n_left, n_right, left, right): how many nodes of each side have a colour, and the smallest of them.
+
+    Both sides are counted at once, by a part of the nodes first: a colour that very many have is SALTS tasks', and very many colours are dealt to all."""
+    part = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("part")
+    own = [F.count_if(F.col("side") == s).alias(f"n_{s}") for s in ("left", "right")] + [F.min(F.when(F.col("side") == s, F.col("node"))).alias(s) for s in ("left", "right")]
+    each = dealt(colours.select("colour", part, "side", "node"), "colour", "part").groupBy("colour", "part").agg(*own).drop("part")
+    return dealt(each, "colour").groupBy("colour").agg(*(F.sum(c).alias(c) for c in ("n_left", "n_right")), *(F.min(c).alias(c) for c in ("left", "right")))
+
+
 def class_sizes(colours: DataFrame) -> DataFrame:
     """(colour, n_left, n_right) of the colours whose classes differ in size between the sides."""
-    counts = colours.groupBy("side", "colour").agg(F.count("*").alias("n"))
-    left, right = (counts.where(F.col("side") == s).select("colour", F.col("n").alias(f"n_{s}")) for s in ("left", "right"))
-    both = left.join(right, "colour", "full_outer").select("colour", F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"))
-    return both.where("n_left <> n_right")
+    return _classes(colours).where("n_left <> n_right").select("colour", "n_left", "n_right")
 
 
 def mapping(colours: DataFrame) -> DataFrame:
     """(left, right): nodes that are alone in their colour on both sides."""
-    alone = colours.groupBy("side", "colour").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    left, right = (alone.where(F.col("side") == s).select("colour", F.col("node").alias(s)) for s in ("left", "right"))
-    return left.join(right, "colour").select("left", "right")
+    return _classes(colours).where("n_left = 1 AND n_right = 1").select("left", "right")
 
 
 def histogram_difference(left: DataFrame, right: DataFrame) -> DataFrame:

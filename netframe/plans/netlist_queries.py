@@ -280,9 +280,10 @@ def _sides_sql(rewired: str) -> str:
 
 
 def _graph(spark, sf_dir, rewired: str = REWIRED) -> tuple[DataFrame, DataFrame]:
-    left = _pins(spark, sf_dir).select(F.lit("left").alias("side"), "inst_id", "cell", "pin", "net_id")
-    right = left.select(F.lit("right").alias("side"), "inst_id", "cell", "pin", F.when(F.expr(rewired), F.col("net_id") + 1).otherwise(F.col("net_id")).alias("net_id"))
-    both = left.unionByName(right)
+    # both sides of a pin are made where it is, so the pins are joined and counted once
+    of = lambda side, net: F.struct(F.lit(side).alias("side"), net.alias("net_id"))
+    sides = F.explode(F.array(of("left", F.col("net_id")), of("right", F.when(F.expr(rewired), F.col("net_id") + 1).otherwise(F.col("net_id")))))
+    both = _pins(spark, sf_dir).select("inst_id", "cell", "pin", sides.alias("own")).select("own.side", "inst_id", "cell", "pin", "own.net_id")
     inst, net = F.col("inst_id") * 2, F.col("net_id") * 2 + 1
     both = written(both, "pins")
     insts = dealt(both.select("side", inst.alias("node"), F.lit("inst").alias("kind"), F.col("cell").alias("label")), "side", "node").distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from netframe.functions import cells, geometry, text
 from netframe.operators import compare, components, decompose, graphs, hierarchy, netlist, nets, render, scoring, spatial, squares, waves
+from netframe.plans import netlist_queries
 from netframe.plans.bridge import view
 from netframe.plans.netlist_queries import _by_name
 
@@ -528,3 +529,20 @@ def test_colours_of_a_hub(spark, monkeypatch):
     monkeypatch.setattr(graphs, "HUB", 20)
     monkeypatch.setattr(graphs, "SHOWN", 1)
     assert {tuple(r) for r in graphs.refine(colours, edges).collect()} == want and len(want) == 300
+
+
+def test_classes_of_both_sides(spark, monkeypatch):
+    """Classes are counted for both sides in one pass over all partitions of a shuffle, and pins are joined once for both sides."""
+    rows = [("left", k, k % 40 if k < 90 else 1000 + k) for k in range(100)] + [("right", k + 500, k % 40 if k < 95 else 1000 + k) for k in range(100)] + [("left", 7000, 5000), ("right", 7001, 6000)]
+    colours = spark.createDataFrame(rows, "side string, node long, colour long")
+    held = {(side, c): [n for s, n, d in rows if (s, d) == (side, c)] for side, _, c in rows}
+    both = {c: (held.get(("left", c), []), held.get(("right", c), [])) for _, c in held}
+    sizes, pairs = graphs.class_sizes(colours), graphs.mapping(colours)
+    assert {tuple(r) for r in sizes.collect()} == {(c, len(a), len(b)) for c, (a, b) in both.items() if len(a) != len(b)}
+    assert {tuple(r) for r in pairs.collect()} == {(a[0], b[0]) for a, b in both.values() if len(a) == len(b) == 1} != set()
+    for made in (sizes, pairs):
+        assert made.rdd.getNumPartitions() >= components.n_parts(spark) and "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    monkeypatch.setattr(netlist_queries, "written", lambda df, name: seen.append(df) or df)
+    netlist_queries._graph(spark, "/root/testdata/sf0.001")
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
