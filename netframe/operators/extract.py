@@ -14,7 +14,7 @@ from netframe.functions.geometry import bounding_box, place, ring_box
 from netframe.functions.text import SUPPLY_GROUND, SUPPLY_POWER
 from netframe.operators import hierarchy, netlist
 from netframe.operators.classify import CONDUCTORS, abutment_boxes, conductor_shapes, layer_stack, placed_boxes
-from netframe.operators.components import written
+from netframe.operators.components import dealt, written
 from netframe.operators.decompose import decompose, path_rects
 from netframe.operators.graphs import union
 from netframe.operators.nets import net_boxes, wired_labels
@@ -110,13 +110,18 @@ class Placements:
         ways = F.max(_lattice() & ~F.col("quarter")).alias("upright"), F.max(_lattice() & F.col("quarter")).alias("quarters"), F.max(~_lattice()).alias("odd")
         self.counts = written(own.groupBy("cell").agg(F.count(F.lit(1)).alias("n_placed"), *ways).withColumn("n_parts", F.ceil(F.col("n_placed") / PLACED_TOGETHER).cast("int")), "cells")
         self.rows = own.join(self.counts.select("cell", "n_parts"), "cell").withColumn("cell_part", F.pmod(F.xxhash64("k"), F.col("n_parts")).cast("int")).drop("n_parts")
+        self.alone = written(self.rows.join(self.counts.where("n_placed = 1"), "cell", "left_semi"), "alone")
         self.odd = not self.counts.where("odd").isEmpty()
 
     def join(self, drawn: DataFrame, *keys: str, only: Column | None = None) -> DataFrame:
         """Each placement (those of only) with each row of its cell; keys: further columns that both have."""
-        each = drawn.join(self.counts.select("cell", "n_parts"), "cell").withColumn("cell_part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).drop("n_parts")
-        each = written(each, "drawn")  # of a known size: what is drawn in few cells goes to where the placements are
-        return (self.rows if only is None else self.rows.where(only)).join(each, ["cell", "cell_part", *keys]).drop("cell_part")
+        each = drawn.join(self.counts.select("cell", "n_parts", "n_placed"), "cell").withColumn("cell_part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).drop("n_parts")
+        each = written(each, "drawn")
+        # of a known size: what is drawn in few cells goes to where the placements are, and a cell that is placed once goes to where its many shapes are
+        often, parts = written(each.where("n_placed > 1"), "drawn"), []
+        for rows, own in ((self.rows, often), (self.alone, each.where("n_placed = 1"))):
+            parts.append((rows if only is None else rows.where(only)).join(own.drop("n_placed"), ["cell", "cell_part", *keys]))
+        return union(parts).drop("cell_part")
 
 
 def _placed_rects(shapes: DataFrame, placed: Placements) -> DataFrame:
@@ -148,7 +153,8 @@ def _instance_boxes(insts: Placements, shapes: DataFrame) -> DataFrame:
     drawn = without.select("cell", *ring_box("ring")).groupBy("cell").agg(*bounding_box())
     rows = insts.rows.where("NOT inner").withColumn("inst_id", F.col("k"))
     edges = ("xlo", "ylo", "xhi", "yhi")
-    out = placed_boxes(rows.where(_lattice()).withColumns({f"f_{n}": F.lit(None).cast("long") for n in edges}), boxes.unionByName(drawn))
+    known = written(boxes.unionByName(drawn), "boxes")  # a row for each cell
+    out = placed_boxes(rows.where(_lattice()).withColumns({f"f_{n}": F.lit(None).cast("long") for n in edges}), known)
     if insts.odd:
         odd = insts.join(without, only=~_lattice() & ~F.col("inner")).select(F.col("k").alias("inst_id"), _moved("ring")).select("inst_id", *ring_box("ring"))
         own = odd.groupBy("inst_id").agg(*(c.alias(f"f_{n}") for c, n in zip(bounding_box(), edges, strict=True)))
@@ -214,19 +220,20 @@ def extract(layout: Layout | LayoutTables, top: str | None = None, keep_physical
     if not (keep_power and infer_body_pins):
         inferred = inferred.limit(0)
     pins = written(own_pins.withColumn("inferred", F.lit(False)).unionByName(inferred.withColumn("inferred", F.lit(True))), "pins")
-    ids = netlist.all_nets(pins, top_labels)
+    ids = written(netlist.all_nets(pins, top_labels), "nets")
     kinds = netlist.net_kinds(ids, top_labels.select("net_id", "name"), roots)
     driven = netlist.driven_nets(pins.join(kept.select("inst_id", F.col("base").alias("cell")), "inst_id"), known_pins.select(F.col("base").alias("cell"), "pin", "direction"))
     ports = netlist.ports(top_labels.select("net_id", "name"), kinds, driven)
     names = cache(lambda: netlist.instance_names(kept))
 
     def nets() -> DataFrame:
-        named = ids.join(top_labels.select("net_id", F.col("name").alias("label")), "net_id", "left").join(netlist.net_names(pins, prefix), "net_id", "left").select("net_id", F.coalesce("label", "name").alias("name"), F.col("label").isNotNull().alias("named_in_layout"))
+        named = dealt(ids, "net_id").join(top_labels.select("net_id", F.col("name").alias("label")), "net_id", "left").join(netlist.net_names(pins, prefix), "net_id", "left").select("net_id", F.coalesce("label", "name").alias("name"), F.col("label").isNotNull().alias("named_in_layout"))
         boxes = net_boxes(rects).withColumnRenamed("net", "net_id").drop("n_rects")
         return named.join(kinds, "net_id").join(boxes, "net_id", "left")
 
     def instances() -> DataFrame:
-        return kept.join(names(), "inst_id").join(_instance_boxes(placed, drawn), "inst_id", "left").select("inst_id", "name", "cell", F.col("ox").alias("x"), F.col("oy").alias("y"), "angle", "mirror", "xlo", "ylo", "xhi", "yhi")
+        own = dealt(kept.select("inst_id", "cell", "ox", "oy", "angle", "mirror"), "inst_id")
+        return own.join(names(), "inst_id").join(_instance_boxes(placed, drawn), "inst_id", "left").select("inst_id", "name", "cell", F.col("ox").alias("x"), F.col("oy").alias("y"), "angle", "mirror", "xlo", "ylo", "xhi", "yhi")
 
     diagonal = cut.where("diagonal")
     split = pins.where("n_nets > 1")

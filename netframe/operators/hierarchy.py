@@ -67,7 +67,9 @@ def flatten(refs: DataFrame, top: str, max_depth: int | None = None) -> DataFram
     for at_depth in rounds(max_depth, "placements"):
         depth = at_depth + 1
         at = compose({c: F.col(c) for c in place}, {c: F.col(f"r_{c}") for c in place})
-        nxt = frontier.join(each, frontier.cell == each.parent).select(
+        # what is placed in the frontier's cells, of a known size: few rows of few cells go to where the placements are, however many a cell has
+        mine = written(each.join(F.broadcast(frontier.select(F.col("cell").alias("parent")).distinct()), "parent", "left_semi"), "below") if at_depth else each
+        nxt = frontier.join(mine, frontier.cell == mine.parent).select(
             F.concat_ws("/", F.nullif(F.col("path"), F.lit("")), F.col("step")).alias("path"),
             F.when(F.array_contains("above", F.col("r_cell")), F.raise_error(F.concat(F.lit("a cell places itself: "), F.col("r_cell")))).otherwise(F.col("r_cell")).alias("cell"),
             F.concat(F.col("above"), F.array("r_cell")).alias("above"),

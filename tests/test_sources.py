@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from netframe.operators import extract, inspect, scoring, waves
+from netframe.operators import components, extract, inspect, scoring, waves
+from netframe.plans import source_queries
 from netframe.sources import defdb, documents, gds, jsonir, vcd, verilog
 from netframe.streaming import monitor
 
@@ -440,6 +441,17 @@ def test_extract_turned_arrays_and_scales(spark, tmp_path):
     assert [tuple(r)[1:] for r in inspect.labels_listed(g.texts()).collect()] == [("buf_1", 6, "A@67/5"), ("inv_1", 2, "A@67/5"), ("inv_1", 4, "Y@67/5")]
 
 
+def test_extracted_tables_are_dealt(spark):
+    """Instances and nets are put together in as many tasks as a shuffle has, however small they are: adaptive execution would join them. Nothing is broadcast, as at size."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(limit, "-1")
+    n = source_queries._extracted(spark, "/root/testdata/sf0.001")
+    assert n.instances.count() == 1200 and {r.kind for r in n.nets.select("kind").distinct().collect()} == {"power", "signal"}
+    parts = [made.rdd.getNumPartitions() for made in (n.instances, n.nets)]
+    spark.conf.unset(limit)
+    assert min(parts) >= components.n_parts(spark)
+
+
 def test_extraction_against_a_database(spark, tmp_path):
     """Two of three placements and two of three nets are as the database has them."""
     wires = [box(67, 20, 100, 5, 300, 15), box(67, 20, -50, 5, 0, 15), label(67, -40, 10, "in"), box(67, 20, 400, 5, 500, 15), label(67, 490, 10, "q")]
