@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netframe.operators.components import SALTS, dealt, written
+from netframe.operators.components import SALTS, dealt, n_parts, parts_for, written
 from netframe.operators.netlist import numbered
 
 
@@ -78,38 +78,56 @@ def seed_colours(nodes: DataFrame) -> DataFrame:
     return nodes.select("side", "node", F.xxhash64(key).alias("colour"))
 
 
-def _seen(colours: DataFrame, edges: DataFrame) -> DataFrame:
-    """edges with c, the colour of other. Edges to a node that very many have stay where they are; a sample shows these nodes."""
+def _hubs(edges: DataFrame) -> DataFrame | None:
+    """(side, other) of the nodes that very many edges lead to, as a sample shows them; None where there are none."""
+    shown = edges.where(F.pmod(F.xxhash64("node", "pin"), F.lit(SHOWN)) == 0).groupBy("side", "other").agg(F.count("*").alias("n"))
+    hubs = written(shown.where(F.col("n") > HUB / SHOWN).select("side", "other"), "hubs")
+    return None if hubs.isEmpty() else F.broadcast(hubs)
+
+
+def _seen(colours: DataFrame, edges: DataFrame, hubs: DataFrame | None, parts: int | None) -> DataFrame:
+    """edges with c, the colour of other. Edges to a hub stay where they are, others are dealt in parts."""
     known = colours.select("side", F.col("node").alias("other"), F.col("colour").alias("c"))
     keys = ["side", "other"]
-    shown = edges.where(F.pmod(F.xxhash64("node", "pin"), F.lit(SHOWN)) == 0).groupBy(*keys).agg(F.count("*").alias("n"))
-    hubs = F.broadcast(written(shown.where(F.col("n") > HUB / SHOWN).select(*keys), "hubs"))
-    plain = lambda e: dealt(e, *keys).join(dealt(known, *keys), keys)
-    if hubs.isEmpty():
+    plain = lambda e: dealt(e, *keys, parts=parts).join(dealt(known, *keys, parts=parts), keys)
+    if hubs is None:
         return plain(edges)
     return plain(edges.join(hubs, keys, "left_anti")).unionByName(edges.join(F.broadcast(known.join(hubs, keys)), keys))
 
 
-def refine(colours: DataFrame, edges: DataFrame) -> DataFrame:
-    """One round: a node's new colour is the hash of its colour with the sums of the hashes of its neighbours' (pin, colour). edges: (side, node, pin, other), both ways.
+def _sums(mixed: DataFrame, hubs: DataFrame | None, parts: int | None) -> DataFrame:
+    """(side, node, low, high): sums of the halves of h, which can't overflow below 2^31 neighbours.
 
-    Sums are taken before the shuffle as well, so a net that a third of all pins are on is one row from each task. A hash is summed
-    in halves, which can't overflow below 2^31 neighbours."""
-    seen = _seen(colours, edges)
-    mixed = seen.select("side", "node", F.xxhash64("pin", "c").alias("h"))
+    They are taken before the shuffle as well, so a net that a third of all pins are on is one row from each task. A group has as many partitions as a shuffle of the session;
+    where more parts are wanted, nodes are dealt and only hubs' sums (edges go both ways, so a hub has as many as lead to it) are taken before."""
+    keys = ["side", "node"]
     halves = F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned("h", 32)).alias("high")
-    around = mixed.groupBy("side", "node").agg(*halves)
-    return dealt(colours, "side", "node").join(around, ["side", "node"], "left").select("side", "node", F.xxhash64("colour", "low", "high").alias("colour"))
+    sums = lambda m: m.groupBy(*keys).agg(*halves)
+    if parts is None or parts == n_parts(mixed.sparkSession):
+        return sums(mixed)
+    if hubs is None:
+        return sums(dealt(mixed, *keys, parts=parts))
+    own = hubs.withColumnRenamed("other", "node")
+    return sums(dealt(mixed.join(own, keys, "left_anti"), *keys, parts=parts)).unionByName(sums(mixed.join(own, keys, "left_semi")))
+
+
+def refine(colours: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """One round: a node's new colour is the hash of its colour with the sums of the hashes of its neighbours' (pin, colour). edges: (side, node, pin, other), both ways.
+
+    parts: that edges are dealt in, as parts_for() has it; by default, those of a shuffle."""
+    keys, hubs = ["side", "node"], _hubs(edges)
+    around = _sums(_seen(colours, edges, hubs, parts).select(*keys, F.xxhash64("pin", "c").alias("h")), hubs, parts)
+    return dealt(colours, *keys, parts=parts).join(dealt(around, *keys, parts=parts), keys, "left").select(*keys, F.xxhash64("colour", "low", "high").alias("colour"))
 
 
 def refine_until_stable(colours: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Rounds until the number of colours stops growing: at most one for each node."""
-    colours, n = written(colours, "colours"), -1
+    colours, n, parts = written(colours, "colours"), -1, parts_for(edges.sparkSession, edges.count())
     for _ in rounds(max_rounds, "colours"):
         now = colours.agg(F.count_distinct("colour")).first()[0]
         if now == n:
             break
-        n, colours = now, written(refine(colours, edges), "colours")
+        n, colours = now, written(refine(colours, edges, parts), "colours")
     return colours
 
 
@@ -162,39 +180,39 @@ def exact_seeds(nodes: DataFrame, bits: int = 64) -> DataFrame:
     return signature_classes(nodes, nodes.select("side", "node", key.alias("f"), F.lit(1).cast("long").alias("n")), bits)
 
 
-def neighbour_features(colours: DataFrame, edges: DataFrame) -> DataFrame:
+def neighbour_features(colours: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(side, node, f, n): how many neighbours of a colour a node has on a pin. edges: (side, node, pin, other), both ways."""
-    seen = dealt(_seen(colours, edges).select("side", "node", F.struct("pin", "c").alias("f")), "side", "node", "f")
+    seen = dealt(_seen(colours, edges, _hubs(edges), parts).select("side", "node", F.struct("pin", "c").alias("f")), "side", "node", "f", parts=parts)
     return seen.groupBy("side", "node", "f").agg(F.count("*").alias("n"))
 
 
-def exact_refine(colours: DataFrame, edges: DataFrame, bits: int = 64) -> DataFrame:
+def exact_refine(colours: DataFrame, edges: DataFrame, bits: int = 64, parts: int | None = None) -> DataFrame:
     """One round as refine() does it, with exact classes: equal colours if and only if the colours were equal and so is what is around."""
-    around = written(neighbour_features(colours, edges), "around")
+    around = written(neighbour_features(colours, edges, parts), "around")
     own = dealt(colours, "side", "node").join(_mixed(around, bits), ["side", "node"], "left").select("side", "node", "colour", F.coalesce("h", F.lit(0)).alias("h"))
     own = written(own, "classes")
     pairs = numbered(dealt(own.select("colour", "h"), "colour", "h").distinct(), ["colour", "h"], "number")
     return exact_classes(dealt(own, "colour", "h").join(dealt(pairs, "colour", "h"), ["colour", "h"]).select("side", "node", F.col("number").alias("colour")), around)
 
 
-def _classes(colours: DataFrame) -> DataFrame:
+def _classes(colours: DataFrame, parts: int | None) -> DataFrame:
     """(colour, n_left, n_right, left, right): how many nodes of each side have a colour, and the smallest of them.
 
     Both sides are counted at once, by a part of the nodes first: a colour that very many have is SALTS tasks', and very many colours are dealt to all."""
     part = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("part")
     own = [F.count_if(F.col("side") == s).alias(f"n_{s}") for s in ("left", "right")] + [F.min(F.when(F.col("side") == s, F.col("node"))).alias(s) for s in ("left", "right")]
-    each = dealt(colours.select("colour", part, "side", "node"), "colour", "part").groupBy("colour", "part").agg(*own).drop("part")
-    return dealt(each, "colour").groupBy("colour").agg(*(F.sum(c).alias(c) for c in ("n_left", "n_right")), *(F.min(c).alias(c) for c in ("left", "right")))
+    each = dealt(colours.select("colour", part, "side", "node"), "colour", "part", parts=parts).groupBy("colour", "part").agg(*own).drop("part")
+    return dealt(each, "colour", parts=parts).groupBy("colour").agg(*(F.sum(c).alias(c) for c in ("n_left", "n_right")), *(F.min(c).alias(c) for c in ("left", "right")))
 
 
-def class_sizes(colours: DataFrame) -> DataFrame:
+def class_sizes(colours: DataFrame, parts: int | None = None) -> DataFrame:
     """(colour, n_left, n_right) of the colours whose classes differ in size between the sides."""
-    return _classes(colours).where("n_left <> n_right").select("colour", "n_left", "n_right")
+    return _classes(colours, parts).where("n_left <> n_right").select("colour", "n_left", "n_right")
 
 
-def mapping(colours: DataFrame) -> DataFrame:
+def mapping(colours: DataFrame, parts: int | None = None) -> DataFrame:
     """(left, right): nodes that are alone in their colour on both sides."""
-    return _classes(colours).where("n_left = 1 AND n_right = 1").select("left", "right")
+    return _classes(colours, parts).where("n_left = 1 AND n_right = 1").select("left", "right")
 
 
 def histogram_difference(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netframe.operators.components import dealt
+from netframe.operators.components import dealt, parts_for
 
 #: Side of the square in which rectangles lie.
 SPAN = 40_000
@@ -85,9 +85,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _sql(spark: SparkSession, sf_dir: str, tables: list[str], text: str, keys: dict[str, str]) -> DataFrame:
-    """text over the tables, without registering anything in the session. Tables with a key are dealt by it."""
+    """text over the tables, without registering anything in the session. Tables with a key are dealt by it, all in as many parts as their rows together ask for."""
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
-    frames |= {t: dealt(frames[t], k) for t, k in keys.items()}
+    if keys:
+        parts = parts_for(spark, sum(frames[t].count() for t in keys))
+        frames |= {t: dealt(frames[t], k, parts=parts) for t, k in keys.items()}
     return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(tables)})\b", r"\1 {\2}", text), **frames)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from netframe.functions import cells, text
 from netframe.operators import graphs, netlist, scoring, waves
 from netframe.plans.bridge import ctes, view
-from netframe.operators.components import dealt, written
+from netframe.operators.components import dealt, parts_for, written
 from netframe.sources.verilog import tokens
 
 QUERIES, ORACLES = {}, {}
@@ -279,25 +279,27 @@ def _sides_sql(rewired: str) -> str:
     return PIN + f", e AS (SELECT 'left' AS side, inst_id, cell, pin, net_id FROM v_pin UNION ALL SELECT 'right', inst_id, cell, pin, CASE WHEN {rewired} THEN net_id + 1 ELSE net_id END FROM v_pin)"
 
 
-def _graph(spark, sf_dir, rewired: str = REWIRED) -> tuple[DataFrame, DataFrame]:
+def _graph(spark, sf_dir, rewired: str = REWIRED) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes and edges of both sides, and the parts that so many edges are dealt in."""
     # both sides of a pin are made where it is, so the pins are joined and counted once
     of = lambda side, net: F.struct(F.lit(side).alias("side"), net.alias("net_id"))
     sides = F.explode(F.array(of("left", F.col("net_id")), of("right", F.when(F.expr(rewired), F.col("net_id") + 1).otherwise(F.col("net_id")))))
     both = _pins(spark, sf_dir).select("inst_id", "cell", "pin", sides.alias("own")).select("own.side", "inst_id", "cell", "pin", "own.net_id")
     inst, net = F.col("inst_id") * 2, F.col("net_id") * 2 + 1
     both = written(both, "pins")
-    insts = dealt(both.select("side", inst.alias("node"), F.lit("inst").alias("kind"), F.col("cell").alias("label")), "side", "node").distinct()
+    parts = parts_for(spark, 2 * both.count())
+    insts = dealt(both.select("side", inst.alias("node"), F.lit("inst").alias("kind"), F.col("cell").alias("label")), "side", "node", parts=parts).distinct()
     nodes = insts.union(both.select("side", net.alias("node"), F.lit("net"), F.lit(None).cast("string")).distinct())
     edges = both.select("side", inst.alias("node"), F.col("pin").cast("long").alias("pin"), net.alias("other"))
-    return written(nodes, "nodes"), edges.unionByName(edges.select("side", F.col("other").alias("node"), "pin", F.col("node").alias("other")))
+    return written(nodes, "nodes"), edges.unionByName(edges.select("side", F.col("other").alias("node"), "pin", F.col("node").alias("other"))), parts
 
 
 def _wl(rounds: int):
     def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-        nodes, edges = _graph(spark, sf_dir)
+        nodes, edges, parts = _graph(spark, sf_dir)
         colours = graphs.seed_colours(nodes)
         for _ in range(rounds):
-            colours = graphs.refine(colours, edges)
+            colours = graphs.refine(colours, edges, parts)
         sizes = colours.groupBy("side", "colour").agg(F.count("*").alias("size"))
         return sizes.groupBy("side", "size").agg(F.count("*").alias("n_classes"))
 
@@ -314,10 +316,10 @@ def _wl_sql(rounds: int, rewired: str = REWIRED) -> str:
 
 def _exact_wl(bits: int, rounds: int):
     def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-        nodes, edges = _graph(spark, sf_dir)
+        nodes, edges, parts = _graph(spark, sf_dir)
         edges, colours = written(edges, "edges"), graphs.exact_seeds(nodes, bits)
         for _ in range(rounds):
-            colours = graphs.exact_refine(colours, edges, bits)
+            colours = graphs.exact_refine(colours, edges, bits, parts)
         sizes = colours.groupBy("side", "colour").agg(F.count("*").alias("size"))
         return sizes.groupBy("side", "size").agg(F.count("*").alias("n_classes"))
 
@@ -333,21 +335,21 @@ query(_wl_sql(2) + _WL_SIZES, "q_wl_exact")(_exact_wl(64, 2))
 
 
 def _refined(spark, sf_dir, rounds, rewired=REWIRED):
-    nodes, edges = _graph(spark, sf_dir, rewired)
+    nodes, edges, parts = _graph(spark, sf_dir, rewired)
     colours = graphs.seed_colours(nodes)
     for _ in range(rounds):
-        colours = graphs.refine(colours, edges)
-    return colours
+        colours = graphs.refine(colours, edges, parts)
+    return colours, parts
 
 
 @query(_wl_sql(2) + ", z AS (SELECT c, COUNT(*) FILTER (side = 'left') AS n_left, COUNT(*) FILTER (side = 'right') AS n_right FROM c GROUP BY c) SELECT n_left, n_right, COUNT(*) AS n FROM z WHERE n_left <> n_right GROUP BY n_left, n_right")
 def q_class_sizes(spark, sf_dir):
-    return graphs.class_sizes(_refined(spark, sf_dir, 2)).groupBy("n_left", "n_right").agg(F.count("*").alias("n"))
+    return graphs.class_sizes(*_refined(spark, sf_dir, 2)).groupBy("n_left", "n_right").agg(F.count("*").alias("n"))
 
 
 @query(_wl_sql(2, FEW_REWIRED) + ", z AS (SELECT c, MIN(node) FILTER (side = 'left') AS l, MIN(node) FILTER (side = 'right') AS r FROM c GROUP BY c HAVING COUNT(*) FILTER (side = 'left') = 1 AND COUNT(*) FILTER (side = 'right') = 1) SELECT CAST(substr(l, 2) AS BIGINT) * 2 + CASE WHEN l LIKE 'n%' THEN 1 ELSE 0 END AS \"left\", CAST(substr(r, 2) AS BIGINT) * 2 + CASE WHEN r LIKE 'n%' THEN 1 ELSE 0 END AS \"right\" FROM z")
 def q_wl_mapping(spark, sf_dir):
-    return graphs.mapping(_refined(spark, sf_dir, 2, FEW_REWIRED))
+    return graphs.mapping(*_refined(spark, sf_dir, 2, FEW_REWIRED))
 
 
 @query("SELECT p_brand AS cell, CAST(SUM(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS n FROM part GROUP BY p_brand HAVING SUM(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END) <> 0")

@@ -2,7 +2,9 @@
 
 import inspect
 import itertools
+import math
 import random
+import re
 import time
 
 import numpy as np
@@ -546,3 +548,18 @@ def test_classes_of_both_sides(spark, monkeypatch):
     monkeypatch.setattr(netlist_queries, "written", lambda df, name: seen.append(df) or df)
     netlist_queries._graph(spark, "/root/testdata/sf0.001")
     assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def test_parts_grow_with_rows(spark, monkeypatch):
+    """A part's rows don't grow with the table: more rows are dealt in more parts than the session has for a shuffle, with hubs and without, and the result is the same."""
+    sf_dir, dealt_in = "/root/testdata/sf0.001", lambda df: {int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
+    mapped = lambda: netlist_queries.q_wl_mapping(spark, sf_dir)
+    pins, want = view(spark, sf_dir, "v_pin").count(), {tuple(r) for r in mapped().collect()}
+    assert want and dealt_in(mapped()) == {components.n_parts(spark)}
+    monkeypatch.setattr(components, "PART_ROWS", 1000, raising=False)
+    rows = sum(spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("lineitem", "orders"))
+    assert dealt_in(view(spark, sf_dir, "v_pin")) == {math.ceil(rows / 1000)}
+    assert dealt_in(made := mapped()) == {math.ceil(4 * pins / 1000)} and {tuple(r) for r in made.collect()} == want
+    monkeypatch.setattr(graphs, "HUB", 20)
+    monkeypatch.setattr(graphs, "SHOWN", 1)
+    assert max(dealt_in(made := mapped())) == math.ceil(4 * pins / 1000) and {tuple(r) for r in made.collect()} == want
