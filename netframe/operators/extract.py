@@ -14,7 +14,7 @@ from netframe.functions.geometry import bounding_box, place, ring_box
 from netframe.functions.text import SUPPLY_GROUND, SUPPLY_POWER
 from netframe.operators import hierarchy, netlist
 from netframe.operators.classify import CONDUCTORS, abutment_boxes, conductor_shapes, layer_stack, placed_boxes
-from netframe.operators.components import dealt, written
+from netframe.operators.components import dealt, parts_for, written
 from netframe.operators.decompose import decompose, path_rects
 from netframe.operators.graphs import union
 from netframe.operators.nets import net_boxes, wired_labels
@@ -46,7 +46,9 @@ class Netlist:
 
 
 class Extracted(Netlist):
-    """A netlist whose tables are made when they are first asked for: what numbers nets or instances takes jobs of its own."""
+    """A netlist whose tables are made when they are first asked for: what numbers nets or instances takes jobs of its own.
+
+    One more table: places (inst_id, cell, x, y, angle, mirror), the instances without what their names and boxes take."""
 
     def __init__(self, **made: Callable[[], DataFrame]):
         self._made = made
@@ -162,7 +164,7 @@ def _instance_boxes(insts: Placements, shapes: DataFrame) -> DataFrame:
     return out.select("inst_id", *(F.col(f"p_{n}").alias(n) for n in edges))
 
 
-def extract(layout: Layout | LayoutTables, top: str | None = None, keep_physical: bool = False, keep_power: bool = False, infer_body_pins: bool = True, prefix: str = "n") -> Netlist:
+def extract(layout: Layout | LayoutTables, top: str | None = None, keep_physical: bool = False, keep_power: bool = False, infer_body_pins: bool = True, prefix: str = "n") -> Extracted:
     """The netlist of a layout whose standard cells are placed cells without placements of their own that carry labels of conductors.
 
     Cells are looked up in the models by the name behind their library's prefix. Cells without logic go unless keep_physical; cells
@@ -199,6 +201,9 @@ def extract(layout: Layout | LayoutTables, top: str | None = None, keep_physical
     told = known(netlist.numbered(texts.where("value <> ''").select("cell", "seq", "level", "x", "y", "value"), ["cell", "seq"], "t").join(leaves, "cell", "left"))
     texts = written(told.select("t", "cell", "seq", "level", "x", "y", "value", F.coalesce("inner", F.lit(True)).alias("inner"), logic.alias("logic")), "texts")
     n_texts = max(texts.count(), 1)
+    # as many labels as are placed, counted by cells
+    n_labels = placed.counts.join(texts.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell").agg(F.sum(F.col("n_placed") * F.col("n"))).first()[0] or 0
+    parts = parts_for(spark, n_labels)
     x, y = place(F.col("x"), F.col("y"), **{c: F.col(c) for c in PLACE})
     labels = placed.join(texts.select("cell", "t", "level", "x", "y")).select((F.col("k") * n_texts + F.col("t")).alias("text_id"), "level", x.alias("x"), y.alias("y"))
     rects, nets_under = wired_labels(metal, cuts, labels, n_levels=6)
@@ -213,7 +218,7 @@ def extract(layout: Layout | LayoutTables, top: str | None = None, keep_physical
     own_hits = hits.where("logic")
     if not keep_power:
         own_hits = own_hits.where(~F.col("pin").isin(*SUPPLY_POWER, *SUPPLY_GROUND))
-    own_pins = netlist.pin_nets(own_hits)
+    own_pins = netlist.pin_nets(own_hits, parts)
     inferred = netlist.inferred_body_pins(own_pins, BODY_TIES).withColumn("n_nets", F.lit(1).cast("long"))
     known_pins = F.broadcast(library.pins(spark))
     inferred = inferred.join(kept.select("inst_id", "base"), "inst_id").join(known_pins, ["base", "pin"], "left_semi").drop("base")
@@ -231,9 +236,10 @@ def extract(layout: Layout | LayoutTables, top: str | None = None, keep_physical
         boxes = net_boxes(rects).withColumnRenamed("net", "net_id").drop("n_rects")
         return named.join(kinds, "net_id").join(boxes, "net_id", "left")
 
+    own_places = dealt(kept.select("inst_id", "cell", F.col("ox").alias("x"), F.col("oy").alias("y"), "angle", "mirror"), "inst_id", parts=parts)
+
     def instances() -> DataFrame:
-        own = dealt(kept.select("inst_id", "cell", "ox", "oy", "angle", "mirror"), "inst_id")
-        return own.join(names(), "inst_id").join(_instance_boxes(placed, drawn), "inst_id", "left").select("inst_id", "name", "cell", F.col("ox").alias("x"), F.col("oy").alias("y"), "angle", "mirror", "xlo", "ylo", "xhi", "yhi")
+        return own_places.join(names(), "inst_id").join(_instance_boxes(placed, drawn), "inst_id", "left").select("inst_id", "name", "cell", "x", "y", "angle", "mirror", "xlo", "ylo", "xhi", "yhi")
 
     diagonal = cut.where("diagonal")
     split = pins.where("n_nets > 1")
@@ -261,5 +267,5 @@ def extract(layout: Layout | LayoutTables, top: str | None = None, keep_physical
         counts["polygons"] = None
         return each.agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in counts))
 
-    own = (("pins", pins.select("inst_id", "pin", "net_id")), ("ports", ports), ("rects", rects), ("unknown_cells", unknown))
+    own = (("pins", pins.select("inst_id", "pin", "net_id")), ("ports", ports), ("rects", rects), ("unknown_cells", unknown), ("places", own_places))
     return Extracted(instances=instances, nets=nets, stats=stats, warnings=warnings, **{name: lambda df=df: df for name, df in own})

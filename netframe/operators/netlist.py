@@ -9,9 +9,9 @@ from netframe.functions.text import instance_base_name, supply_kind
 from netframe.operators.components import dealt, dealt_by_range, written
 
 
-def pin_nets(hits: DataFrame) -> DataFrame:
-    """(inst_id, pin, net_id, n_nets): a pin's smallest net; several nets mark a split pin."""
-    return dealt(hits, "inst_id", "pin").groupBy("inst_id", "pin").agg(F.min("net_id").alias("net_id"), F.count_distinct("net_id").alias("n_nets"))
+def pin_nets(hits: DataFrame, parts: int | None = None) -> DataFrame:
+    """(inst_id, pin, net_id, n_nets): a pin's smallest net; several nets mark a split pin. parts: that hits are dealt in; by default, those of a shuffle."""
+    return dealt(hits, "inst_id", "pin", parts=parts).groupBy("inst_id", "pin").agg(F.min("net_id").alias("net_id"), F.count_distinct("net_id").alias("n_nets"))
 
 
 def instance_names(insts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from netframe.functions.geometry import ring_box
 from netframe.functions.text import escape_identifier
 from netframe.operators import render, scoring
-from netframe.operators.extract import Netlist, extract
+from netframe.operators.extract import Extracted, Netlist, extract
 from netframe.plans.bridge import ctes, rings, view
 from netframe.operators.components import dealt, shared_folder
 from netframe.operators.netlist import numbered
@@ -315,7 +315,7 @@ def _row_layout(spark: SparkSession, sf_dir: str) -> gds.LayoutTables:
     return gds.LayoutTables(cells=cells, boundaries=shapes.unionByName(rects), paths=paths, texts=texts, references=refs)
 
 
-def _extracted(spark: SparkSession, sf_dir: str) -> Netlist:
+def _extracted(spark: SparkSession, sf_dir: str) -> Extracted:
     return extract(_row_layout(spark, sf_dir))
 
 
@@ -330,7 +330,7 @@ def q_extract_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pin of the extraction, with the number of pins on its net and the net's kind: a wire to a capacitor's pin is power."""
     found = _extracted(spark, sf_dir)
     on_net = found.pins.groupBy("net_id").agg(F.count("*").alias("n_pins")).join(found.nets.select("net_id", "kind"), "net_id")
-    return found.pins.join(found.instances.select("inst_id", "x"), "inst_id").join(on_net, "net_id").select("x", "pin", "n_pins", "kind")
+    return found.pins.join(found.places.select("inst_id", "x"), "inst_id").join(on_net, "net_id").select("x", "pin", "n_pins", "kind")
 
 
 @query("SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 0) AS n_found FROM orders")
@@ -378,6 +378,6 @@ def _block_layout(spark: SparkSession, sf_dir: str) -> gds.LayoutTables:
 def q_extract_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nets of each block: the inverters are two levels down, turned and mirrored with their block, and joined over three levels by cuts."""
     found = extract(_block_layout(spark, sf_dir))
-    pins = found.pins.join(found.instances.select("inst_id", F.floor((F.col("x") + PITCH) / (2 * PITCH)).alias("k"), "angle"), "inst_id")
+    pins = found.pins.join(found.places.select("inst_id", F.floor((F.col("x") + PITCH) / (2 * PITCH)).alias("k"), "angle"), "inst_id")
     nets = pins.groupBy("k", "net_id").agg(F.count("*").alias("n"), F.max("angle").alias("angle"))
     return nets.groupBy("k").agg(F.count("*").alias("n_nets"), F.max("n").alias("most"), F.sum("n").alias("n_pins"), (F.max("angle") / 90).cast("long").alias("quarters"))

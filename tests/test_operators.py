@@ -563,3 +563,44 @@ def test_parts_grow_with_rows(spark, monkeypatch):
     monkeypatch.setattr(graphs, "HUB", 20)
     monkeypatch.setattr(graphs, "SHOWN", 1)
     assert max(dealt_in(made := mapped())) == math.ceil(4 * pins / 1000) and {tuple(r) for r in made.collect()} == want
+
+
+def _square_rows(seed: int, n: int, span: int, most: int):
+    """Rectangles, cuts and labels of a square at random, in the order of swept()'s arguments."""
+    rng = np.random.default_rng(seed)
+    lo, kind = rng.integers(-span, span, (n, 2)), rng.choice(3, n, p=[0.6, 0.25, 0.15])
+    box = np.concatenate([lo, lo + np.where(kind == squares.LABEL, 0, rng.integers(0, most, (2, n))).T], axis=1)
+    return rng.permutation(n).astype(np.int64) + n * (kind == squares.LABEL), rng.integers(0, 3, n), kind == squares.CUT, box, kind == squares.LABEL
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_squares_as_arrays(seed, monkeypatch):
+    """Comparing what lies beside each other gives the trees of the sweep, whatever the density, and however many pairs are held at a time."""
+    rows, found = _square_rows(seed, (20, 200, 500)[seed % 3], (10, 40, 150, 400)[seed % 4], (3, 9, 60)[seed // 4]), []
+    for near, pairs in ((-1, 1), (10**9, 1 << 20), (10**9, 50), (3, 50)):
+        monkeypatch.setattr(squares, "NEAR", near)
+        monkeypatch.setattr(squares, "PAIRS", pairs)
+        found.append(squares.swept(*rows))
+    assert all((a == b).all() for other in found[1:] for a, b in zip(found[0], other, strict=True))
+
+
+def test_only_piles_are_swept(monkeypatch):
+    """A square whose rows lie beside few others isn't swept row by row; a pile is, and no pairs of it are listed."""
+    swept, plain = [], squares.Sweep.level
+    monkeypatch.setattr(squares.Sweep, "level", lambda self, *rows: swept.append(len(rows[0])) or plain(self, *rows))
+    squares.swept(*_square_rows(1, 5000, 5000, 100))
+    assert not swept
+    pile = np.tile(np.array([0, 0, 9, 9]), (3000, 1))
+    node, root, size = squares.swept(np.arange(3000), np.zeros(3000, int), np.zeros(3000, bool), pile)
+    assert swept == [3000] and len(node) == 3000 and (root == 0).all() and (size == 3000).all()
+
+
+def test_squares_begin_at_the_corner(spark, monkeypatch):
+    """A row of cells around the axis is in one row of squares, so what crosses the axis is in one of them only; squares are dealt in parts that don't grow with the rows."""
+    rects = spark.range(600).select(F.col("id").alias("rect_id"), F.lit(0).alias("level"), (F.col("id") * 1000).alias("xlo"), F.lit(-15).cast("long").alias("ylo"), (F.col("id") * 1000 + 20).alias("xhi"), F.lit(15).cast("long").alias("yhi"))
+    rects = rects.unionByName(rects.withColumn("rect_id", F.col("rect_id") + 600))
+    monkeypatch.setattr(squares, "TOGETHER", 100)
+    monkeypatch.setattr(components, "PART_ROWS", 100)
+    trees = squares.square_trees(rects, None, 2)
+    assert trees.where("NOT shared").count() == trees.count() == 1200
+    assert re.search(r"hashpartitioning\([^()]*, 12\)", trees._jdf.queryExecution().executedPlan().toString())
