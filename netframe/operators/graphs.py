@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netframe.operators.components import SALTS, dealt, n_parts, parts_for, written
@@ -15,6 +15,8 @@ from netframe.operators.netlist import numbered
 MAX_PARTS = 50
 #: Edges of a node from which on its colour is broadcast to them, where they are; and one of how many edges shows it.
 HUB, SHOWN = 200_000, 100
+#: Edges of a node from which on exact rounds broadcast its colour, and nodes that are broadcast so at most (about 100 MB).
+BUSY, KNOWN = 200, 1_000_000
 
 
 def rounds(limit: int | None, what: str):
@@ -175,24 +177,94 @@ def signature_classes(nodes: DataFrame, features: DataFrame, bits: int = 64) ->
 
 
 def exact_seeds(nodes: DataFrame, bits: int = 64) -> DataFrame:
-    """seed_colours() in exact classes."""
+    """seed_colours() in exact classes: the hashes themselves where no two keys share one."""
     key = F.when(F.col("kind") == "inst", F.concat(F.lit("I:"), F.col("label"))).when(F.col("label").isNotNull(), F.concat(F.lit("P:"), F.col("label"))).otherwise("N")
+    proposed = nodes.select("side", "node", key.alias("key"), _bits(F.xxhash64(key), bits).alias("colour"))
+    if _shared(proposed, "colour", "key").isEmpty():
+        return proposed.drop("key")
     return signature_classes(nodes, nodes.select("side", "node", key.alias("f"), F.lit(1).cast("long").alias("n")), bits)
 
 
+def _bits(value: Column, bits: int) -> Column:
+    """The first bits of a hash."""
+    return F.shiftrightunsigned(value, 64 - bits)
+
+
+def _shared(df: DataFrame, proposed: str, *own: str, parts: int | None = None) -> DataFrame:
+    """(proposed): values that rows (side, node and more) with different values of own have. Rows are dealt by proposed; what very many have, as a sample shows it, is made distinct where it is."""
+    shown = df.where(F.pmod(F.xxhash64("side", "node"), F.lit(SHOWN)) == 0).groupBy(proposed).agg(F.count(F.lit(1)).alias("n"))
+    common, rows = written(shown.where(F.col("n") > HUB / SHOWN).select(proposed), "common"), df.select(proposed, *own)
+    kinds = lambda rows: rows.distinct().groupBy(proposed).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(proposed)
+    if common.isEmpty():
+        return kinds(dealt(rows, proposed, parts=parts))
+    few = rows.join(F.broadcast(common), proposed, "left_anti")
+    return kinds(dealt(few, proposed, parts=parts)).unionByName(kinds(rows.join(F.broadcast(common), proposed, "left_semi")))
+
+
+def _counted(seen: DataFrame, parts: int | None) -> DataFrame:
+    """(side, node, f, n): how many neighbours of a colour a node has on a pin, of (side, node, pin, c)."""
+    return dealt(seen.select("side", "node", F.struct("pin", "c").alias("f")), "side", "node", "f", parts=parts).groupBy("side", "node", "f").agg(F.count("*").alias("n"))
+
+
 def neighbour_features(colours: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(side, node, f, n): how many neighbours of a colour a node has on a pin. edges: (side, node, pin, other), both ways."""
-    seen = dealt(_seen(colours, edges, _hubs(edges), parts).select("side", "node", F.struct("pin", "c").alias("f")), "side", "node", "f", parts=parts)
-    return seen.groupBy("side", "node", "f").agg(F.count("*").alias("n"))
+    return _counted(_seen(colours, edges, _hubs(edges), parts), parts)
+
+
+def _often(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(side, other) of busy nodes, KNOWN at most, and of hubs, as a sample shows them; None where there are none."""
+    shown = edges.where(F.pmod(F.xxhash64("node", "pin"), F.lit(SHOWN)) == 0).groupBy("side", "other").agg(F.count("*").alias("n"))
+    least = min(BUSY, HUB) / SHOWN
+    shown = written(shown.where(F.col("n") >= least), "hubs")
+    while (n := shown.where(F.col("n") >= least).count()) > KNOWN:
+        least *= 2
+    hubs = shown.where(F.col("n") > HUB / SHOWN).select("side", "other")
+    return F.broadcast(shown.where(F.col("n") >= least).select("side", "other")) if n else None, None if hubs.isEmpty() else F.broadcast(hubs)
+
+
+def _halves(f: Column, n: Column) -> list[Column]:
+    """What n of f add to the sums of a node's halves of hashes."""
+    h = F.xxhash64(f)
+    return [n * h.bitwiseAND(0xFFFFFFFF), n * F.shiftrightunsigned(h, 32)]
 
 
 def exact_refine(colours: DataFrame, edges: DataFrame, bits: int = 64, parts: int | None = None) -> DataFrame:
-    """One round as refine() does it, with exact classes: equal colours if and only if the colours were equal and so is what is around."""
-    around = written(neighbour_features(colours, edges, parts), "around")
-    own = dealt(colours, "side", "node").join(_mixed(around, bits), ["side", "node"], "left").select("side", "node", "colour", F.coalesce("h", F.lit(0)).alias("h"))
-    own = written(own, "classes")
+    """One round as refine() does it, with exact classes: equal colours if and only if the colours were equal and so is what is around.
+
+    A node's neighbours are put in order as one value, but for hubs, so this is at most some HUB of them. A hash of it and of the colour is the new colour, if no two values share
+    one: all different ones are compared, once, and what very many nodes have is a row of each task. A hub is counted by rows, and so are the nodes that have its
+    hash. What a collision has joined is divided as exact_classes() does it. parts: as in refine()."""
+    keys, (busy, hubs) = ["side", "node"], _often(edges)
+    seen, held = _seen(colours, edges, busy, parts), None
+    own = dealt(colours.select(*keys, "colour"), *keys, parts=parts)
+    if hubs is not None:
+        hubs = hubs.withColumnRenamed("other", "node")
+        seen, held = seen.join(hubs, keys, "left_anti"), written(_counted(seen.join(hubs, keys, "left_semi"), parts), "around")
+    # numbers without structs between them, half as many bytes where they are moved
+    lists = dealt(seen.select(*keys, "pin", "c"), *keys, parts=parts).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pin", "c"))).alias("around"))
+    lists = lists.select(*keys, F.transform("around", lambda f: f["pin"]).alias("pins"), F.transform("around", lambda f: f["c"]).alias("around"))
+    own = own.join(lists, keys, "left")
+    if held is None:
+        own = own.withColumn("h", F.xxhash64("colour", "pins", "around"))
+    else:  # sums, which are the same however a node was counted
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        sums = held.groupBy(*keys).agg(*(F.sum(c).alias(f"s{k}") for k, c in enumerate(_halves(F.col("f"), F.col("n")))))
+        of = lambda k: F.coalesce(F.aggregate(F.arrays_zip(F.col("pins").alias("pin"), F.col("around").alias("c")), zero, lambda done, f: done + _halves(f, one)[k]), F.col(f"s{k}"))
+        own = own.join(F.broadcast(sums), keys, "left").withColumn("h", F.xxhash64("colour", of(0), of(1))).withColumn("hub", F.col("s0").isNotNull()).drop("s0", "s1")
+    own = written(own.withColumn("h", _bits(F.col("h"), bits)), "classes")
+    each = lambda df: df.select(*keys, F.explode(F.arrays_zip(F.col("pins").alias("pin"), F.col("around").alias("c"))).alias("f")).groupBy(*keys, "f").agg(F.count("*").alias("n"))
+    if held is None:
+        right = _shared(own, "h", "colour", "pins", "around", parts=parts).isEmpty()
+    else:
+        mixed = written(own.where("hub").select("h").distinct(), "mixed")
+        beside = own.join(F.broadcast(mixed), "h", "left_semi")
+        right = _shared(own.join(F.broadcast(mixed), "h", "left_anti"), "h", "colour", "pins", "around", parts=parts).isEmpty() and _shared(beside, "h", "colour", parts=parts).isEmpty()
+        right = right and _uneven(beside.select(*keys, F.col("h").alias("colour")), each(beside).unionByName(held)).isEmpty()
+    if right:
+        return own.select(*keys, F.col("h").alias("colour"))
     pairs = numbered(dealt(own.select("colour", "h"), "colour", "h").distinct(), ["colour", "h"], "number")
-    return exact_classes(dealt(own, "colour", "h").join(dealt(pairs, "colour", "h"), ["colour", "h"]).select("side", "node", F.col("number").alias("colour")), around)
+    around = each(own) if held is None else each(own).unionByName(held)
+    return exact_classes(dealt(own, "colour", "h").join(dealt(pairs, "colour", "h"), ["colour", "h"]).select(*keys, F.col("number").alias("colour")), around)
 
 
 def _classes(colours: DataFrame, parts: int | None) -> DataFrame:

@@ -317,7 +317,7 @@ def _wl_sql(rounds: int, rewired: str = REWIRED) -> str:
 def _exact_wl(bits: int, rounds: int):
     def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes, edges, parts = _graph(spark, sf_dir)
-        edges, colours = written(edges, "edges"), graphs.exact_seeds(nodes, bits)
+        colours = graphs.exact_seeds(nodes, bits)
         for _ in range(rounds):
             colours = graphs.exact_refine(colours, edges, bits, parts)
         sizes = colours.groupBy("side", "colour").agg(F.count("*").alias("size"))

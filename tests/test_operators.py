@@ -604,3 +604,36 @@ def test_squares_begin_at_the_corner(spark, monkeypatch):
     trees = squares.square_trees(rects, None, 2)
     assert trees.where("NOT shared").count() == trees.count() == 1200
     assert re.search(r"hashpartitioning\([^()]*, 12\)", trees._jdf.queryExecution().executedPlan().toString())
+
+
+def _random_circuit(spark):
+    """Nodes and edges of two sides, with nets that very many pins are on, pins that are there twice, and nodes that nothing is on."""
+    rng = random.Random(3)
+    pins = [(s, 2 * k, rng.randrange(3), 2 * rng.choice([0, 0, 0, 1, 1, rng.randrange(30)]) + 1) for s in ("left", "right") for k in range(50) for _ in range(rng.randrange(4))]
+    nodes = [(s, 2 * k, "inst", f"c{k % 3}") for s in ("left", "right") for k in range(50)] + [(s, 2 * k + 1, "net", None) for s in ("left", "right") for k in range(30)]
+    edges = pins + [(s, o, p, n) for s, n, p, o in pins]
+    return spark.createDataFrame(nodes, "side string, node long, kind string, label string"), spark.createDataFrame(edges, "side string, node long, pin int, other long")
+
+
+@pytest.mark.parametrize("bits,hub", [(64, 200_000), (64, 8), (2, 8)])
+def test_exact_rounds_with_hubs(spark, monkeypatch, bits, hub):
+    """Exact classes are those of the rounds that trust 64 bits, whether neighbours are put in order as one value or counted by rows, and where hashes collide."""
+    monkeypatch.setattr(graphs, "HUB", hub)
+    monkeypatch.setattr(graphs, "SHOWN", 1 if hub < 100 else 100)
+    nodes, edges = _random_circuit(spark)
+    plain, exact = graphs.seed_colours(nodes), graphs.exact_seeds(nodes, bits)
+    for _ in range(2):
+        plain, exact = graphs.refine(plain, edges), graphs.exact_refine(exact, edges, bits, 5)
+        both = [{(r.side, r.node): r.colour for r in df.collect()} for df in (plain, exact)]
+        assert both[0].keys() == both[1].keys() and len(both[0]) == 160
+        assert len({(both[0][k], both[1][k]) for k in both[0]}) == len(set(both[0].values())) == len(set(both[1].values()))
+
+
+def test_exact_rounds_move_rows_seldom(spark, monkeypatch):
+    """A round without collisions writes each node once and no row for each edge, and compares what nodes have once."""
+    nodes, edges = _random_circuit(spark)
+    colours, seen, plain = components.written(graphs.exact_seeds(nodes), "colours"), [], graphs.written
+    monkeypatch.setattr(graphs, "written", lambda df, name: seen.append((name, plain(df, name))) or seen[-1][1])
+    made = graphs.exact_refine(colours, edges)
+    rows = {name: df.count() for name, df in seen}
+    assert made.count() == nodes.count() == rows.pop("classes") and sum(rows.values()) == 0 and len(seen) == 3
